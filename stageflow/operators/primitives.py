@@ -19,6 +19,11 @@ WIDTH = 4096
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def total(df: DataFrame, **aggs: Column) -> Column:
+    """Table-wide aggregates as one scalar sub-query; read the parts with ``.getField(name)``."""
+    return df.agg(F.struct(*[expr.alias(name) for name, expr in aggs.items()]).alias("_t")).scalar()
+
+
 def _merge(kind: str, left: Column, right: Column) -> Column:
     if kind == "sum":
         return F.coalesce(left, F.lit(0)) + F.coalesce(right, F.lit(0))
@@ -43,26 +48,27 @@ def running(
     """
     keys = list(keys)
     col = code if code is not None else F.col(order)
+    bucket = f"_bucket{levels}"
     at = df.groupBy(*keys, order).agg(
         *[_COMBINE[kind](expr).alias(name) for name, (kind, expr) in aggs.items()]
     )
-    at = at.withColumn("_bucket", F.floor(col / F.lit(width)).cast("long"))
-    totals = at.groupBy(*keys, "_bucket").agg(
+    at = at.withColumn(bucket, F.floor(col / F.lit(width)).cast("long"))
+    totals = at.groupBy(*keys, bucket).agg(
         *[_COMBINE[kind](name).alias(name) for name, (kind, _) in aggs.items()]
     )
     if levels > 1:
         offsets = running(
-            totals, "_bucket", {n: (k, F.col(n)) for n, (k, _) in aggs.items()}, keys, None, width, levels - 1
-        ).select(*keys, "_bucket", *[F.col(f"before_{n}").alias(f"_off_{n}") for n in aggs])
+            totals, bucket, {n: (k, F.col(n)) for n, (k, _) in aggs.items()}, keys, None, width, levels - 1
+        ).select(*keys, bucket, *[F.col(f"before_{n}").alias(f"_off_{n}") for n in aggs])
     else:
-        top = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        top = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
         offsets = totals.select(
-            *keys, "_bucket", *[_COMBINE[k](n).over(top).alias(f"_off_{n}") for n, (k, _) in aggs.items()]
+            *keys, bucket, *[_COMBINE[k](n).over(top).alias(f"_off_{n}") for n, (k, _) in aggs.items()]
         )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    inside = Window.partitionBy(*keys, bucket).orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    joined = at.join(offsets, [*keys, "_bucket"])
+    joined = at.join(offsets, [*keys, bucket])
     out = [F.col(c) for c in [*keys, order]]
     for name, (kind, _) in aggs.items():
         off = F.col(f"_off_{name}")
