@@ -4,7 +4,7 @@ import importlib
 
 from stageflow.plans.registry import REGISTRY
 
-MODULES = ("flow",)
+MODULES = ("flow", "profile_quality", "joins", "scalars", "scans")
 
 for _m in MODULES:
     importlib.import_module(f"stageflow.plans.{_m}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -23,6 +24,11 @@ REGISTRY: dict[str, Query] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
+def as_doubles(text: str) -> str:
+    """Write decimal literals in exponent form, so that SQL arithmetic is double precision as in Spark."""
+    return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", text)
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     """Register ``fn(data)`` under ``name``."""
 
@@ -33,7 +39,7 @@ def query(name: str, sql: str | None = None) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(Data(configure(spark), sf_dir))
 
-        REGISTRY[name] = Query(run, sql)
+        REGISTRY[name] = Query(run, as_doubles(sql) if sql else None)
         return fn
 
     return wrap

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,3 +51,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="stageflow-")
         spark._stageflow_root = root
     return f"{root.rstrip('/')}/stageflow/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
