@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from stageflow.operators import primitives as P
 
-# An interval list at most this long is broadcast and compared row by row; a longer one is split over time slots.
-BROADCAST_INTERVALS = 512
-
 
 def lookup_with_default(df: DataFrame, table: DataFrame, on: Sequence[str], defaults: Mapping[str, float]) -> DataFrame:
     """JN5: left join to a dictionary, missing entries filled.
@@ -78,16 +75,17 @@ def recent_rate(
 
 
 def sliding_grid(
-    values: DataFrame, bounds: DataFrame, keys: Sequence[str], t: str, widths: DataFrame, step: int,
+    values: DataFrame, bounds: DataFrame, keys: Sequence[str], t: str, widths: Sequence[tuple[str, int]], step: int,
     aggs: Mapping[str, Column],
 ) -> DataFrame:
     """JN10: aggregates over windows [g, g + width) for g on a grid from each key's first time.
 
     ``values`` should already be collapsed per (keys, t); ``bounds`` has (keys, t_min, t_max) and ``widths``
-    (window, width).  A value is copied to the ceil(width / step) windows that hold it, and partial sums
+    lists (window, width).  A value is copied to the ceil(width / step) windows that hold it, and partial sums
     are combined before the shuffle.
     """
-    with_bounds = values.join(F.broadcast(widths)).join(bounds, list(keys))
+    sizes = F.array(*[F.struct(F.lit(n).alias("window"), F.lit(w).cast("long").alias("width")) for n, w in widths])
+    with_bounds = values.join(bounds, list(keys)).select("*", F.inline(sizes))
     offset = F.col(t) - F.col("t_min")
     last = F.ceil((F.col("t_max") - F.col("width") - F.col("t_min")) / F.lit(step)).cast("long") - 1
     first_slot = F.greatest(F.lit(0).cast("long"), F.floor((offset - F.col("width")) / F.lit(step)).cast("long") + 1)
@@ -103,25 +101,36 @@ def sliding_grid(
     )
 
 
-def outside_intervals(
-    df: DataFrame, intervals: DataFrame, t: str, start: str = "t_start", stop: str = "t_end", margin: int = 0,
-    slot: int | None = None,
-) -> DataFrame:
-    """JN11 / ML15: rows whose time lies in none of the intervals widened by ``margin``.
+def interval_array(intervals: Sequence[tuple[str, int, int]], margin: int = 0) -> Column:
+    """Configured intervals (name, start, stop) as an array of structs, optionally widened."""
+    return F.array(*[
+        F.struct(F.lit(n).alias("name"), F.lit(a - margin).cast("long").alias("t_start"), F.lit(b + margin).cast("long").alias("t_end"))
+        for n, a, b in intervals
+    ])
 
-    The interval list comes from configuration, so it is counted first: a short one is broadcast.  A longer one is
-    cut into time slots of ``slot`` ticks and anti-joined on the slot, which shuffles and never nests loops.
-    """
+
+def in_intervals(df: DataFrame, t: str, intervals: Sequence[tuple[str, int, int]], margin: int = 0) -> DataFrame:
+    """One row per configured closed interval that holds the row's time; a projection, not a join."""
+    hits = F.filter(interval_array(intervals, margin), lambda i: (F.col(t) >= i["t_start"]) & (F.col(t) <= i["t_end"]))
+    return df.select("*", F.inline(hits))
+
+
+def outside_intervals(df: DataFrame, t: str, intervals: Sequence[tuple[str, int, int]], margin: int = 0) -> DataFrame:
+    """JN11 / ML15: rows whose time lies in none of the configured intervals widened by ``margin``."""
+    hit = F.exists(interval_array(intervals, margin), lambda i: (F.col(t) >= i["t_start"]) & (F.col(t) <= i["t_end"]))
+    return df.where(~hit)
+
+
+def outside_interval_table(
+    df: DataFrame, intervals: DataFrame, t: str, start: str = "t_start", stop: str = "t_end", margin: int = 0, slot: int = 4096
+) -> DataFrame:
+    """JN11 for an interval table of any size: intervals are cut into time slots and anti-joined on the slot."""
+    cuts = lambda c: P.cut(c, slot)
     wide = intervals.select((F.col(start) - margin).alias("_a"), (F.col(stop) + margin).alias("_b"))
-    within = (F.col(t) >= F.col("_a")) & (F.col(t) <= F.col("_b"))
-    if len(wide.head(BROADCAST_INTERVALS + 1)) <= BROADCAST_INTERVALS:
-        return df.join(F.broadcast(wide), within, "left_anti")
-    if slot is None:
-        raise ValueError("a long interval list needs a slot width")
-    cut = lambda c: F.floor(c / F.lit(slot)).cast("long")
-    slotted = wide.withColumn("_s", F.explode(F.sequence(cut(F.col("_a")), cut(F.col("_b")))))
-    left = df.withColumn("_s", cut(F.col(t)))
-    return left.join(slotted, (left["_s"] == slotted["_s"]) & within, "left_anti").drop("_s")
+    slotted = wide.withColumn("_s", F.explode(F.sequence(cuts(F.col("_a")), cuts(F.col("_b"))))).alias("i")
+    left = df.withColumn("_s", cuts(F.col(t))).alias("d")
+    inside = (F.col(f"d.{t}") >= F.col("i._a")) & (F.col(f"d.{t}") <= F.col("i._b"))
+    return left.join(slotted, (F.col("d._s") == F.col("i._s")) & inside, "left_anti").drop("_s")
 
 
 def predecessor(messages: DataFrame, topology: DataFrame, stage: str = "stage", previous: str = "prev_stage") -> DataFrame:

@@ -24,6 +24,36 @@ def total(df: DataFrame, **aggs: Column) -> Column:
     return df.agg(F.struct(*[expr.alias(name) for name, expr in aggs.items()]).alias("_t")).scalar()
 
 
+def cut(code: Column, width: int) -> Column:
+    """Bucket number of an integer; ``width`` is a power of two."""
+    if width & (width - 1):
+        raise ValueError("width must be a power of two")
+    return F.shiftright(code.cast("long"), width.bit_length() - 1)
+
+
+def double_code(x: Column) -> Column:
+    """Integer that never decreases with a double; cells are about 2e-10 wide relative to the value."""
+    zero = F.lit(2**42)
+    mag = F.floor(F.ln(F.abs(x)) * F.lit(float(2**32))).cast("long") + zero
+    return F.when(x > 0, mag).when(x < 0, -mag).otherwise(F.lit(0).cast("long"))
+
+
+# Levels that bring the span of ``double_code`` down to at most a few hundred top buckets.
+DOUBLE_LEVELS = 3
+
+
+def _known(keys: Sequence[str], *codes: Column) -> Column:
+    """All keys and bucket numbers present.
+
+    The joins below imply these conditions.  Stating them on the input makes every copy of the aggregated
+    input the same plan, so Spark shuffles it once and reuses the exchange.
+    """
+    ok = F.lit(True)
+    for c in [*[F.col(k) for k in keys], *codes]:
+        ok = ok & c.isNotNull()
+    return ok
+
+
 def _merge(kind: str, left: Column, right: Column) -> Column:
     if kind == "sum":
         return F.coalesce(left, F.lit(0)) + F.coalesce(right, F.lit(0))
@@ -49,10 +79,13 @@ def running(
     keys = list(keys)
     col = code if code is not None else F.col(order)
     bucket = f"_bucket{levels}"
-    at = df.groupBy(*keys, order).agg(
+    codes = [cut(col, width)]
+    for _ in range(levels - 1):
+        codes.append(cut(codes[-1], width))
+    at = df.where(_known([*keys, order], *codes)).groupBy(*keys, order).agg(
         *[_COMBINE[kind](expr).alias(name) for name, (kind, expr) in aggs.items()]
     )
-    at = at.withColumn(bucket, F.floor(col / F.lit(width)).cast("long"))
+    at = at.withColumn(bucket, codes[0])
     totals = at.groupBy(*keys, bucket).agg(
         *[_COMBINE[kind](name).alias(name) for name, (kind, _) in aggs.items()]
     )
@@ -92,11 +125,15 @@ def running_rows(
 ) -> DataFrame:
     """Row-level running sums in the total order (``order``, ``tie``); adds ``cum_<name>`` to every row.
 
-    (keys, order, tie) must be unique.  A hot order value is cut into grains of ``tie_width`` tie values, so
+    (keys, order, tie) must be unique and not null.  A hot order value is cut into grains of ``tie_width`` tie values, so
     neither the join nor the last window ever holds more than ``tie_width`` rows in one group.
     """
     keys = list(keys)
-    rows = df.withColumn("_grain", F.floor(F.col(tie) / F.lit(tie_width)).cast("long"))
+    codes = [cut(F.col(order), width)]
+    for _ in range(levels - 1):
+        codes.append(cut(codes[-1], width))
+    grain = cut(F.col(tie), tie_width)
+    rows = df.where(_known([*keys, order], grain, *codes)).withColumn("_grain", grain)
     for name, expr in sums.items():
         rows = rows.withColumn(f"_v_{name}", expr if isinstance(expr, Column) else F.col(expr))
     grains = rows.groupBy(*keys, order, "_grain").agg(*[F.sum(f"_v_{n}").alias(n) for n in sums])
@@ -184,3 +221,29 @@ def islands(df: DataFrame, position: str, keys: Sequence[str] = (), name: str =
     """Label runs of consecutive integer positions; rows must be unique per (keys, position)."""
     rank = running(df, position, {"k": ("sum", F.lit(1))}, keys).select(*keys, position, "cum_k")
     return df.join(rank, [*keys, position]).withColumn(name, F.col(position) - F.col("cum_k")).drop("cum_k")
+
+
+def quantiles(
+    df: DataFrame, value: str, points: Sequence[float], keys: Sequence[str] = (), code: Column | None = None,
+    levels: int = DOUBLE_LEVELS,
+) -> DataFrame:
+    """Exact linear-interpolation quantiles by rank selection: one row per (keys, point).
+
+    Unlike an aggregate that buffers every distinct value of a group in one task, this only orders values
+    bucket by bucket.  Null values are ignored.
+    """
+    keys = list(keys)
+    counts = running(df, value, {"n": ("sum", F.lit(1))}, keys, code if code is not None else double_code(F.col(value)), levels=levels)
+    totals = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    placed = counts.join(totals, keys) if keys else counts.withColumn("_total", total(df, n=F.count(value)).getField("n"))
+    at = lambda q: (F.col("_total") - 1) * q
+    inside = lambda pos: (pos >= F.col("before_n")) & (pos < F.col("cum_n"))
+    hit = placed.withColumn(
+        "_q",
+        F.explode(F.filter(F.array(*[F.lit(float(q)) for q in points]), lambda q: inside(F.floor(at(q))) | inside(F.ceil(at(q))))),
+    )
+    q, v = F.col("_q"), F.col(value).cast("double")
+    low = F.max(F.when(inside(F.floor(at(q))), v))
+    high = F.max(F.when(inside(F.ceil(at(q))), v))
+    frac = F.max(at(q) - F.floor(at(q)))
+    return hit.groupBy(*keys, q.alias("point")).agg((low + (high - low) * frac).alias("quantile"))

@@ -17,11 +17,6 @@ from stageflow.session import materialize
 SINGLE_TASK_ROWS = 200_000
 
 
-def p_code(p: Column) -> Column:
-    """Integer that grows with p and resolves the deep tail (p = 0 sorts first)."""
-    return F.coalesce(F.floor(F.ln(p) * 1e6).cast("long"), F.lit(-(10**12)))
-
-
 def adjust_p(
     candidates: DataFrame, p: str = "raw_p", name: str = "adj_p", single_task_rows: int = SINGLE_TASK_ROWS
 ) -> DataFrame:
@@ -39,18 +34,18 @@ def adjust_p(
         scaled = kept.withColumn("_q", F.col(p) * F.lit(n) / rank)
         down = one.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         return scaled.withColumn(name, F.least(F.lit(1.0), F.min("_q").over(down))).drop("_q")
-    ranks = P.running(kept, p, {"k": ("sum", F.lit(1))}, code=p_code(F.col(p)), levels=2)
+    ranks = P.running(kept, p, {"k": ("sum", F.lit(1))}, code=P.double_code(F.col(p)), levels=P.DOUBLE_LEVELS)
     scaled = materialize(
         ranks.select(p, (F.col(p) * F.lit(n) / F.col("cum_k")).alias("_q"), (-F.col(p)).alias("_neg")), "adjusted"
     )
-    best = P.running(scaled, "_neg", {"q": ("min", F.col("_q"))}, code=-p_code(-F.col("_neg")), levels=2).select(
+    best = P.running(scaled, "_neg", {"q": ("min", F.col("_q"))}, code=P.double_code(F.col("_neg")), levels=P.DOUBLE_LEVELS).select(
         (-F.col("_neg")).alias(p), F.least(F.lit(1.0), F.col("cum_q")).alias(name)
     )
     return kept.join(best, p)
 
 
 def surge_scan(
-    visits: DataFrame, windows: DataFrame, step: int, min_n: int, min_defects: int, min_ratio: float,
+    visits: DataFrame, windows: Sequence[tuple[str, int]], step: int, min_n: int, min_defects: int, min_ratio: float,
     min_rows: int = 0, stage: str = "stage", t: str = "entry", label: str = "label",
 ) -> DataFrame:
     """STAT4: windows whose failure rate stands out against the stage's own rate, with adjusted p-values."""
@@ -77,7 +72,7 @@ def surge_scan(
 
 
 def drift_scan(
-    values: DataFrame, windows: DataFrame, step: int, min_n: int, min_z: float, min_rows: int = 200,
+    values: DataFrame, windows: Sequence[tuple[str, int]], step: int, min_n: int, min_z: float, min_rows: int = 200,
     stage: str = "stage", feature: str = "feature", t: str = "entry", value: str = "value",
 ) -> DataFrame:
     """STAT5: windows whose mean reading is far from the feature's own mean, with adjusted p-values."""
@@ -107,6 +102,15 @@ def drift_scan(
     return adjust_p(hits)
 
 
+def _chains(candidates: DataFrame, keys: Sequence[str], gap: int, start: str) -> DataFrame:
+    """Number the chains of starts less than ``gap`` apart without a window over a whole key."""
+    starts = P.previous_position(candidates, start, keys)
+    apart = F.col("prev").isNull() | (F.col(start) - F.col("prev") >= gap)
+    heads = starts.withColumn("_new", apart.cast("int"))
+    chains = P.running(heads, start, {"c": ("sum", F.col("_new"))}, keys)
+    return candidates.join(chains.select(*keys, start, F.col("cum_c").alias("_chain")), [*keys, start])
+
+
 def separate_windows(
     candidates: DataFrame, keys: Sequence[str], order: Sequence[Column], gap: int, top: int | None = None,
     start: str = "t_start",
@@ -118,10 +122,12 @@ def separate_windows(
     the scan grid that passed the thresholds.
     """
     candidates = materialize(candidates, "scored")
-    starts = P.previous_position(candidates, start, keys)
-    heads = starts.withColumn("_new", F.when(F.col("prev").isNull() | (F.col(start) - F.col("prev") >= gap), F.lit(1)).otherwise(0))
-    chains = P.running(heads, start, {"c": ("sum", F.col("_new"))}, keys).select(*keys, start, F.col("cum_c").alias("_chain"))
-    flat = candidates.join(chains, [*keys, start])
+    if candidates.count() <= SINGLE_TASK_ROWS:
+        near = Window.partitionBy(*keys).orderBy(start)
+        apart = F.coalesce(F.col(start) - F.lag(start).over(near) >= gap, F.lit(True)).cast("int")
+        flat = candidates.withColumn("_apart", apart).withColumn("_chain", F.sum("_apart").over(near)).drop("_apart")
+    else:
+        flat = _chains(candidates, keys, gap, start)
     names = [f"_o{i}" for i in range(len(order))]
     flat = flat.select(*candidates.columns, "_chain", *[expr.alias(n) for n, expr in zip(names, order)])
 

@@ -7,7 +7,7 @@ from stageflow.operators import joins as J
 from stageflow.operators import primitives as P
 from stageflow.operators import throughput as T
 from stageflow.plans.flow import rounded
-from stageflow.plans.profile_quality import scenarios
+from stageflow.plans.profile_quality import SCENARIO_TIMES, scenarios
 from stageflow.plans.registry import cte, query, sql
 from stageflow.sources import io
 
@@ -107,14 +107,19 @@ def jn9(d):
 def jn10(d):
     ticks = d.labelled_visits.groupBy("stage", "entry").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("d"))
     bounds = ticks.groupBy("stage").agg(F.min("entry").alias("t_min"), F.max("entry").alias("t_max"))
-    widths = io.parameter_table(d.spark, [("1w", 7), ("2w", 14), ("30d", 30)], "window STRING, width LONG")
+    widths = (("1w", 7), ("2w", 14), ("30d", 30))
     out = J.sliding_grid(ticks, bounds, ("stage",), "entry", widths, 7, {"n": F.sum("n"), "defects": F.sum("d")})
     return out.select("stage", F.col("width").cast("int").alias("width"), "t_start", "n", "defects")
 
 
 @query("jn11_interval_mask", sql("v scen", "SELECT entity, stage, entry FROM v WHERE NOT EXISTS (SELECT 1 FROM scen WHERE entry BETWEEN t_start - 3 AND t_end + 3)"))
 def jn11(d):
-    return J.outside_intervals(d.visits.select("entity", "stage", "entry"), scenarios(d), "entry", margin=3)
+    return J.outside_intervals(d.visits.select("entity", "stage", "entry"), "entry", SCENARIO_TIMES, margin=3)
+
+
+@query("jn11_interval_table_mask", sql("v scen", "SELECT entity, stage, entry FROM v WHERE NOT EXISTS (SELECT 1 FROM scen WHERE entry BETWEEN t_start - 3 AND t_end + 3)"))
+def jn11_table(d):
+    return J.outside_interval_table(d.visits.select("entity", "stage", "entry"), scenarios(d), "entry", margin=3, slot=32)
 
 
 @query("jn12_dense_grid_left_join", sql("v", """, g AS (SELECT stage, unnest(generate_series(lo, hi)) AS period FROM (SELECT stage, min(entry) // 7 AS lo, max(entry) // 7 AS hi FROM v GROUP BY stage)),

@@ -87,6 +87,7 @@ def src7(d):
 
 # Scenario windows (name, first day, last day, focus stages) laid over the day-based tables.
 SCENARIOS = (("A", 400, 460, ["S1", "S2"]), ("B", 900, 990, ["S3"]), ("C", 1500, 1530, ["S5", "S6"]), ("D", 2000, 2200, ["S7"]))
+SCENARIO_TIMES = tuple((n, a, b) for n, a, b, _ in SCENARIOS)
 cte("scen", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b}, {f!r})" for n, a, b, f in SCENARIOS) + ") s(name, t_start, t_end, focus)")
 
 

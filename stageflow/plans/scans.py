@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from stageflow.functions import stats as ST
+from stageflow.operators import joins as J
 from stageflow.operators import quality as Q
 from stageflow.operators import scan as SC
 from stageflow.operators import visits as V
 from stageflow.plans.flow import rounded
-from stageflow.plans.profile_quality import labelled_values, scenarios
+from stageflow.plans.profile_quality import SCENARIO_TIMES
 from stageflow.plans.registry import cte, query, sql
 from stageflow.plans.scalars import erfc_sql
 from stageflow.sources import io
@@ -20,10 +21,6 @@ DRIFT = {"step": 14, "min_n": 15, "min_z": 0.45}
 EVENTS = (("E1", 400, 460, [1, 2]), ("E2", 900, 990, [3]), ("E3", 1500, 1530, [5, 6]), ("E4", 2000, 2200, [1, 2, 3]))
 
 
-def windows(d):
-    return io.parameter_table(d.spark, WINDOWS, "window STRING, width LONG")
-
-
 def event_windows(d):
     return io.parameter_table(d.spark, EVENTS, "event_id STRING, t_start LONG, t_end LONG, stages ARRAY<INT>")
 
@@ -64,11 +61,11 @@ cte("drift", f"""WITH ticks AS (SELECT stage, feature, entry, count(*) AS c, sum
 
 
 def surges(d):
-    return SC.surge_scan(d.labelled_visits, windows(d), **SURGE)
+    return SC.surge_scan(d.labelled_visits, WINDOWS, **SURGE)
 
 
 def drifts(d):
-    return SC.drift_scan(d.sensor_values, windows(d), **DRIFT)
+    return SC.drift_scan(d.sensor_values, WINDOWS, **DRIFT)
 
 
 @query("stat4_surge_scan", sql("surge", """SELECT stage, win AS "window", t_start, t_end, n, defects, round(observed_rate, 6) AS observed_rate, round(base, 6) AS baseline_rate, round(ratio, 6) AS ratio,
@@ -180,8 +177,7 @@ def stat6(d):
 
 def scenario_slice(d):
     """STAT7: replay rows of every scenario window, transits recomputed inside the slice, in message order."""
-    sc = F.broadcast(scenarios(d).select(F.col("name").alias("scenario"), "t_start", "t_end"))
-    inside = d.visits.join(sc, (F.col("entry") >= F.col("t_start")) & (F.col("entry") <= F.col("t_end")))
+    inside = J.in_intervals(d.visits, "entry", SCENARIO_TIMES).withColumnRenamed("name", "scenario")
     ranked = inside.withColumn("key", F.concat_ws("|", "scenario", F.col("entity").cast("string"))).withColumn("stage_rank", stage_rank(F.col("stage")).cast("int"))
     moved = V.transit_from_previous(ranked, "key", "stage_rank", "entry", DAY_MINUTES)
     return moved.join(d.labels, "entity", "left").select(
