@@ -48,6 +48,11 @@ class ScoreConfig:
     high_prob: float = 0.05
 
 
+def round_half_up(x: Column, digits: int) -> Column:
+    """Round in decimal arithmetic, so that ties do not depend on the binary form of the value."""
+    return F.round(x.cast("decimal(18,10)"), digits).cast("double")
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
@@ -110,7 +115,7 @@ def defect_score(observed: Column, base: Column) -> Column:
 
 def composite_health(drift: Column, pacing: Column, defect: Column, cfg: ScoreConfig) -> Column:
     mix = drift * cfg.drift_weight + pacing * cfg.pacing_weight + defect * cfg.defect_weight
-    return F.round(clamp(mix, 0.0, 100.0), 2)
+    return round_half_up(clamp(mix, 0.0, 100.0), 2)
 
 
 def health_status(health: Column, cfg: ScoreConfig) -> Column:
@@ -122,7 +127,7 @@ def rule_risk(anomalies: Column, health: Column, cfg: ScoreConfig) -> Column:
     health_part = F.greatest(F.lit(0.0), (F.lit(100.0) - health) / 100.0)
     total = cfg.anomaly_weight + cfg.health_penalty_weight
     raw = (feature_part * cfg.anomaly_weight + health_part * cfg.health_penalty_weight) / F.lit(total)
-    return F.round(clamp(raw, cfg.base_rate, 0.99), 4)
+    return round_half_up(clamp(raw, cfg.base_rate, 0.99), 4)
 
 
 def risk_level(risk: Column, cfg: ScoreConfig) -> Column:
@@ -132,7 +137,7 @@ def risk_level(risk: Column, cfg: ScoreConfig) -> Column:
 def blended_risk(rule: Column, health: Column, prob: Column, cfg: ScoreConfig) -> Column:
     lift = clamp((prob / cfg.model_base - 1.0) / 4.0, 0.0, 1.0)
     mix = rule * cfg.model_rule + (F.lit(1.0) - health / 100.0) * cfg.model_health + lift * cfg.model_prob
-    return F.round(clamp(mix, 0.0, 1.0), 3)
+    return round_half_up(clamp(mix, 0.0, 1.0), 3)
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:

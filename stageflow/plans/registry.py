@@ -29,6 +29,11 @@ def as_doubles(text: str) -> str:
     return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", text)
 
 
+def half_up(x: str, digits: int) -> str:
+    """SQL text of ``scalar.round_half_up``."""
+    return f"CAST(round(CAST({x} AS DECIMAL(18, 10)), {digits}) AS DOUBLE)"
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     """Register ``fn(data)`` under ``name``."""
 

@@ -9,7 +9,7 @@ from stageflow.operators import joins as J
 from stageflow.operators import profile as PR
 from stageflow.operators import visits as V
 from stageflow.plans.flow import rounded
-from stageflow.plans.registry import query, sql
+from stageflow.plans.registry import half_up, query, sql
 from stageflow.sources.tables import FORK, SENSORS, STAGES
 
 CFG = S.ScoreConfig()
@@ -127,7 +127,7 @@ def _health_cols():
     return F.col("l_quantity") * 1.7123, F.col("l_discount") * 913.7, F.col("l_tax") * 1187.3
 
 
-H_SQL = "round(greatest(0.0, least(100.0, l_quantity * 1.7123 * 0.45 + l_discount * 913.7 * 0.30 + l_tax * 1187.3 * 0.25)), 2)"
+H_SQL = half_up("greatest(0.0, least(100.0, l_quantity * 1.7123 * 0.45 + l_discount * 913.7 * 0.30 + l_tax * 1187.3 * 0.25))", 2)
 
 
 @query("prj12_composite_health", f"SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, {H_SQL} AS health FROM lineitem")
@@ -142,7 +142,7 @@ def prj13(d):
     return d.table("lineitem").select(S.health_status(h, CFG).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-RISK_SQL = "round(greatest(0.005069, least(0.99, (0.5 * least(1.0, a * 0.22) + 0.3 * greatest(0.0, (100.0 - h) / 100.0)) / 0.8)), 4)"
+RISK_SQL = half_up("greatest(0.005069, least(0.99, (0.5 * least(1.0, a * 0.22) + 0.3 * greatest(0.0, (100.0 - h) / 100.0)) / 0.8))", 4)
 
 
 @query("prj14_rule_risk", f"SELECT a, h, count(*) AS n, {RISK_SQL} AS risk FROM (SELECT CAST(l_discount * 100 AS INTEGER) AS a, l_quantity * 2.0 AS h FROM lineitem) GROUP BY a, h")
@@ -158,8 +158,10 @@ def prj15(d):
     return d.table("lineitem").select(level.alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("prj16_blended_risk", """SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax,
-  round(greatest(0.0, least(1.0, (l_quantity / 50.0) * 0.3 + (1.0 - l_tax * 1000.0 / 100.0) * 0.2 + greatest(0.0, least(1.0, ((l_discount / 4.0) / 0.00507 - 1.0) / 4.0)) * 0.2)), 3) AS risk FROM lineitem""")
+BLEND_SQL = half_up("greatest(0.0, least(1.0, (l_quantity / 50.0) * 0.3 + (1.0 - l_tax * 1000.0 / 100.0) * 0.2 + greatest(0.0, least(1.0, ((l_discount / 4.0) / 0.00507 - 1.0) / 4.0)) * 0.2))", 3)
+
+
+@query("prj16_blended_risk", f"SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, {BLEND_SQL} AS risk FROM lineitem")
 def prj16(d):
     r = S.blended_risk(F.col("l_quantity") / 50.0, F.col("l_tax") * 1000.0, F.col("l_discount") / 4.0, CFG)
     return d.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", r.alias("risk"))

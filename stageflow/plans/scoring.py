@@ -8,7 +8,7 @@ from stageflow.operators import profile as PR
 from stageflow.operators import scoring as SCO
 from stageflow.plans.flow import rounded
 from stageflow.plans.joins import segment_benchmark, topology
-from stageflow.plans.registry import cte, query, sql
+from stageflow.plans.registry import cte, half_up, query, sql
 from stageflow.plans.scalars import DEFECT_SQL
 
 # Messages with state lives, deviations and positions, in plain windows.
@@ -33,7 +33,7 @@ _D = "CASE WHEN n_features > 0 THEN greatest(0.0, least(100.0, 100.0 - (avg_z -
 _P = """CASE WHEN incoming IS NULL OR transit_minutes <= p90 THEN 100.0 WHEN transit_minutes <= p99 THEN 100.0 - 40.0 * (transit_minutes - p90) / greatest(0.001, p99 - p90)
   ELSE greatest(0.0, 60.0 - 60.0 * (transit_minutes - p99) / greatest(1.0, p99)) END"""
 cte("health", f"""SELECT *, CASE WHEN health_score >= 80 THEN 'HEALTHY' WHEN health_score >= 50 THEN 'WARNING' ELSE 'CRITICAL' END AS status FROM (
-  SELECT *, round(greatest(0.0, least(100.0, sd * 0.45 + sp * 0.30 + sq * 0.25)), 2) AS health_score FROM (
+  SELECT *, {half_up("greatest(0.0, least(100.0, sd * 0.45 + sp * 0.30 + sq * 0.25))", 2)} AS health_score FROM (
     SELECT *, {_D} AS sd, {_P} AS sp, {DEFECT_SQL.format(r="(observed_rate / greatest(0.00001, 0.005069))")} AS sq FROM (
       SELECT msc.*, coalesce(arrived_from, static_prev) AS incoming, coalesce(seg.p90, 6.0238) AS p90, coalesce(seg.p99, 36.1060) AS p99, observed_rate
       FROM msc LEFT JOIN topo ON topo.stage = msc.stage LEFT JOIN seg ON seg.a = coalesce(arrived_from, static_prev) AND seg.b = msc.stage
@@ -141,8 +141,11 @@ def sco1(d):
     return health(d).select(*HEALTH_OUT)
 
 
-@query("sco2_part_risk", sql("health hist", """, j AS (SELECT health.*, cumulative_anomalies AS ca FROM health JOIN hist USING (entity, stage)),
-  rk AS (SELECT *, round(greatest(0.005069, least(0.99, (least(1.0, ca * 0.22) * 0.5 + greatest(0.0, (100.0 - health_score) / 100.0) * 0.3) / 0.8)), 4) AS risk FROM j)
+_RISK = half_up("greatest(0.005069, least(0.99, (least(1.0, ca * 0.22) * 0.5 + greatest(0.0, (100.0 - health_score) / 100.0) * 0.3) / 0.8))", 4)
+
+
+@query("sco2_part_risk", sql("health hist", f""", j AS (SELECT health.*, cumulative_anomalies AS ca FROM health JOIN hist USING (entity, stage)),
+  rk AS (SELECT *, {_RISK} AS risk FROM j)
   SELECT entity, stage, ca AS cumulative_anomalies, risk AS cumulative_risk, CASE WHEN risk < 0.3 THEN 'LOW' WHEN risk < 0.7 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level FROM rk"""))
 def sco2(d):
     return SCO.part_risk(health(d)).select("entity", "stage", "cumulative_anomalies", "cumulative_risk", "risk_level")
