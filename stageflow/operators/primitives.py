@@ -1,10 +1,10 @@
 """Shared building blocks: ordered scans without one-task windows, dense grids, islands.
 
-An ordered scan over a whole table (or over one dominant key) must not run as a single window
+An ordered scan over a whole table (or over one dominant key) must not put all rows into a single window
 partition.  ``running`` first collapses the rows to distinct order positions (a plain aggregate with
-map-side combine, so a hot position costs nothing), cuts the positions into buckets of at most
-``width`` positions, and adds up bucket totals level by level.  Every window partition therefore holds at
-most ``width`` positions, however the rows are distributed.
+map-side combine, so a hot position costs nothing).  On a tick clock that leaves at most span / tick rows per key,
+whatever the volume, and one window per key is fine (``levels=0``).  For finer clocks and continuous values the
+positions are cut into buckets of at most ``width`` positions, and bucket totals are added up level by level.
 """
 
 from __future__ import annotations
@@ -60,6 +60,30 @@ def _merge(kind: str, left: Column, right: Column) -> Column:
     return F.greatest(left, right) if kind == "max" else F.least(left, right)
 
 
+def _codes(code: Column, width: int, levels: int) -> list[Column]:
+    out: list[Column] = []
+    for _ in range(levels):
+        out.append(cut(out[-1] if out else code, width))
+    return out
+
+
+def _spread(aggs, window, offset=None) -> list[Column]:
+    """The value at a position, up to it and before it, optionally on top of a bucket offset."""
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    out = []
+    for name, (kind, _) in aggs.items():
+        for frame, tag in ((upto, "cum"), (before, "before")):
+            value = _COMBINE[kind](name).over(frame)
+            if offset is not None:
+                value = _merge(kind, offset(name), value)
+            elif kind == "sum":
+                value = F.coalesce(value, F.lit(0))
+            out.append(value.alias(f"{tag}_{name}"))
+        out.append(F.col(name))
+    return out
+
+
 def running(
     df: DataFrame,
     order: str,
@@ -67,24 +91,24 @@ def running(
     keys: Sequence[str] = (),
     code: Column | None = None,
     width: int = WIDTH,
-    levels: int = 1,
+    levels: int = 0,
 ) -> DataFrame:
     """Running aggregates in ``order``, one output row per distinct (keys, order).
 
     ``aggs`` maps a name to (``sum`` | ``max`` | ``min``, expression).  The result has ``<name>`` (this position),
     ``cum_<name>`` (up to and including it) and ``before_<name>`` (strictly before it; null if nothing
     precedes and the aggregate is not a sum).  ``code`` is an integer that grows with ``order``; it defaults to
-    ``order`` itself.  With L levels the topmost windows see span / width**L positions.
+    ``order`` itself.  With L levels the topmost windows see span / width**L positions: keep that below a million.
     """
     keys = list(keys)
     col = code if code is not None else F.col(order)
     bucket = f"_bucket{levels}"
-    codes = [cut(col, width)]
-    for _ in range(levels - 1):
-        codes.append(cut(codes[-1], width))
+    codes = _codes(col, width, levels)
     at = df.where(_known([*keys, order], *codes)).groupBy(*keys, order).agg(
         *[_COMBINE[kind](expr).alias(name) for name, (kind, expr) in aggs.items()]
     )
+    if levels == 0:
+        return at.select(*keys, order, *_spread(aggs, Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)))
     at = at.withColumn(bucket, codes[0])
     totals = at.groupBy(*keys, bucket).agg(
         *[_COMBINE[kind](name).alias(name) for name, (kind, _) in aggs.items()]
@@ -99,18 +123,7 @@ def running(
             *keys, bucket, *[_COMBINE[k](n).over(top).alias(f"_off_{n}") for n, (k, _) in aggs.items()]
         )
     inside = Window.partitionBy(*keys, bucket).orderBy(order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    joined = at.join(offsets, [*keys, bucket])
-    out = [F.col(c) for c in [*keys, order]]
-    for name, (kind, _) in aggs.items():
-        off = F.col(f"_off_{name}")
-        out += [
-            F.col(name),
-            _merge(kind, off, _COMBINE[kind](name).over(upto)).alias(f"cum_{name}"),
-            _merge(kind, off, _COMBINE[kind](name).over(before)).alias(f"before_{name}"),
-        ]
-    return joined.select(*out)
+    return at.join(offsets, [*keys, bucket]).select(*keys, order, *_spread(aggs, inside, lambda n: F.col(f"_off_{n}")))
 
 
 def running_rows(
@@ -120,7 +133,7 @@ def running_rows(
     sums: Mapping[str, Column | str],
     keys: Sequence[str] = (),
     width: int = WIDTH,
-    levels: int = 1,
+    levels: int = 0,
     tie_width: int = 65536,
 ) -> DataFrame:
     """Row-level running sums in the total order (``order``, ``tie``); adds ``cum_<name>`` to every row.
@@ -129,9 +142,7 @@ def running_rows(
     neither the join nor the last window ever holds more than ``tie_width`` rows in one group.
     """
     keys = list(keys)
-    codes = [cut(F.col(order), width)]
-    for _ in range(levels - 1):
-        codes.append(cut(codes[-1], width))
+    codes = _codes(F.col(order), width, levels)
     grain = cut(F.col(tie), tie_width)
     rows = df.where(_known([*keys, order], grain, *codes)).withColumn("_grain", grain)
     for name, expr in sums.items():

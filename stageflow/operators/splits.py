@@ -41,6 +41,16 @@ def chronological(df: DataFrame, t: str, tie: str, share: float = 0.8, **kw) ->
     return ranked.withColumn("role", F.when(F.col("_rank") <= F.floor(n * share), "train").otherwise("val")).drop("_rank")
 
 
+def time_ranges(df: DataFrame, t: str, tie: str, cuts: Sequence[tuple[str, float]], rest: str, **kw) -> DataFrame:
+    """Disjoint consecutive ranges in time order: each (role, share) takes the rows up to its share, ``rest`` the others."""
+    n = P.total(df, n=F.count(F.lit(1))).getField("n")
+    ranked = P.ranked(df, t, tie, name="_rank", **kw)
+    role = F.lit(rest)
+    for name, share in reversed(list(cuts)):
+        role = F.when(F.col("_rank") <= F.floor(n * share), name).otherwise(role)
+    return ranked.withColumn("role", role).drop("_rank")
+
+
 def keep_positives(df: DataFrame, label: str, key: str, size: int, floor: int = 1000, seed: int = 42) -> DataFrame:
     """ML2: all positives and max(floor, size - positives) negatives, chosen by the hash of their key.
 

@@ -240,13 +240,13 @@ def agg43(d):
 @query("prim1_running_totals", sql("v", """SELECT stage, entry, n, CAST(sum(n) OVER (PARTITION BY stage ORDER BY entry) AS BIGINT) AS cum_n FROM (
   SELECT stage, entry, count(*) AS n FROM v GROUP BY stage, entry)"""))
 def prim1(d):
-    return P.running(d.visits, "entry", {"n": ("sum", F.lit(1))}, ("stage",), width=64).select("stage", "entry", "n", "cum_n")
+    return P.running(d.visits, "entry", {"n": ("sum", F.lit(1))}, ("stage",), width=64, levels=1).select("stage", "entry", "n", "cum_n")
 
 
 @query("prim1_global_rank", sql("v", "SELECT entity, stage, entry, row_number() OVER (ORDER BY entry, entity * 8 + stage) AS rank FROM v"))
 def prim1_rank(d):
     tie = d.visits.withColumn("tie", F.col("entity") * 8 + F.col("stage"))
-    return P.ranked(tie, "entry", "tie", width=64).select("entity", "stage", "entry", "rank")
+    return P.ranked(tie, "entry", "tie", width=64, levels=1, tie_width=1024).select("entity", "stage", "entry", "rank")
 
 
 @query("prim2_dense_grid", sql("v", """SELECT stage, unnest(generate_series(lo, hi, 30)) AS slot FROM (SELECT stage, min(entry) AS lo, max(entry) AS hi FROM v GROUP BY stage)"""))

@@ -84,7 +84,7 @@ def jn8(d):
   SELECT stage, sec, CAST(sum(n) OVER (PARTITION BY stage ORDER BY sec RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_hour FROM e"""))
 def jn8_events(d):
     secs = d.events.select("stage", F.floor(F.col("us") / 1000000).cast("long").alias("sec"))
-    return J.range_count(secs.distinct(), secs, "sec", 3600, "last_hour", "sec", ("stage",), levels=2).select("stage", "sec", "last_hour")
+    return J.range_count(secs.distinct(), secs, "sec", 3600, "last_hour", "sec", ("stage",), levels=1).select("stage", "sec", "last_hour")
 
 
 @query("jn9_recent_rate", sql("v lab", """, x AS (SELECT v.entity, exit AS t, label FROM v JOIN lab USING (entity) WHERE stage = 7),

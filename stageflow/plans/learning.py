@@ -257,11 +257,10 @@ COLS = SPEC.feature_columns
 
 def three_ranges(d):
     """Fit, calibrate and test on disjoint time ranges."""
-    t = materialize(entity_table(d), "entities")
-    a = SP.chronological(t, "decision_time", "entity", 0.6)
-    rest = SP.chronological(a.where("role = 'val'").drop("role"), "decision_time", "entity", 0.5)
-    filled = lambda df: df.fillna(0.0, SPEC.sensor_columns)
-    return filled(a.where("role = 'train'")), filled(rest.where("role = 'train'")), filled(rest.where("role = 'val'"))
+    table = materialize(entity_table(d), "entities")
+    parts = SP.time_ranges(table, "decision_time", "entity", [("train", 0.6), ("cal", 0.8)], "test")
+    parts = materialize(parts.fillna(0.0, SPEC.sensor_columns), "ranges")
+    return tuple(parts.where(F.col("role") == r).drop("role") for r in ("train", "cal", "test"))
 
 
 def _report(df, model):
