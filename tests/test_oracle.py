@@ -40,6 +40,7 @@ def test_no_cross_product_in_plans(spark):
 
 
 def test_scan_is_pushed_down(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = REGISTRY["src5_parquet_pushdown"].run(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan and "In(l_linenumber" in plan
     assert "l_comment" not in plan and "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double,l_shipdate" in plan
