@@ -6,7 +6,7 @@ Everything that needs an order works on the score curve: one row per (keys, dist
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,12 +83,13 @@ def best_threshold(s: Scored, curve_df: DataFrame, points: Sequence[float] = THR
     ``len(points) + 1`` partial counts, which are then accumulated.
     """
     keys = list(s.keys)
-    ths = P.quantiles(s.df, s.score, points, keys).groupBy(*keys).agg(
-        F.array_sort(F.collect_set("quantile")).alias("ths")
+    whole = totals(curve_df, keys)
+    rising = curve_df.join(whole, keys).select(
+        *keys, "score", F.col("total").alias("_total"), (F.col("total") - F.col("cum_n")).alias("before_n"), (F.col("total") - F.col("before_n")).alias("cum_n")
     )
+    ths = P.select_quantiles(rising, "score", points, keys).groupBy(*keys).agg(F.array_sort(F.collect_set("quantile")).alias("ths"))
     reach = F.size(F.filter("ths", lambda t: t <= F.col("score"))).alias("_k")
     parts = curve_df.join(ths, keys).groupBy(*keys, reach).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.first("ths").alias("ths"))
-    whole = totals(curve_df, keys)
     down = Window.partitionBy(*keys).orderBy(F.desc("_k"))
     grid = (
         ths.select(*keys, F.posexplode("ths").alias("_i", "threshold"))
@@ -135,6 +136,7 @@ def brier(s: Scored) -> DataFrame:
 def metric_table(s: Scored) -> DataFrame:
     """MET7: all metrics per key, rounded as in a report."""
     keys = list(s.keys)
+    s = replace(s, df=materialize(s.df, "scored"))
     c = curve(s)
     r1 = recall_at(s, c, 0.01, "recall_at_1pct")
     out = roc_auc(c, keys).join(average_precision(c, keys), keys).join(best_threshold(s, c), keys)

@@ -173,7 +173,7 @@ def ranked(
 
 
 def trailing(
-    df: DataFrame, rank: str, length: int, columns: Mapping[str, object], keys: Sequence[str] = (), block: int = 65536
+    df: DataFrame, rank: str, length: int, columns: Mapping[str, object], keys: Sequence[str] = (), block: int = 8192
 ) -> DataFrame:
     """Aggregates over the last ``length`` rows of a dense rank, per key.
 
@@ -247,6 +247,11 @@ def quantiles(
     counts = running(df, value, {"n": ("sum", F.lit(1))}, keys, code if code is not None else double_code(F.col(value)), levels=levels)
     totals = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     placed = counts.join(totals, keys) if keys else counts.withColumn("_total", total(df, n=F.count(value)).getField("n"))
+    return select_quantiles(placed, value, points, keys)
+
+
+def select_quantiles(placed: DataFrame, value: str, points: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Quantiles from distinct values with ``before_n`` and ``cum_n`` in ascending order and ``_total`` rows."""
     at = lambda q: (F.col("_total") - 1) * q
     inside = lambda pos: (pos >= F.col("before_n")) & (pos < F.col("cum_n"))
     hit = placed.withColumn(

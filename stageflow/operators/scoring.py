@@ -63,9 +63,8 @@ def lives(messages: DataFrame) -> DataFrame:
 def rolling_drift(scored: DataFrame, window: int = CFG.window) -> DataFrame:
     """WIN4 (and the visit number WIN5 needs): mean of the last ``window`` largest deviations of the stage."""
     ranked = P.ranked(scored, "t", "entity", ("stage",), "visit_no")
-    return P.trailing(
-        ranked, "visit_no", window,
-        {"avg_z": lambda w: F.avg("max_abs_z").over(w), "window_parts": lambda w: F.count(F.lit(1)).over(w)}, ("stage",),
+    return P.trailing(ranked, "visit_no", window, {"avg_z": lambda w: F.avg("max_abs_z").over(w)}, ("stage",)).withColumn(
+        "window_parts", F.least(F.col("visit_no"), F.lit(window))
     )
 
 
@@ -115,7 +114,8 @@ def stage_health(
     messages: DataFrame, baselines: DataFrame, benchmark: DataFrame, topology: DataFrame, cfg: ScoreConfig = CFG
 ) -> DataFrame:
     """SCO1: composite health of the stage at every visit, with its three sub-scores."""
-    scored = deviations(lives(messages), baselines, cfg).withColumn("tie", message_tie())
+    scored = deviations(lives(messages), baselines, cfg).withColumn("tie", message_tie()).drop("features", "zs", "prev_stage")
+    scored = materialize(scored, "scored")
     numbered = materialize(rolling_drift(scored, cfg.window), "numbered")
     exits = numbered.where("is_exit").select("entity", "life", "t", "tie", F.coalesce("response", F.lit(0)).alias("label"))
     outcomes = rolling_outcomes(numbered, exits, cfg.window, cfg.base_rate)

@@ -24,6 +24,7 @@ FOLDS = ((1, (0, 150), (151, 200)), (2, (0, 200), (201, 260)), (3, (0, 260), (26
 
 
 def entity_table(d):
+    d.stored("visits")
     return FE.entity_table(d.visits, d.labels, SPEC, DAY_SCALE)
 
 
@@ -102,6 +103,7 @@ def ml8(d):
 # ---- window table and sequences ---------------------------------------------------------------------------
 
 def window_metrics(d):
+    d.stored("visits")
     base = PR.baselines(d.sensor_values, ("stage", "feature"))
     z = d.sensor_values.join(base, ["stage", "feature"]).select(
         "stage", F.col("entry").alias("t"), S.abs_z(F.col("value"), F.col("mean"), F.col("std")).alias("abs_z")

@@ -61,10 +61,12 @@ cte("drift", f"""WITH ticks AS (SELECT stage, feature, entry, count(*) AS c, sum
 
 
 def surges(d):
+    d.stored("visits")
     return SC.surge_scan(d.labelled_visits, WINDOWS, **SURGE)
 
 
 def drifts(d):
+    d.stored("visits")
     return SC.drift_scan(d.sensor_values, WINDOWS, **DRIFT)
 
 

@@ -10,6 +10,7 @@ from stageflow.plans.flow import rounded
 from stageflow.plans.joins import segment_benchmark, topology
 from stageflow.plans.registry import cte, half_up, query, sql
 from stageflow.plans.scalars import DEFECT_SQL
+from stageflow.session import materialize
 
 # Messages with state lives, deviations and positions, in plain windows.
 cte("ml", """SELECT x.*, row_number() OVER (PARTITION BY entity, life ORDER BY t, stage_rank, stage) = 1 AS is_first,
@@ -41,6 +42,7 @@ cte("health", f"""SELECT *, CASE WHEN health_score >= 80 THEN 'HEALTHY' WHEN hea
 
 
 def health(d):
+    d.stored("visits", "messages")
     return SCO.stage_health(d.messages, PR.baselines(d.sensor_values, ("stage", "feature")), segment_benchmark(d), topology(d))
 
 
@@ -50,12 +52,14 @@ def scored(d):
 
 @query("win4_rolling_drift", sql("msc", "SELECT entity, stage, visit_no, round(avg_z, 8) AS avg_z, window_parts FROM msc"))
 def win4(d):
-    return rounded(SCO.rolling_drift(scored(d)).select("entity", "stage", "visit_no", "avg_z", "window_parts"), "avg_z", digits=8)
+    narrow = scored(d).select("entity", "stage", "t", "max_abs_z")
+    return rounded(SCO.rolling_drift(materialize(narrow, "scored")).select("entity", "stage", "visit_no", "avg_z", "window_parts"), "avg_z", digits=8)
 
 
 @query("win5_rolling_outcomes", sql("obs", "SELECT entity, stage, round(observed_rate, 6) AS observed_rate FROM obs"))
 def win5(d):
-    m = P.ranked(SCO.lives(d.messages).withColumn("tie", SCO.message_tie()), "t", "entity", ("stage",), "visit_no")
+    m = materialize(SCO.lives(d.messages).withColumn("tie", SCO.message_tie()).drop("features", "prev_stage"), "lives")
+    m = materialize(P.ranked(m, "t", "entity", ("stage",), "visit_no"), "numbered")
     exits = m.where("is_exit").select("entity", "life", "t", "tie", F.coalesce("response", F.lit(0)).alias("label"))
     return rounded(SCO.rolling_outcomes(m, exits).select("entity", "stage", "observed_rate"), "observed_rate")
 
@@ -81,7 +85,8 @@ def win8(d):
         "s": F.col("is_first").cast("int"), "e": (F.col("is_first") & F.col("is_entry")).cast("int"),
         "x": F.col("is_exit").cast("int"), "b": (F.col("is_exit") & (F.coalesce("response", F.lit(0)) == 1)).cast("int"),
     }
-    out = P.running_rows(m, "t", "tie", sums).where("is_exit")
+    flags = m.select("entity", "t", "tie", "is_exit", *[e.alias(n) for n, e in sums.items()])
+    out = P.running_rows(materialize(flags, "flags"), "t", "tie", {n: F.col(n) for n in sums}).where("is_exit")
     return out.select(
         "entity", "t", (F.col("cum_s") - F.col("cum_x") + 1).alias("active_parts"), F.col("cum_e").alias("entered"), F.col("cum_x").alias("completed"),
         F.col("cum_b").alias("defects"), F.round(F.col("cum_b") / F.col("cum_x") * 100.0, 3).alias("rate"),

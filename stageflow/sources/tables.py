@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stageflow.operators import visits as V
+from stageflow.session import materialize
 
 STAGES = (1, 2, 3, 4, 5, 6, 7)
 SENSORS = ("qty", "price", "disc", "tax")
@@ -26,10 +27,19 @@ def stage_rank(stage: Column) -> Column:
 class Data:
     spark: SparkSession
     sf_dir: str
+    _written: set[str] = field(default_factory=set)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, *tables: str) -> Data:
+        """Write the named derived tables once, so that a job reading them several times does not derive them again."""
+        for name in tables:
+            if name not in self._written:
+                self.__dict__[name] = materialize(getattr(self, name), name)
+                self._written.add(name)
+        return self
+
     @cached_property
     def rows(self) -> DataFrame:
         """Stage records: one row per raw line, time in days since 1995-01-01, a missing discount is null."""
