@@ -1,5 +1,6 @@
 """Point table, dashboard and alert queries."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stageflow.functions.timescale import DAY_SCALE
@@ -95,24 +96,33 @@ def anomaly_messages(d):
     )
 
 
+# Point tables written in this session: (application, data folder, kind) -> table.
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def message_tables(d, kinds):
+    """(kind, messages) pairs; the three kinds that need stage health share one health table."""
+    scored = [k for k in ("health", "risk", "overview") if k in kinds]
+    if scored:
+        h = materialize(health(d), "health")
+        build = {"health": lambda: health_messages(h), "risk": lambda: risk_messages(SCO.part_risk(h)), "overview": lambda: overview_messages(SCO.line_overview(h, 24.0))}
+        yield from ((k, build[k]()) for k in scored)
+    plain = {"telemetry": telemetry_messages, "decision": decision_messages, "window": window_messages, "anomaly": anomaly_messages}
+    yield from ((k, plain[k](d)) for k in kinds if k in plain)
+
+
 def points(d, *kinds):
-    """Points of the given message kinds, written once as the point table a dashboard would read."""
-    parts = []
-    if {"health", "risk", "overview"} & set(kinds):
-        h = health(d)
-        h = materialize(h, "health") if len({"health", "risk", "overview"} & set(kinds)) > 1 else h
-        if "health" in kinds:
-            parts.append(health_messages(h))
-        if "risk" in kinds:
-            parts.append(risk_messages(SCO.part_risk(h)))
-        if "overview" in kinds:
-            parts.append(overview_messages(SCO.line_overview(h, 24.0)))
-    builders = {"telemetry": telemetry_messages, "decision": decision_messages, "window": window_messages, "anomaly": anomaly_messages}
-    parts += [builders[k](d) for k in kinds if k in builders]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return PT.to_points(out)
+    """The point table a dashboard reads: one written table per message kind, made once per session and data folder."""
+    key = lambda k: (d.spark.sparkContext.applicationId, d.sf_dir, k)
+    missing = [k for k in kinds if key(k) not in _TABLES]
+    if {"risk", "overview", "health"} & set(missing):
+        missing = sorted({*missing, "health", "risk", "overview"} - {k for k in ("health", "risk", "overview") if key(k) in _TABLES})
+    for k, messages in message_tables(d, missing):
+        _TABLES[key(k)] = materialize(PT.to_points(messages), f"points-{k}")
+    out = _TABLES[key(kinds[0])]
+    for k in kinds[1:]:
+        out = out.unionByName(_TABLES[key(k)])
+    return out
 
 
 def us(df, c="ts"):
@@ -128,7 +138,7 @@ WEEK_END = "(us // 604800000000 + 1) * 604800000000"
   CASE WHEN is_exit THEN 'True' ELSE 'False' END AS is_exit, CAST(entity AS DOUBLE) AS part_id, round(transit_minutes, 4) AS transit_minutes, CAST(response AS DOUBLE) AS response, qty, disc,
   5 - CAST(response IS NULL AS INT) + CAST(qty IS NOT NULL AS INT) + CAST(price IS NOT NULL AS INT) + CAST(disc IS NOT NULL AS INT) + CAST(tax IS NOT NULL AS INT) AS n_fields FROM m"""))
 def snk5(d):
-    p = us(points(d, "telemetry"))
+    p = us(PT.to_points(telemetry_messages(d)))
     f, t = F.col("fields"), F.col("tags")
     return p.select(
         "seq", "us", "measurement", t["station_id"].alias("station_id"), t["is_exit"].alias("is_exit"), f["part_id"].alias("part_id"), F.round(f["transit_minutes"], 4).alias("transit_minutes"),
@@ -138,7 +148,7 @@ def snk5(d):
 
 @query("snk5_points_all_measurements")
 def snk5_all(d):
-    return MN.point_counts(materialize(points(d, "telemetry", "health", "risk", "overview", "decision", "window", "anomaly"), "points"))
+    return MN.point_counts(points(d, "telemetry", "health", "risk", "overview", "decision", "window", "anomaly"))
 
 
 cte("ovr", """WITH tot AS (SELECT entity, t, pos, is_exit, CAST(sum(CAST(is_exit AS INT)) OVER w AS BIGINT) AS completed, CAST(sum(CAST(is_exit AND coalesce(response, 0) = 1 AS INT)) OVER w AS BIGINT) AS defects FROM ml WINDOW w AS (ORDER BY pos)),

@@ -246,11 +246,11 @@ def feature_stats(d):
 cte("fp", """SELECT stage, feature, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std, var_samp(value) AS variance, min(value) AS min, max(value) AS max,
   count(DISTINCT value) AS n_distinct, ((SELECT count(*) FROM v WHERE v.stage = sens.stage) - count(*)) * 100.0 / (SELECT count(*) FROM v WHERE v.stage = sens.stage) AS missing_pct
   FROM sens GROUP BY stage, feature""", ["sens", "v"])
-FP = """stage, feature, n, round(mean, 6) AS mean, round(std, 6) AS std, round(variance, 4) AS variance, min, max, n_distinct, round(missing_pct, 6) AS missing_pct"""
+FP = """stage, feature, n, round(mean, 6) AS mean, round(std, 6) AS std, round(variance, 1) AS variance, min, max, n_distinct, round(missing_pct, 6) AS missing_pct"""
 
 
 def _fp_round(df):
-    return rounded(rounded(df, "mean", "std", "missing_pct"), "variance", digits=4)
+    return rounded(rounded(df, "mean", "std", "missing_pct"), "variance", digits=1)
 
 
 @query("agg28_best_feature", sql("fp", f"SELECT {FP} FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY n DESC, feature) AS k FROM fp WHERE variance > 0) WHERE k = 1"))
