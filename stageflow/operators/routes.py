@@ -39,7 +39,7 @@ def rank_routes(routes: DataFrame, label: str = "label", by: str = "route") -> D
         F.sum(label).cast("long").alias("defects"),
         F.avg(label).alias("defect_rate"),
     )
-    whole = P.total(routes, n=F.count(F.lit(1)))
+    whole = P.total(per, n=F.sum("entities"))
     return per.withColumn("volume_pct", F.col("entities") * 100.0 / whole.getField("n"))
 
 

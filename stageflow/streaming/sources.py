@@ -35,13 +35,13 @@ def subscribed(topic: Column, patterns=TOPIC_PATTERNS) -> Column:
     return out
 
 
-def file_stream(spark: SparkSession, path: str, schema=None, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
-    """Stream over files that appear under ``path``; the schema is read from the files unless given."""
+def file_stream(spark: SparkSession, path: str, schema=None, fmt: str = "parquet", per_trigger: int = 256) -> DataFrame:
+    """Stream over files that appear under ``path``; the schema is read from the files unless given.
+
+    ``per_trigger`` bounds a micro-batch, and with it what a stateful operator sees of one key at a time.
+    """
     schema = schema or spark.read.format(fmt).load(path).schema
-    reader = spark.readStream.format(fmt).schema(schema)
-    if per_trigger:
-        reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.load(path)
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
 
 
 def kafka_stream(spark: SparkSession, servers: str, pattern: str) -> DataFrame:
