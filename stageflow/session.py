@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,23 +37,55 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh sub-folder of the shared folder named by ``spark.checkpoint.dir``, or, where that is unset, of the warehouse folder.
 
-    Only where that setting is absent (tests, a laptop) a local folder is created and recorded in it.
+    A warehouse on a machine's own disk is only accepted for a local master; on a cluster every executor would write to its own disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = getattr(spark, "_stageflow_root", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="stageflow-")
-        spark._stageflow_root = root
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if root.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {root} is local to a machine")
     return f"{root.rstrip('/')}/stageflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _drop_all(jvm, conf, paths: list[str]) -> None:
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    paths.clear()
+
+
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: lineage is cut, and lost executors cost nothing.
+
+    The folder stays until ``release`` or the end of the session, since the result reads it lazily.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    df.write.options(**options).parquet(path)
+    written(spark).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(spark: SparkSession) -> list[str]:
+    """Folders written by ``materialize`` and not yet released."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_stageflow_written"):
+        sc._stageflow_written = []
+        stop = sc.stop
+
+        def stop_after_cleaning() -> None:
+            if sc._jsc is not None:
+                release(spark)
+            stop()
+
+        sc.stop = stop_after_cleaning
+    return sc._stageflow_written
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the folders of ``materialize`` beyond the first ``keep``; only call it when no result that reads them is needed any more."""
+    paths = written(spark)
+    gone, paths[keep:] = paths[keep:], []
+    _drop_all(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), gone)
