@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stageflow.session import materialize, work_dir
 
-__all__ = ["fresh", "materialize", "remainder", "table", "work_dir"]
+__all__ = ["fresh", "materialize", "pin", "remainder", "table", "work_dir"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,3 +25,9 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def pin(c: Column) -> Column:
+    """``c``, computed once a row where it stands. The optimiser copies a plain definition into later lambdas and pushed filters, where
+    an array would be built anew for each of its elements; it doesn't copy what depends on the row's place."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stageflow.llm import sharding
+from stageflow.llm import license_scan, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_rules": quality_rules.op4,
+    "op7_license_scan": license_scan.op7,
     "op10_sharding": sharding.op10,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_license_scan": license_scan.sql()}
