@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stageflow.llm import license_scan, quality_rules, sharding
+from stageflow.llm import chat_format, license_scan, quality_rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": quality_rules.op4,
+    "op5_url_filter": url_filter.op5,
     "op7_license_scan": license_scan.op7,
+    "op8_chat_format": chat_format.op8,
     "op10_sharding": sharding.op10,
 }
 
-SQL: dict[str, str] = {"op7_license_scan": license_scan.sql()}
+SQL: dict[str, str] = {"op5_url_filter": url_filter.sql(), "op7_license_scan": license_scan.sql()}
