@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stageflow.llm import chat_format, license_scan, quality_rules, sharding, url_filter
+from stageflow.llm import chat_format, language_id, license_scan, quality_rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_id.op1,
     "op4_quality_rules": quality_rules.op4,
     "op5_url_filter": url_filter.op5,
     "op7_license_scan": license_scan.op7,
