@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stageflow.llm import chat_format, language_id, license_scan, quality_classifier, quality_rules, sharding, url_filter
+from stageflow.llm import chat_format, language_id, license_scan, ngram_join, quality_classifier, quality_rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1,
     "op3_quality_classifier": quality_classifier.op3,
     "op4_quality_rules": quality_rules.op4,
     "op5_url_filter": url_filter.op5,
+    "op6_ngram_join": ngram_join.op6,
     "op7_license_scan": license_scan.op7,
     "op8_chat_format": chat_format.op8,
     "op10_sharding": sharding.op10,
