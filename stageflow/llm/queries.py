@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stageflow.llm import chat_format, language_id, license_scan, ngram_join, quality_classifier, quality_rules, sharding, url_filter
+from stageflow.llm import chat_format, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": ngram_join.op6,
     "op7_license_scan": license_scan.op7,
     "op8_chat_format": chat_format.op8,
+    "op9_packing": packing.op9,
     "op10_sharding": sharding.op10,
 }
 

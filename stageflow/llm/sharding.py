@@ -10,10 +10,11 @@ Null texts count as empty (size 1, crc32 0); repeated rows keep their number; an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stageflow.llm.common import materialize, table
+from stageflow.llm.prefix import prefix_sums
 
 #: Largest part of a shard's target that a group of equal texts may have to stay in one shard.
 WHOLE = 0.05
@@ -27,32 +28,6 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def ordered(rows: DataFrame, name: str) -> tuple[DataFrame, list[tuple[int, int, int]]]:
-    """Rows in global order with ``part``, and (part, bytes before, rows before) of each part. The table is written, since a range
-    partitioning that is computed twice may cut at other places."""
-    order = ["group", "doc_id", "size"]
-    dealt = materialize(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
-    starts, bytes_, count = [], 0, 0
-    for part, size, n in sorted(dealt.groupBy("part").agg(F.sum("size"), F.count("*")).collect()):
-        starts.append((part, bytes_, count))
-        bytes_, count = bytes_ + size, count + n
-    starts.append((-1, bytes_, count))
-    return dealt, starts
-
-
-def placed(dealt: DataFrame, starts: list[tuple[int, int, int]]) -> DataFrame:
-    """Adds ``at`` (bytes before the row) and ``row`` (rows before it) in the global order."""
-    spark = dealt.sparkSession
-    base = spark.createDataFrame(starts, "part int, bytes_before long, rows_before long")  # one row a partition
-    w = Window.partitionBy("part").orderBy("group", "doc_id", "size")
-    return (
-        dealt.withColumn("n", F.row_number().over(w))
-        .withColumn("upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .join(F.broadcast(base), "part")
-        .select("doc_id", "size", "text_crc32", "group", (F.col("bytes_before") + F.col("upto") - F.col("size")).alias("at"), (F.col("rows_before") + F.col("n") - 1).alias("row"))
-    )
-
-
 def cuts(rows: DataFrame, total: int, n: int, whole: float = WHOLE) -> list[int]:
     """The n - 1 cuts in bytes; those inside small groups of equal texts are moved to the nearer end of the group."""
     targets = [total * k // n for k in range(1, n)]
@@ -74,9 +49,8 @@ def shard(df: DataFrame, n: int = 16, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, size, text_crc32, shard, slot) of each row. shard: 0 to n - 1; slot: gapless from 0 in each shard."""
     if n < 1:
         raise ValueError("n must be positive")
-    dealt, starts = ordered(measured(df, id_col, text_col), "shard-order")
-    rows = materialize(placed(dealt, starts), "shard-place")
-    total = starts[-1][1]
+    rows, total = prefix_sums(measured(df, id_col, text_col), ["group", "doc_id", "size"], "size", "shard")
+    rows = materialize(rows, "shard-place")
     at = cuts(rows, total, n, whole)
     number = F.lit(0)  # the cuts up to the middle of the row
     for c in at:
