@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stageflow.llm import chat_format, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, sharding, url_filter
+from stageflow.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1,
+    "op2_decontaminate": decontaminate.op2,
     "op3_quality_classifier": quality_classifier.op3,
     "op4_quality_rules": quality_rules.op4,
     "op5_url_filter": url_filter.op5,
