@@ -214,5 +214,24 @@ def contaminated(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return reduce(DataFrame.unionAll, passes) if passes else spark.createDataFrame([], MATCHES)
 
 
+def _flagger(index: Index, threshold: float):
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            out = np.zeros(len(part), bool)
+            for frame in _searcher(index, threshold)(iter([pd.DataFrame({"doc_id": np.arange(len(part)), "text": part.to_numpy()})])):
+                out[frame.doc_id.to_numpy(np.int64)] = True
+            yield pd.Series(out)
+
+    return F.pandas_udf(found, "boolean")
+
+
+def flagged(df: DataFrame, benchmark: DataFrame, name: str, threshold: float = THRESHOLD, radius: int = RADIUS, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``df`` with the boolean ``name``: whether the text matches an item. Nothing is shuffled."""
+    hit = F.lit(False)
+    for batch in slices(benchmark, item_col, item_text):
+        hit = hit | _flagger(Index([i for i, _ in batch], [t for _, t in batch], radius), threshold)(F.col(text_col))
+    return df.withColumn(name, hit)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -12,7 +12,7 @@ id) and the driver only gets their n-gram counts and bits. The model is a few me
 
 A null text and a text without a letter are ``und`` with score 0. A text with no known n-gram, and ties, go to the first language in order.
 Repeated rows get the same answer. A null id is never learned from and counts as held out. An empty or unlabelled table gives a model without
-languages, and every text is ``und``. Columns of the input are kept; new ones get a leading underscore if the name is taken.
+languages, and every text is ``und``. The columns of the input are kept.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ RIDGE = 0.3
 PER_LANGUAGE = 600
 MAX_LANGUAGES = 400
 #: Below this score the answer of a filter is "rejected".
-MIN_SCORE = 0.2
+MIN_SCORE = 0.15
 UND = "und"
 _BITS = 20
 _LETTER = regex.compile(r"\p{L}")
@@ -175,8 +175,8 @@ def _score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray
     return names, scores
 
 
-def classify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
-    """Adds ``lang_pred`` and ``score``."""
+def classify(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
+    """Adds the struct ``name`` of ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by landmarks x vocabulary
 
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -184,9 +184,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
             names, scores = _score(shared.value, list(part))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    udf = F.pandas_udf(predict, "lang_pred string, score double")
-    out = docs.withColumn(f"{prefix}p", udf(F.col(text)))
-    return out.withColumn(f"{prefix}lang_pred", F.col(f"{prefix}p.lang_pred")).withColumn(f"{prefix}score", F.col(f"{prefix}p.score")).drop(f"{prefix}p")
+    return docs.withColumn(name, F.pandas_udf(predict, "lang_pred string, score double")(F.col(text)))
 
 
 def held_out(key: str = "doc_id"):
@@ -196,4 +194,5 @@ def held_out(key: str = "doc_id"):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out()))
-    return classify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+    out = classify(docs.select("doc_id", held_out().alias("held_out"), "text"), model, "language")
+    return out.select("doc_id", "held_out", "language.lang_pred", "language.score")

@@ -252,8 +252,8 @@ def _smallest(keys: list[bytes], i: np.ndarray, j: np.ndarray) -> list[bytes]:
 
 
 def similarity_classes(df: DataFrame, threshold: float = 0.8, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, key, class_id, n_links, n_copies) of each row. key: digest of the text; class_id: smallest id of the class; n_links: other
-    documents with a similarity of at least ``threshold``; n_copies: rows with the same text."""
+    """(doc_id, key, class_key, class_id, n_links, n_copies) of each row. key: digest of the text; class_key: smallest key of the class;
+    class_id: its smallest document id; n_links: other documents with a similarity of at least ``threshold``; n_copies: rows with the same text."""
     exact, limits = Fraction(str(threshold)), least_matches(threshold, tolerance)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rid"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
     signed = materialize(docs.mapInPandas(_signed, "rid long, key binary, bands array<long>, fresh binary"), "join-signed")
@@ -283,10 +283,10 @@ def similarity_classes(df: DataFrame, threshold: float = 0.8, tolerance: float =
     known = texts.select("key", "rid", "copies", (F.size("bands") > 0).alias("real")).join(counts, "key", "left").join(roots, "key", "left")
     named = F.nullif(F.col("rid"), F.lit(NO_ID))
     classes = known.where("root IS NOT NULL").groupBy("root").agg(F.min(named).alias("class"))
-    known = known.join(classes, "root", "left").select("key", "copies", "real", "links", F.when(F.col("root").isNotNull(), F.col("class")).otherwise(named).alias("class"))
+    known = known.join(classes, "root", "left").select("key", F.coalesce("root", "key").alias("class_key"), "copies", "real", "links", F.when(F.col("root").isNotNull(), F.col("class")).otherwise(named).alias("class"))
     own = F.nullif(F.col("rid"), F.lit(NO_ID))
     return signed.select("rid", "key").join(known, "key").select(
-        own.alias("doc_id"), "key", F.when(F.col("real"), F.col("class")).otherwise(own).alias("class_id"),
+        own.alias("doc_id"), "key", "class_key", F.when(F.col("real"), F.col("class")).otherwise(own).alias("class_id"),
         F.when(F.col("real"), F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"),
     )
 
