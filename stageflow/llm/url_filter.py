@@ -2,8 +2,9 @@
 
 Only DataFrame functions run here. Every host has a tree of path segments. Level by level, a segment stays literal if it is frequent below
 its parent (``support`` pages and ``share`` of the parent's pages) and if its labelled pages differ from the parent's by more than
-``deviations`` standard errors; all others become the wildcard ``*``: rare values are variable, and branches that can't be told apart are merged.
-Segments beyond ``levels`` become one ``**``. A template is rejected if its smoothed purity (good + weight * prior) / (labelled + weight) is below
+``deviations`` standard errors; all others become the wildcard ``*``, since rare values are variable and a branch like its parent says nothing of its own. The literal branches
+of a parent are put in order of their share of good pages, and neighbours whose shares don't differ by ``deviations`` standard errors
+are merged into one branch ``a|b``. Segments beyond ``levels`` become one ``**``. A template is rejected if its smoothed purity (good + weight * prior) / (labelled + weight) is below
 ``purity``, with the share of good pages over all labels as the prior. Pages of other templates are allowed.
 
 The statistics of a level are counts by (host, template, segment) with partial sums in the map stage. Rows meet them in a join whose
@@ -17,7 +18,7 @@ other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stageflow.llm.common import materialize, table
@@ -49,6 +50,18 @@ def _salted(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(small, [*keys, "_salt"], "left")
 
 
+def _merged(branches: DataFrame, deviations: float) -> DataFrame:
+    """(host, template, _seg, _name): literal branches, 1 / share at most below a parent, with the name of the branch they are merged into."""
+    rate = F.col("g") / F.col("m")
+    w = Window.partitionBy("host", "template").orderBy(rate, "_seg")
+    m, g = F.lag("m").over(w), F.lag("g").over(w)
+    p = (F.col("g") + F.col("_g") + 1.0) / (F.col("m") + F.col("_m") + 2.0)
+    apart = F.abs(rate - F.col("_g") / F.col("_m")) > deviations * F.sqrt(p * (1.0 - p) * (1.0 / F.col("m") + 1.0 / F.col("_m")))
+    rows = branches.withColumn("_m", m).withColumn("_g", g).withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("_group", F.sum("_new").over(w))
+    names = F.array_join(F.sort_array(F.collect_list("_seg").over(Window.partitionBy("host", "template", "_group"))), "|")
+    return rows.select("host", "template", "_seg", names.alias("_name"))
+
+
 def templates(pages: DataFrame, levels: int = LEVELS, support: int = SUPPORT, share: float = SHARE, deviations: float = DEVIATIONS) -> DataFrame:
     """pages: (…, host, path, labelled, good) with counts of labels by row. Adds ``template``."""
     segments = F.array_remove(F.split("path", "/"), "")
@@ -59,10 +72,11 @@ def templates(pages: DataFrame, levels: int = LEVELS, support: int = SUPPORT, sh
         parent = stats.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.sum("g").alias("all_g"))
         p = (F.col("all_g") + 1.0) / (F.col("all_m") + 2.0)
         literal = (F.col("n") >= share * F.col("all_n")) & (F.abs(F.col("g") - F.col("m") * p) > deviations * F.sqrt(F.col("m") * p * (1.0 - p)))
-        keep = stats.where(F.col("n") >= support).join(parent, ["host", "template"]).where(literal).select("host", "template", "_seg", F.lit(True).alias("_keep"))
+        keep = stats.where(F.col("n") >= support).join(parent, ["host", "template"]).where(literal)
+        keep = _merged(keep, deviations)
         rows = _salted(rows, keep, ["host", "template", "_seg"])
-        step = F.when(F.col("_seg").isNull(), "").when(F.col("_keep"), F.concat(F.lit("/"), "_seg")).otherwise("/*")
-        rows = rows.withColumn("template", F.concat("template", step)).drop("_keep")
+        step = F.when(F.col("_seg").isNull(), "").when(F.col("_name").isNotNull(), F.concat(F.lit("/"), "_name")).otherwise("/*")
+        rows = rows.withColumn("template", F.concat("template", step)).drop("_name")
     return rows.withColumn("template", F.when(F.size("_s") > levels, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_s", "_seg")
 
 
@@ -109,9 +123,13 @@ t AS (SELECT (coalesce(sum(good), 0) + 1e0) / (coalesce(sum(labelled), 0) + 2e0)
 x{d} AS (SELECT *, s[{d + 1}] AS seg FROM r{d}),
 c{d} AS (SELECT host, template, seg, count(*) AS n, sum(labelled) AS m, sum(good) AS g FROM x{d} WHERE seg IS NOT NULL GROUP BY ALL),
 d{d} AS (SELECT host, template, sum(n) AS nn, sum(m) AS mm, (sum(g) + 1e0) / (sum(m) + 2e0) AS q FROM c{d} GROUP BY ALL),
-k{d} AS (SELECT host, template, seg FROM c{d} JOIN d{d} USING (host, template) WHERE n >= {SUPPORT} AND n >= CAST({SHARE} AS DOUBLE) * nn AND abs(g - m * q) > {DEVIATIONS:e} * sqrt(m * q * (1e0 - q))),
-r{d + 1} AS (SELECT x{d}.* EXCLUDE (seg, template), x{d}.template || CASE WHEN x{d}.seg IS NULL THEN '' WHEN k{d}.seg IS NOT NULL THEN '/' || x{d}.seg ELSE '/*' END AS template
-  FROM x{d} LEFT JOIN k{d} ON k{d}.host = x{d}.host AND k{d}.template = x{d}.template AND k{d}.seg = x{d}.seg)"""
+k{d} AS (SELECT host, template, seg, m, g FROM c{d} JOIN d{d} USING (host, template) WHERE n >= {SUPPORT} AND n >= CAST({SHARE} AS DOUBLE) * nn AND abs(g - m * q) > {DEVIATIONS:e} * sqrt(m * q * (1e0 - q))),
+l{d} AS (SELECT *, lag(m) OVER w AS pm, lag(g) OVER w AS pg FROM k{d} WINDOW w AS (PARTITION BY host, template ORDER BY g / m, seg)),
+a{d} AS (SELECT *, (g + pg + 1e0) / (m + pm + 2e0) AS q FROM l{d}),
+g{d} AS (SELECT *, sum(CAST(coalesce(abs(g / m - pg / pm) > {DEVIATIONS:e} * sqrt(q * (1e0 - q) * (1e0 / m + 1e0 / pm)), false) AS INTEGER)) OVER (PARTITION BY host, template ORDER BY g / m, seg) AS grp FROM a{d}),
+n{d} AS (SELECT host, template, unnest(list(seg)) AS seg, string_agg(seg, '|' ORDER BY seg) AS name FROM g{d} GROUP BY host, template, grp),
+r{d + 1} AS (SELECT x{d}.* EXCLUDE (seg, template), x{d}.template || CASE WHEN x{d}.seg IS NULL THEN '' WHEN n{d}.seg IS NOT NULL THEN '/' || n{d}.name ELSE '/*' END AS template
+  FROM x{d} LEFT JOIN n{d} ON n{d}.host = x{d}.host AND n{d}.template = x{d}.template AND n{d}.seg = x{d}.seg)"""
     return out + f""",
 f AS (SELECT page_id, host, path, labelled, good, template || CASE WHEN len(s) > {LEVELS} THEN '/**' ELSE '' END AS template FROM r{LEVELS}),
 b AS (SELECT host, template FROM f, t GROUP BY host, template, prior HAVING (sum(good) + {WEIGHT:e} * prior) / (sum(labelled) + {WEIGHT:e}) < {PURITY:e})
