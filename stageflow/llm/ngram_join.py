@@ -257,7 +257,7 @@ def similarity_classes(df: DataFrame, threshold: float = 0.8, tolerance: float =
     exact, limits = Fraction(str(threshold)), least_matches(threshold, tolerance)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rid"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
     signed = materialize(docs.mapInPandas(_signed, "rid long, key binary, bands array<long>, fresh binary"), "join-signed")
-    texts = signed.groupBy("key").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"), F.first("bands").alias("bands"), F.first("fresh").alias("fresh"))
+    texts = signed.groupBy("key").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"), F.min(F.nullif(F.col("rid"), F.lit(NO_ID))).alias("id"), F.first("bands").alias("bands"), F.first("fresh").alias("fresh"))
     texts = materialize(texts, "join-texts")
 
     banded = texts.select("key", F.posexplode("bands").alias("band", "bucket"))
@@ -280,10 +280,9 @@ def similarity_classes(df: DataFrame, threshold: float = 0.8, tolerance: float =
 
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
-    known = texts.select("key", "rid", "copies", (F.size("bands") > 0).alias("real")).join(counts, "key", "left").join(roots, "key", "left")
-    named = F.nullif(F.col("rid"), F.lit(NO_ID))
-    classes = known.where("root IS NOT NULL").groupBy("root").agg(F.min(named).alias("class"))
-    known = known.join(classes, "root", "left").select("key", F.coalesce("root", "key").alias("class_key"), "copies", "real", "links", F.when(F.col("root").isNotNull(), F.col("class")).otherwise(named).alias("class"))
+    known = texts.select("key", "id", "copies", (F.size("bands") > 0).alias("real")).join(counts, "key", "left").join(roots, "key", "left")
+    classes = known.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class"))
+    known = known.join(classes, "root", "left").select("key", F.coalesce("root", "key").alias("class_key"), "copies", "real", "links", F.when(F.col("root").isNotNull(), F.col("class")).otherwise(F.col("id")).alias("class"))
     own = F.nullif(F.col("rid"), F.lit(NO_ID))
     return signed.select("rid", "key").join(known, "key").select(
         own.alias("doc_id"), "key", "class_key", F.when(F.col("real"), F.col("class")).otherwise(own).alias("class_id"),
