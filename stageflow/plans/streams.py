@@ -12,6 +12,7 @@ from stageflow.plans.registry import cte, query, sql
 from stageflow.session import materialize, work_dir
 from stageflow.sources import io
 from stageflow.streaming import jobs as J
+from stageflow.streaming import slots as SL
 from stageflow.streaming import sources as SRC
 
 EPOCH_US = 1704067200000000
@@ -86,17 +87,26 @@ def snk7(d):
 cte("trk", """SELECT *, coalesce(CAST(sum(CAST(stage = 'purchase' AS INT)) OVER (PARTITION BY entity ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INTEGER), 0) AS life FROM ev""", ["ev"])
 
 
-def tracked(d):
-    s = event_stream(d).withWatermark("ts", "1 hour")
-    s = s.select("entity", "event_id", "us", "ts", "stage", (F.col("value") >= 100).alias("is_anomaly"), (F.col("value") >= 50).cast("int").alias("outcome"))
-    return J.run_append(J.track_entities(s, EXIT), "tracked")
+EVENTS = "entity long, event_id long, us long, stage string, is_anomaly boolean, outcome int"
+
+
+def closed_run(d, name, schema, stream, step, carried, **kw):
+    """Land all that is available, close it, and return the job."""
+    job = SL.Slots(d.spark, work_dir(d.spark, name), schema, **kw)
+    job.land(stream)
+    job.advance(step, carried, flush=not kw)
+    return job
+
+
+def tracked_events(d):
+    return event_stream(d).select("entity", "event_id", "us", "stage", (F.col("value") >= 100).alias("is_anomaly"), (F.col("value") >= 50).cast("int").alias("outcome"))
 
 
 @query("str1_entity_state", sql("trk", """SELECT entity, event_id, life, lag(stage) OVER w AS prev_stage, CAST(sum(CAST(value >= 100 AS INT)) OVER w AS BIGINT) AS anomalies, count(*) FILTER (first) OVER w AS visited FROM (
   SELECT *, row_number() OVER (PARTITION BY entity, life, stage ORDER BY us, event_id) = 1 AS first FROM trk) WINDOW w AS (PARTITION BY entity, life ORDER BY us, event_id)"""))
 def str1(d):
-    t = tracked(d)
-    return t.select("entity", "event_id", "life", "prev_stage", F.col("anomalies").cast("long").alias("anomalies"), F.col("visited").cast("long").alias("visited"))
+    t = closed_run(d, "tracked", EVENTS, tracked_events(d), SL.track_entities(EXIT), {"entities": SL.ENTITIES}).table()
+    return t.select("entity", "event_id", "life", "prev_stage", "anomalies", "visited")
 
 
 @query("str2_stage_windows", sql("trk", f""", p AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY us, event_id) AS vn FROM trk),
@@ -107,11 +117,9 @@ def str1(d):
   z AS (SELECT p.stage, p.event_id, p.vn, coalesce(e.k, 0) AS k, coalesce(e.s, 0) AS s FROM p ASOF LEFT JOIN e ON e.stage = p.stage AND e.us < p.us)
   SELECT z.stage, z.event_id, least(vn, {WINDOW}) AS visits, round(CASE WHEN z.k > 0 THEN (z.s - coalesce(f.s, 0)) / least(z.k, {WINDOW}) ELSE 0.005069 END, 6) AS observed_rate FROM z LEFT JOIN e f ON f.stage = z.stage AND f.k = z.k - {WINDOW}"""))
 def str2(d):
-    """Two queries with a table between: the entity query writes visits and outcomes, the stage query reads them."""
-    path = work_dir(d.spark, "fan-out")
-    J.fan_out(tracked(d)).write.parquet(path)
-    out = J.run_append(J.stage_windows(SRC.file_stream(d.spark, path), WINDOW, 0.005069), "stage-windows")
-    return out.select("stage", "event_id", F.col("visits").cast("long").alias("visits"), F.round("observed_rate", 6).alias("observed_rate"))
+    """One job: an exit's outcome reaches the stages of its entity in the step that ends the entity's life."""
+    step, state = SL.entities_and_stages(EXIT, WINDOW, 0.005069), {"entities": SL.ENTITIES, "recent": SL.RECENT}
+    return closed_run(d, "stage-windows", EVENTS, tracked_events(d), step, state).table().select("stage", "event_id", "visits", F.round("observed_rate", 6).alias("observed_rate"))
 
 
 @query("str3_tumbling_windows", sql("ev", """SELECT us // 3600000000 AS hour, stage, count(*) AS throughput, round(max(value), 6) AS max_value, round(quantile_cont(value, 0.9), 6) AS p90, round(avg(CAST(value <= 5.0 AS INT)), 6) AS low_share FROM ev
@@ -128,17 +136,14 @@ def str3(d):
 LEN, PARTS = 6, 10
 
 
-@query("str4_sequence_buffer", sql("ev", f""", w AS (SELECT us // 3600000000 AS window_id, count(*) AS parts FROM ev WHERE (us // 3600000000 + 1) * 3600000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM ev) GROUP BY 1),
-  i AS (SELECT *, window_id - row_number() OVER (ORDER BY window_id) AS island FROM w WHERE parts >= {PARTS}), k AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY window_id) AS pos FROM i)
-  SELECT window_id, window_id - {LEN - 1} AS first_window, CAST({LEN} AS INTEGER) AS steps FROM k WHERE pos >= {LEN}"""))
+@query("str4_sequence_buffer", sql("ev", f""", w AS (SELECT us // 3600000000 AS window_id, count(*) AS parts, avg(value) AS v FROM ev WHERE (us // 3600000000 + 1) * 3600000000 <= (SELECT max(us) - {DELAY_S}000000 FROM ev) GROUP BY 1),
+  i AS (SELECT *, window_id - row_number() OVER (ORDER BY window_id) AS island FROM w WHERE parts >= {PARTS}), k AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY window_id) AS pos, lag(v, {LEN - 1}) OVER (PARTITION BY island ORDER BY window_id) AS fv FROM i)
+  SELECT window_id, window_id - {LEN - 1} AS first_window, CAST({LEN} AS INTEGER) AS steps, round(fv, 6) AS first_value, round(v, 6) AS last_value FROM k WHERE pos >= {LEN}"""))
 def str4(d):
-    aggs = [F.count(F.lit(1)).alias("parts"), F.avg("value").alias("value")]
-    hourly = J.tumbling(event_stream(d).withColumn("line", F.lit(3)), "ts", "line", "1 hour", f"{DELAY_S} seconds", aggs)
-    table = J.run_append(hourly.select(((F.unix_micros("w_start") - EPOCH_US) / 3600000000).cast("long").alias("window_id"), "line", "parts", "value"), "hourly")
-    path = work_dir(d.spark, "windows")
-    table.write.parquet(path)
-    out = J.run_append(J.sequence_buffer(SRC.file_stream(d.spark, path), LEN, PARTS), "sequence-buffer")
-    return out.select("window_id", "first_window", "steps")
+    hour = 3600 * 1000000
+    rows = event_stream(d).select(F.lit(3).alias("line"), "us", "value")
+    out = closed_run(d, "sequences", "line int, us long, value double", rows, SL.sequences(LEN, PARTS, hour), {"windows": SL.BUFFER}, delay_us=DELAY_S * 1000000, width_us=hour).table()
+    return out.select("window_id", "first_window", "steps", F.round(F.element_at("values", 1), 6).alias("first_value"), F.round(F.element_at("values", -1), 6).alias("last_value"))
 
 
 @query("str5_sliding_arrivals", sql("ev", """, s AS (SELECT unnest(generate_series(us // 360000000 - 9, us // 360000000)) AS k, us FROM ev)
@@ -165,7 +170,15 @@ def str6(d):
 
 @query("str7_inactivity", sql("ev", """SELECT stage, prev AS idle_from, us AS idle_to FROM (SELECT stage, us, lag(us) OVER (PARTITION BY stage ORDER BY us) AS prev FROM ev) WHERE us - prev > 3600000000"""))
 def str7(d):
-    return J.run_append(J.idle_stretches(event_stream(d).select("stage", "us"), 3600 * 1000000), "idle")
+    return closed_run(d, "idle", SL.LAST, event_stream(d).select("stage", "us"), SL.idle_stretches(3600 * 1000000), {"last": SL.LAST}).table()
+
+
+@query("str7_stalled_stages", sql("ev", "SELECT stage, max(us) AS idle_from, (SELECT max(us) FROM ev) + 7200000000 AS as_of FROM ev GROUP BY stage HAVING max(us) < (SELECT max(us) FROM ev) + 3600000000"))
+def str7_stalled(d):
+    """Two hours after the newest event, every stage has been silent for longer than an hour; none needs to speak again to be reported."""
+    job = closed_run(d, "idle", SL.LAST, event_stream(d).select("stage", "us"), SL.idle_stretches(3600 * 1000000), {"last": SL.LAST})
+    last = job.state("last", SL.LAST)
+    return SL.stalled(last, last.agg(F.max("us")).first()[0] + 7200 * 1000000, 3600 * 1000000)
 
 
 cte("kb", "SELECT stage, avg(CAST(json_extract(props, '$.k') AS DOUBLE)) AS mean, stddev_samp(CAST(json_extract(props, '$.k') AS DOUBLE)) AS std FROM ev GROUP BY stage", ["ev"])

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stageflow.session import work_dir
 
@@ -96,130 +94,3 @@ def split_late(df: DataFrame, ts: str, delay_seconds: int, name: str) -> tuple[D
 
     run_batches(df, name, write)
     return read_batches(df.schema, spark, main), read_batches(df.schema, spark, late)
-
-
-ENTITY_OUT = "entity long, event_id long, us long, stage string, prev_stage string, visited int, anomalies int, is_exit boolean, life int, outcome int"
-ENTITY_STATE = "life int, visited string, anomalies int, last string"
-
-
-def track_entities(df: DataFrame, exit_stage: str, idle_seconds: int = 30 * 86400) -> DataFrame:
-    """STR1: per-entity state: stages visited, cumulative anomalies, previous stage; an exit message clears it.
-
-    ``df``: entity, event_id, us, ts (watermarked), stage, is_anomaly, outcome.  Messages of one micro-batch are sorted by
-    (us, event_id) before they touch the state.  An entity that never exits is dropped once the watermark has passed its
-    last message by ``idle_seconds``.
-    """
-
-    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        life, visited, anomalies, last = state.get if state.exists else (0, "", 0, "")
-        seen = visited.split("|") if visited else []
-        pdf = pd.concat(list(pdfs)).sort_values(["us", "event_id"])
-        out = []
-        for r in pdf.itertuples(index=False):
-            if r.stage not in seen:
-                seen.append(r.stage)
-            anomalies += int(r.is_anomaly)
-            leaves = r.stage == exit_stage
-            out.append((key[0], r.event_id, r.us, r.stage, last or None, len(seen), anomalies, leaves, life, r.outcome))
-            last = r.stage
-            if leaves:
-                life, seen, anomalies, last = life + 1, [], 0, ""
-        state.update((life, "|".join(seen), anomalies, last))
-        top = int(pdf["us"].max() // 1000) + idle_seconds * 1000 + int(1704067200000)
-        state.setTimeoutTimestamp(max(top, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ENTITY_OUT.split(", ")])
-
-    return df.groupBy("entity").applyInPandasWithState(update, ENTITY_OUT, ENTITY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def fan_out(tracked: DataFrame) -> DataFrame:
-    """Visits plus, at an exit, one outcome row per stage the entity visited in that life (STR2 input)."""
-    visits = tracked.select("stage", "us", "event_id", F.lit(0).alias("kind"), "entity", "life", F.lit(0).alias("outcome"))
-    exits = tracked.where("is_exit").select("entity", "life", F.col("us").alias("xus"), F.col("event_id").alias("xid"), F.col("outcome").alias("y"))
-    stages = tracked.groupBy("entity", "life", "stage").agg(F.max_by("event_id", F.struct("us", "event_id")).alias("last_id"))
-    known = stages.join(exits, ["entity", "life"]).select(
-        "stage", F.col("xus").alias("us"), F.col("xid").alias("event_id"), F.lit(1).alias("kind"), "entity", "life", F.col("y").alias("outcome")
-    )
-    return visits.unionByName(known)
-
-
-STAGE_OUT = "stage string, event_id long, us long, visits int, observed_rate double"
-STAGE_STATE = "entities string, outcomes string, n int"
-
-
-def stage_windows(df: DataFrame, window: int, default: float) -> DataFrame:
-    """STR2: last ``window`` visits and outcomes per stage, both bounded.
-
-    An outcome counts only while its entity is among the recent visits; the rate a visit sees excludes the outcome carried by
-    the same message.
-    """
-
-    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entities, outcomes, n = state.get if state.exists else ("", "", 0)
-        recent = entities.split(",") if entities else []
-        known = [int(x) for x in outcomes.split(",")] if outcomes else []
-        out = []
-        for r in pd.concat(list(pdfs)).sort_values(["us", "event_id", "kind"]).itertuples(index=False):
-            who = f"{r.entity}:{r.life}"
-            if r.kind == 0:
-                n += 1
-                recent = (recent + [who])[-window:]
-                out.append((key[0], r.event_id, r.us, len(recent), sum(known) / len(known) if known else default))
-            elif who in recent:
-                known = (known + [int(r.outcome)])[-window:]
-        state.update((",".join(recent), ",".join(str(x) for x in known), n))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in STAGE_OUT.split(", ")])
-
-    return df.groupBy("stage").applyInPandasWithState(update, STAGE_OUT, STAGE_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-SEQ_OUT = "line int, window_id long, first_window long, steps int, mean_first double"
-SEQ_STATE = "ids string, values string"
-
-
-def sequence_buffer(df: DataFrame, length: int, min_parts: int) -> DataFrame:
-    """STR4: buffer of the last ``length`` consecutive non-gap windows per line; a gap or a missing window resets it."""
-
-    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids_text, values_text = state.get if state.exists else ("", "")
-        ids = [int(x) for x in ids_text.split(",")] if ids_text else []
-        values = [float(x) for x in values_text.split(",")] if values_text else []
-        out = []
-        for r in pd.concat(list(pdfs)).sort_values("window_id").itertuples(index=False):
-            if r.parts < min_parts or (ids and r.window_id != ids[-1] + 1):
-                ids, values = [], []
-            if r.parts < min_parts:
-                continue
-            ids, values = (ids + [int(r.window_id)])[-length:], (values + [float(r.value)])[-length:]
-            if len(ids) == length:
-                out.append((key[0], ids[-1], ids[0], length, values[0]))
-        state.update((",".join(map(str, ids)), ",".join(map(repr, values))))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SEQ_OUT.split(", ")])
-
-    return df.groupBy("line").applyInPandasWithState(update, SEQ_OUT, SEQ_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-IDLE_OUT = "stage string, idle_from long, idle_to long"
-IDLE_STATE = "last long"
-
-
-def idle_stretches(df: DataFrame, threshold_us: int) -> DataFrame:
-    """STR7: stretches without a message longer than the threshold, per stage, across micro-batches."""
-
-    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for us in sorted(x for p in pdfs for x in p["us"]):
-            if last is not None and us - last > threshold_us:
-                out.append((key[0], last, us))
-            last = us if last is None else max(last, us)
-        state.update((int(last),))
-        if out:
-            yield pd.DataFrame(out, columns=["stage", "idle_from", "idle_to"])
-
-    return df.groupBy("stage").applyInPandasWithState(update, IDLE_OUT, IDLE_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -1,0 +1,216 @@
+"""Order-sensitive streams: arrivals are landed as they come, closed in event-time order, and carried on.
+
+A micro-batch only appends its rows to a folder of its own, so neither the number of files nor their order matters. ``advance`` then takes
+what has landed since the last call and what was still open, closes everything older than the newest event time minus a delay, and hands the
+closed rows, in no particular order, to a step together with the state that the previous call left. Steps are DataFrame operators; their state is a
+few bounded tables (open entities, the last visits of a stage). Rows older than what is closed already go to a side table. A call that
+is repeated after a failure overwrites its own version, and a version counts once its mark is written.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Mapping
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stageflow.operators import primitives as P
+from stageflow.session import materialize
+
+#: A step: (closed rows, carried tables) -> (output, tables to carry).
+Step = Callable[[DataFrame, Mapping[str, DataFrame]], tuple[DataFrame, dict[str, DataFrame]]]
+MARK = "batch long, closed long"
+LEVELS = 2
+
+
+class Slots:
+    """A stream with the folder of its landed rows, state and output. ``schema``: of the landed rows, as text; ``us``: their event time in
+    microseconds; ``width_us`` aligns what is closed."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, us: str = "us", delay_us: int = 0, width_us: int = 1) -> None:
+        self.spark, self.path, self.schema, self.us, self.delay, self.width = spark, path, schema, us, delay_us, width_us
+
+    def land(self, stream: DataFrame) -> None:
+        """Append all that is available now; a later call goes on where this one ended, and a replayed batch replaces itself."""
+
+        def landed(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{self.path}/landed/landed_batch={batch_id}")
+
+        stream.writeStream.foreachBatch(landed).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    def _versions(self, name: str, schema: str) -> DataFrame | None:
+        """A table with its partition column, or None if nothing was written yet."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def _mark(self) -> tuple[int, int, int | None]:
+        marks = self._versions("marks", f"{MARK}, version int")
+        return (-1, -1, None) if marks is None else tuple(marks.select("version", "batch", "closed").orderBy(F.desc("version")).first())
+
+    def _read(self, name: str, version: int, schema: str) -> DataFrame:
+        if version < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/version={version}")
+
+    def advance(self, step: Step, carried: Mapping[str, str], flush: bool = False) -> None:
+        """Close what can be closed. carried: schema of each table of the state. flush: close all that has landed."""
+        version, batch, closed = self._mark()
+        landed = self._versions("landed", f"{self.schema}, landed_batch long")
+        if landed is None:
+            return
+        fresh = landed.where(F.col("landed_batch") > batch)
+        last = fresh.agg(F.max("landed_batch")).first()[0]
+        last = batch if last is None else last
+        fresh = fresh.where(F.col("landed_batch") <= last).drop("landed_batch")
+        late = F.lit(False) if closed is None else F.col(self.us) < closed
+        rows = fresh.where(~late).unionByName(self._read("open", version, self.schema))
+        top = rows.agg(F.max(self.us)).first()[0]
+        if top is None:
+            return
+        limit = top + 1 if flush else (top - self.delay) // self.width * self.width
+        limit = limit if closed is None else max(limit, closed)
+        out, kept = step(rows.where(F.col(self.us) < limit), {name: self._read(f"state-{name}", version, schema) for name, schema in carried.items()})
+        new = version + 1
+        parts = {"out": out, "open": rows.where(F.col(self.us) >= limit), "late": fresh.where(late), **{f"state-{k}": df for k, df in kept.items()}}
+        for name, df in parts.items():
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}/version={new}")
+        mark = self.spark.createDataFrame([(last, limit)], MARK)
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/version={new}")
+
+    def table(self, name: str = "out") -> DataFrame:
+        """All versions of a table of the job that have their mark."""
+        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("version") <= self._mark()[0]).drop("version")
+
+    def state(self, name: str, schema: str) -> DataFrame:
+        return self._read(f"state-{name}", self._mark()[0], schema)
+
+
+ENTITIES = "entity long, life int, visited array<string>, anomalies long, last string, last_us long"
+
+
+def track_entities(exit_stage: str, idle_us: int = 30 * 86_400_000_000) -> Step:
+    """STR1: per message of an entity: the previous stage, stages and anomalies so far, and the number of its life. An exit ends a life, and so
+    does a silence longer than ``idle_us``. Rows: entity, event_id, us, stage, is_anomaly, outcome. State: one row an entity."""
+
+    def step(rows: DataFrame, carried: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+        before = carried["entities"].select("entity", *[F.col(c).alias(f"_{c}") for c in ("life", "visited", "anomalies", "last", "last_us")])
+        r = rows.join(before, "entity", "left")
+        w = Window.partitionBy("entity").orderBy("us", "event_id")
+        silent = F.col("us") - F.coalesce(F.lag("us").over(w), F.when(F.col("_last").isNotNull(), F.col("_last_us"))) > idle_us
+        r = r.withColumn("_new", F.coalesce((F.lag("stage").over(w) == exit_stage) | silent, F.lit(False)).cast("int"))
+        r = r.withColumn("life", (F.coalesce("_life", F.lit(0)) + F.sum("_new").over(w)).cast("int"))
+        same = F.col("life") == F.col("_life")
+        none = F.array().cast("array<string>")
+        r = r.withColumn("_had", F.when(same, F.col("_visited")).otherwise(none))
+        in_life = Window.partitionBy("entity", "life").orderBy("us", "event_id")
+        first = (F.row_number().over(Window.partitionBy("entity", "life", "stage").orderBy("us", "event_id")) == 1) & ~F.array_contains("_had", F.col("stage"))
+        r = r.withColumn("_first", first.cast("int"))
+        whole = in_life.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        out = r.select(
+            "entity", "event_id", "us", "stage", F.coalesce(F.lag("stage").over(in_life), F.when(same, F.col("_last"))).alias("prev_stage"),
+            (F.size("_had") + F.sum("_first").over(in_life)).cast("long").alias("visited"),
+            (F.coalesce(F.when(same, F.col("_anomalies")), F.lit(0)) + F.sum(F.col("is_anomaly").cast("long")).over(in_life)).alias("anomalies"),
+            (F.col("stage") == exit_stage).alias("is_exit"), "life", "outcome", F.array_union("_had", F.collect_set("stage").over(whole)).alias("stages"),
+        )
+        last = out.groupBy("entity").agg(F.max_by(F.struct("life", "stages", "anomalies", "stage", "us", "is_exit"), F.struct("us", "event_id")).alias("x"))
+        ended = F.col("x.is_exit")
+        now = last.select(
+            "entity", (F.col("x.life") + ended.cast("int")).alias("life"), F.when(ended, none).otherwise(F.col("x.stages")).alias("visited"),
+            F.when(ended, F.lit(0)).otherwise(F.col("x.anomalies")).alias("anomalies"), F.when(~ended, F.col("x.stage")).alias("last"), F.col("x.us").alias("last_us"),
+        )
+        return out, {"entities": carried["entities"].join(now, "entity", "left_anti").unionByName(now)}
+
+    return step
+
+
+RECENT = "stage string, kind int, us long, event_id long, entity long, life int, vn long, k long, s long"
+
+
+def stage_windows(tracked: DataFrame, carried: DataFrame, window: int, default: float) -> tuple[DataFrame, DataFrame]:
+    """STR2: for each visit, the visits in the stage's window and the mean of the last ``window`` outcomes that it had learnt.
+
+    At an exit the outcome goes to every stage of the entity's life, and counts where the entity is among the last ``window`` visits. ``tracked``:
+    output of ``track_entities``. ``carried`` and the second result: the last visits (kind 0) and accepted outcomes (kind 1, numbered by k with running sum s)
+    of each stage."""
+    base = carried.groupBy("stage").agg(F.coalesce(F.max("vn"), F.lit(0)).alias("vn0"), F.coalesce(F.max("k"), F.lit(0)).alias("k0"), F.coalesce(F.max_by("s", "k"), F.lit(0)).alias("s0"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    visits = P.ranked(tracked.select("stage", "us", "event_id", "entity", "life"), "us", "event_id", ("stage",), "n", levels=LEVELS)
+    visits = materialize(visits.join(base, "stage", "left").select("stage", "us", "event_id", "entity", "life", (zero("vn0") + F.col("n")).alias("vn")), "slot-visits")
+    newest = visits.select("stage", "entity", "life", "vn").unionByName(carried.where("kind = 0").select("stage", "entity", "life", "vn")).groupBy("stage", "entity", "life").agg(F.max("vn").alias("vn"))
+    learnt = tracked.where("is_exit").select(F.explode("stages").alias("stage"), "us", "event_id", "entity", "life", F.col("outcome").alias("y")).join(newest, ["stage", "entity", "life"])
+    columns = ["stage", "us", "_pos", "kind", "event_id", "entity", "life", "vn", "y"]
+    both = visits.select("stage", "us", (F.col("event_id") * 2).alias("_pos"), F.lit(0).alias("kind"), "event_id", "entity", "life", "vn", F.lit(0).alias("y")).unionByName(
+        learnt.select("stage", "us", (F.col("event_id") * 2 + 1).alias("_pos"), F.lit(1).alias("kind"), "event_id", "entity", "life", "vn", "y"))
+    both = materialize(both, "slot-both")
+    counted = P.running_rows(both, "us", "_pos", {"seen": 1 - F.col("kind")}, ("stage",), levels=LEVELS).join(base, "stage", "left")
+    kept = counted.where((F.col("kind") == 0) | (zero("vn0") + F.col("cum_seen") - F.col("vn") < window)).select(*columns)
+    kept = materialize(kept, "slot-kept")
+    scan = P.running_rows(kept, "us", "_pos", {"k": F.col("kind"), "s": F.col("kind") * F.col("y")}, ("stage",), levels=LEVELS).join(base, "stage", "left")
+    scan = scan.select("stage", "kind", "us", "event_id", "entity", "life", "vn", (zero("k0") + F.col("cum_k")).alias("k"), (zero("s0") + F.col("cum_s")).alias("s"))
+    scan = materialize(scan, "slot-scan")
+    older = scan.where("kind = 1").select("stage", "k", "s").unionByName(carried.where("kind = 1").select("stage", "k", "s")).select("stage", F.col("k").alias("_k"), F.col("s").alias("_s"))
+    rate = (F.col("s") - zero("_s")) / F.least(F.col("k"), F.lit(window))
+    out = scan.where("kind = 0").withColumn("_k", F.col("k") - window).join(older, ["stage", "_k"], "left").select(
+        "stage", "event_id", "us", F.least(F.col("vn"), F.lit(window)).alias("visits"), F.when(F.col("k") > 0, rate).otherwise(F.lit(default)).alias("observed_rate"))
+    known = scan.select(*[F.when(F.col("kind") == 1, F.col(c)).alias(c) if c in ("k", "s") else F.when(F.col("kind") == 0, F.col(c)).alias(c) if c == "vn" else c for c in scan.columns]).unionByName(carried.select(*scan.columns))
+    top = known.groupBy("stage").agg(F.max("vn").alias("_vn"), F.max("k").alias("_k"))
+    recent = known.join(top, "stage").where(((F.col("kind") == 0) & (F.col("vn") > F.col("_vn") - window)) | ((F.col("kind") == 1) & (F.col("k") >= F.col("_k") - window)))
+    return out, recent.select(*[c.split()[0] for c in RECENT.split(", ")])
+
+
+def entities_and_stages(exit_stage: str, window: int, default: float) -> Step:
+    """STR1 and STR2 in one step: outcomes reach the stages in the same pass that ends the entity's life."""
+    track = track_entities(exit_stage)
+
+    def step(rows: DataFrame, carried: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+        tracked, state = track(rows, carried)
+        tracked = materialize(tracked, "slot-tracked")
+        out, recent = stage_windows(tracked, carried["recent"], window, default)
+        return out, state | {"recent": recent}
+
+    return step
+
+
+BUFFER = "line int, window_id long, parts long, value double"
+
+
+def sequences(length: int, min_parts: int, width_us: int) -> Step:
+    """STR4: for each window that ends ``length`` consecutive windows with at least ``min_parts`` messages: the first of them and their values.
+    Rows: line, us, value; only whole windows must be closed (``Slots(width_us=...)``). State: the last ``length - 1`` windows of each line."""
+
+    def step(rows: DataFrame, carried: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+        new = rows.groupBy("line", F.floor(F.col("us") / width_us).cast("long").alias("window_id")).agg(F.count("*").alias("parts"), F.avg("value").alias("value"))
+        all_ = new.withColumn("_old", F.lit(False)).unionByName(carried["windows"].withColumn("_old", F.lit(True)))
+        full = P.islands(all_.where(F.col("parts") >= min_parts), "window_id", ("line",))
+        w = Window.partitionBy("line", "island").orderBy("window_id").rowsBetween(-(length - 1), 0)
+        values = F.transform(F.array_sort(F.collect_list(F.struct("window_id", "value")).over(w)), lambda x: x["value"])
+        out = full.withColumn("values", values).where((F.size("values") == length) & ~F.col("_old"))
+        newest = all_.groupBy("line").agg(F.max("window_id").alias("_top"))
+        kept = all_.join(newest, "line").where(F.col("window_id") > F.col("_top") - (length - 1)).select("line", "window_id", "parts", "value")
+        return out.select("line", "window_id", (F.col("window_id") - (length - 1)).alias("first_window"), F.size("values").alias("steps"), "values"), {"windows": kept}
+
+    return step
+
+
+LAST = "stage string, us long"
+
+
+def idle_stretches(threshold_us: int) -> Step:
+    """STR7: stretches longer than the threshold between messages of a stage. State: the last message of each stage."""
+
+    def step(rows: DataFrame, carried: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+        all_ = rows.select("stage", "us").unionByName(carried["last"])
+        gaps = P.previous_position(all_, "us", ("stage",), levels=LEVELS).where(F.col("us") - F.col("prev") > threshold_us)
+        return gaps.select("stage", F.col("prev").alias("idle_from"), F.col("us").alias("idle_to")), {"last": all_.groupBy("stage").agg(F.max("us").alias("us"))}
+
+    return step
+
+
+def stalled(last: DataFrame, now_us: int, threshold_us: int) -> DataFrame:
+    """STR7: stages silent for longer than the threshold at ``now_us``, whether or not they ever speak again."""
+    return last.where(F.col("us") < now_us - threshold_us).select("stage", F.col("us").alias("idle_from"), F.lit(now_us).cast("long").alias("as_of"))

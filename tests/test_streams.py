@@ -1,10 +1,12 @@
+import random
 import re
 
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from stageflow.operators import points as PT
 from stageflow.streaming import jobs as J
+from stageflow.streaming import slots as SL
 from stageflow.streaming import sources as SRC
 
 
@@ -46,24 +48,106 @@ def _two_files(spark, tmp_path):
     return src, f"{tmp_path}/in/batch=*"
 
 
-def test_entity_state_survives_micro_batches(spark, tmp_path):
-    src, path = _two_files(spark, tmp_path)
-    stream = SRC.file_stream(spark, path, src.schema, per_trigger=1).withWatermark("ts", "1 hour")
-    shaped = stream.select("entity", "event_id", "us", "ts", "stage", (F.col("value") >= 8).alias("is_anomaly"), F.lit(0).alias("outcome"))
-    got = J.run_append(J.track_entities(shaped, "x"), "tracked").toPandas().sort_values("event_id")
+def plain_states(rows, exit_stage):
+    """event_id -> (prev_stage, visited, anomalies, life), message by message in event order."""
     state: dict = {}
-    want = []
-    for r in src.orderBy("us").toPandas().itertuples():
-        s = state.setdefault(r.entity, {"life": 0, "seen": [], "n": 0, "last": None})
-        if r.stage not in s["seen"]:
-            s["seen"].append(r.stage)
-        s["n"] += r.value >= 8
-        want.append((r.event_id, s["last"], len(s["seen"]), int(s["n"]), s["life"]))
+    want = {}
+    for r in sorted(rows, key=lambda r: (r.us, r.event_id)):
+        s = state.setdefault(r.entity, {"life": 0, "seen": set(), "n": 0, "last": None})
+        s["seen"].add(r.stage)
+        s["n"] += r.is_anomaly
+        want[r.event_id] = (s["last"], len(s["seen"]), s["n"], s["life"])
         s["last"] = r.stage
-        if r.stage == "x":
-            state[r.entity] = {"life": s["life"] + 1, "seen": [], "n": 0, "last": None}
-    have = [(r.event_id, None if pd.isna(r.prev_stage) else r.prev_stage, r.visited, r.anomalies, r.life) for r in got.itertuples()]
-    assert have == want
+        if r.stage == exit_stage:
+            state[r.entity] = {"life": s["life"] + 1, "seen": set(), "n": 0, "last": None}
+    return want
+
+
+def plain_windows(rows, exit_stage, window):
+    """(stage, event_id) -> (visits, rate), message by message in event order."""
+    life, stages, recent, known, want = {}, {}, {}, {}, {}
+    for r in sorted(rows, key=lambda r: (r.us, r.event_id)):
+        who = (r.entity, life.get(r.entity, 0))
+        visits, outcomes = recent.setdefault(r.stage, []), known.setdefault(r.stage, [])
+        visits.append(who)
+        del visits[:-window]
+        want[r.stage, r.event_id] = (len(visits), round(sum(outcomes) / len(outcomes), 6) if outcomes else -1.0)
+        stages.setdefault(who, set()).add(r.stage)
+        if r.stage == exit_stage:
+            for x in stages[who]:
+                if who in recent[x]:
+                    known.setdefault(x, []).append(r.outcome)
+                    del known[x][:-window]
+            life[r.entity] = who[1] + 1
+    return want
+
+
+EVENTS = "entity long, event_id long, us long, stage string, is_anomaly boolean, outcome int"
+
+
+def _messages(spark, n=400):
+    rng = random.Random(4)
+    rows = [(rng.randrange(12), i, 1000 * i + rng.randrange(3000), rng.choice("aabcdx"), rng.random() < 0.2, int(rng.random() < 0.4)) for i in range(n)]
+    return spark.createDataFrame(rows, EVENTS)
+
+
+@pytest.mark.parametrize(("files", "per_trigger"), [(1, 256), (300, 64), (12, 1)])
+def test_order_and_number_of_files_do_not_matter(spark, tmp_path, files, per_trigger):
+    src = _messages(spark)
+    src.repartition(files, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/in")
+    job = SL.Slots(spark, f"{tmp_path}/job", EVENTS)
+    job.land(SRC.file_stream(spark, f"{tmp_path}/in", src.schema, per_trigger=per_trigger))
+    both = SL.entities_and_stages("x", 7, -1.0)
+    job.advance(both, {"entities": SL.ENTITIES, "recent": SL.RECENT}, flush=True)
+    got = {(r.stage, r.event_id): (r.visits, round(r.observed_rate, 6)) for r in job.table().collect()}
+    assert got == plain_windows(src.collect(), "x", 7)
+
+
+def test_state_is_carried_between_calls_and_late_rows_are_set_aside(spark, tmp_path):
+    src = _messages(spark)
+    rows = src.collect()
+    late = spark.createDataFrame([(1, 9999, 5, "a", False, 0)], EVENTS)
+    state = {"entities": SL.ENTITIES, "recent": SL.RECENT}
+    jobs = {"entities": (SL.track_entities("x"), {"entities": SL.ENTITIES}), "stages": (SL.entities_and_stages("x", 7, -1.0), state)}
+    parts = [src.where("event_id < 150"), src.where("event_id >= 150 AND event_id < 290"), src.where("event_id >= 290").unionByName(late)]
+    for name, (step, carried) in jobs.items():
+        job = SL.Slots(spark, f"{tmp_path}/{name}", EVENTS, delay_us=4000)
+        for k, part in enumerate(parts):
+            part.write.mode("append").parquet(f"{tmp_path}/in-{name}")
+            job = SL.Slots(spark, f"{tmp_path}/{name}", EVENTS, delay_us=4000)  # as after a restart
+            job.land(SRC.file_stream(spark, f"{tmp_path}/in-{name}", src.schema))
+            job.advance(step, carried, flush=k == 2)
+        assert [r.event_id for r in job.table("late").collect()] == [9999]
+        out = job.table().collect()
+        if name == "entities":
+            assert {r.event_id: (r.prev_stage, r.visited, r.anomalies, r.life) for r in out} == plain_states(rows, "x")
+            assert job.state("entities", SL.ENTITIES).count() == len({r.entity for r in rows})
+        else:
+            assert {(r.stage, r.event_id): (r.visits, round(r.observed_rate, 6)) for r in out} == plain_windows(rows, "x", 7)
+            assert job.state("recent", SL.RECENT).groupBy("stage", "kind").count().where("count > 8").count() == 0
+
+
+def test_a_long_silence_starts_a_new_life(spark):
+    rows = spark.createDataFrame([(1, 1, 0, "a", True, 0), (1, 2, 10, "b", True, 0), (1, 3, 500, "a", True, 0)], EVENTS)
+    out, state = SL.track_entities("x", idle_us=100)(rows, {"entities": spark.createDataFrame([], SL.ENTITIES)})
+    assert [(r.life, r.prev_stage, r.visited, r.anomalies) for r in out.orderBy("us").collect()] == [(0, None, 1, 1), (0, "a", 2, 2), (1, None, 1, 1)]
+    later = spark.createDataFrame([(1, 4, 900, "b", False, 0)], EVENTS)
+    assert SL.track_entities("x", idle_us=100)(later, state)[0].first().life == 2
+
+
+def test_sequences_across_calls(spark):
+    step = SL.sequences(3, 1, 10)
+    rows = lambda ids: spark.createDataFrame([(1, 10 * i, float(i)) for i in ids], "line int, us long, value double")
+    out, state = step(rows([1, 2]), {"windows": spark.createDataFrame([], SL.BUFFER)})
+    assert out.count() == 0
+    out, state = step(rows([3, 4, 6]), state)
+    assert sorted((r.window_id, r.first_window, r["values"]) for r in out.collect()) == [(3, 1, [1.0, 2.0, 3.0]), (4, 2, [2.0, 3.0, 4.0])]
+    assert step(rows([7, 8]), state)[0].select("window_id").collect()[0][0] == 8
+
+
+def test_stalled_stage_is_reported_before_it_speaks_again(spark):
+    last = spark.createDataFrame([("a", 10), ("b", 95)], SL.LAST)
+    assert [tuple(r) for r in SL.stalled(last, 100, 50).collect()] == [("a", 10, 100)]
 
 
 def test_replayed_batch_is_written_once(spark, tmp_path):
@@ -74,10 +158,9 @@ def test_replayed_batch_is_written_once(spark, tmp_path):
     assert J.read_batches(src.schema, spark, out).count() == 120
 
 
-def test_idle_stretch_across_batches(spark, tmp_path):
-    df = lambda xs: spark.createDataFrame([("s", x) for x in xs], "stage string, us long").coalesce(1)
-    df([0, 5]).write.parquet(f"{tmp_path}/i/batch=0")
-    df([50, 52]).write.parquet(f"{tmp_path}/i/batch=1")
-    stream = SRC.file_stream(spark, f"{tmp_path}/i/batch=*", "stage string, us long", per_trigger=1)
-    got = [tuple(r) for r in J.run_append(J.idle_stretches(stream, 10), "idle").collect()]
-    assert got == [("s", 5, 50)]
+def test_idle_stretch_across_calls(spark):
+    step = SL.idle_stretches(10)
+    rows = lambda xs: spark.createDataFrame([("s", x) for x in xs], SL.LAST)
+    out, state = step(rows([5, 0]), {"last": spark.createDataFrame([], SL.LAST)})
+    assert out.count() == 0
+    assert [tuple(r) for r in step(rows([52, 50]), state)[0].collect()] == [("s", 5, 50)]
