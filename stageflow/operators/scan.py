@@ -13,31 +13,17 @@ from stageflow.operators import joins as J
 from stageflow.operators import primitives as P
 from stageflow.session import materialize
 
-# A counted table up to this size may be ordered in one task; a larger one takes the bucketed scan.
-SINGLE_TASK_ROWS = 200_000
 
-
-def adjust_p(
-    candidates: DataFrame, p: str = "raw_p", name: str = "adj_p", single_task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
+def adjust_p(candidates: DataFrame, p: str = "raw_p", name: str = "adj_p") -> DataFrame:
     """STAT2: Benjamini-Hochberg adjustment over all rows.
 
-    The candidates are written once and counted.  Up to ``single_task_rows`` of them are adjusted in one window; more
-    are collapsed to distinct p-values and scanned in buckets.  For equal p-values only the largest rank matters,
+    The candidates are collapsed to distinct p-values and scanned in buckets.  For equal p-values only the largest rank matters,
     because the running minimum comes from above.
     """
     kept = materialize(candidates, "candidates")
-    n = kept.count()
-    if n <= single_task_rows:
-        one = Window.partitionBy(F.lit(0))
-        rank = F.count(F.lit(1)).over(one.orderBy(p))
-        scaled = kept.withColumn("_q", F.col(p) * F.lit(n) / rank)
-        down = one.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return scaled.withColumn(name, F.least(F.lit(1.0), F.min("_q").over(down))).drop("_q")
+    n = F.lit(kept.count())
     ranks = P.running(kept, p, {"k": ("sum", F.lit(1))}, code=P.double_code(F.col(p)), levels=P.DOUBLE_LEVELS)
-    scaled = materialize(
-        ranks.select(p, (F.col(p) * F.lit(n) / F.col("cum_k")).alias("_q"), (-F.col(p)).alias("_neg")), "adjusted"
-    )
+    scaled = materialize(ranks.select(p, (F.col(p) * n / F.col("cum_k")).alias("_q"), (-F.col(p)).alias("_neg")), "adjusted")
     best = P.running(scaled, "_neg", {"q": ("min", F.col("_q"))}, code=P.double_code(F.col("_neg")), levels=P.DOUBLE_LEVELS).select(
         (-F.col("_neg")).alias(p), F.least(F.lit(1.0), F.col("cum_q")).alias(name)
     )
@@ -102,63 +88,58 @@ def drift_scan(
     return adjust_p(hits)
 
 
-def _chains(candidates: DataFrame, keys: Sequence[str], gap: int, start: str) -> DataFrame:
-    """Number the chains of starts less than ``gap`` apart without a window over a whole key."""
-    starts = P.previous_position(candidates, start, keys)
-    apart = F.col("prev").isNull() | (F.col(start) - F.col("prev") >= gap)
-    heads = starts.withColumn("_new", apart.cast("int"))
-    chains = P.running(heads, start, {"c": ("sum", F.col("_new"))}, keys)
-    return candidates.join(chains.select(*keys, start, F.col("cum_c").alias("_chain")), [*keys, start])
-
-
 def separate_windows(
     candidates: DataFrame, keys: Sequence[str], order: Sequence[Column], gap: int, top: int | None = None,
     start: str = "t_start",
 ) -> DataFrame:
     """SRT4: greedy choice in ``order``; a window is skipped if a chosen one of its key starts within ``gap``.
 
-    Starts further apart than ``gap`` never interact, so the candidates of a key are cut into chains of starts less
-    than ``gap`` apart, and each chain is decided on its own (``applyInPandas``).  A chain only holds windows of
-    the scan grid that passed the thresholds.
+    With ``top``, the best remaining row is taken ``top`` times and its neighbours are left out; only chosen rows reach the driver.
+    Without it, rounds choose every row that comes before all undecided rows of the slots around it, which the greedy choice must take too,
+    and leave out the rows near a chosen one, until none is undecided.  Equal rows are told apart by a row number.
     """
-    candidates = materialize(candidates, "scored")
-    if candidates.count() <= SINGLE_TASK_ROWS:
-        near = Window.partitionBy(*keys).orderBy(start)
-        apart = F.coalesce(F.col(start) - F.lag(start).over(near) >= gap, F.lit(True)).cast("int")
-        flat = candidates.withColumn("_apart", apart).withColumn("_chain", F.sum("_apart").over(near)).drop("_apart")
-    else:
-        flat = _chains(candidates, keys, gap, start)
     names = [f"_o{i}" for i in range(len(order))]
-    flat = flat.select(*candidates.columns, "_chain", *[expr.alias(n) for n, expr in zip(names, order)])
-
-    def choose(pdf):
-        pdf = pdf.sort_values(names, kind="mergesort")
-        kept: list[float] = []
-        mask = []
-        for s in pdf[start]:
-            ok = all(abs(s - k) >= gap for k in kept)
-            mask.append(ok)
-            if ok:
-                kept.append(s)
-        return pdf[mask]
-
-    chosen = flat.groupBy(*keys, "_chain").applyInPandas(choose, flat.schema).drop("_chain")
+    rows = materialize(candidates.select("*", *[expr.alias(n) for n, expr in zip(names, order)], F.monotonically_increasing_id().alias("_row")), "scored")
+    place = [*names, "_row"]
     if top is not None:
-        chosen = chosen.orderBy(*names).limit(top)
-    return chosen.drop(*names)
+        chosen: list = []
+        free = F.lit(True)
+        for _ in range(top):
+            best = rows.where(free).orderBy(*place).limit(1).collect()
+            if not best:
+                break
+            chosen += best
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.lit(best[0][k]))
+            free = free & ~(same & (F.abs(F.col(start) - best[0][start]) < gap))
+        return rows.sparkSession.createDataFrame(chosen, rows.schema).select(*candidates.columns)
+    slot = F.floor(F.col(start) / gap).cast("long")
+    near = F.explode(F.array(F.col("_slot") - 1, F.col("_slot"), F.col("_slot") + 1)).alias("_slot")
+    left, done = rows.withColumn("_slot", slot), None
+    while left.limit(1).count():
+        best = left.groupBy(*keys, "_slot").agg(F.min(F.struct(*place)).alias("_best"))
+        around = best.select(*keys, near, "_best").groupBy(*keys, "_slot").agg(F.min("_best").alias("_best"))
+        picked = materialize(left.join(around, [*keys, "_slot"]).where(F.struct(*place) == F.col("_best")).drop("_best"), "picked")
+        done = picked if done is None else done.unionByName(picked)
+        taken = picked.select(*keys, near, F.col(start).alias("_at"))
+        left = materialize(left.join(taken, [*keys, "_slot"], "left_anti").unionByName(
+            left.join(taken.groupBy(*keys, "_slot").agg(F.collect_list("_at").alias("_at")), [*keys, "_slot"])
+            .where(~F.exists("_at", lambda x: F.abs(F.col(start) - x) < gap)).drop("_at")), "undecided")
+    return (rows if done is None else done).select(*candidates.columns)
 
 
 def master_ranking(surges: DataFrame, drifts: DataFrame) -> DataFrame:
     """SRT5: surges first, then drifts, each in its own order, with a running rank (short final lists only)."""
     s = surges.select(
         F.lit(0).alias("_kind"), F.lit("Defect Rate Surge").alias("anomaly_type"), "stage", F.lit("label").alias("feature"),
-        "t_start", "t_end", "n", F.col("ratio").alias("effect"), "adj_p",
+        "t_start", "t_end", "n", F.col("defects").cast("long").alias("failures"), F.col("observed_rate").alias("observed"), F.col("baseline_rate").alias("baseline"), F.col("ratio").alias("effect"), "adj_p",
     )
     d = drifts.select(
         F.lit(1).alias("_kind"), F.lit("Measurement Drift").alias("anomaly_type"), "stage", "feature",
-        "t_start", "t_end", "n", F.col("z").alias("effect"), "adj_p",
+        "t_start", "t_end", "n", F.lit(None).cast("long").alias("failures"), F.col("observed_mean").alias("observed"), F.col("mu").alias("baseline"), F.col("z").alias("effect"), "adj_p",
     )
-    w = Window.partitionBy(F.lit(0)).orderBy("_kind", "adj_p", F.desc(F.abs("effect")), "t_start", "stage", "feature")
+    w = Window.partitionBy(F.lit(0)).orderBy("_kind", F.round("adj_p", 8), F.desc(F.round(F.abs("effect"), 6)), "t_start", "stage", "feature")
     return s.unionByName(d).withColumn("rank", F.row_number().over(w)).drop("_kind")
 
 

@@ -105,17 +105,40 @@ def drift_order():
     return [F.round("adj_p", 8), -F.round(F.abs("z"), 6), F.col("t_start"), F.col("stage"), F.col("feature"), F.col("t_end")]
 
 
-@query("srt4_separate_windows")
+def greedy_sql(name: str, source: str, keys: list[str], order: str, gap: int, top: int) -> str:
+    """Sub-queries that take the rows of ``source`` in order and keep the first ``top`` that have no kept neighbour of their key."""
+    same = " AND ".join(f"x.{k} = r.{k}" for k in keys)
+    return f"""{name}_r AS (SELECT *, row_number() OVER (ORDER BY {order}) AS pos FROM {source}),
+  {name}_g AS (SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS kept UNION ALL
+    SELECT r.pos, CASE WHEN len(g.kept) < {top} AND NOT EXISTS (SELECT 1 FROM {name}_r x WHERE list_contains(g.kept, x.pos) AND {same} AND abs(x.t_start - r.t_start) < {gap}) THEN list_append(g.kept, r.pos) ELSE g.kept END
+    FROM {name}_g g JOIN {name}_r r ON r.pos = g.pos + 1 WHERE len(g.kept) < {top}),
+  {name} AS (SELECT * FROM {name}_r WHERE list_contains((SELECT kept FROM {name}_g ORDER BY pos DESC LIMIT 1), pos))"""
+
+
+SURGE_ORDER_SQL = "round(adj_p, 9), -round(ratio, 6), t_start, stage, t_end"
+DRIFT_ORDER_SQL = "round(adj_p, 8), -round(abs(z), 6), t_start, stage, feature, t_end"
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("srt4_separate_windows", recursive(sql("surge", f""", {greedy_sql("chosen", "surge", ["stage"], SURGE_ORDER_SQL, 10, 4)}
+  SELECT stage, win AS "window", t_start, t_end, n, defects, round(ratio, 6) AS ratio, round(adj_p, 6) AS adj_p FROM chosen""")))
 def srt4(d):
     chosen = SC.separate_windows(surges(d), ("stage",), surge_order(), 10, 4)
     return rounded(chosen, "ratio", "adj_p").select("stage", "window", "t_start", "t_end", "n", "defects", "ratio", "adj_p")
 
 
-@query("srt5_master_ranking")
+@query("srt5_master_ranking", recursive(sql("surge drift", f""", {greedy_sql("cs", "surge", ["stage"], SURGE_ORDER_SQL, 10, 4)}, {greedy_sql("cd", "drift", ["stage", "feature"], DRIFT_ORDER_SQL, 10, 4)},
+  u AS (SELECT 0 AS kind, 'Defect Rate Surge' AS anomaly_type, stage, 'label' AS feature, t_start, t_end, n, CAST(defects AS BIGINT) AS failures, observed_rate AS observed, base AS baseline, ratio AS effect, adj_p FROM cs
+    UNION ALL SELECT 1, 'Measurement Drift', stage, feature, t_start, t_end, n, NULL, observed_mean, mu, z, adj_p FROM cd)
+  SELECT anomaly_type, stage, feature, t_start, t_end, n, failures, round(observed, 5) AS observed, round(baseline, 5) AS baseline, round(effect, 6) AS effect, round(adj_p, 6) AS adj_p,
+    CAST(row_number() OVER (ORDER BY kind, round(adj_p, 8), round(abs(effect), 6) DESC, t_start, stage, feature) AS INTEGER) AS rank FROM u""")))
 def srt5(d):
     s = SC.separate_windows(surges(d), ("stage",), surge_order(), 10, 4)
     r = SC.separate_windows(drifts(d), ("stage", "feature"), drift_order(), 10, 4)
-    return rounded(SC.master_ranking(s, r), "effect", "adj_p")
+    return rounded(rounded(SC.master_ranking(s, r), "effect", "adj_p"), "observed", "baseline", digits=5)
 
 
 _EZ = f"(((failures - entities * b) / sqrt(entities * b * (1.0 - b))) / {ST.SQRT2!r})"

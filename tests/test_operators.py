@@ -25,41 +25,40 @@ def test_erfc_relative_error(spark):
         assert g == pytest.approx(math.erfc(x), rel=2e-7)
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_bh_hand_case(spark, limit):
+def test_bh_hand_case(spark):
     df = spark.createDataFrame([(0.01,), (0.04,), (0.03,), (0.005,)], "raw_p double")
-    got = {r["raw_p"]: round(r["adj_p"], 10) for r in SC.adjust_p(df, single_task_rows=limit).collect()}
+    got = {r["raw_p"]: round(r["adj_p"], 10) for r in SC.adjust_p(df).collect()}
     assert got == {0.01: 0.02, 0.04: 0.04, 0.03: 0.04, 0.005: 0.02}
 
 
-def test_bh_both_paths_agree_with_ties(spark):
+def test_bh_with_ties(spark):
     rnd = random.Random(3)
     ps = [round(rnd.random() ** 4, 3) for _ in range(400)] + [0.0] * 5 + [1.0] * 5
     df = spark.createDataFrame(list(enumerate(ps)), "i int, raw_p double")
-    a = {r["i"]: r["adj_p"] for r in SC.adjust_p(df, single_task_rows=0).collect()}
-    b = {r["i"]: r["adj_p"] for r in SC.adjust_p(df).collect()}
+    got = {r["i"]: r["adj_p"] for r in SC.adjust_p(df).collect()}
     order = sorted(range(len(ps)), key=lambda i: ps[i])
     want, best = {}, 1.0
     for rank in range(len(ps), 0, -1):
         best = min(best, ps[order[rank - 1]] * len(ps) / rank)
         want[order[rank - 1]] = best
     for i in want:
-        assert a[i] == pytest.approx(want[i], abs=1e-12) and b[i] == pytest.approx(want[i], abs=1e-12)
+        assert got[i] == pytest.approx(want[i], abs=1e-12)
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_separate_windows_is_greedy(spark, monkeypatch, limit):
-    monkeypatch.setattr(SC, "SINGLE_TASK_ROWS", limit)
+@pytest.mark.parametrize("top", [None, 5])
+def test_separate_windows_is_greedy(spark, top):
     rnd = random.Random(5)
     rows = [(k, round(rnd.uniform(0, 300), 2), round(rnd.random(), 4)) for k in ("a", "b") for _ in range(60)]
     rows += [("c", 0.0, 0.1), ("c", 9.99, 0.2), ("c", 10.0, 0.3)]
     df = spark.createDataFrame(rows, "key string, t_start double, p double").withColumn("t_start", F.round(F.col("t_start") * 100).cast("long"))
-    got = {(r["key"], r["t_start"]) for r in SC.separate_windows(df, ("key",), [F.col("p"), F.col("t_start")], 1000).collect()}
+    got = {(r["key"], r["t_start"]) for r in SC.separate_windows(df, ("key",), [F.col("p"), F.col("t_start")], 1000, top).collect()}
     want: set = set()
     for k, t, _ in sorted(((k, round(t * 100), p) for k, t, p in rows), key=lambda x: (x[2], x[1])):
-        if all(k != k2 or abs(t - t2) >= 1000 for k2, t2 in want):
+        if all(k != k2 or abs(t - t2) >= 1000 for k2, t2 in want) and (top is None or len(want) < top):
             want.add((k, t))
-    assert got == want and ("c", 0) in got and ("c", 1000) in got and ("c", 999) not in got
+    assert got == want
+    if top is None:
+        assert ("c", 0) in got and ("c", 1000) in got and ("c", 999) not in got
 
 
 # ---- joins ---------------------------------------------------------------------------------------------------
