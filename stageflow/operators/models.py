@@ -89,23 +89,25 @@ def ablation(train: DataFrame, test: DataFrame, columns: Sequence[str], drop: Se
     return M.metric_table(M.Scored(materialize(out, "ablation"), ("dropped",), row))
 
 
-def permuted(df: DataFrame, column: str, row: str, seed: int) -> DataFrame:
-    """Shuffle one column: the row ranked k by id receives the value of the row ranked k by a hash of its id."""
-    hashed = df.select(row, column).withColumn("_h", F.shiftright(F.xxhash64(F.col(row), F.lit(seed)), 24))
-    by_id = P.ranked(df.drop(column).withColumn("_o", F.col(row)), "_o", row, name="_k", levels=2).drop("_o")
-    by_hash = P.ranked(hashed, "_h", row, name="_k", levels=P.DOUBLE_LEVELS).select("_k", column)
+def permuted(df: DataFrame, columns: Sequence[str], row: str, seed: int) -> DataFrame:
+    """Adds ``_p_<column>``: the row ranked k by id receives the values of the row ranked k by a hash of its id.  One pair of ranks serves all columns."""
+    hashed = df.select(row, *[F.col(c).alias(f"_p_{c}") for c in columns]).withColumn("_h", F.shiftright(F.xxhash64(F.col(row), F.lit(seed)), 24))
+    by_id = P.ranked(df.withColumn("_o", F.col(row)), "_o", row, name="_k", levels=2).drop("_o")
+    by_hash = P.ranked(hashed, "_h", row, name="_k", levels=P.DOUBLE_LEVELS).select("_k", *[f"_p_{c}" for c in columns])
     return by_id.join(by_hash, "_k").drop("_k")
 
 
 def permutation_importance(
-    model: PipelineModel, test: DataFrame, columns: Sequence[str], row: str, repeats: int = 2, seed: int = 42
+    model: PipelineModel, test: DataFrame, columns: Sequence[str], row: str, platt: tuple[float, float] | None = None, repeats: int = 3, seed: int = 42
 ) -> DataFrame:
-    """ML14: mean and deviation of the average-precision drop when a column is shuffled."""
-    keep = lambda df, name, rep: df.select(F.lit(name).alias("feature"), F.lit(rep).alias("rep"), row, "label", "score")
-    out = keep(score_table(model, test), "none", 0)
-    for c in columns:
-        for r in range(repeats):
-            out = out.unionByName(keep(score_table(model, permuted(test, c, row, seed + r)), c, r))
+    """ML14: mean and deviation of the average-precision drop when a column is shuffled, on calibrated scores."""
+    keep = lambda df, rep: df.select("feature", F.lit(rep).alias("rep"), row, "label", "score")
+    out = keep(score_table(model, test, platt).withColumn("feature", F.lit("none")), 0)
+    for r in range(repeats):
+        shuffled = materialize(permuted(test, columns, row, seed + r), "shuffled")
+        each = shuffled.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns])))
+        swapped = each.select(row, "label", "feature", *[F.when(F.col("feature") == c, F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+        out = out.unionByName(keep(score_table(model, swapped, platt), r))
     table = materialize(out, "permuted")
     ap = M.average_precision(M.curve(M.Scored(table, ("feature", "rep"), row)), ("feature", "rep"))
     base = P.total(ap.where("feature = 'none'"), b=F.max("pr_auc")).getField("b")

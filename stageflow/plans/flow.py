@@ -168,11 +168,11 @@ def shp1(d):
     return V.pivot_stages(d.visits, "entity", "stage", STAGES, {"entry": "entry", "exit": "exit"})
 
 
-@query("jn6_stage_chain", sql("v", "SELECT a.entity, a.entry AS t1, b.entry AS t2, c.entry AS t3 FROM v a LEFT JOIN v b ON a.entity = b.entity AND b.stage = 2 "
-  "LEFT JOIN v c ON a.entity = c.entity AND c.stage = 3 WHERE a.stage = 1"))
+@query("jn6_stage_chain", sql("v", f"SELECT v1.entity, {', '.join(f'v{s}.entry AS t{s}' for s in STAGES)} FROM v v1 "
+  + " ".join(f"LEFT JOIN v v{s} ON v1.entity = v{s}.entity AND v{s}.stage = {s}" for s in STAGES if s != 1) + " WHERE v1.stage = 1"))
 def jn6(d):
-    piv = V.pivot_stages(d.visits, "entity", "stage", (1, 2, 3), {"entry": "t"}).where(F.col("t_1").isNotNull())
-    return piv.select("entity", F.col("t_1").alias("t1"), F.col("t_2").alias("t2"), F.col("t_3").alias("t3"))
+    piv = V.pivot_stages(d.visits, "entity", "stage", STAGES, {"entry": "t"}).where(F.col("t_1").isNotNull())
+    return piv.select("entity", *[F.col(f"t_{s}").alias(f"t{s}") for s in STAGES])
 
 
 @query("shp2_core_flow", sql("v", """SELECT entity, CASE WHEN s6 THEN 1 ELSE 0 END AS branch FROM (SELECT entity, bool_or(stage = 1) AS s1, bool_or(stage = 2) AS s2,

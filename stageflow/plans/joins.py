@@ -41,18 +41,16 @@ def jn4(d):
 
 
 cte("seg", """SELECT prev_stage AS a, stage AS b, quantile_cont(transit_minutes, 0.9) AS p90, quantile_cont(transit_minutes, 0.99) AS p99, count(*) AS n
-  FROM m WHERE prev_stage IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 300""", ["m"])
+  FROM m WHERE prev_stage IS NOT NULL GROUP BY 1, 2""", ["m"])
 
 
-def segment_benchmark(d, min_n=300):
-    """Pacing benchmark computed from the messages; rare segments are left to the default row."""
+def segment_benchmark(d):
+    """Pacing benchmark of every segment that the messages show."""
     counted = d.messages.where(F.col("prev_stage").isNotNull()).groupBy("prev_stage", "stage", "transit_minutes").agg(F.count(F.lit(1)).alias("n"))
     p = T.weighted_percentiles("transit_minutes", (0.9, 0.99), "n")
     return (
         counted.groupBy("prev_stage", "stage")
-        .agg(p.getItem(0).alias("p90"), p.getItem(1).alias("p99"), F.sum("n").alias("n"))
-        .where(F.col("n") >= min_n)
-        .drop("n")
+        .agg(p.getItem(0).alias("p90"), p.getItem(1).alias("p99"))
     )
 
 

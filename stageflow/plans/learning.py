@@ -17,7 +17,7 @@ from stageflow.session import materialize
 from stageflow.sources.tables import STAGES
 
 SPEC = FE.FlowSpec(
-    required=(1, 2, 7), fork=(5, 6), chain=(1, 2), entry_stage=1, exit_stage=7, sensor_stages=(1, 2, 5, 6), sensors=("qty", "disc")
+    required=(1, 2, 7), fork=(5, 6), chain=(1, 2), entry_stage=1, exit_stage=7, sensor_stages=STAGES, sensors=("qty", "price", "disc", "tax")
 )
 WINDOW, MIN_PARTS, LENGTH = 7, 15, 4
 FOLDS = ((1, (0, 150), (151, 200)), (2, (0, 200), (201, 260)), (3, (0, 260), (261, 360)))
@@ -76,7 +76,7 @@ def ml5(d):
     return SP.chronological(d.visits.where("stage = 1").select("entity", "entry"), "entry", "entity")
 
 
-_ST = ("qty", "disc", "tax")
+_ST = ("qty", "price", "disc", "tax")
 
 
 @query("ml6_impute_and_scale", sql("v", ", tr AS (SELECT * FROM v WHERE entry < 1600), md AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in _ST) + " FROM tr), ms AS (SELECT "
@@ -314,32 +314,32 @@ def ml13(d):
 
 @query("ml14_permutation_importance")
 def ml14(d):
-    train, _, test = three_ranges(d)
-    return MO.permutation_importance(MO.fit_logistic(train, COLS), materialize(test, "test"), ["recent_rate", "arrivals", "qty_1"], "entity")
+    model, platt, _, test = calibrated_model(d)
+    return MO.permutation_importance(model, materialize(test, "test"), COLS, "entity", platt)
 
 
 @query("ml19_scenario_variants")
 def ml19(d):
     table = entity_table(d).fillna(0.0, SPEC.sensor_columns)
-    registry, _ = MO.fit_variants(table, COLS, "decision_time", SCENARIO_TIMES[1:3], 5, "entity")
+    registry, _ = MO.fit_variants(table, COLS, "decision_time", SCENARIO_TIMES, 5, "entity")
     return registry.drop("path")
 
 
-@query("ml19_variant_lookup", sql("v scen", """SELECT entity, stage, coalesce((SELECT name FROM scen WHERE entry BETWEEN t_start AND t_end AND name IN ('B', 'C')), 'general') AS variant FROM v"""))
+@query("ml19_variant_lookup", sql("v scen", """SELECT entity, stage, coalesce((SELECT min(name) FROM scen WHERE entry BETWEEN t_start AND t_end), 'general') AS variant FROM v"""))
 def ml19_lookup(d):
-    names = d.spark.createDataFrame([("general",), ("B",), ("C",)], "variant STRING")
+    names = d.spark.createDataFrame([("general",), *[(n,) for n, _, _ in SCENARIO_TIMES]], "variant STRING")
     cases = F.lit(None).cast("string")
-    for n, a, b in reversed(SCENARIO_TIMES):
+    for n, a, b in sorted(SCENARIO_TIMES, reverse=True):
         cases = F.when(S.in_interval(F.col("entry"), F.lit(a), F.lit(b)), n).otherwise(cases)
     return MO.lookup_variant(names, cases, d.visits).select("entity", "stage", "variant")
 
 
 def anomaly_run(d):
     seqs = sequence_table(d)
-    split = SP.chronological(seqs, "window_id", "window_id", 0.7)
-    normal = J.outside_intervals(split.where("role = 'train'"), "t_start", SCENARIO_TIMES, margin=3)
-    model = MO.fit_sequence_model(normal)
-    scored_ = MO.anomaly_score(MO.reconstruct(model, split, 35), STAGES, 5)
+    normal = SP.chronological(J.outside_intervals(seqs, "t_start", SCENARIO_TIMES, margin=3), "window_id", "window_id", 0.7)
+    model = MO.fit_sequence_model(normal.where("role = 'train'"))
+    known = seqs.join(normal.select("window_id", "role"), "window_id", "left").fillna("scenario", "role")
+    scored_ = MO.anomaly_score(MO.reconstruct(model, known, 35), STAGES, 5)
     scored_ = materialize(scored_.drop("sequence", "vec", "actual", "rebuilt"), "anomaly")
     threshold = MO.error_threshold(scored_.where("role = 'val'")).scalar()
     return MO.flag(scored_, threshold)
@@ -373,13 +373,18 @@ def ml18(d):
 
 @query("sco5_decision_risk")
 def sco5(d):
-    """Model risk at the decision stage with causal features only."""
+    """Model risk at the decision stage with causal features only, blended with the entity's own rule risk and the stage's health there."""
+    from stageflow.operators import scoring as SCO
+    from stageflow.plans.scoring import health
+
     model, platt, _, test = calibrated_model(d)
-    out = MO.score_table(model, test, platt)
-    rule = F.lit(S.ScoreConfig().base_rate)
+    own = SCO.part_risk(health(d)).select("entity", "stage", "cumulative_risk", "health_score")
+    out = MO.score_table(model, test, platt).withColumn("stage", F.when(F.col("branch") == 1, 6).otherwise(5)).join(own, ["entity", "stage"], "left")
+    cfg = S.ScoreConfig()
+    rule, at_stage = F.coalesce("cumulative_risk", F.lit(cfg.base_rate)), F.coalesce("health_score", F.lit(100.0))
     return out.select(
-        "entity", F.when(F.col("branch") == 1, 6).otherwise(5).alias("stage"), "branch", "decision_time", F.col("score").alias("predicted_defect_prob"),
-        (F.col("score") >= 0.05).alias("is_high_risk"), S.blended_risk(rule, F.lit(100.0), F.col("score"), S.ScoreConfig()).alias("composite_risk"),
+        "entity", "stage", F.round("cumulative_risk", 4).alias("rule_risk"), F.round("health_score", 2).alias("health_score"), "branch", "decision_time", F.col("score").alias("predicted_defect_prob"),
+        (F.col("score") >= 0.05).alias("is_high_risk"), S.blended_risk(rule, at_stage, F.col("score"), cfg).alias("composite_risk"),
         F.lit("general").alias("scenario_model"), F.col("label").alias("ground_truth"),
     )
 

@@ -96,8 +96,17 @@ def anomaly_messages(d):
     )
 
 
-# Point tables written in this session: (application, data folder, kind) -> table.
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+# Point tables written in this session: (application, data folder, its state, kind) -> table.
+_TABLES: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def freshness(d) -> str:
+    """Changes when a file of the tables behind the points is added, removed or rewritten."""
+    out = []
+    for name in ("lineitem", "orders"):
+        meta = d.table(name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        out.append(str(meta.agg(F.count(F.lit(1)), F.sum("file_size"), F.max("file_modification_time"), F.sum(F.xxhash64("file_path").cast("decimal(38,0)"))).first()))
+    return " ".join(out)
 
 
 def message_tables(d, kinds):
@@ -112,8 +121,9 @@ def message_tables(d, kinds):
 
 
 def points(d, *kinds):
-    """The point table a dashboard reads: one written table per message kind, made once per session and data folder."""
-    key = lambda k: (d.spark.sparkContext.applicationId, d.sf_dir, k)
+    """The point table a dashboard reads: one written table per message kind, made once per session and state of the data."""
+    state = freshness(d)
+    key = lambda k: (d.spark.sparkContext.applicationId, d.sf_dir, state, k)
     missing = [k for k in kinds if key(k) not in _TABLES]
     if {"risk", "overview", "health"} & set(missing):
         missing = sorted({*missing, "health", "risk", "overview"} - {k for k in ("health", "risk", "overview") if key(k) in _TABLES})

@@ -77,7 +77,7 @@ def src6(d):
     return o.withColumn("order_us", F.unix_micros(F.col("o_orderdate").cast("timestamp"))).drop("o_orderdate")
 
 
-@query("src7_baseline_scan", sql("baseline", "SELECT stage, feature, round(mean, 6) AS mean, round(std, 6) AS std FROM baseline"))
+@query("src7_baseline_scan", sql("baseline", "SELECT stage, feature, round(mean * n, 6) / n AS mean, round(std, 6) AS std FROM baseline"))
 def src7(d):
     stats = rounded(PR.baselines(d.sensor_values, ("stage", "feature")), "mean", "std")
     path = io.write_summary_csv(stats, work_dir(d.spark, "baseline_csv"))
@@ -246,7 +246,7 @@ def feature_stats(d):
 cte("fp", """SELECT stage, feature, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std, var_samp(value) AS variance, min(value) AS min, max(value) AS max,
   count(DISTINCT value) AS n_distinct, ((SELECT count(*) FROM v WHERE v.stage = sens.stage) - count(*)) * 100.0 / (SELECT count(*) FROM v WHERE v.stage = sens.stage) AS missing_pct
   FROM sens GROUP BY stage, feature""", ["sens", "v"])
-FP = """stage, feature, n, round(mean, 6) AS mean, round(std, 6) AS std, round(variance, 1) AS variance, min, max, n_distinct, round(missing_pct, 6) AS missing_pct"""
+FP = """stage, feature, n, round(mean * n, 6) / n AS mean, round(std, 6) AS std, round(variance, 1) AS variance, min, max, n_distinct, round(missing_pct, 6) AS missing_pct"""
 
 
 def _fp_round(df):
@@ -374,10 +374,11 @@ def agg27(d):
 
 @query("agg34_period_feature_z", sql("sens", """, g AS (SELECT stage, feature, avg(value) AS mu, stddev_samp(value) AS sigma FROM sens GROUP BY 1, 2),
   w AS (SELECT stage, feature, CAST(floor(entry / 7.0) AS INTEGER) AS period, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM sens GROUP BY 1, 2, 3)
-  SELECT stage, feature, period, n, round(mean * n, 2) / n AS mean, round(std, 5) AS std, round((mean - mu) / sigma, 5) AS z FROM w JOIN g USING (stage, feature)"""))
+  SELECT stage, feature, period, n, round(mean * n, 6) / n AS mean, round(std, 5) AS std, round((mean - mu) / sigma, 5) AS z FROM w JOIN g USING (stage, feature)"""))
 def agg34(d):
     out = rounded(D.period_z(d.sensor_values, "entry", DAY_SCALE), "std", "z", digits=5)
-    out = out.withColumn("mean", F.round(F.col("mean") * F.col("n"), 2) / F.col("n"))
+    # The sum is rounded, far below the precision of any reading; a mean of 32 readings would often lie on a rounding tie.
+    out = out.withColumn("mean", F.round(F.col("mean") * F.col("n"), 6) / F.col("n"))
     return out.orderBy(F.desc(F.abs("z")), "stage", "feature", "period")
 
 
