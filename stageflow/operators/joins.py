@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stageflow.operators import primitives as P
+from stageflow.session import dictionary
 
 
 def lookup_with_default(df: DataFrame, table: DataFrame, on: Sequence[str], defaults: Mapping[str, float]) -> DataFrame:
-    """JN5: left join to a dictionary, missing entries filled.
-
-    No hint: the planner broadcasts the dictionary when its size allows and shuffles it otherwise.
-    """
-    out = df.join(table, list(on), "left")
+    """JN5: left join to a dictionary of checked size, missing entries filled."""
+    out = df.join(dictionary(table), list(on), "left")
     for name, value in defaults.items():
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
     return out
@@ -135,4 +133,4 @@ def outside_interval_table(
 
 def predecessor(messages: DataFrame, topology: DataFrame, stage: str = "stage", previous: str = "prev_stage") -> DataFrame:
     """JN13: previous stage of the entity, else the static predecessor of the stage, else none."""
-    return messages.join(topology, stage, "left").withColumn("incoming", F.coalesce(F.col(previous), F.col("static_prev"))).drop("static_prev")
+    return messages.join(dictionary(topology, "topology"), stage, "left").withColumn("incoming", F.coalesce(F.col(previous), F.col("static_prev"))).drop("static_prev")

@@ -15,7 +15,7 @@ from stageflow.functions import scalar as S
 from stageflow.operators import metrics as M
 from stageflow.operators import primitives as P
 from stageflow.operators import splits as SP
-from stageflow.session import materialize, work_dir
+from stageflow.session import dictionary, materialize, work_dir
 
 DEFAULT_PROB = 0.005069
 
@@ -190,6 +190,6 @@ def fit_variants(
 def lookup_variant(registry: DataFrame, scenario: Column, df: DataFrame) -> DataFrame:
     """Registry lookup with the general model as fallback."""
     names = registry.select(F.col("variant").alias("_v"))
-    return df.withColumn("_s", scenario).join(names, F.col("_s") == F.col("_v"), "left").withColumn(
+    return df.withColumn("_s", scenario).join(dictionary(names, "variants"), F.col("_s") == F.col("_v"), "left").withColumn(
         "variant", F.coalesce("_v", F.lit("general"))
     ).drop("_s", "_v")

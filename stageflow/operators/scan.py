@@ -11,7 +11,7 @@ from stageflow.functions import scalar as S
 from stageflow.functions import stats as ST
 from stageflow.operators import joins as J
 from stageflow.operators import primitives as P
-from stageflow.session import materialize
+from stageflow.session import dictionary, materialize
 
 
 def adjust_p(candidates: DataFrame, p: str = "raw_p", name: str = "adj_p") -> DataFrame:
@@ -153,7 +153,7 @@ def evaluate_windows(
     is matched by an equi-join on the stage.
     """
     flat = windows.select("event_id", "t_start", "t_end", F.explode("stages").alias(stage))
-    hit = visits.join(flat, stage).where(S.in_interval(F.col(t), F.col("t_start"), F.col("t_end")))
+    hit = visits.join(dictionary(flat, "windows"), stage).where(S.in_interval(F.col(t), F.col("t_start"), F.col("t_end")))
     per = hit.groupBy("event_id", "t_start", "t_end", entity).agg(F.max(label).alias("_y"))
     out = per.groupBy("event_id", "t_start", "t_end").agg(
         F.count(F.lit(1)).alias("entities"), F.sum("_y").cast("long").alias("failures")
@@ -175,7 +175,7 @@ def failure_overlap(
 ) -> DataFrame:
     """AGG36: failed entities seen at all stages of a window and at any of them, counted per entity, not by sets."""
     flat = windows.select("event_id", "t_start", "t_end", F.size("stages").alias("_need"), F.explode("stages").alias(stage))
-    hit = visits.where(F.col(label) == 1).join(flat, stage).where(S.in_interval(F.col(t), F.col("t_start"), F.col("t_end"), "left"))
+    hit = visits.where(F.col(label) == 1).join(dictionary(flat, "windows"), stage).where(S.in_interval(F.col(t), F.col("t_start"), F.col("t_end"), "left"))
     per = hit.groupBy("event_id", "_need", entity).agg(F.count_distinct(stage).alias("_s"))
     return per.groupBy("event_id").agg(
         F.count_if(F.col("_s") == F.col("_need")).alias("at_all"), F.count(F.lit(1)).alias("at_any")
@@ -193,7 +193,7 @@ def slowdown(visits: DataFrame, windows: DataFrame, minutes: float, stage: str =
         visits.groupBy(stage, "duration").agg(F.count(F.lit(1)).alias("_n"))
         .groupBy(stage).agg((p.getItem(0) * minutes).alias("base_p50"), (p.getItem(1) * minutes).alias("base_p99"))
     )
-    hit = visits.join(windows, stage).where(S.in_interval(F.col(t), F.col("t_start"), F.col("t_end"), "left"))
+    hit = visits.join(dictionary(windows, "windows"), stage).where(S.in_interval(F.col(t), F.col("t_start"), F.col("t_end"), "left"))
     counted = hit.groupBy("window", stage, dur.alias("_d")).agg(F.count(F.lit(1)).alias("_n")).join(base, stage)
     above = F.col("_d") > F.col("base_p99")
     largest = F.max(F.struct("_d", "_n"))

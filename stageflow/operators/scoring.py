@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stageflow.functions import scalar as S
 from stageflow.functions.scalar import ScoreConfig
 from stageflow.operators import primitives as P
-from stageflow.session import materialize
+from stageflow.session import dictionary, materialize
 
 CFG = ScoreConfig()
 
@@ -30,7 +30,7 @@ def baseline_maps(baselines: DataFrame, stage: str = "stage", feature: str = "fe
 
 def deviations(messages: DataFrame, baselines: DataFrame, cfg: ScoreConfig = CFG, stage: str = "stage") -> DataFrame:
     """STR8: z-scores of every reading of a message; unknown features count as 0.  Works on streams and tables."""
-    joined = messages.join(baseline_maps(baselines, stage), stage, "left")
+    joined = messages.join(dictionary(baseline_maps(baselines, stage), "baselines"), stage, "left")
 
     def score(e: Column) -> Column:
         known = F.try_element_at(F.col("_base"), e["key"])
@@ -120,9 +120,9 @@ def stage_health(
     exits = numbered.where("is_exit").select("entity", "life", "t", "tie", F.coalesce("response", F.lit(0)).alias("label"))
     outcomes = rolling_outcomes(numbered, exits, cfg.window, cfg.base_rate)
     paced = (
-        numbered.join(topology, "stage", "left")
+        numbered.join(dictionary(topology, "topology"), "stage", "left")
         .withColumn("incoming", F.coalesce("arrived_from", "static_prev"))
-        .join(benchmark.select(F.col("prev_stage").alias("incoming"), "stage", "p90", "p99"), ["incoming", "stage"], "left")
+        .join(dictionary(benchmark.select(F.col("prev_stage").alias("incoming"), "stage", "p90", "p99"), "benchmark"), ["incoming", "stage"], "left")
         .withColumn("p90", F.coalesce("p90", F.lit(cfg.default_p90)))
         .withColumn("p99", F.coalesce("p99", F.lit(cfg.default_p99)))
         .join(outcomes, ["stage", "entity", "life"])

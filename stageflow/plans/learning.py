@@ -13,7 +13,7 @@ from stageflow.operators import splits as SP
 from stageflow.plans.flow import rounded
 from stageflow.plans.profile_quality import SCENARIO_TIMES
 from stageflow.plans.registry import cte, query, sql
-from stageflow.session import materialize
+from stageflow.session import dictionary, materialize
 from stageflow.sources.tables import STAGES
 
 SPEC = FE.FlowSpec(
@@ -104,7 +104,7 @@ def ml8(d):
 
 def window_metrics(d):
     d.stored("visits")
-    base = PR.baselines(d.sensor_values, ("stage", "feature"))
+    base = dictionary(PR.baselines(d.sensor_values, ("stage", "feature")), "baselines")
     z = d.sensor_values.join(base, ["stage", "feature"]).select(
         "stage", F.col("entry").alias("t"), S.abs_z(F.col("value"), F.col("mean"), F.col("std")).alias("abs_z")
     )

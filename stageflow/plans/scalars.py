@@ -11,6 +11,7 @@ from stageflow.operators import visits as V
 from stageflow.plans.flow import rounded
 from stageflow.plans.registry import half_up, query, sql
 from stageflow.sources.tables import FORK, SENSORS, STAGES
+from stageflow.session import dictionary
 
 CFG = S.ScoreConfig()
 
@@ -79,7 +80,7 @@ Z_FROM = """, u AS (SELECT entity, stage, unnest(['qty', 'price', 'disc', 'tax']
 @query("prj7_z_score_with_default", sql("v baseline", Z_FROM + " SELECT entity, u.stage, u.feature, round(coalesce((value - mean) / std, 0.0), 6) AS z FROM u LEFT JOIN b ON u.stage = b.stage AND u.feature = b.feature"))
 def prj7(d):
     base = PR.baselines(d.sensor_values, ("stage", "feature")).where("NOT (stage = 7 AND feature = 'tax')")
-    joined = scored_values(d).join(base, ["stage", "feature"], "left")
+    joined = scored_values(d).join(dictionary(base, "baselines"), ["stage", "feature"], "left")
     z = S.z_score(F.col("value"), F.col("mean"), F.col("std"))
     return rounded(joined.select("entity", "stage", "feature", z.alias("z")), "z")
 
@@ -87,7 +88,7 @@ def prj7(d):
 @query("prj8_abs_z_nullable", sql("v baseline", Z_FROM + " SELECT entity, u.stage, u.feature, round(abs((value - mean) / greatest(std, 0.001)), 6) AS abs_z FROM u LEFT JOIN b ON u.stage = b.stage AND u.feature = b.feature"))
 def prj8(d):
     base = PR.baselines(d.sensor_values, ("stage", "feature")).where("NOT (stage = 7 AND feature = 'tax')")
-    joined = scored_values(d).join(base, ["stage", "feature"], "left")
+    joined = scored_values(d).join(dictionary(base, "baselines"), ["stage", "feature"], "left")
     return rounded(joined.select("entity", "stage", "feature", S.abs_z(F.col("value"), F.col("mean"), F.col("std")).alias("abs_z")), "abs_z")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -68,6 +69,20 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows that a dictionary (stages, segments, sensor columns, variants, configured windows) may have.
+DICTIONARY_ROWS = 100_000
+
+
+def dictionary(df: DataFrame, name: str = "dictionary", rows: int = DICTIONARY_ROWS) -> DataFrame:
+    """A table that doesn't grow with the data, as the broadcast side of a join, so that the other side isn't shuffled on a few hot keys.
+
+    It is written and counted first; a table of more than ``rows`` rows is refused, and needs a join of its own kind."""
+    kept = materialize(df, name)
+    if kept.limit(rows + 1).count() > rows:
+        raise ValueError(f"{name} has more than {rows} rows and can't be broadcast")
+    return F.broadcast(kept)
+
+
 def written(spark: SparkSession) -> list[str]:
     """Folders written by ``materialize`` and not yet released."""
     sc = spark.sparkContext
