@@ -283,12 +283,20 @@ def similarity_classes(df: DataFrame, threshold: float = 0.8, tolerance: float =
     known = texts.select("key", "id", "copies", (F.size("bands") > 0).alias("real")).join(counts, "key", "left").join(roots, "key", "left")
     classes = known.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class"))
     known = known.join(classes, "root", "left").select("key", F.coalesce("root", "key").alias("class_key"), "copies", "real", "links", F.when(F.col("root").isNotNull(), F.col("class")).otherwise(F.col("id")).alias("class"))
-    own = F.nullif(F.col("rid"), F.lit(NO_ID))
-    return signed.select("rid", "key").join(known, "key").select(
-        own.alias("doc_id"), "key", "class_key", F.when(F.col("real"), F.col("class")).otherwise(own).alias("class_id"),
+    return _spread(signed.select("rid", "key"), known, signed.count()).select(
+        F.nullif(F.col("rid"), F.lit(NO_ID)).alias("doc_id"), "key", "class_key",
+        F.when(F.col("real"), F.col("class")).otherwise(F.nullif(F.col("rid"), F.lit(NO_ID))).alias("class_id"),
         F.when(F.col("real"), F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"),
     )
 
 
+def _spread(rows: DataFrame, known: DataFrame, total: int, share: int = 1000) -> DataFrame:
+    """Join of all rows with what is known of their text. Texts that hold at least 1 / share of the rows, of which there are at most ``share``, are
+    broadcast, so no task gets all rows of one text."""
+    hot = F.col("copies") * share >= max(total, share)
+    few = F.broadcast(known.where(hot))
+    return rows.join(few, "key").unionByName(rows.join(few.select("key"), "key", "left_anti").join(known.where(~hot), "key"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
