@@ -7,6 +7,8 @@ the same expression. The lookup is a hash join with the known digests as the bro
 
 Null, empty and blank texts, and texts of copyright lines only, have no licence and no notice. Repeated rows keep their number. If two known
 texts have the same canonical form, the first identifier in order wins. An empty table gives no rows; other columns are not read.
+
+Whole licences are known in the forms of ``licence_variants``; the SQL knows only ``TEXTS``, so the two agree where no document is such a form.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stageflow.llm.common import pin, table
+from stageflow.llm.licence_variants import whole_texts
 from stageflow.llm.licences import SPELLINGS, TEXTS
 
 #: Most known texts that may be broadcast.
@@ -33,7 +36,7 @@ def canonical_lines(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """(digest, license, chars) of the known texts."""
-    rows = [(name, t) for name, versions in (TEXTS if texts is None else texts).items() for t in versions]
+    rows = [(name, t) for name, versions in (whole_texts() if texts is None else texts).items() for t in versions]
     if len(rows) > MAX_KNOWN:
         raise ValueError(f"{len(rows)} known texts; at most {MAX_KNOWN} may be broadcast")
     df = spark.createDataFrame(rows, "license string, text string")

@@ -3,6 +3,7 @@ import pytest
 
 from stageflow.llm import license_scan as L
 from stageflow.llm import url_filter as U
+from stageflow.llm.licence_variants import TITLE_LINES, packaged
 from stageflow.llm.licences import TEXTS
 from tests.check_oracle import compare
 
@@ -34,6 +35,24 @@ def test_licence_variants(spark):
     assert got[3] == (None, "") and got[4] == (None, "CC-BY-4.0,MIT") and got[5] == (None, "")
 
 
+def test_whole_licence_files(spark):
+    """Files as they are found: title, copyright lines, body; long licences as packaged, without title or appendix, and unwrapped."""
+    packed = {name: packaged(name) for name in TITLE_LINES}
+    owner = "\n\nCopyright (c) 2020 A. Nobody\nAll rights reserved.\n\n"
+    two = TEXTS["BSD-2-Clause"][0]
+    texts = [(name, packed[name]) for name in packed]
+    texts += [(name, title + owner + TEXTS[name][0]) for name, title in [("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("Zlib", "zlib License")]]
+    texts += [("BSD-2-Clause", "# BSD 2-Clause License" + owner + two.replace("1. R", "* R").replace("2. R", "* R"))]
+    texts += [("BSD-3-Clause", "BSD 3-Clause License" + owner + two.replace("THIS SOFTWARE", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE", 1))]
+    apache, gpl = packed["Apache-2.0"], packed["GPL-2.0"]
+    texts += [("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 A. Nobody")), ("Apache-2.0", apache.split("   APPENDIX")[0]), ("Apache-2.0", apache.split("licenses/", 1)[1])]
+    texts += [("Apache-2.0", "\n".join(" ".join(p.split()) for p in apache.split("\n\n"))), ("GPL-2.0", gpl.split("How to Apply")[0]), ("GPL-2.0", gpl.replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301", "59 Temple Place, Suite 330, Boston, MA 02111-1307"))]
+    texts += [("Unlicense", "The Unlicense\n\n" + packed["Unlicense"]), (None, "MIT License" + owner + two), (None, apache.split("   7. ")[0])]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in L.scan(df, L.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+
+
 def test_licence_odd_rows(spark, odd_docs, no_docs):
     known = L.known_digests(spark)
     rows = L.scan(odd_docs, known).collect()
