@@ -1,16 +1,19 @@
 """Allow or block pages by their addresses: given rules first, then a tree of path templates by host.
 
-Only DataFrame functions run here. Every host has a tree of path segments. Level by level, a segment stays literal if it is frequent below
-its parent (``support`` pages and ``share`` of the parent's pages) and if its labelled pages differ from the parent's by more than
+Only DataFrame functions run here. Every host has a tree of path segments. Level by level, a segment stays literal if it has
+``support`` pages below its parent, however many the parent has, and if its labelled pages differ from the parent's by more than
 ``deviations`` standard errors; all others become the wildcard ``*``, since rare values are variable and a branch like its parent says nothing of its own. The literal branches
 of a parent are put in order of their share of good pages, and neighbours whose shares don't differ by ``deviations`` standard errors
-are merged into one branch ``a|b``. Segments beyond ``levels`` become one ``**``. A template is rejected if its smoothed purity (good + weight * prior) / (labelled + weight) is below
+are merged into one branch ``a|b``. Wildcards below ``levels`` that no literal segment follows become one ``**``; the tree goes on there while a node has good and
+bad labels. A template is rejected if its smoothed purity (good + weight * prior) / (labelled + weight) is below
 ``purity``, with the share of good pages over all labels as the prior. Pages of other templates are allowed.
 
 The statistics of a level are counts by (host, template, segment) with partial sums in the map stage. Rows meet them in a join whose
 keys are salted with a hash of the path (``SALTS``), so a host with a third of the pages is spread; the statistics are repeated by salt, after
 the filter on support. Nothing but two totals reaches the driver.
 
+The SQL also asks for ``SHARE`` of the parent's pages and ends at ``LEVELS``; it agrees where no smaller branch and no deeper one stays literal, as in the test data.
+
 Null addresses and those without ``://`` have empty host and path. Repeated rows are judged alike and each weighs in the counts; labels of ids
 that occur repeatedly are summed. Without labels the prior is one half, nothing differs, and purity equals the prior. An empty table gives no rows;
 other columns are not read.
@@ -18,6 +21,9 @@ other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +31,9 @@ from stageflow.llm.common import materialize, table
 
 #: (host, path, verdict) of the rules; the longest that fits decides.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-LEVELS, SUPPORT, SHARE, DEVIATIONS, WEIGHT, PURITY = 4, 5, 0.05, 2.0, 5.0, 0.5
+LEVELS, SUPPORT, SHARE, DEVIATIONS, WEIGHT, PURITY = 4, 5, 0.05, 2.0, 5.0, 0.5  # SHARE is a bound of the SQL only
+#: Most merged branches whose name lists them all.
+NAMED = 20
 SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,33 +59,57 @@ def _salted(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _merged(branches: DataFrame, deviations: float) -> DataFrame:
-    """(host, template, _seg, _name): literal branches, 1 / share at most below a parent, with the name of the branch they are merged into."""
-    rate = F.col("g") / F.col("m")
-    w = Window.partitionBy("host", "template").orderBy(rate, "_seg")
-    m, g = F.lag("m").over(w), F.lag("g").over(w)
-    p = (F.col("g") + F.col("_g") + 1.0) / (F.col("m") + F.col("_m") + 2.0)
-    apart = F.abs(rate - F.col("_g") / F.col("_m")) > deviations * F.sqrt(p * (1.0 - p) * (1.0 / F.col("m") + 1.0 / F.col("_m")))
-    rows = branches.withColumn("_m", m).withColumn("_g", g).withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("_group", F.sum("_new").over(w))
-    names = F.array_join(F.sort_array(F.collect_list("_seg").over(Window.partitionBy("host", "template", "_group"))), "|")
-    return rows.select("host", "template", "_seg", names.alias("_name"))
-
-
-def templates(pages: DataFrame, levels: int = LEVELS, support: int = SUPPORT, share: float = SHARE, deviations: float = DEVIATIONS) -> DataFrame:
+    """(host, template, _seg, _name): literal branches with the name of the branch they are merged into.
+
+    Neighbours are compared in order of (rate, segment). Branches of one rate never differ, so only the first and the last of each rate are ordered:
+    a parent with m labelled pages has less than m ** (2 / 3) * 2 rates. More than ``NAMED`` merged branches are named by the least and their number."""
+    keys = ["host", "template"]
+    branches = branches.withColumn("_rate", F.col("g") / F.col("m"))
+    pair = F.struct("m", "g")
+    rates = branches.groupBy(*keys, "_rate").agg(F.count("*").alias("_n"), F.min("_seg").alias("_least"), F.min_by(pair, "_seg").alias("_first"), F.max_by(pair, "_seg").alias("_last"))
+    w, group = Window.partitionBy(*keys).orderBy("_rate"), Window.partitionBy(*keys, "_group")
+    rates = rates.withColumn("_before", F.lag("_last").over(w))
+    m, g, _m, _g = F.col("_first.m"), F.col("_first.g"), F.col("_before.m"), F.col("_before.g")
+    p = (g + _g + 1.0) / (m + _m + 2.0)
+    apart = F.abs(F.col("_rate") - _g / _m) > deviations * F.sqrt(p * (1.0 - p) * (1.0 / m + 1.0 / _m))
+    rates = rates.withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("_group", F.sum("_new").over(w))
+    rates = rates.select(*keys, "_rate", "_group", F.sum("_n").over(group).alias("_n"), F.min("_least").over(group).alias("_least"))
+    rows = materialize(_salted(branches.select(*keys, "_seg", "_rate", "_salt"), rates, [*keys, "_rate"]), "url-branches")  # it is read twice
+    few = rows.where(F.col("_n") <= NAMED).groupBy(*keys, "_group").agg(F.sort_array(F.collect_list("_seg")).alias("_segs"))
+    few = few.select(*keys, F.explode("_segs").alias("_seg"), F.array_join("_segs", "|").alias("_name"))
+    return few.unionByName(rows.where(F.col("_n") > NAMED).select(*keys, "_seg", F.concat("_least", F.lit("|+"), (F.col("_n") - 1).cast("string")).alias("_name")))
+
+
+def templates(pages: DataFrame, levels: int = LEVELS, support: int = SUPPORT, deviations: float = DEVIATIONS) -> DataFrame:
     """pages: (…, host, path, labelled, good) with counts of labels by row. Adds ``template``."""
     segments = F.array_remove(F.split("path", "/"), "")
     rows = pages.withColumn("_s", segments).withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).withColumn("template", F.lit(""))
-    for d in range(levels):
+    rows = rows.withColumn("_kept", F.lit("")).withColumn("_depth", F.lit(levels))  # the template without wildcards at its end below ``levels``
+    done: list[DataFrame] = []
+    for d in count():
         rows = materialize(rows.withColumn("_seg", F.get("_s", F.lit(d))), "url-level")  # it is read twice
         stats = rows.where("_seg IS NOT NULL").groupBy("host", "template", "_seg").agg(F.count("*").alias("n"), F.sum("labelled").alias("m"), F.sum("good").alias("g"))
         parent = stats.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.sum("g").alias("all_g"))
+        if d >= levels:  # only parents with good and bad labels can have a branch that differs
+            open_ = materialize(parent.where((F.col("all_n") >= support) & (F.col("all_g") > 0) & (F.col("all_g") < F.col("all_m"))).select("host", "template", F.lit(True).alias("_open")), "url-open")
+            if open_.isEmpty():
+                done.append(rows)
+                break
+            rows = _salted(rows, open_, ["host", "template"])
+            on = F.col("_seg").isNotNull() & F.col("_open").isNotNull()
+            done.append(rows.where(~on).drop("_open"))
+            rows = rows.where(on).drop("_open")
         p = (F.col("all_g") + 1.0) / (F.col("all_m") + 2.0)
-        literal = (F.col("n") >= share * F.col("all_n")) & (F.abs(F.col("g") - F.col("m") * p) > deviations * F.sqrt(F.col("m") * p * (1.0 - p)))
-        keep = stats.where(F.col("n") >= support).join(parent, ["host", "template"]).where(literal)
-        keep = _merged(keep, deviations)
+        literal = F.abs(F.col("g") - F.col("m") * p) > deviations * F.sqrt(F.col("m") * p * (1.0 - p))
+        frequent = stats.where(F.col("n") >= support).withColumn("_salt", F.pmod(F.xxhash64("_seg"), F.lit(SALTS)).cast("int"))
+        keep = _merged(_salted(frequent, parent, ["host", "template"]).where(literal), deviations)
         rows = _salted(rows, keep, ["host", "template", "_seg"])
         step = F.when(F.col("_seg").isNull(), "").when(F.col("_name").isNotNull(), F.concat(F.lit("/"), "_name")).otherwise("/*")
-        rows = rows.withColumn("template", F.concat("template", step)).drop("_name")
-    return rows.withColumn("template", F.when(F.size("_s") > levels, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_s", "_seg")
+        rows = rows.withColumn("template", F.concat("template", step))
+        ends = F.lit(True) if d < levels else F.col("_name").isNotNull()
+        rows = rows.withColumn("_kept", F.when(ends, F.col("template")).otherwise(F.col("_kept"))).withColumn("_depth", F.when(ends, F.lit(max(levels, d + 1))).otherwise(F.col("_depth"))).drop("_name")
+    rows = reduce(DataFrame.unionByName, done)
+    return rows.withColumn("template", F.when(F.size("_s") > F.col("_depth"), F.concat("_kept", F.lit("/**"))).otherwise(F.col("_kept"))).drop("_s", "_seg", "_kept", "_depth")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, weight: float = WEIGHT, purity: float = PURITY, **tree: float) -> DataFrame:

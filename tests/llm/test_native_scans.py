@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from stageflow.llm import license_scan as L
 from stageflow.llm import url_filter as U
@@ -81,6 +82,44 @@ def test_template_tree(spark):
     assert by[999].verdict == "allow" and len(out) == len(pages) + 1
 
 
+def verdicts(spark, pages):
+    rows = U.judge(spark.createDataFrame([(i, u, 1, good) for i, (u, good) in enumerate(pages)], "page_id long, url string, labelled int, good int").repartition(5), [])
+    return {(u, r.verdict, r.template) for r in rows.collect() for u in [pages[r.page_id][0].rsplit("/", 1)[0]]}
+
+
+def test_small_branches_of_a_hot_host(spark):
+    """41 sections of about 2.4 % each: one of bad pages only among good ones, and the reverse."""
+    pages = [(f"http://{host}.net/s{k}/{i}", good ^ (k == 7)) for host, good in [("good", 1), ("bad", 0)] for k in range(41) for i in range(20)]
+    got = {u: (v, t) for u, v, t in verdicts(spark, pages)}
+    assert got["http://good.net/s7"] == ("block", "/s7/*") and got["http://good.net/s3"][0] == "allow"
+    assert got["http://bad.net/s7"] == ("allow", "/s7/*") and got["http://bad.net/s3"][0] == "block"
+
+
+def test_branches_below_the_levels(spark):
+    pages = [(f"http://h.net/a/b/c/d/x{i}/{'bad' if i % 5 == 0 else 'fine'}/{i}", int(i % 5 > 0)) for i in range(200)]
+    got = {(u.rsplit("/", 1)[1], v, t) for u, v, t in verdicts(spark, pages)}
+    assert got == {("bad", "block", "/*/*/*/*/*/bad/**"), ("fine", "allow", "/*/*/*/*/*/fine/**")}
+
+
+def test_many_merged_branches(spark):
+    """Names stay short, and equal those of a walk over all neighbours."""
+    rows = [("h", "", f"s{k:03}", m, g) for k in range(300) for m in [5 + k % 40] for g in [m if k % 3 else k % 2]] + [("h2", "", f"t{k}", 30, 3 * k) for k in range(9)]
+    df = spark.createDataFrame(rows, "host string, template string, _seg string, m long, g long").withColumn("_salt", F.lit(3))
+    got = {(r.host, r._seg): r._name for r in U._merged(df, 2.0).collect()}
+    expected = {}
+    for host in ("h", "h2"):
+        groups, last = [], None
+        for rate, seg, m, g in sorted((g / m, s, m, g) for h, _, s, m, g in rows if h == host):
+            if last:
+                p = (g + last[1] + 1) / (m + last[0] + 2)
+            if not last or abs(rate - last[1] / last[0]) > 2 * (p * (1 - p) * (1 / m + 1 / last[0])) ** 0.5:
+                groups.append([])
+            groups[-1].append(seg)
+            last = (m, g)
+        expected |= {(host, x): "|".join(sorted(c)) if len(c) <= U.NAMED else f"{min(c)}|+{len(c) - 1}" for c in groups for x in c}
+    assert got == expected and len(set(got.values())) > 2
+
+
 def test_no_labels_and_no_pages(spark):
     df = spark.createDataFrame([(1, "http://h.net/a", None, None)] * 2, "page_id long, url string, labelled int, good int")
     assert [r.verdict for r in U.judge(df).collect()] == ["allow"] * 2
