@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits in lower case; shingles are windows of five words. The weight of a shingle is
 its number of letters and digits, so runs of function words count little. A document window as long as an item, in words, is a
-match if the weighted Jaccard similarity of their shingle multisets is at least ``threshold``.
+match if the weighted Jaccard similarity of their shingle multisets is at least ``threshold``. A document with fewer words than the item is one window.
 
 1. An exact filter: a window can only reach the threshold if shingles of the benchmark make up at least that share of its weight. Prefix sums
    of weights give this share for every window of every item length, so only windows around benchmark text go further. It drops no match.
@@ -82,6 +82,8 @@ class Index:
         self.prints = np.array(prints, np.uint64)
         self.words = np.array(self.words, np.int64)
         self.lengths = np.unique(self.words)
+        total = np.array([x[1].sum() for x in self.sets])
+        self.lightest = {int(n): total[self.words == n].min() for n in self.lengths}
         self.known = np.unique(np.concatenate([s[0] for s in self.sets])) if self.sets else np.empty(0, np.uint64)
         self.bloom = np.zeros(1 << 20, bool)  # spares most lookups in ``known``
         self.bloom[(self.known >> np.uint64(44)).astype(np.int64)] = True
@@ -140,9 +142,9 @@ def _matches_of(h: np.ndarray, weight: np.ndarray, index: Index, threshold: floa
     best: dict[int, list[tuple[float, int, int, int]]] = {}
     windows = []
     for words in index.lengths:
-        size = int(words) - SHINGLE + 1
-        if size > len(h):
-            break
+        size = min(int(words) - SHINGLE + 1, len(h))  # a shorter document is one window
+        if all_[-1] < threshold * index.lightest[int(words)] - 1e-9:
+            continue
         share = hit[size:] - hit[:-size]
         start = np.flatnonzero((share > 0) & (share >= threshold * (all_[size:] - all_[:-size]) - 1e-9))
         if len(start):
@@ -162,7 +164,7 @@ def _matches_of(h: np.ndarray, weight: np.ndarray, index: Index, threshold: floa
             s = start[row]
             value = similarity(_multiset(h[s : s + size], weight[s : s + size]), index.sets[item])
             if value >= threshold:
-                best.setdefault(int(item), []).append((-value, int(s), words, int(distance)))
+                best.setdefault(int(item), []).append((-value, int(s), size + SHINGLE - 1, int(distance)))
     out = []
     for item, found in best.items():
         taken: list[tuple[int, int]] = []

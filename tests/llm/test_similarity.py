@@ -145,6 +145,28 @@ def test_decontamination_equals_all_windows(spark):
     assert {r.doc_id for r in flags if r.hit} == {d for d, _ in expected}
 
 
+def test_documents_shorter_than_the_item(spark):
+    """Near copies without some of the first or last words, against the whole document as the one window."""
+    rng = random.Random(3)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(300)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([59, 59, 40, 25, 14, 8])]
+    docs = [(100 * k + 10 * a + b, " ".join(t.split()[a : len(t.split()) - b])) for k, t in items for a in range(6) for b in range(6) if a + b]
+    docs += [(900, " ".join(items[0][1].split()[:-1] + ["other"])), (901, " ".join(items[1][1].split()[:30])), (902, "a b c d"), (None, " ".join(items[0][1].split()[:-1]))]
+    expected = {}
+    for d, t in docs:
+        for i, it in items:
+            w, target = words_of(t), weights(words_of(it))
+            if 5 <= len(w) < len(words_of(it)):
+                m = weights(w)
+                both = sum(min(m[x], target[x]) for x in m)
+                if (value := both / (sum(m.values()) + sum(target.values()) - both)) >= 0.8:
+                    expected[d, i] = (0, len(w), pytest.approx(value))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in D.contaminated(df, bench).where("doc_id IS NULL OR doc_id != 900").collect()}
+    assert got == expected and len(expected) > 30 and (1, 0) in got and (None, 0) in got
+    assert {r.doc_id for r in D.flagged(df, bench, "hit").where("hit").collect()} - {900} == {d for d, _ in expected}
+
+
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(4)
     index = D.Index(list(range(400)), [" ".join(f"t{x}" for x in rng.integers(0, 10**6, 20)) for _ in range(400)])
