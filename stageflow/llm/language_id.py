@@ -78,7 +78,8 @@ def _slots_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 break
             h = (h[: len(cp) - k] * np.uint32(0x01000193)) ^ (cp[k:] * np.uint32(0x85EBCA6B))
             slot = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - _BITS)
-            yield owner[: len(h)], slot if k == 0 else np.where(owner[: len(h)] == owner[k:], slot, slot[0] if len(slot) else 0)
+            inside = owner[: len(h)] == owner[k:]  # not across the end of a text
+            yield owner[: len(h)][inside], slot[inside]
 
 
 def _presence(texts: list[str], slots: np.ndarray) -> np.ndarray:

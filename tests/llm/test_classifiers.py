@@ -31,6 +31,16 @@ def test_kernel_scores_equal_plain_kernel():
         assert name == model.languages[int(f.argmax())] and abs(score - np.clip(f.max(), 0, 1)) < 1e-5
 
 
+def test_language_features_do_not_depend_on_the_batch():
+    """Each text of a batch has the features it has alone."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghij klmnopqrs") for _ in range(rng.randrange(1, 30))) for _ in range(64)] + ["a", "ab", "", "!", "x" * 300]
+    slots = np.arange(1 << L._BITS).astype(np.int64) % (L.VOCABULARY + 1)
+    alone = np.concatenate([L._presence([t], slots) for t in texts])
+    for order in (range(len(texts)), rng.sample(range(len(texts)), len(texts))):
+        assert (L._presence([texts[i] for i in order], slots) == alone[list(order)]).all()
+
+
 def test_language_held_out_accuracy(spark):
     out = L.op1(spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id")
     right = out.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
