@@ -4,7 +4,8 @@ A document's vector counts its token ids in ``BINS`` hash bins, on the unit sphe
 cells lie in the order of a Hilbert curve, so documents near each other on the curve use similar tokens. All documents are put end to end in that
 order, and the stream is cut every ``length`` tokens; each document ends with id ``END``. So every sequence but the last is full.
 
-Token ids are computed once and written with a row number. Only (key, row number, tokens) are sorted by range to get each document's place
+Token ids are those of ``tokenizers`` with add_special_tokens=False, so strings of the file's added tokens in a text become their ids. They are
+computed once, equal texts of a batch together, and written with a row number. Only (key, row number, tokens) are sorted by range to get each document's place
 in the stream from prefix sums; the places come back in a join on the row number, whose keys are distinct. So equal documents don't meet
 in a task, however many they are. A piece is computed from its document and its place alone.
 
@@ -19,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stageflow.llm import textvec
 from stageflow.llm.common import materialize, table
 from stageflow.llm.prefix import prefix_sums
-from stageflow.llm.tokens import default_path, encoder
+from stageflow.llm.tokens import default_path, encoder, gather, starts, steps
 
 LENGTH, END = 1024, 0
 BINS, DIMS, CELL_BITS = 256, 3, 16
@@ -61,31 +63,40 @@ def _bins(n: int = 1 << 17) -> np.ndarray:
     return (textvec.mix(np.arange(n, dtype=np.uint64) + np.uint64(1)) >> np.uint64(56)).astype(np.int64)
 
 
-def curve_keys(documents: list[np.ndarray]) -> np.ndarray:
-    """Hilbert key of each array of ids."""
-    bins = _bins()
-    counts = np.stack([np.bincount(bins[ids & 0x1FFFF], minlength=BINS) for ids in documents]).astype(np.float64)
-    unit = counts / np.maximum(np.sqrt((counts**2).sum(1, keepdims=True)), 1)
+def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hilbert key of each document; ids of all documents and the number of ids of each."""
+    cells = np.repeat(np.arange(len(counts)) * BINS, counts) + _bins()[ids & 0x1FFFF]
+    seen = np.bincount(cells, minlength=len(counts) * BINS).reshape(len(counts), BINS).astype(np.float64)
+    unit = seen / np.maximum(np.sqrt((seen**2).sum(1, keepdims=True)), 1)
     directions = np.random.default_rng(7).standard_normal((BINS, DIMS))
     directions /= np.sqrt((directions**2).sum(0))
     cell = np.clip((unit @ directions + 1) / 2 * (1 << CELL_BITS), 0, (1 << CELL_BITS) - 1)
     return hilbert(cell.astype(np.uint64), CELL_BITS)
 
 
+def _encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each text with the end id, one after the other, and the number of ids of each; equal texts are encoded once."""
+    coded = texts.dictionary_encode()
+    ids, counts = encoder(path).batch(coded.dictionary)
+    ids = np.insert(ids, np.cumsum(counts), END).astype("<u4")
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    return (ids if len(coded.dictionary) == len(texts) else ids[gather(starts(counts + 1), index)]), (counts + 1)[index]
+
+
 def tokenized(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, doc_id, key, tokens, ids): ids as 32-bit integers with the end id. Written once."""
     path = path or default_path()
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of, end = encoder(path), np.array([END], np.uint32)
-        for frame in frames:
-            for a in range(0, len(frame), _ROWS):
-                part = frame.iloc[a : a + _ROWS]
-                ids = [np.concatenate([ids_of(t), end]) if t else end for t in part.text]
-                yield pd.DataFrame({"doc_id": part.doc_id, "key": curve_keys(ids), "tokens": [len(x) for x in ids], "ids": [x.astype("<u4").tobytes() for x in ids]})
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in steps(batch["text"]):
+                ids, counts = _encoded(batch["text"].slice(a, b - a), path)
+                offsets = pa.py_buffer(4 * starts(counts).astype(np.int32))
+                column = pa.Array.from_buffers(pa.binary(), b - a, [None, offsets, pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(curve_keys(ids, counts)), pa.array(counts), column], ["doc_id", "key", "tokens", "ids"])
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = docs.mapInPandas(encode, "doc_id long, key long, tokens long, ids binary")
+    made = docs.mapInArrow(encode, "doc_id long, key long, tokens long, ids binary")
     return materialize(made.withColumn("uid", F.monotonically_increasing_id()), "pack-tokens", compression="zstd")
 
 

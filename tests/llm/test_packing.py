@@ -1,24 +1,42 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from stageflow.llm import packing as P
+from stageflow.llm import tokens
 from stageflow.llm.tokens import default_path, encoder
 
 
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
+ODD = (
+    "Hello world's  double  blanks\n\n\ttab 123,456!! l'été ß \U0001f600   x", "<|endoftext|>", "<|endoftext|>a b", "a <|endoftext|> b", "a b<|endoftext|>", "x <|endoftext|><|endoftext|>  <|endoftext",
+    "", " ", "  ", " a", "a ", "a  b", "a \n b", "　  b", "!\x1c? \x1cx", " \xa0c", "\x00\x1f\x7f ", "a" * 5000, "日本語 русский عربى", "I'll we've 'S", " word" * 3000,
+)
+
+
 def test_ids_equal_the_tokenizer(plain):
+    """In one batch, one by one, and by words that the task knows already."""
     fast = encoder(default_path())
-    for text in ("Hello world's  double  blanks\n\n\ttab 123,456!! l'été ß \U0001f600   x", "<|endoftext|>", "", " ", "\x00\x1f\x7f ", "a" * 5000, "日本語 русский عربى", "I'll we've 'S"):
-        assert fast(text).tolist() == plain(text)
+    for texts in (ODD, ODD[::-1], *[[t] for t in ODD]):
+        ids, counts = fast.batch(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain(t) for t in texts]
+
+
+def test_words_of_earlier_batches_are_forgotten_at_a_bound(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "KEEP", 200)
+    fast = tokens.Encoder(default_path())
+    for k in range(20):
+        text = " ".join(f"word{i}" for i in range(k, k + 30))
+        assert fast.batch(pa.array([text]))[0].tolist() == plain(text)
+        assert len(fast.known.words) < 100
 
 
 def test_hilbert_visits_every_cell_by_single_steps():
@@ -47,6 +65,7 @@ def check(rows, docs, length, ids_of):
 
 
 def test_pieces(spark, plain, odd_docs):
+    odd_docs = odd_docs.unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"), allowMissingColumns=True)
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     check(P.pack(odd_docs, with_ids=True).collect(), docs, 1024, plain)
     small = [(i % 40, f"text number {i % 7} " * (i % 9)) for i in range(200)]
