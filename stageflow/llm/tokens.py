@@ -3,7 +3,7 @@
 Both kinds of tokenizer here work on stretches of text that begin at a blank: a byte-level tokenizer begins a new piece at a blank that is
 followed by a visible character, and a piece model whose entries never hold a blank inside merges nothing across one that follows a visible
 character. So a text is cut at its blanks, every distinct word of a batch is encoded once, and the ids of a text are gathered from those
-of its words. A text with a blank next to other white space is one word. The ids are those of the whole text.
+of its words. A text that begins or ends with a blank, or has one next to other white space, is one word. The ids are those of the whole text.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Fixed value: the characters with the Unicode property White_Space.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0                　"
-# A blank that may not be cut at.
-_UNSURE = f" ([{BLANKS}]|$)"
+# A blank that may not be cut at; words that may not be put after others.
+_UNSURE, _ALONE = f"^ | ([{BLANKS}]|$)", f"^$|^[{BLANKS}]| "
 #: Bytes of text taken at once, and of words that a task keeps before it starts anew.
 STEP, KEEP = 1 << 23, 1 << 24
 
@@ -139,6 +139,41 @@ def joined(words: pa.Array) -> str:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
 
 
+def runs(words: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(places, words): words that can be encoded as one text, or a single word."""
+    alone = pc.match_substring_regex(words, _ALONE)
+    rest = pc.invert(alone)
+    at = np.flatnonzero(rest.to_numpy(zero_copy_only=False))
+    kept = words.filter(rest)
+    for a, b in steps(kept):
+        yield at[a:b], kept.slice(a, b - a)
+    for i in np.flatnonzero(alone.to_numpy(zero_copy_only=False)):
+        yield np.array([i]), words.slice(i, 1)
+
+
+def in_order(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Ragged array (flat values, counts) by place, from parts (places, flat values, counts)."""
+    if not parts:
+        return np.empty(0, dtype), np.empty(0, np.int64)
+    at, flat, counts = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.argsort(at)
+    return flat[gather(starts(counts), order)] if len(parts) > 1 else flat, counts[order].astype(np.int64)
+
+
+def word_ids(coder: Coder, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, each with a blank in front, and the number of ids of each."""
+    parts = []
+    for at, part in runs(words):
+        got = coder.encode(" " + joined(part))
+        ends = np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        parts.append((at, got, np.diff(np.searchsorted(np.cumsum(coder.size[got]), ends, "right"), prepend=0)))
+    return in_order(parts, np.uint32)
+
+
+def joined(words: pa.Array) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+
+
 def word_ids(coder: Coder, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, each with a blank in front, and the number of ids of each."""
     ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
@@ -206,7 +241,8 @@ class Encoder:
         plain = pc.if_else(pa.array(special), pa.scalar("", texts.type), texts)
         words, codes, first = words_of(plain)
         heads = [self.one(t) if s else self.coder.encode(h) for t, s, h in zip(_where(texts, special), special, words.take(pa.array(codes[first[:-1]])).to_pylist(), strict=True)]
-        rest = self.known.index(words)[np.delete(codes, first[:-1])]
+        used, rest = np.unique(np.delete(codes, first[:-1]), return_inverse=True)
+        rest = self.known.index(words.take(pa.array(used)))[rest]
         ((ids, at),) = self.known.values
         head_size, tail = np.array([len(h) for h in heads], np.int64), np.diff(starts(np.diff(at)[rest])[first - np.arange(len(first))])
         out = np.empty(head_size.sum() + tail.sum(), np.uint32)
