@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stageflow.llm import alignment, chat_format, decontaminate, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, sharding, url_filter
+from stageflow.llm import alignment, chat_format, collocations, decontaminate, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packing.op9,
     "op10_sharding": sharding.op10,
     "op12_alignment": alignment.op12,
+    "op13_collocations": collocations.op13,
 }
 
-SQL: dict[str, str] = {"op5_url_filter": url_filter.sql(), "op7_license_scan": license_scan.sql()}
+SQL: dict[str, str] = {"op5_url_filter": url_filter.sql(), "op7_license_scan": license_scan.sql(), "op13_collocations": collocations.sql()}
