@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stageflow.llm import alignment, chat_format, collocations, decontaminate, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, sharding, url_filter
+from stageflow.llm import alignment, chat_format, collocations, decontaminate, fingerprints, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat_format.op8,
     "op9_packing": packing.op9,
     "op10_sharding": sharding.op10,
+    "op11_fingerprints": fingerprints.op11,
     "op12_alignment": alignment.op12,
     "op13_collocations": collocations.op13,
 }
