@@ -7,12 +7,15 @@ from stageflow.operators import models as MO
 from stageflow.operators import points as PT
 from stageflow.operators import scoring as SCO
 from stageflow.plans.flow import rounded
+from stageflow.operators import profile as PR
+from stageflow.plans.joins import segment_benchmark, topology
 from stageflow.plans.monitoring import us
-from stageflow.plans.registry import cte, query, sql
+from stageflow.plans.registry import REGISTRY, cte, query, sql
 from stageflow.session import materialize, work_dir
 from stageflow.sources import io
 from stageflow.streaming import jobs as J
-from stageflow.streaming import slots as SL
+from stageflow.streaming import ordered as O
+from stageflow.streaming import scorer as LIVE
 from stageflow.streaming import sources as SRC
 
 EPOCH_US = 1704067200000000
@@ -87,26 +90,30 @@ def snk7(d):
 cte("trk", """SELECT *, coalesce(CAST(sum(CAST(stage = 'purchase' AS INT)) OVER (PARTITION BY entity ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INTEGER), 0) AS life FROM ev""", ["ev"])
 
 
-EVENTS = "entity long, event_id long, us long, stage string, is_anomaly boolean, outcome int"
+SLICES, AHEAD_US = 4, 10 * 86_400 * 1000000
 
 
-def closed_run(d, name, schema, stream, step, carried, **kw):
-    """Land all that is available, close it, and return the job."""
-    job = SL.Slots(d.spark, work_dir(d.spark, name), schema, **kw)
-    job.land(stream)
-    job.advance(step, carried, flush=not kw)
-    return job
+def arriving(d, df, name):
+    """The rows as a stream: slices of time that come one after the other in files of any order, and a marker that closes the last. Returns the stream
+    and the delay that its order needs."""
+    path = work_dir(d.spark, name)
+    df = materialize(df, f"{name}-rows")
+    width = O.land(df, path, SLICES)
+    O.marker(df, path, width + AHEAD_US)
+    stream = O.files(d.spark, path, df.schema, per_trigger=max(1, len(df.inputFiles())))
+    return stream.withColumn(O.TIME, O.timed(F.col("us"))), f"{width} microseconds"
 
 
 def tracked_events(d):
-    return event_stream(d).select("entity", "event_id", "us", "stage", (F.col("value") >= 100).alias("is_anomaly"), (F.col("value") >= 50).cast("int").alias("outcome"))
+    rows = shaped(d.table("events")).select("entity", "event_id", "us", "stage", (F.col("value") >= 100).alias("is_anomaly"), (F.col("value") >= 50).cast("int").alias("outcome"))
+    stream, delay = arriving(d, rows, "tracked")
+    return O.apply(stream, ["entity"], O.Entities(EXIT), O.Entities.output, delay)
 
 
 @query("str1_entity_state", sql("trk", """SELECT entity, event_id, life, lag(stage) OVER w AS prev_stage, CAST(sum(CAST(value >= 100 AS INT)) OVER w AS BIGINT) AS anomalies, count(*) FILTER (first) OVER w AS visited FROM (
   SELECT *, row_number() OVER (PARTITION BY entity, life, stage ORDER BY us, event_id) = 1 AS first FROM trk) WINDOW w AS (PARTITION BY entity, life ORDER BY us, event_id)"""))
 def str1(d):
-    t = closed_run(d, "tracked", EVENTS, tracked_events(d), SL.track_entities(EXIT), {"entities": SL.ENTITIES}).table()
-    return t.select("entity", "event_id", "life", "prev_stage", "anomalies", "visited")
+    return O.run(tracked_events(d), "entities").select("entity", "event_id", "life", "prev_stage", "anomalies", "visited")
 
 
 @query("str2_stage_windows", sql("trk", f""", p AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY us, event_id) AS vn FROM trk),
@@ -117,9 +124,9 @@ def str1(d):
   z AS (SELECT p.stage, p.event_id, p.vn, coalesce(e.k, 0) AS k, coalesce(e.s, 0) AS s FROM p ASOF LEFT JOIN e ON e.stage = p.stage AND e.us < p.us)
   SELECT z.stage, z.event_id, least(vn, {WINDOW}) AS visits, round(CASE WHEN z.k > 0 THEN (z.s - coalesce(f.s, 0)) / least(z.k, {WINDOW}) ELSE 0.005069 END, 6) AS observed_rate FROM z LEFT JOIN e f ON f.stage = z.stage AND f.k = z.k - {WINDOW}"""))
 def str2(d):
-    """One job: an exit's outcome reaches the stages of its entity in the step that ends the entity's life."""
-    step, state = SL.entities_and_stages(EXIT, WINDOW, 0.005069), {"entities": SL.ENTITIES, "recent": SL.RECENT}
-    return closed_run(d, "stage-windows", EVENTS, tracked_events(d), step, state).table().select("stage", "event_id", "visits", F.round("observed_rate", 6).alias("observed_rate"))
+    """Two operators in one query: an exit's outcome goes from the entity to the stages of its life."""
+    out = O.apply(O.stage_messages(tracked_events(d)), ["stage"], O.StageWindows(WINDOW, 0.005069), O.StageWindows.output)
+    return O.run(out, "stage-windows").select("stage", "event_id", "visits", F.round("observed_rate", 6).alias("observed_rate"))
 
 
 @query("str3_tumbling_windows", sql("ev", """SELECT us // 3600000000 AS hour, stage, count(*) AS throughput, round(max(value), 6) AS max_value, round(quantile_cont(value, 0.9), 6) AS p90, round(avg(CAST(value <= 5.0 AS INT)), 6) AS low_share FROM ev
@@ -136,14 +143,26 @@ def str3(d):
 LEN, PARTS = 6, 10
 
 
-@query("str4_sequence_buffer", sql("ev", f""", w AS (SELECT us // 3600000000 AS window_id, count(*) AS parts, avg(value) AS v FROM ev WHERE (us // 3600000000 + 1) * 3600000000 <= (SELECT max(us) - {DELAY_S}000000 FROM ev) GROUP BY 1),
-  i AS (SELECT *, window_id - row_number() OVER (ORDER BY window_id) AS island FROM w WHERE parts >= {PARTS}), k AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY window_id) AS pos, lag(v, {LEN - 1}) OVER (PARTITION BY island ORDER BY window_id) AS fv FROM i)
-  SELECT window_id, window_id - {LEN - 1} AS first_window, CAST({LEN} AS INTEGER) AS steps, round(fv, 6) AS first_value, round(v, 6) AS last_value FROM k WHERE pos >= {LEN}"""))
+@query("str4_sequence_buffer", sql("ev", f""", w AS (SELECT us // 3600000000 AS window_id, count(*) AS parts, avg(value) AS v FROM ev GROUP BY 1),
+  i AS (SELECT *, window_id - row_number() OVER (ORDER BY window_id) AS island FROM w WHERE parts >= {PARTS}), k AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY window_id) AS pos,
+    string_agg(CAST(CAST(round(v * 10000) AS BIGINT) AS VARCHAR), ',') OVER (PARTITION BY island ORDER BY window_id ROWS BETWEEN {LEN - 1} PRECEDING AND CURRENT ROW) AS buffered FROM i)
+  SELECT window_id, window_id - {LEN - 1} AS first_window, buffered FROM k WHERE pos >= {LEN}"""))
 def str4(d):
-    hour = 3600 * 1000000
-    rows = event_stream(d).select(F.lit(3).alias("line"), "us", "value")
-    out = closed_run(d, "sequences", "line int, us long, value double", rows, SL.sequences(LEN, PARTS, hour), {"windows": SL.BUFFER}, delay_us=DELAY_S * 1000000, width_us=hour).table()
-    return out.select("window_id", "first_window", "steps", F.round(F.element_at("values", 1), 6).alias("first_value"), F.round(F.element_at("values", -1), 6).alias("last_value"))
+    """Spark's own windows feed the buffer."""
+    stream, delay = arriving(d, shaped(d.table("events")).select("us", "value"), "sequences")
+    line = F.when(F.col("value").isNotNull(), F.lit(3))
+    windows = stream.withWatermark(O.TIME, delay).groupBy(F.window(O.TIME, "1 hour"), line.alias("line")).agg(F.count(F.lit(1)).alias("parts"), F.avg("value").alias("value"))
+    start = (F.unix_micros("window.start") / 3600000000).cast("long")
+    end = F.unix_micros("window.end")
+    rows = windows.select("line", (end - 1).alias("us"), start.alias("window_id"), "parts", "value", F.timestamp_micros(end - 1).alias(O.TIME), "window").withColumn(O.TIME, F.window_time("window")).drop("window")
+    out = O.run(O.apply(rows, ["line"], O.Sequences(LEN, PARTS), O.Sequences.output), "sequences")
+    return out.select("window_id", "first_window", F.array_join(F.transform("values", lambda v: F.round(v * 10000).cast("long").cast("string")), ",").alias("buffered"))
+
+
+@query("str5_trailing_arrivals", sql("ev", "SELECT event_id, stage, count(*) OVER (PARTITION BY stage ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS arrivals FROM ev"))
+def str5_exact(d):
+    stream, delay = arriving(d, shaped(d.table("events")).select("stage", "event_id", "us"), "arrivals")
+    return O.run(O.apply(stream, ["stage"], O.Arrivals(3600 * 1000000), O.Arrivals.output, delay), "arrivals").select("event_id", "stage", "arrivals")
 
 
 @query("str5_sliding_arrivals", sql("ev", """, s AS (SELECT unnest(generate_series(us // 360000000 - 9, us // 360000000)) AS k, us FROM ev)
@@ -168,17 +187,58 @@ def str6(d):
     return both.groupBy("entity_half", "late").agg(F.count(F.lit(1)).alias("n"))
 
 
+def silences(d):
+    stream, delay = arriving(d, shaped(d.table("events")).select("stage", "us"), "idle")
+    return O.run(O.apply(stream, ["stage"], O.Silences(3600 * 1000000), O.Silences.output, delay), "idle")
+
+
 @query("str7_inactivity", sql("ev", """SELECT stage, prev AS idle_from, us AS idle_to FROM (SELECT stage, us, lag(us) OVER (PARTITION BY stage ORDER BY us) AS prev FROM ev) WHERE us - prev > 3600000000"""))
 def str7(d):
-    return closed_run(d, "idle", SL.LAST, event_stream(d).select("stage", "us"), SL.idle_stretches(3600 * 1000000), {"last": SL.LAST}).table()
+    return silences(d).where("kind = 'back'").select("stage", "idle_from", F.col("us").alias("idle_to"))
 
 
-@query("str7_stalled_stages", sql("ev", "SELECT stage, max(us) AS idle_from, (SELECT max(us) FROM ev) + 7200000000 AS as_of FROM ev GROUP BY stage HAVING max(us) < (SELECT max(us) FROM ev) + 3600000000"))
+@query("str7_stalled_stages", sql("ev", "SELECT stage, us AS idle_from, us + 3600000000 AS as_of FROM (SELECT stage, us, lead(us) OVER (PARTITION BY stage ORDER BY us) AS later FROM ev) WHERE later IS NULL OR later - us > 3600000000"))
 def str7_stalled(d):
-    """Two hours after the newest event, every stage has been silent for longer than an hour; none needs to speak again to be reported."""
-    job = closed_run(d, "idle", SL.LAST, event_stream(d).select("stage", "us"), SL.idle_stretches(3600 * 1000000), {"last": SL.LAST})
-    last = job.state("last", SL.LAST)
-    return SL.stalled(last, last.agg(F.max("us")).first()[0] + 7200 * 1000000, 3600 * 1000000)
+    """Every stage that has been silent for an hour, as soon as the others' messages move the watermark past it; none needs to speak again."""
+    return silences(d).where("kind = 'idle'").select("stage", "idle_from", F.col("us").alias("as_of"))
+
+
+DAY_US = 86_400 * 1000000
+
+
+def live(d):
+    """The scorer over the arriving messages."""
+    d.stored("visits", "messages")
+    rows = d.messages.drop("prev_stage").withColumn("us", F.col("t") * DAY_US)
+    stream, delay = arriving(d, rows, "messages")
+    return LIVE.health(stream, materialize(PR.baselines(d.sensor_values, ("stage", "feature")), "baselines"), materialize(segment_benchmark(d), "segments"), topology(d), delay)
+
+
+def live_messages(d, topic, schema):
+    """Payloads that the scorer's routed messages carry on a topic."""
+    out = O.run(LIVE.messages_of(live(d)), "live")
+    return out.where(SRC.subscribed(F.col("topic"), (topic,))).select(F.from_json("payload", schema).alias("p")).select("p.*")
+
+
+@query("str_health", REGISTRY["sco1_stage_health"].sql)
+def str_health(d):
+    return live_messages(d, "factory/line3/+/health", "entity long, stage int, t long, feature_drift_score double, transit_pacing_score double, defect_rate_score double, "
+                         "health_score double, status string, observed_defect_rate double, window_parts int")
+
+
+@query("str_risk", REGISTRY["sco2_part_risk"].sql)
+def str_risk(d):
+    return live_messages(d, "factory/line3/parts/+/risk", "entity long, stage int, cumulative_anomalies long, cumulative_risk double, risk_level string")
+
+
+@query("str_overview", REGISTRY["sco3_line_overview"].sql)
+def str_overview(d):
+    return O.run(LIVE.overview(live(d), 24.0), "overview")
+
+
+@query("str_alerts", REGISTRY["sco4_critical_alerts"].sql)
+def str_alerts(d):
+    return live_messages(d, "factory/line3/alerts", "alert_type string, entity long, stage int, health_score double, t long, n_anomalous long")
 
 
 cte("kb", "SELECT stage, avg(CAST(json_extract(props, '$.k') AS DOUBLE)) AS mean, stddev_samp(CAST(json_extract(props, '$.k') AS DOUBLE)) AS std FROM ev GROUP BY stage", ["ev"])

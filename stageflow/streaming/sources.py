@@ -38,7 +38,7 @@ def subscribed(topic: Column, patterns=TOPIC_PATTERNS) -> Column:
 def file_stream(spark: SparkSession, path: str, schema=None, fmt: str = "parquet", per_trigger: int = 256) -> DataFrame:
     """Stream over files that appear under ``path``; the schema is read from the files unless given.
 
-    ``per_trigger`` bounds a micro-batch; results of order-sensitive operators do not depend on it (``streaming.slots``).
+    ``per_trigger`` bounds a micro-batch; results of order-sensitive operators do not depend on it (``streaming.ordered``).
     """
     schema = schema or spark.read.format(fmt).load(path).schema
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)

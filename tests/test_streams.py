@@ -2,11 +2,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from stageflow.operators import points as PT
 from stageflow.streaming import jobs as J
-from stageflow.streaming import slots as SL
+from stageflow.streaming import ordered as O
 from stageflow.streaming import sources as SRC
 
 
@@ -82,72 +83,140 @@ def plain_windows(rows, exit_stage, window):
     return want
 
 
-EVENTS = "entity long, event_id long, us long, stage string, is_anomaly boolean, outcome int"
-
-
 def _messages(spark, n=400):
     rng = random.Random(4)
     rows = [(rng.randrange(12), i, 1000 * i + rng.randrange(3000), rng.choice("aabcdx"), rng.random() < 0.2, int(rng.random() < 0.4)) for i in range(n)]
-    return spark.createDataFrame(rows, EVENTS)
+    return spark.createDataFrame(rows, O.Entities.row)
+
 
+def _both(spark, folder, schema, delay, per_trigger):
+    stream = O.files(spark, folder, schema, per_trigger).withColumn(O.TIME, O.timed(F.col("us")))
+    entities = O.apply(stream, ["entity"], O.Entities("x"), O.Entities.output, delay)
+    return O.apply(O.stage_messages(entities), ["stage"], O.StageWindows(7, -1.0), O.StageWindows.output)
 
-@pytest.mark.parametrize(("files", "per_trigger"), [(1, 256), (300, 64), (12, 1)])
+
+@pytest.mark.parametrize(("files", "per_trigger"), [(1, 1), (300, 100)])
 def test_order_and_number_of_files_do_not_matter(spark, tmp_path, files, per_trigger):
+    """Shuffled files that each hold all times need a delay of the whole time, and come out the same."""
     src = _messages(spark)
     src.repartition(files, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/in")
-    job = SL.Slots(spark, f"{tmp_path}/job", EVENTS)
-    job.land(SRC.file_stream(spark, f"{tmp_path}/in", src.schema, per_trigger=per_trigger))
-    both = SL.entities_and_stages("x", 7, -1.0)
-    job.advance(both, {"entities": SL.ENTITIES, "recent": SL.RECENT}, flush=True)
-    got = {(r.stage, r.event_id): (r.visits, round(r.observed_rate, 6)) for r in job.table().collect()}
-    assert got == plain_windows(src.collect(), "x", 7)
+    O.marker(src, f"{tmp_path}/in", 10**9)
+    out = O.run(_both(spark, f"{tmp_path}/in", src.schema, "1 second", per_trigger), "files")
+    assert {(r.stage, r.event_id): (r.visits, round(r.observed_rate, 6)) for r in out.collect()} == plain_windows(src.collect(), "x", 7)
 
 
-def test_state_is_carried_between_calls_and_late_rows_are_set_aside(spark, tmp_path):
+def test_state_goes_on_after_a_restart_and_late_rows_are_dropped(spark, tmp_path):
     src = _messages(spark)
     rows = src.collect()
-    late = spark.createDataFrame([(1, 9999, 5, "a", False, 0)], EVENTS)
-    state = {"entities": SL.ENTITIES, "recent": SL.RECENT}
-    jobs = {"entities": (SL.track_entities("x"), {"entities": SL.ENTITIES}), "stages": (SL.entities_and_stages("x", 7, -1.0), state)}
-    parts = [src.where("event_id < 150"), src.where("event_id >= 150 AND event_id < 290"), src.where("event_id >= 290").unionByName(late)]
-    for name, (step, carried) in jobs.items():
-        job = SL.Slots(spark, f"{tmp_path}/{name}", EVENTS, delay_us=4000)
-        for k, part in enumerate(parts):
-            part.write.mode("append").parquet(f"{tmp_path}/in-{name}")
-            job = SL.Slots(spark, f"{tmp_path}/{name}", EVENTS, delay_us=4000)  # as after a restart
-            job.land(SRC.file_stream(spark, f"{tmp_path}/in-{name}", src.schema))
-            job.advance(step, carried, flush=k == 2)
-        assert [r.event_id for r in job.table("late").collect()] == [9999]
-        out = job.table().collect()
-        if name == "entities":
-            assert {r.event_id: (r.prev_stage, r.visited, r.anomalies, r.life) for r in out} == plain_states(rows, "x")
-            assert job.state("entities", SL.ENTITIES).count() == len({r.entity for r in rows})
-        else:
-            assert {(r.stage, r.event_id): (r.visits, round(r.observed_rate, 6)) for r in out} == plain_windows(rows, "x", 7)
-            assert job.state("recent", SL.RECENT).groupBy("stage", "kind").count().where("count > 8").count() == 0
-
-
-def test_a_long_silence_starts_a_new_life(spark):
-    rows = spark.createDataFrame([(1, 1, 0, "a", True, 0), (1, 2, 10, "b", True, 0), (1, 3, 500, "a", True, 0)], EVENTS)
-    out, state = SL.track_entities("x", idle_us=100)(rows, {"entities": spark.createDataFrame([], SL.ENTITIES)})
-    assert [(r.life, r.prev_stage, r.visited, r.anomalies) for r in out.orderBy("us").collect()] == [(0, None, 1, 1), (0, "a", 2, 2), (1, None, 1, 1)]
-    later = spark.createDataFrame([(1, 4, 900, "b", False, 0)], EVENTS)
-    assert SL.track_entities("x", idle_us=100)(later, state)[0].first().life == 2
-
-
-def test_sequences_across_calls(spark):
-    step = SL.sequences(3, 1, 10)
-    rows = lambda ids: spark.createDataFrame([(1, 10 * i, float(i)) for i in ids], "line int, us long, value double")
-    out, state = step(rows([1, 2]), {"windows": spark.createDataFrame([], SL.BUFFER)})
-    assert out.count() == 0
-    out, state = step(rows([3, 4, 6]), state)
-    assert sorted((r.window_id, r.first_window, r["values"]) for r in out.collect()) == [(3, 1, [1.0, 2.0, 3.0]), (4, 2, [2.0, 3.0, 4.0])]
-    assert step(rows([7, 8]), state)[0].select("window_id").collect()[0][0] == 8
-
-
-def test_stalled_stage_is_reported_before_it_speaks_again(spark):
-    last = spark.createDataFrame([("a", 10), ("b", 95)], SL.LAST)
-    assert [tuple(r) for r in SL.stalled(last, 100, 50).collect()] == [("a", 10, 100)]
+    folder, checkpoint, out = (f"{tmp_path}/{x}" for x in ("in", "checkpoint", "out"))
+    src.where("event_id < 230").coalesce(1).write.parquet(folder)
+    first = O.run(_both(spark, folder, src.schema, "4 milliseconds", 1), "restart", checkpoint, out).count()
+    assert 200 < first < 230  # what the watermark has not passed waits in the state
+    src.where("event_id >= 230").unionByName(spark.createDataFrame([(1, 9999, 5, "a", False, 0)], src.schema)).coalesce(1).write.mode("append").parquet(folder)
+    O.marker(src, folder, 10**9)
+    got = O.run(_both(spark, folder, src.schema, "4 milliseconds", 1), "restart", checkpoint, out)
+    assert {(r.stage, r.event_id): (r.visits, round(r.observed_rate, 6)) for r in got.collect()} == plain_windows(rows, "x", 7)
+
+
+class _Value:
+    """State of one key in memory."""
+
+    def __init__(self):
+        self.x = None
+
+    def get(self):
+        return self.x
+
+    def update(self, x):
+        self.x = x
+
+
+class _List(_Value):
+    def get(self):
+        return iter(self.x or [])
+
+    def put(self, x):
+        self.x = list(x)
+
+    def clear(self):
+        self.x = None
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, name, schema):
+        return _Value()
+
+    def getListState(self, name, schema):
+        return _List()
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+class _Key:
+    """An operator for one key, driven by hand."""
+
+    def __init__(self, operator, key):
+        self.op, self.key, self.handle = operator, (key,), _Handle()
+        self.names = [c.split()[0] for c in operator.row.split(", ")]
+        operator.row_type = operator.value_type = type("T", (), {"names": self.names, "__iter__": lambda s: iter(())})()
+        operator.init(self.handle)
+
+    def rows(self, watermark, *rows):
+        return [r.asDict() for r in self.op.handleInputRows(self.key, iter([Row(**dict(zip(self.names, r, strict=True))) for r in rows]), _Clock(watermark))]
+
+    def tick(self, watermark):
+        out = []
+        for t in sorted(x for x in self.handle.timers if x < watermark):
+            out += [r.asDict() for r in self.op.handleExpiredTimer(self.key, _Clock(watermark), t)]
+            self.handle.timers.discard(t)
+        return out
+
+
+def test_a_long_silence_starts_a_new_life():
+    k = _Key(O.Entities("x", idle_us=100), 1)
+    got = k.rows(10, (1, 3, 500, "a", True, 0), (1, 1, 0, "a", True, 0), (1, 2, 10, "b", True, 0))
+    assert [(r["life"], r["prev_stage"], r["visited"], r["anomalies"]) for r in got] == [(0, None, 1, 1), (0, "a", 2, 2), (1, None, 1, 1)]
+    assert k.rows(20, (1, 4, 11000, "b", False, 0))[0]["life"] == 2 and not k.handle.timers
+
+
+def test_rows_wait_for_the_watermark_and_a_timer_takes_them():
+    k = _Key(O.Arrivals(1000), "s")
+    assert k.rows(0, ("s", 1, 5000), ("s", 2, 4200)) == [] and k.handle.timers == {4}
+    assert k.tick(4) == []
+    assert [(r["event_id"], r["arrivals"]) for r in k.tick(5)] == [(2, 1), (1, 2)] and not k.handle.timers
+    assert [(r["us"], r["arrivals"]) for r in k.rows(9, ("s", 3, 5999), ("s", 4, 6000), ("s", 5, 6000), ("s", 6, 6001))] == [(5999, 2), (6000, 4), (6000, 4), (6001, 4)]
+    assert k.op.carried.get()[0] == [5999, 6000, 6001]  # only the last width is kept
+
+
+def test_a_silence_is_reported_once_by_timer_and_armed_anew():
+    k = _Key(O.Silences(10_000), "s")
+    assert k.rows(5, ("s", 5000), ("s", 0)) == [] and k.handle.timers == {14}
+    assert [(r["kind"], r["idle_from"], r["us"]) for r in k.tick(15)] == [("idle", 5000, 15000)] and not k.handle.timers and k.tick(99) == []
+    assert [(r["kind"], r["idle_from"], r["us"]) for r in k.rows(60, ("s", 52000), ("s", 50000))] == [("back", 5000, 50000)] and k.handle.timers == {61}
+    assert [(r["kind"], r["us"]) for r in k.rows(85, ("s", 80000))] == [("idle", 62000), ("back", 80000)]
+
+
+def test_sequences():
+    k = _Key(O.Sequences(3, 1), 3)
+    row = lambda i: (3, 1000 * i, i, 1, float(i))
+    assert k.rows(2, row(1), row(2)) == []
+    assert [(r["window_id"], r["first_window"], r["values"]) for r in k.rows(6, row(6), row(3), row(4))] == [(3, 1, [1.0, 2.0, 3.0]), (4, 2, [2.0, 3.0, 4.0])]
+    assert [r["window_id"] for r in k.rows(9, row(7), row(8))] == [8]
 
 
 def test_replayed_batch_is_written_once(spark, tmp_path):
@@ -156,11 +225,3 @@ def test_replayed_batch_is_written_once(spark, tmp_path):
     write = J.write_batch(out)
     J.run_batches(SRC.file_stream(spark, path, src.schema, per_trigger=1), "once", lambda b, i: (write(b, i), write(b, i))[0])
     assert J.read_batches(src.schema, spark, out).count() == 120
-
-
-def test_idle_stretch_across_calls(spark):
-    step = SL.idle_stretches(10)
-    rows = lambda xs: spark.createDataFrame([("s", x) for x in xs], SL.LAST)
-    out, state = step(rows([5, 0]), {"last": spark.createDataFrame([], SL.LAST)})
-    assert out.count() == 0
-    assert [tuple(r) for r in step(rows([52, 50]), state)[0].collect()] == [("s", 5, 50)]
