@@ -2,7 +2,7 @@
 
 The terms of a text are its words (white space between them, A-Z lower-cased), weighted by their counts. For each of ``SAMPLES`` samples and each
 term, two gamma variates of shape 2 (r, c) and a uniform one (b) follow from a hash of the term alone. With t = floor(ln w / r + b), the
-sample takes the term with the least c exp(-r (t - b) - r), and keeps a 16-bit hash of the term and t. Two texts keep the same
+sample takes the term with the least c exp(-r (t - b) - r), in single precision, and keeps a 16-bit hash of the term and t. Two texts keep the same
 in a sample with the probability of their generalised Jaccard similarity: the sum over terms of the lesser count, by that of the greater. So
 the share of equal samples (``likeness``) estimates it, with a standard deviation of at most 0.5 / sqrt(SAMPLES).
 
@@ -33,7 +33,6 @@ from stageflow.llm.textvec import _powers, mix
 SAMPLES = 128
 #: Least rows of a range, and most ranges; characters of text, and terms, sampled at once.
 RANGE, RANGES, STEP, TERMS = 1024, 1 << 16, 1 << 21, 1 << 14
-_LEFT = np.uint64(0xFFFFFFFFFFFF0000)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -48,19 +47,33 @@ def _term_hashes(words: list[bytes]) -> np.ndarray:
         return mix((total[end] - total[first]) * down[first])
 
 
-def draws(terms: np.ndarray, weights: np.ndarray, sample: int) -> np.ndarray:
-    """What each weighted term offers to a sample, as 64-bit numbers whose least wins: the order of c exp(-r (t - b) - r) in the upper 48
-    bits, the hash of (term, t) in the lower 16."""
+def _mixed(h: np.ndarray, number: int) -> np.ndarray:
+    """32-bit hash of the upper and lower half of 64-bit hashes, another one for each number."""
+    factor = np.uint32(int(mix(np.array([number + 1], np.uint64))[0]) >> 32 | 1)
     with np.errstate(over="ignore"):
-        seeds = [mix(terms + np.uint64(0x9E3779B97F4A7C15) * np.uint64(3 * sample + k + 1)) for k in range(3)]
-        u = [(half.astype(np.float64) + 0.5) / 2.0**32 for s in seeds for half in (s >> np.uint64(32), s & np.uint64(0xFFFFFFFF))]
-        r, b = -np.log(u[0] * u[1]), u[4]
-        t = np.floor(np.log(weights) / r + b)
-        value = np.log(-np.log(u[2] * u[3])) - r * (t - b) - r
-        bits = value.view(np.int64)
-        order = (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.uint64) ^ np.uint64(1 << 63)
-        kept = mix(seeds[2] ^ t.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)
-    return (order & _LEFT) | kept
+        x = h[1] * factor + h[0]
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1 from the upper 24 bits."""
+    return ((x >> np.uint32(8)).view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+
+
+def draws(terms: np.ndarray, log_weights: np.ndarray, sample: int) -> np.ndarray:
+    """What each weighted term offers to a sample, as numbers whose least wins: the order of c exp(-r (t - b) - r) in single precision, and
+    below it 16 bits of the hash of (term, t). terms: halves of the hashes, in two rows."""
+    x = [_mixed(terms, 5 * sample + k) for k in range(5)]
+    r, b = -np.log(_uniform(x[0]) * _uniform(x[1])), _uniform(x[4])
+    t = np.floor(log_weights / r + b)
+    value = np.log(-np.log(_uniform(x[2]) * _uniform(x[3]))) - r * (t - b + np.float32(1))
+    bits = value.view(np.int32)
+    order = (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).view(np.uint32) ^ np.uint32(1 << 31)
+    with np.errstate(over="ignore"):
+        kept = _mixed(np.stack([x[4], t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)]), 5 * sample) >> np.uint32(16)
+    return order.astype(np.uint64) << np.uint64(16) | kept
 
 
 def signatures(texts: list[str], samples: int = SAMPLES) -> list[np.ndarray]:
@@ -75,13 +88,14 @@ def signatures(texts: list[str], samples: int = SAMPLES) -> list[np.ndarray]:
     at, count = np.array(index, np.int64), np.array(size, np.int64)
     full = np.flatnonzero(count)
     if len(full):
-        terms = _term_hashes([w for w, _ in number])
-        weights = np.array([n for _, n in number], np.float64)
+        hashes = _term_hashes([w for w, _ in number])
+        terms = np.stack([hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
+        weights = np.log(np.array([n for _, n in number], np.float32))
         first = (np.cumsum(count) - count)[full]
-        offers = np.empty(len(terms), np.uint64)
+        offers = np.empty(len(weights), np.uint64)
         for k in range(samples):
-            for a in range(0, len(terms), TERMS):  # what a step computes stays in the cache
-                offers[a : a + TERMS] = draws(terms[a : a + TERMS], weights[a : a + TERMS], k)
+            for a in range(0, len(weights), TERMS):  # what a step computes stays in the cache
+                offers[a : a + TERMS] = draws(terms[:, a : a + TERMS], weights[a : a + TERMS], k)
             out[full, k] = np.minimum.reduceat(offers[at], first) & np.uint64(0xFFFF)
     return [row if n else row[:0] for row, n in zip(out, size, strict=True)]
 

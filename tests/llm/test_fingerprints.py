@@ -25,7 +25,8 @@ def plain_signature(text, samples):
     if not terms:
         return []
     h = P._term_hashes([w for w, _ in terms])
-    offers = [[int(P.draws(h[i : i + 1], np.array([float(n)]), k)[0]) for i, (_, n) in enumerate(terms)] for k in range(samples)]
+    halves = np.stack([h >> np.uint64(32), h & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
+    offers = [[int(P.draws(halves[:, i : i + 1], np.log(np.array([n], np.float32)), k)[0]) for i, (_, n) in enumerate(terms)] for k in range(samples)]
     return [min(o) & 0xFFFF for o in offers]
 
 
