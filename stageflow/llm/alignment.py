@@ -32,6 +32,8 @@ from stageflow.llm.common import materialize, table
 from stageflow.llm.tokens import Coder, Known, byte_level, default_path, gather, in_order, joined, piece_level, runs, starts, steps, words_of
 
 HOT, PAIRS = 1000, 2_000_000
+#: Bytes of text aligned at once, and of words that a worker keeps.
+STEP, KEEP = 1 << 21, 1 << 22
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 SCHEMA = "key binary, m long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<struct<pair:long,times:long>>"
 _FOREIGN = "▁"
@@ -54,7 +56,7 @@ class Aligner:
         self.a, self.b = a, b
         self.text_a = {e: _decimals(len(a.tokens), e) for e in ",|"}
         self.text_b = {e: _decimals(len(b.tokens), e) for e in ",;"}
-        self.known = Known(self.learn)
+        self.known = Known(self.learn, KEEP)
 
     def _exact(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both for all words, each with a blank in front; an error if the bytes of either are others."""
@@ -66,17 +68,18 @@ class Aligner:
             out.append(ids.astype(np.int64))
         return out[0], out[1]
 
-    def _ok(self, words: pa.Array) -> np.ndarray:
+    def _good(self, words: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Which words keep their bytes, and their ids."""
         ok = pc.invert(pc.match_substring(words, _FOREIGN)).to_numpy(zero_copy_only=False).copy()
         try:
-            self._exact(words.filter(pa.array(ok)))
+            return ok, self._exact(words.filter(pa.array(ok)))
         except ValueError:
             for i in np.flatnonzero(ok):
                 try:
                     self._exact(words.slice(i, 1))
                 except ValueError:
                     ok[i] = False
-        return ok
+        return ok, self._exact(words.filter(pa.array(ok))) if ok.any() else (np.empty(0, np.int64),) * 2
 
     def learn(self, words: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each word: pairs of linked ids, text of its groups, and its numbers of A tokens, B tokens and groups and whether it has tokens."""
@@ -85,11 +88,10 @@ class Aligner:
 
     def _learn(self, words: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         n = len(words)
-        ok = self._ok(words)
+        ok, (ids_a, ids_b) = self._good(words)
         if not ok.any():
             return [(np.empty(0, np.int64), np.zeros(n, np.int64)), (np.empty(0, np.uint8), np.zeros(n, np.int64)), (np.zeros(4 * n, np.int64), np.full(n, 4))]
         good = words.filter(pa.array(ok))
-        ids_a, ids_b = self._exact(good)
         at = np.flatnonzero(ok)
         ends = np.cumsum(pc.binary_length(good).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         end_a, end_b = np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b])
@@ -119,15 +121,17 @@ class Aligner:
             digests.append("" if text is None else hashlib.sha256(text.tobytes()).hexdigest())
         use = kept[owner]
         at, owner = at[use], owner[use]
-        size = pair_at[at + 1] - pair_at[at]
-        linked = np.stack([np.repeat(owner, size), pairs[gather(pair_at, at)]])
-        order = np.lexsort(linked[::-1])
-        linked = linked[:, order]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(linked) != 0).any(0)])) if linked.shape[1] else np.empty(0, np.int64)
-        times = np.diff(np.append(new, linked.shape[1]))
-        n_links = np.bincount(linked[0], minlength=len(texts))
-        offsets = starts(np.bincount(linked[0][new], minlength=len(texts)))
-        links = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(linked[1][new]), pa.array(times)], ["pair", "times"]))
+        span = len(self.a.tokens) * len(self.b.tokens)
+        linked = np.repeat(owner * span, pair_at[at + 1] - pair_at[at])
+        linked += pairs[gather(pair_at, at)]
+        linked.sort()
+        new = np.flatnonzero(np.diff(linked, prepend=-1))
+        times = np.diff(np.append(new, len(linked)))
+        linked = linked[new]
+        of = linked // span
+        n_links = np.bincount(of, weights=times, minlength=len(texts)).astype(np.int64)
+        offsets = starts(np.bincount(of, minlength=len(texts)))
+        links = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(linked % span), pa.array(times)], ["pair", "times"]))
         return np.concatenate([sums, n_links[:, None]], 1), digests, links
 
 
@@ -144,7 +148,7 @@ def aligned(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in steps(batch["text"]):
+            for i, j in steps(batch["text"], STEP):
                 part = batch.slice(i, j - i)
                 numbers, digests, links = aligner(path_a, path_b).batch(part["text"])
                 columns = [part["key"], part["m"], *[pa.array(numbers[:, k]) for k in range(4)], pa.array(digests, pa.string()), links]

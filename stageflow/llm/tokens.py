@@ -125,12 +125,12 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), starts(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
 
 
-def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``STEP`` bytes each."""
+def steps(texts: pa.Array, size: int = STEP) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes each."""
     upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + STEP, "right")))
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + size, "right")))
         yield a, b
         a = b
 
@@ -189,15 +189,15 @@ def word_ids(coder: Coder, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Known:
     """Words that a task has met, with values of each that ``learn`` computes for fresh ones: ragged arrays (flat values, counts)."""
 
-    def __init__(self, learn: Callable[[pa.Array], list[tuple[np.ndarray, np.ndarray]]]) -> None:
-        self.learn = learn
+    def __init__(self, learn: Callable[[pa.Array], list[tuple[np.ndarray, np.ndarray]]], keep: int | None = None) -> None:
+        self.learn, self.keep = learn, keep
         self.words = pa.array([], pa.string())
         self.values = [(flat, starts(counts)) for flat, counts in learn(self.words)]
 
     def index(self, words: pa.Array) -> np.ndarray:
         """Number of each of some distinct words."""
-        if self.words.nbytes > KEEP:
-            self.__init__(self.learn)
+        if self.words.nbytes > (self.keep or KEEP):
+            self.__init__(self.learn, self.keep)
         known = pc.index_in(words, value_set=self.words)
         at = known.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         if known.null_count:
