@@ -1,7 +1,8 @@
 """Conversations rebuilt from event logs and rendered as training text.
 
 Events carry (conversation, sequence, message, kind, role, text). Kinds: ``message`` sets the text, ``delta`` appends to it, ``edit`` replaces
-it, ``regenerate`` starts the message again and drops every message begun after it and before the regeneration. A null message means
+it, ``regenerate`` starts the message again and drops every message begun after it and before the regeneration. ``log_of_turns`` writes plain turns as
+such a log: streamed, edited or regenerated, with the text unchanged in the end. A null message means
 that the event is a whole message of its own. Unknown kinds and null sequences raise no error: such events are ordered first and act as
 ``message``.
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from stageflow.llm.common import table
 
 ROLE_TRAINED = "assistant"
+EVENTS_PER_TURN = 8
 PIECES = "conv_id long, turn long, offset long, piece string, loss_start long, loss_end long"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 _TURN = re.compile(r'<turn role="((?:[^"\\]|\\.)*)">\n((?:[^<\\]|\\.)*)</turn>\n', re.DOTALL)
@@ -41,6 +43,23 @@ def events_of_turns(df: DataFrame) -> DataFrame:
     return df.select("conv_id", F.col("turn").cast("long").alias("seq"), F.lit(None).cast("string").alias("message_id"), F.lit("message").alias("kind"), "role", "text")
 
 
+def log_of_turns(df: DataFrame, trained: str = ROLE_TRAINED) -> DataFrame:
+    """Plain turns (conv_id, turn, role, text) as a log that folds to them: a trained turn breaks off, is regenerated and streamed in two deltas;
+    another one is streamed in two parts and then edited to its whole text. A turn has ``EVENTS_PER_TURN`` places in the sequence, so turns are below 2**60;
+    one without a number is a whole message."""
+    half = (F.length("text") / 2).cast("int")
+    left, right = F.left("text", half), F.substr(F.col("text"), half + 1)
+    event = lambda place, kind, text: F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), text.alias("text"))
+    streamed = F.array(event(0, "message", right), event(1, "delta", left), event(2, "regenerate", F.lit("")), event(3, "delta", left), event(4, "delta", right))
+    edited = F.array(event(0, "message", left), event(1, "delta", right), event(2, "edit", F.col("text")))
+    whole = F.array(event(0, "message", F.col("text")))
+    rows = df.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    events = F.when(F.col("turn").isNull(), whole).when(F.col("role").eqNullSafe(F.lit(trained)), streamed).otherwise(edited)
+    message = F.when(F.col("turn").isNotNull(), F.col("row").cast("string"))
+    return rows.select("conv_id", "turn", message.alias("message_id"), "role", F.explode(events).alias("e")).select(
+        "conv_id", (F.col("turn") * EVENTS_PER_TURN + F.col("e.place")).alias("seq"), "message_id", "e.kind", "role", "e.text")
+
+
 def messages(events: DataFrame) -> DataFrame:
     """(conv_id, first_seq, role, text, regenerated): one row a message, before dropping what regenerations replaced."""
     e = events.select("conv_id", "seq", "message_id", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -67,23 +86,25 @@ def _escape(c: Column, quote: bool = False) -> Column:
 
 def _renderer(trained: str):
     def render(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by conversation and order; state: the latest regeneration of earlier messages, the turn number and the offset."""
-        conv, latest, turn, offset = object(), None, 0, 0
+        """Rows come sorted by conversation and order; state: the latest regeneration of messages begun before and at the current place, the turn
+        number and the offset."""
+        conv, place, latest, here, turn, offset = object(), None, None, None, 0, 0
         for frame in frames:
             out = []
             for c, seq, again, role, head, body in zip(frame.conv_id, frame.first_seq, frame.regenerated, frame.role, frame["head"], frame.body, strict=True):
-                c = None if pd.isna(c) else int(c)
+                c, seq = (None if pd.isna(x) else int(x) for x in (c, seq))
                 if c != conv:
-                    conv, latest, turn, offset = c, None, 0, 0
-                dropped = latest is not None and (pd.isna(seq) or seq < latest)
-                if not dropped:
+                    conv, place, latest, here, turn, offset = c, None, None, None, 0, 0
+                if seq != place:
+                    place, latest, here = seq, here if latest is None or (here is not None and here > latest) else latest, None
+                if latest is None or seq is not None and seq >= latest:
                     piece = f"{head}{body}</turn>\n"
                     at = offset + len(head)
                     loss = (at, at + len(body)) if role == trained else (None, None)
                     out.append((c, turn, offset, piece, *loss))
                     turn, offset = turn + 1, offset + len(piece)
                     if not pd.isna(again):
-                        latest = again if latest is None else max(latest, again)
+                        here = int(again) if here is None else max(here, int(again))
             made = pd.DataFrame(out, columns=["conv_id", "turn", "offset", "piece", "loss_start", "loss_end"])
             yield made.astype({"conv_id": "Int64", "loss_start": "Int64", "loss_end": "Int64"})
 
@@ -158,4 +179,4 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return digests(format_conversations(events_of_turns(turns)))
+    return digests(format_conversations(log_of_turns(turns)))
