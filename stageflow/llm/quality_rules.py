@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from stageflow.llm.common import pin, table
 
 BUCKETS = 10_000
-#: Bounded number of trusted documents whose words form the target distribution.
-MAX_TRUSTED = 20_000
+#: Most trusted ids that are broadcast; more are joined by a shuffle. All count.
+BROADCAST_IDS = 1_000_000
 THRESHOLD = -0.03
 SMOOTHING = 1.0
 SYMBOLS = "#*$%&|<>"
@@ -70,10 +70,11 @@ def _bucket(buckets: int, *parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
 
-def bucket_counts(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, raw, target): how often each bucket occurs over all rows and over those whose id is in ``trusted`` (bounded, distinct)."""
-    mark = F.broadcast(trusted.select(F.col(trusted.columns[0]).alias("_id"), F.lit(1).alias("_hit")))
-    rows = df.select(F.col(id_col).alias("_id"), pin(words(F.col(text_col))).alias("w")).join(mark, "_id", "left")
+def bucket_counts(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_IDS) -> DataFrame:
+    """(bucket, raw, target): how often each bucket occurs over all rows and over those whose id is in ``trusted`` (distinct)."""
+    mark = trusted.select(F.col(trusted.columns[0]).alias("_id"), F.lit(1).alias("_hit"))
+    few = mark.limit(most + 1).count() <= most
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(mark) if few else mark, "_id", "left").select("_hit", pin(words(F.col("_t"))).alias("w"))
     grams = F.concat(F.transform("w", lambda x: _bucket(buckets, x)), F.transform("w", lambda x, i: _bucket(buckets, x, F.get("w", i + 1))))
     return (
         rows.select(F.coalesce("_hit", F.lit(0)).alias("hit"), grams.alias("g"))
@@ -105,10 +106,9 @@ def score(w: str, ratios: list[float]) -> Column:
     return F.when(F.size(w) == 0, F.lit(0.0)).otherwise(total / (2 * F.size(w)))
 
 
-def trusted_ids(labels: DataFrame, max_rows: int = MAX_TRUSTED, id_col: str = "doc_id") -> DataFrame:
-    """At most ``max_rows`` distinct ids labelled good, those with the smallest hash."""
-    good = labels.where(F.col("quality") == 1).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    return good.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The distinct ids labelled good."""
+    return labels.where(F.col("quality") == 1).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
 
 
 def judge(df: DataFrame, ratios: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

@@ -71,6 +71,11 @@ def test_no_python_and_no_text_shuffle(spark, odd_docs):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
-def test_trusted_ids_are_bounded(spark):
-    labels = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
-    assert Q.trusted_ids(labels.unionAll(labels), 10).count() == 10
+def test_all_trusted_rows_count_however_they_are_joined(spark):
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"))
+    trusted = Q.trusted_ids(labels.unionAll(labels))
+    assert trusted.count() == 300
+    for most in (Q.BROADCAST_IDS, 10):
+        found = Q.bucket_counts(docs, trusted, most=most).agg(F.sum("raw"), F.sum("target")).first()
+        assert tuple(found) == (1600, 1200)
