@@ -225,16 +225,18 @@ def slowdown(visits: DataFrame, windows: DataFrame, minutes: float, stage: str =
 
 
 def binned_timeline(
-    visits: DataFrame, values: DataFrame, width: int, stage: str = "stage", t: str = "entry", label: str = "label"
+    visits: DataFrame, values: DataFrame, width: int, stage: str = "stage", t: str = "entry", label: str = "label", feature: str = "feature"
 ) -> DataFrame:
-    """AGG38: count, failures, rate and mean reading per stage and bin; empty bins stay null, never interpolated."""
+    """AGG38: count, failures, rate and mean reading per stage, feature and bin; empty bins stay null, never interpolated."""
     slot = F.floor(F.col(t) / F.lit(width)).cast("long")
     rates = visits.groupBy(stage, slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("long").alias("defects"))
-    means = values.groupBy(stage, slot.alias("bin")).agg(F.avg("value").alias("mean_value"))
+    means = values.groupBy(stage, feature, slot.alias("bin")).agg(F.avg("value").alias("mean_value"))
     span = rates.groupBy(stage).agg(F.min("bin").alias("_a"), F.max("bin").alias("_b"))
-    grid = P.dense_grid(span, "_a", "_b", 1, "bin").select(stage, "bin")
-    return grid.join(rates, [stage, "bin"], "left").join(means, [stage, "bin"], "left").select(
-        stage, "bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("defects", F.lit(0)).alias("defects"),
+    # One row a stage, bin and feature that the stage has.
+    features = means.groupBy(stage).agg(F.collect_set(feature).alias("_features"))
+    grid = P.dense_grid(span.join(features, stage), "_a", "_b", 1, "bin").select(stage, "bin", F.explode("_features").alias(feature))
+    return grid.join(rates, [stage, "bin"], "left").join(means, [stage, feature, "bin"], "left").select(
+        stage, feature, "bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("defects", F.lit(0)).alias("defects"),
         (F.col("defects") / F.col("n")).alias("rate"), "mean_value",
     )
 

@@ -156,9 +156,32 @@ def snk5(d):
     )
 
 
-@query("snk5_points_all_measurements")
+cte("anom", """SELECT w AS window_id, list_transform(c, lambda x: pow(x / 20.0 - 1.0, 2)) AS e FROM (SELECT entry // 7 AS w, [""" + ", ".join(f"count(*) FILTER (stage = {s})" for s in STAGES) + "] AS c FROM v GROUP BY 1)", ["v"])
+
+
+def counts_sql() -> str:
+    """Points by measurement and field, counted in the tables behind the messages: all rows, or those that have the value."""
+    every = {
+        "health": ("station_health", "health_score feature_drift_score transit_pacing_score defect_rate_score active_features_count parts_processed_window observed_defect_rate"),
+        "etab": ("ai_part_risk", "decision_time predicted_defect_prob ground_truth_response"),
+        "wm": ("ai_window", "throughput zero_delta_share max_abs_z mean_abs_z p90_transit"),
+        "anom": ("ai_anomaly", "anomaly_score threshold_p99 " + " ".join(f"attr_S{s}" for s in STAGES)),
+        "(SELECT * FROM m WHERE is_exit)": ("line_overview", "active_parts_in_line total_parts_entered total_parts_completed total_defects_observed cumulative_defect_rate rolling_throughput_per_hr line_average_health"),
+    }
+    parts = [f"SELECT '{name}' AS measurement, unnest({fields.split()}) AS field, count(*) AS n FROM {t}" for t, (name, fields) in every.items()]
+    values = {"station_telemetry": "part_id=* sim_time=* sim_time_hours=* transit_minutes=* response=response qty=qty price=price disc=disc tax=tax", "part_risk": "cumulative_risk=* cumulative_anomalies=* ground_truth_response=response"}
+    for name, fields in values.items():
+        parts += [f"SELECT '{name}', '{f}', count({c}) FROM m" for f, c in (x.split("=") for x in fields.split())]
+    return " UNION ALL ".join(parts)
+
+
+ALL_POINTS_SQL = sql("m health etab wm anom", counts_sql())
+MEASUREMENTS = ("telemetry", "health", "risk", "overview", "decision", "window", "anomaly")
+
+
+@query("snk5_points_all_measurements", ALL_POINTS_SQL)
 def snk5_all(d):
-    return MN.point_counts(points(d, "telemetry", "health", "risk", "overview", "decision", "window", "anomaly"))
+    return MN.point_counts(points(d, *MEASUREMENTS))
 
 
 cte("ovr", """WITH tot AS (SELECT entity, t, pos, is_exit, CAST(sum(CAST(is_exit AS INT)) OVER w AS BIGINT) AS completed, CAST(sum(CAST(is_exit AND coalesce(response, 0) = 1 AS INT)) OVER w AS BIGINT) AS defects FROM ml WINDOW w AS (ORDER BY pos)),
@@ -234,7 +257,7 @@ def mon12(d):
     return rounded(MN.high_risk_by_stage(points(d, "decision")), "peak")
 
 
-cte("anom", """SELECT w AS window_id, list_transform(c, lambda x: pow(x / 20.0 - 1.0, 2)) AS e FROM (SELECT entry // 7 AS w, [""" + ", ".join(f"count(*) FILTER (stage = {s})" for s in STAGES) + "] AS c FROM v GROUP BY 1)", ["v"])
+
 
 
 @query("mon13_anomaly_vs_threshold", sql("anom", f"""SELECT {T_SQL.format('(window_id + 1) * 7')} AS us, 'Reconstruction Error (MSE)' AS field, round(list_sum(e) / 7.0, 6) AS value FROM anom
@@ -253,12 +276,9 @@ def mon15(d):
     return us(MN.window_series(points(d, "window")))
 
 
-@query("mon16_point_counts", sql("m wm anom", """SELECT 'station_telemetry' AS measurement, unnest(['part_id', 'sim_time', 'sim_time_hours', 'transit_minutes', 'response', 'qty', 'price', 'disc', 'tax']) AS field,
-  unnest([count(*), count(*), count(*), count(*), count(response), count(qty), count(price), count(disc), count(tax)]) AS n FROM m
-  UNION ALL SELECT 'ai_window', unnest(['throughput', 'zero_delta_share', 'max_abs_z', 'mean_abs_z', 'p90_transit']), unnest([count(*), count(*), count(*), count(*), count(*)]) FROM wm
-  UNION ALL SELECT 'ai_anomaly', unnest(['anomaly_score', 'threshold_p99', 'attr_S1', 'attr_S2', 'attr_S3', 'attr_S4', 'attr_S5', 'attr_S6', 'attr_S7']), unnest([count(*), count(*), count(*), count(*), count(*), count(*), count(*), count(*), count(*)]) FROM anom"""))
+@query("mon16_point_counts", ALL_POINTS_SQL)
 def mon16(d):
-    return MN.point_counts(points(d, "telemetry", "window", "anomaly"))
+    return MN.point_counts(points(d, *MEASUREMENTS))
 
 
 # ---- alerts over the event stream table, seconds since 2024-01-01 -------------------------------------------

@@ -10,7 +10,7 @@ from stageflow.operators import quality as Q
 from stageflow.operators import throughput as T
 from stageflow.plans.flow import rounded, routes_labelled
 from stageflow.operators import routes as R
-from stageflow.plans.registry import cte, query, sql
+from stageflow.plans.registry import cte, half_up, query, sql
 from stageflow.session import work_dir
 from stageflow.sources import io
 from stageflow.sources.tables import SENSORS, STAGES, wide_names
@@ -77,9 +77,10 @@ def src6(d):
     return o.withColumn("order_us", F.unix_micros(F.col("o_orderdate").cast("timestamp"))).drop("o_orderdate")
 
 
-@query("src7_baseline_scan", sql("baseline", "SELECT stage, feature, round(mean * n, 6) / n AS mean, round(std, 6) AS std FROM baseline"))
+@query("src7_baseline_scan", sql("baseline", f"SELECT stage, feature, {half_up('mean', 6)} AS mean, {half_up('std', 6)} AS std FROM baseline"))
 def src7(d):
-    stats = rounded(PR.baselines(d.sensor_values, ("stage", "feature")), "mean", "std")
+    base = PR.baselines(d.sensor_values, ("stage", "feature"))
+    stats = base.withColumns({c: S.round_half_up(F.col(c), 6) for c in ("mean", "std")})
     path = io.write_summary_csv(stats, work_dir(d.spark, "baseline_csv"))
     back = d.spark.read.schema("stage INT, feature STRING, mean DOUBLE, std DOUBLE").option("header", True).csv(path)
     return back.withColumn("std", F.when(F.col("std") > 0, F.col("std")).otherwise(F.lit(0.01)))
@@ -191,7 +192,7 @@ def _profile_sql():
     return " UNION ALL ".join(parts)
 
 
-PATTERN = r"^L(\d+)_S(\d+)_([FD])(\d+)$"
+PATTERN = S.COLUMN_PATTERN
 
 
 def _parsed(i, name):
@@ -372,13 +373,12 @@ def agg27(d):
     return rounded(out, "mu", "sigma", "max_abs_z", "peak_rate", "rate", "spike_ratio")
 
 
-@query("agg34_period_feature_z", sql("sens", """, g AS (SELECT stage, feature, avg(value) AS mu, stddev_samp(value) AS sigma FROM sens GROUP BY 1, 2),
+@query("agg34_period_feature_z", sql("sens", f""", g AS (SELECT stage, feature, avg(value) AS mu, stddev_samp(value) AS sigma FROM sens GROUP BY 1, 2),
   w AS (SELECT stage, feature, CAST(floor(entry / 7.0) AS INTEGER) AS period, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM sens GROUP BY 1, 2, 3)
-  SELECT stage, feature, period, n, round(mean * n, 6) / n AS mean, round(std, 5) AS std, round((mean - mu) / sigma, 5) AS z FROM w JOIN g USING (stage, feature)"""))
+  SELECT stage, feature, period, n, {half_up('mean', 6)} AS mean, round(std, 5) AS std, round((mean - mu) / sigma, 5) AS z FROM w JOIN g USING (stage, feature)"""))
 def agg34(d):
     out = rounded(D.period_z(d.sensor_values, "entry", DAY_SCALE), "std", "z", digits=5)
-    # The sum is rounded, far below the precision of any reading; a mean of 32 readings would often lie on a rounding tie.
-    out = out.withColumn("mean", F.round(F.col("mean") * F.col("n"), 6) / F.col("n"))
+    out = out.withColumn("mean", S.round_half_up(F.col("mean"), 6))
     return out.orderBy(F.desc(F.abs("z")), "stage", "feature", "period")
 
 

@@ -178,13 +178,12 @@ def agg37(d):
 
 
 @query("agg38_binned_timeline", sql("lv sens", """, a AS (SELECT stage, entry // 30 AS bin, count(*) AS n, CAST(sum(label) AS BIGINT) AS defects FROM lv GROUP BY 1, 2),
-  b AS (SELECT stage, entry // 30 AS bin, avg(value) AS mean_value FROM sens WHERE feature = 'qty' GROUP BY 1, 2),
-  g AS (SELECT stage, unnest(generate_series(lo, hi)) AS bin FROM (SELECT stage, min(bin) AS lo, max(bin) AS hi FROM a GROUP BY stage))
-  SELECT g.stage, g.bin, coalesce(n, 0) AS n, coalesce(defects, 0) AS defects, round(defects / n, 6) AS rate, round(mean_value, 6) AS mean_value
-  FROM g LEFT JOIN a USING (stage, bin) LEFT JOIN b USING (stage, bin)"""))
+  b AS (SELECT stage, entry // 30 AS bin, feature, avg(value) AS mean_value FROM sens GROUP BY 1, 2, 3),
+  g AS (SELECT stage, unnest(generate_series(lo, hi)) AS bin FROM (SELECT stage, min(bin) AS lo, max(bin) AS hi FROM a GROUP BY stage)), f AS (SELECT DISTINCT stage, feature FROM b)
+  SELECT g.stage, f.feature, g.bin, coalesce(n, 0) AS n, coalesce(defects, 0) AS defects, round(defects / n, 6) AS rate, round(mean_value, 6) AS mean_value
+  FROM g JOIN f ON f.stage = g.stage LEFT JOIN a ON a.stage = g.stage AND a.bin = g.bin LEFT JOIN b ON b.stage = g.stage AND b.bin = g.bin AND b.feature = f.feature"""))
 def agg38(d):
-    vals = d.sensor_values.where("feature = 'qty'")
-    return rounded(SC.binned_timeline(d.labelled_visits, vals, 30), "rate", "mean_value")
+    return rounded(SC.binned_timeline(d.labelled_visits, d.sensor_values, 30), "rate", "mean_value")
 
 
 @query("stat3_autocorrelation", sql("v", """, h AS (SELECT entry // 1 AS bin, count(*) AS n FROM v GROUP BY 1), g AS (SELECT unnest(generate_series(lo, hi)) AS bin FROM (SELECT min(bin) AS lo, max(bin) AS hi FROM h)),
