@@ -10,17 +10,21 @@ match if the weighted Jaccard similarity of their shingle multisets is at least
 3. Fingerprints of the items of one length are indexed by eight blocks of 8 bits. Two fingerprints within ``RADIUS`` differ by at most
    RADIUS // 8 bits in some block. For each block and each of its 256 values the index has the items that near, so eight lookups
    give all items within the radius; full distances are then compared.
-4. The remaining pairs of window and item are verified exactly; of overlapping windows for an item the best is returned (ties: the first).
+4. The remaining pairs of window and item are verified exactly, each from the window before it: only the shingles that left and entered
+   are counted, so the work grows with the text's length, also where a passage is repeated over megabytes. Of overlapping windows for an item
+   the best is returned (ties: the first).
 
 The benchmark is small next to the corpus. Its items are sent to the tasks in slices of at most ``SLICE`` rows, each slice a pass over the
 documents, so what is sent has a bound whatever the benchmark's size. The documents are neither shuffled nor collected.
 
 Null texts and items, and those of fewer than five words, have no shingles and match nothing. Repeated documents give a row each, repeated items a match each with their
-own id. Texts are read whole; long ones in pieces that overlap by more than the longest item. Empty tables give no rows. Other columns are not read.
+own id. Texts are read whole; fingerprints are summed over ``PIECE`` shingles at a time, with an overlap of the longest item, so memory beside the
+text itself does not grow with its length. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -39,7 +43,12 @@ RADIUS = 19
 _BLOCKS, _BLOCK_BITS = 8, 8
 #: Most benchmark rows sent to the tasks at once.
 SLICE = 20_000
-_ROWS = 128
+#: Texts hashed together: at most this many, and about this many characters unless one text is longer.
+_ROWS, _CHARS = 128, 4_000_000
+#: Shingles whose signs are held at once, if no item is longer than a quarter of it.
+PIECE = 16_384
+#: Pairs of a fingerprint and an item compared at once.
+_PAIRS = 1 << 24
 MATCHES = "doc_id long, item_id long, first_word long, n_words long, similarity double, distance int"
 
 
@@ -105,6 +114,10 @@ class Index:
     def near(self, prints: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of prints, item of ``words`` words, distance) of all pairs within the radius."""
         items, tables = self.by_length[words]
+        step = max(1, _PAIRS // len(items))
+        if len(prints) > step:
+            parts = [(a, self.near(prints[a : a + step], words)) for a in range(0, len(prints), step)]
+            return tuple(np.concatenate(x) for x in zip(*[(row + a, k, far) for a, (row, k, far) in parts], strict=True))
         blocks = _blocks_of(prints)
         maybe = np.zeros((len(prints), len(items)), bool)
         for b, table_ in enumerate(tables):
@@ -126,11 +139,66 @@ def _multiset(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, np.bincount(back, weights=weight, minlength=len(keys))
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two multisets."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    return float(both / (a[1].sum() + b[1].sum() - both)) if both else 0.0
+def _similarities(h: np.ndarray, weight: np.ndarray, upto: np.ndarray, start: np.ndarray, size: int, item: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Weighted Jaccard similarity of an item's multiset to those of the windows of ``size`` shingles at ``start`` (ascending)."""
+    both = np.zeros(len(start))
+    breaks = np.flatnonzero(np.diff(start) >= size) + 1  # windows before and after share no shingle
+    for run in np.split(np.arange(len(start)), breaks):
+        a, b = start[run[0]], start[run[-1]] + size
+        key = np.minimum(np.searchsorted(item[0], h[a:b]), len(item[0]) - 1)
+        mine = np.flatnonzero(item[0][key] == h[a:b])
+        places, keys, weights = (mine + a).tolist(), key[mine].tolist(), weight[a:b][mine].tolist()
+        limit, have, shared, left, entered = item[1].tolist(), [0] * len(item[0]), 0.0, 0, 0
+        for n in run.tolist():
+            s = int(start[n])
+            while entered < len(places) and places[entered] < s + size:
+                k, old = keys[entered], have[keys[entered]]
+                have[k] = old + weights[entered]
+                shared += min(have[k], limit[k]) - min(old, limit[k])
+                entered += 1
+            while left < entered and places[left] < s:
+                k, old = keys[left], have[keys[left]]
+                have[k] = old - weights[left]
+                shared += min(have[k], limit[k]) - min(old, limit[k])
+                left += 1
+            both[n] = shared
+    return both / (upto[start + size] - upto[start] + item[1].sum() - both)
+
+
+def _apart(found: list[tuple[float, int, int]], words: int) -> Iterator[tuple[float, int, int]]:
+    """Of (-similarity, first word, distance), the best ones that don't overlap; all windows have ``words`` words."""
+    taken: list[int] = []
+    for value, s, distance in sorted(found):
+        at = bisect_left(taken, s)
+        if (at == 0 or taken[at - 1] + words <= s) and (at == len(taken) or s + words <= taken[at]):
+            taken.insert(at, s)
+            yield -value, s, distance
+
+
+def _candidates(h: np.ndarray, weight: np.ndarray, windows: list[tuple[int, int, np.ndarray]], index: Index) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(item, shingles of a window, starts, distances) of the windows whose fingerprint is within the radius of the item's."""
+    held = np.zeros(len(h) + 1, np.int64)  # shingles that some window holds
+    for _, size, start in windows:
+        np.add.at(held, start, 1)
+        np.add.at(held, start + size, -1)
+    near = np.flatnonzero(np.cumsum(held[:-1]))
+    longest = max(size for _, size, _ in windows)
+    piece = max(PIECE, 4 * longest)
+    places = [np.searchsorted(near, start) for _, _, start in windows]
+    for a in range(0, len(near), piece):
+        part = near[a : a + piece + longest]
+        total = np.zeros((len(part) + 1, 64))
+        np.cumsum(_signs(h[part]) * weight[part][:, None], axis=0, out=total[1:])
+        for (words, size, start), place in zip(windows, places, strict=True):
+            inside = slice(*np.searchsorted(place, [a, a + piece]))
+            at = place[inside] - a
+            if not len(at):
+                continue
+            row, item, distance = index.near(_fingerprints(total[at + size] - total[at]), words)
+            order = np.argsort(item, kind="stable")
+            row, item, distance = row[order], item[order], distance[order]
+            for rows in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1) if len(item) else []:
+                yield int(item[rows[0]]), size, start[inside][row[rows]], distance[rows]
 
 
 def _matches_of(h: np.ndarray, weight: np.ndarray, index: Index, threshold: float) -> list[tuple[int, int, int, float, int]]:
@@ -139,7 +207,6 @@ def _matches_of(h: np.ndarray, weight: np.ndarray, index: Index, threshold: floa
     if not known.any():
         return []
     all_, hit = (np.concatenate([[0], np.cumsum(x)]) for x in (weight, weight * known))
-    best: dict[int, list[tuple[float, int, int, int]]] = {}
     windows = []
     for words in index.lengths:
         size = min(int(words) - SHINGLE + 1, len(h))  # a shorter document is one window
@@ -151,36 +218,33 @@ def _matches_of(h: np.ndarray, weight: np.ndarray, index: Index, threshold: floa
             windows.append((int(words), size, start))
     if not windows:
         return []
-    held = np.zeros(len(h) + 1, np.int64)  # shingles that some window holds
-    for _, size, start in windows:
-        np.add.at(held, start, 1)
-        np.add.at(held, start + size, -1)
-    near = np.flatnonzero(np.cumsum(held[:-1]))
-    total = np.zeros((len(near) + 1, 64))
-    np.cumsum(_signs(h[near]) * weight[near][:, None], axis=0, out=total[1:])
-    for words, size, start in windows:
-        at = np.searchsorted(near, start)
-        for row, item, distance in zip(*index.near(_fingerprints(total[at + size] - total[at]), words), strict=True):
-            s = start[row]
-            value = similarity(_multiset(h[s : s + size], weight[s : s + size]), index.sets[item])
-            if value >= threshold:
-                best.setdefault(int(item), []).append((-value, int(s), size + SHINGLE - 1, int(distance)))
-    out = []
-    for item, found in best.items():
-        taken: list[tuple[int, int]] = []
-        for value, s, words, distance in sorted(found):
-            if all(s + words <= a or s >= b for a, b in taken):
-                taken.append((s, s + words))
-                out.append((index.ids[item], s, words, -value, distance))
-    return sorted(out)
+    best: dict[int, list[tuple[float, int, int]]] = {}
+    sizes: dict[int, int] = {}
+    for item, size, start, distance in _candidates(h, weight, windows, index):
+        value = _similarities(h, weight, all_, start, size, index.sets[item])
+        good = value >= threshold
+        if good.any():
+            sizes[item] = size + SHINGLE - 1
+            best.setdefault(item, []).extend(zip((-value[good]).tolist(), start[good].tolist(), distance[good].tolist(), strict=True))
+    return sorted((index.ids[i], s, sizes[i], value, far) for i, found in best.items() for value, s, far in _apart(found, sizes[i]))
+
+
+def _parts(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows in runs of at most ``_ROWS`` rows and about ``_CHARS`` characters."""
+    first, chars = 0, 0
+    for n, size in enumerate(frame.text.str.len().fillna(0).astype(np.int64)):
+        if n > first and (n - first == _ROWS or chars + size > _CHARS):
+            yield frame.iloc[first:n]
+            first, chars = n, 0
+        chars += size
+    yield frame.iloc[first:]
 
 
 def _searcher(index: Index, threshold: float):
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for a in range(0, len(frame), _ROWS):
-                part = frame.iloc[a : a + _ROWS]
+            for part in _parts(frame):
                 h, weight, text, _ = _shingles(list(part.text))
                 cut = np.searchsorted(text, np.arange(len(part) + 1))
                 touched = np.unique(text[index.contains(h)])

@@ -189,3 +189,39 @@ def test_decontamination_odd_empty_and_slices(spark, odd_docs, no_docs, monkeypa
     assert [len(s) for s in D.slices(bench, "item_id", "text", 1)] == [1, 1]
     assert D.contaminated(no_docs, bench).count() == 0 and D.contaminated(odd_docs, bench.limit(0)).count() == 0
     assert D.flagged(odd_docs, bench.limit(0), "hit").where("hit").count() == 0
+
+
+def test_window_similarities_equal_counting():
+    """Windows verified one from the other, with gaps, repeated shingles and shingles of the item that come more often than there."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.sort(rng.integers(0, 2**63, 12).astype(np.uint64))
+    chars = rng.integers(5, 40, 12)
+    for size in (1, 3, 8):
+        at = rng.integers(0, 12, 200)
+        item_at = rng.integers(0, 9, size)
+        item = D._multiset(vocabulary[item_at], chars[item_at])
+        start = np.flatnonzero(rng.random(200 - size) < 0.3)
+        got = D._similarities(vocabulary[at], chars[at], np.concatenate([[0], np.cumsum(chars[at])]), start, size, item)
+        for s, value in zip(start, got, strict=True):
+            a, b = Counter(at[s : s + size].tolist()), Counter(item_at.tolist())
+            both, either = (sum(n * int(chars[k]) for k, n in x.items()) for x in (a & b, a | b))
+            assert abs(value - both / either) < 1e-12
+
+
+def test_repeated_passages_in_pieces(monkeypatch):
+    """A text that repeats a passage many times gives one match a copy, the same in pieces of any size, and in time that grows with its length."""
+    rng = np.random.default_rng(6)
+    item = " ".join(f"w{n}" for n in rng.integers(0, 500, 40))
+    other = " ".join(f"w{n}" for n in rng.integers(0, 500, 23))
+    index = D.Index([7, 8, 9], [item, other, None])
+    text = "\n".join([item, other, "some words between them"] * 60)
+    h, weight, _, _ = D._shingles([text])
+    whole = D._matches_of(h, weight, index, 0.8)
+    assert [m[1] for m in whole if m[0] == 7 and m[3] == 1.0] == [67 * k for k in range(60)]
+    assert [m[1] for m in whole if m[0] == 8 and m[3] == 1.0] == [67 * k + 40 for k in range(60)]
+    monkeypatch.setattr(D, "PIECE", 64)
+    monkeypatch.setattr(D, "_PAIRS", 16)
+    assert D._matches_of(h, weight, index, 0.8) == whole
+    monkeypatch.undo()
+    h, weight, _, _ = D._shingles([" ".join([item] * 4000)])  # about 650 kB
+    assert len(D._matches_of(h, weight, index, 0.8)) == 4000
