@@ -8,7 +8,9 @@ landmarks, then by languages.
 
 n-grams are those most frequent in the fitting rows (``VOCABULARY``), found through a table of hashes; presence is one bit each, so a very long
 text costs one row like any other and is read in pieces. The fitting rows are bounded (``PER_LANGUAGE`` for each language, taken by a hash of the
-id) and the driver only gets their n-gram counts and bits. The model is a few megabytes, whatever the corpus is.
+id) and written once as bits. The driver gets the landmarks' bits, ``landmarks`` rows or one a language if there are more languages, and sends them out; the tasks
+sum the normal equations over the rows, so what comes back is ``_SUMS`` matrices of landmarks by landmarks and by languages. Its memory and the model
+grow with the number of languages, not with the rows: a few megabytes for hundreds. More than 100,000 languages are refused.
 
 A null text and a text without a letter are ``und`` with score 0. A text with no known n-gram, and ties, go to the first language in order.
 Repeated rows get the same answer. A null id is never learned from and counts as held out. An empty or unlabelled table gives a model without
@@ -24,19 +26,21 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stageflow.llm import textvec
-from stageflow.llm.common import remainder, table
+from stageflow.llm.common import materialize, remainder, table
+from stageflow.session import dictionary
 
 ORDER = 4
 VOCABULARY = 4096
 LANDMARKS = 160
 RIDGE = 0.3
-#: Bound on the fitting rows of a language, and on the number of languages.
+#: Bound on the fitting rows of a language.
 PER_LANGUAGE = 600
-MAX_LANGUAGES = 400
+#: Partial sums of the normal equations that the driver adds up.
+_SUMS = 16
 #: Below this score the answer of a filter is "rejected".
 MIN_SCORE = 0.15
 UND = "und"
@@ -109,19 +113,31 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fitting_rows(docs: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(text, lang) of at most about ``per_language`` rows of each language, those with a small hash of the id. One light count decides the rates."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    sizes = usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    rate = F.lit(0.0)
-    for lg, n in sorted(sizes):
-        rate = F.when(F.col(lang) == lg, F.lit(min(1.0, per_language / n))).otherwise(rate)
-    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    return usable.where(place < rate).where(F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    named = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    usable = named.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("_key").isNotNull())
+    sizes = usable.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
+    place = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = usable.join(dictionary(sizes, "language-sizes"), F.col("lang") == F.col("_lang")).where(place < F.lit(float(per_language)) / F.col("_n"))
+    return chosen.where(F.col("text").rlike(r"\p{L}")).select("text", "lang")
+
+
+def _landmark_rows(rows: DataFrame, languages: int, landmarks: int) -> DataFrame:
+    """Rows of each language at equal steps of their order, so that every language has landmarks. A language has a bounded number of rows here."""
+    order = Window.partitionBy("lang").orderBy("bits")
+    numbered = rows.select("lang", "bits", (F.row_number().over(order) - 1).alias("k"), (F.count("*").over(Window.partitionBy("lang")) - 1).alias("last"))
+    steps = F.least(F.lit(max(1, landmarks // languages) - 1), F.col("last"))
+    step = F.ceil(F.col("k") * steps / F.greatest(F.col("last"), F.lit(1)))  # the first step at or after row k
+    return numbered.where(F.when(steps == 0, F.col("k") == 0).otherwise(step * F.col("last") < (F.col("k") + 1) * steps)).select("lang", "bits")
+
+
+def _rows_of(bits: list[bytes]) -> np.ndarray:
+    return _unit(np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in bits]).astype(np.float32))
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Fit on a bounded sample of ``docs``; pass only rows that may be learned from."""
-    rows = fitting_rows(docs, key, text, lang)
-    counts = rows.mapInPandas(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    chosen = fitting_rows(docs, key, text, lang)
+    counts = chosen.mapInPandas(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     top = [r.slot for r in counts.orderBy(F.desc("n"), "slot").limit(VOCABULARY).collect()]
     slots = np.full(1 << _BITS, VOCABULARY, np.int16)
     slots[top] = np.arange(len(top), dtype=np.int16)
@@ -133,32 +149,39 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 seen = _presence(list(part.text), slots)
                 yield pd.DataFrame({"lang": part.lang, "bits": [np.packbits(x > 0).tobytes() for x in seen]})
 
-    got = sorted((r.lang, bytes(r.bits)) for r in rows.mapInPandas(bits, "lang string, bits binary").collect())
-    languages = sorted({lg for lg, _ in got})
+    rows = materialize(chosen.mapInPandas(bits, "lang string, bits binary"), "language-bits")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model(slots, np.zeros((0, VOCABULARY), np.float32), np.zeros((0, 0), np.float32), [])
-    x = _unit(np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in got]).astype(np.float32))
-    y = np.array([languages.index(lg) for lg, _ in got])
-    chosen = _landmark_rows(y, len(languages), landmarks)
-    marks = x[chosen]
+    marks = _rows_of([bytes(b) for _, b in sorted((r.lang, bytes(r.bits)) for r in _landmark_rows(rows, len(languages), landmarks).collect())])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     large = values > 1e-6 * values.max()
     root = vectors[:, large] / np.sqrt(values[large])
-    phi = (x @ marks.T).astype(np.float64) @ root
-    weight = (len(y) / (len(languages) * np.bincount(y, minlength=len(languages))))[y][:, None]  # every language counts alike
-    target = np.eye(len(languages))[y]
-    solved = np.linalg.solve((phi * weight).T @ phi + ridge * np.eye(phi.shape[1]), (phi * weight).T @ target)
-    return Model(slots, marks, (root @ solved).astype(np.float32), languages)
+    place = {lg: k for k, lg in enumerate(languages)}
+    weight = np.array([sum(sizes.values()) / (len(languages) * sizes[lg]) for lg in languages])  # every language counts alike
+    shared = docs.sparkSession.sparkContext.broadcast((marks, root, place, weight))  # landmarks x vocabulary, landmarks x landmarks
 
-
-def _landmark_rows(y: np.ndarray, n: int, landmarks: int) -> np.ndarray:
-    """Rows of each language at equal steps, so that every language has landmarks."""
-    each = max(1, landmarks // n)
-    out = []
-    for k in range(n):
-        at = np.flatnonzero(y == k)
-        out.append(at[np.unique(np.linspace(0, len(at) - 1, min(each, len(at))).astype(int))])
-    return np.concatenate(out)
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks, root, place, weight = shared.value
+        square, target = np.zeros((root.shape[1], root.shape[1])), np.zeros((root.shape[1], len(place)))
+        for frame in frames:
+            for a in range(0, len(frame), _ROWS):
+                part = frame.iloc[a : a + _ROWS]
+                y = part.lang.map(place).to_numpy(np.int64)
+                phi = (_rows_of(list(part.bits)) @ marks.T).astype(np.float64) @ root
+                weighted = phi * weight[y][:, None]
+                square += weighted.T @ phi
+                np.add.at(target.T, y, weighted)
+        yield pd.DataFrame({"square": [square.tobytes()], "target": [target.tobytes()]})
+
+    dealt = rows.repartition(_SUMS, "bits").sortWithinPartitions("lang", "bits")  # a fixed order of additions
+    square, target = np.zeros((root.shape[1], root.shape[1])), np.zeros((root.shape[1], len(languages)))
+    for r in dealt.mapInPandas(sums, "square binary, target binary").collect():
+        square += np.frombuffer(r.square).reshape(square.shape)
+        target += np.frombuffer(r.target).reshape(target.shape)
+    solved = np.linalg.solve(square + ridge * np.eye(root.shape[1]), target)
+    return Model(slots, marks, (root @ solved).astype(np.float32), languages)
 
 
 def _score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

@@ -101,3 +101,33 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
     none = Q.fit(odd_docs, labels.limit(0))
     assert {r.out for r in Q.classify(odd_docs, none, name="out").select("out").collect()} == {0.5}
     assert Q.classify(no_docs, model, name="out").count() == 0
+
+
+def test_language_fit_is_the_ridge_optimum(spark):
+    """The gradient of the weighted squared error plus the penalty is zero, for rows counted one by one."""
+    rng = random.Random(3)
+    words = {lg: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)] for lg, letters in {"aa": "abcde", "bb": "cdefg", "cc": "xyzab"}.items()}
+    rows = [(n, " ".join(rng.choice(words[lg]) for _ in range(8)), lg) for n, lg in enumerate(["aa"] * 60 + ["bb"] * 25 + ["cc"])]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), landmarks=9)
+    assert model.languages == ["aa", "bb", "cc"] and len(model.landmarks) == 7  # three of the first two, the only one of the third
+    kernel = (L._unit(L._presence([t for _, t, _ in rows], model.slots)) @ model.landmarks.T).astype(float)
+    target = np.array([[lg == k for k in model.languages] for _, _, lg in rows], float)
+    weight = len(rows) / (3 * target.sum(0)) @ target.T
+    gram = (model.landmarks @ model.landmarks.T).astype(float)
+    w = model.weights.astype(float)
+    gradient = kernel.T @ (weight[:, None] * (kernel @ w - target)) + L.RIDGE * gram @ w
+    assert np.abs(gradient).max() < 1e-3 * np.abs(kernel.T @ target).max()
+
+
+def test_more_languages_than_landmarks(spark):
+    """Every language is learned, also rare ones among hundreds."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(420):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3)]
+        rows += [(len(rows) + n, " ".join(rng.sample(words, 3)), f"l{k:03d}") for n in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df)
+    assert len(model.languages) == 420 and len(model.landmarks) == 420
+    got = L.classify(df, model, "out").where("out.lang_pred = lang").count()
+    assert got >= 0.95 * len(rows)
