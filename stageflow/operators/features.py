@@ -13,7 +13,7 @@ from stageflow.functions.timescale import TimeScale
 from stageflow.operators import joins as J
 from stageflow.operators import primitives as P
 from stageflow.operators import visits as V
-from stageflow.session import materialize
+from stageflow.session import dictionary, materialize
 
 METRICS = ("max_abs_z", "mean_abs_z", "p90_transit", "zero_delta_share", "throughput")
 # What an empty or gap window contributes.
@@ -105,6 +105,25 @@ def impute_and_scale(df: DataFrame, columns: Sequence[str], train: Column) -> Da
     return df
 
 
+def scaled_array(df: DataFrame, columns: Sequence[str], group: str, train: Column) -> DataFrame:
+    """ML6 for all groups (folds, variants) at once: adds the array ``x`` of the columns, nulls filled with the median of the group's training rows, centred and
+    scaled by their mean and population deviation (0 -> 1). A column without a training value is 0."""
+    fit = df.where(train)
+    long = fit.unpivot([group], list(columns), "_c", "_v")
+    med = P.quantiles(long.select(group, "_c", F.col("_v").cast("double").alias("_v")), "_v", (0.5,), [group, "_c"])
+    med = med.groupBy(F.col(group).alias("_g")).agg(F.map_from_entries(F.collect_list(F.struct("_c", "quantile"))).alias("_med"))
+    med = dictionary(med, "medians")
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.col("_med")[c], F.lit(0.0)) for c in columns])
+    filled = lambda d: d.join(med, F.col(group) == F.col("_g"), "left").withColumn("_f", values).drop("_g", "_med")
+    at = range(len(columns))
+    moments = filled(fit).groupBy(F.col(group).alias("_g")).agg(
+        F.array(*[F.avg(F.col("_f")[i]) for i in at]).alias("_m"), F.array(*[F.stddev_pop(F.col("_f")[i]) for i in at]).alias("_s")
+    )
+    out = filled(df).join(dictionary(moments, "moments"), F.col(group) == F.col("_g"), "left")
+    scaled = lambda v, i: (v - F.col("_m")[i]) / F.when(F.col("_s")[i] > 0, F.col("_s")[i]).otherwise(F.lit(1.0))
+    return out.withColumn("x", F.transform("_f", lambda v, i: F.coalesce(scaled(v, i), F.lit(0.0)))).drop("_f", "_g", "_m", "_s")
+
+
 def window_metrics(
     entries: DataFrame, readings: DataFrame, transits: DataFrame, width: int, scale: TimeScale, entry_stage: int,
     stages: Sequence[int], min_parts: int = 20, t: str = "t",

@@ -6,6 +6,7 @@ from stageflow.functions import scalar as S
 from stageflow.functions.timescale import DAY_SCALE
 from stageflow.operators import features as FE
 from stageflow.operators import joins as J
+from stageflow.operators import many as MM
 from stageflow.operators import metrics as M
 from stageflow.operators import models as MO
 from stageflow.operators import profile as PR
@@ -254,17 +255,24 @@ def met8(d):
 
 # ---- models -----------------------------------------------------------------------------------------------
 
-COLS = SPEC.feature_columns
+VALUES = [*SPEC.transits, "arrivals", "recent_rate", *SPEC.sensor_columns]
+FLAGS = ["branch", *[f"{c}_isna" for c in SPEC.sensor_columns]]
+COLS = [*[f"{c}_std" for c in VALUES], *FLAGS]
 
 
 def three_ranges(d):
-    """Fit, calibrate and test on disjoint time ranges."""
-    table = materialize(entity_table(d), "entities")
-    parts = SP.time_ranges(table, "decision_time", "entity", [("train", 0.6), ("cal", 0.8)], "test")
-    parts = materialize(parts.fillna(0.0, SPEC.sensor_columns), "ranges")
+    """Fit, calibrate and test on disjoint time ranges; missing readings get the median of the rows fitted on, all values their scale."""
+    parts = materialize(SP.time_ranges(entity_table(d), "decision_time", "entity", [("train", 0.6), ("cal", 0.8)], "test"), "parts")
+    scaled = FE.scaled_array(parts.withColumn("_all", F.lit(0)), VALUES, "_all", F.col("role") == "train")
+    parts = materialize(scaled.select(*parts.columns, *[F.col("x")[i].alias(f"{c}_std") for i, c in enumerate(VALUES)]), "ranges")
     return tuple(parts.where(F.col("role") == r).drop("role") for r in ("train", "cal", "test"))
 
 
+def named(df, column):
+    """Feature names without the mark of the scaled column."""
+    return df.withColumn(column, F.regexp_replace(column, "_std$", ""))
+
+
 def _report(df, model):
     return M.metric_table(M.Scored(materialize(df.select(F.lit(model).alias("model"), "entity", "label", "score"), "scores"), ("model",), "entity"))
 
@@ -309,20 +317,90 @@ def ml12_default(d):
 @query("ml13_feature_ablation")
 def ml13(d):
     train, _, test = three_ranges(d)
-    return MO.ablation(train, test, COLS, ["recent_rate", "arrivals"], "entity")
+    return named(MO.ablation(train, test, COLS, ["recent_rate_std", "arrivals_std"], "entity"), "dropped")
 
 
 @query("ml14_permutation_importance")
 def ml14(d):
     model, platt, _, test = calibrated_model(d)
-    return MO.permutation_importance(model, materialize(test, "test"), COLS, "entity", platt)
+    return named(MO.permutation_importance(model, materialize(test, "test"), COLS, "entity", platt), "feature")
+
+
+FEATURES = [*VALUES, *FLAGS]
+#: Columns left out of the models of a fold, by name.
+LEFT_OUT = {"logistic": (), "logistic without recent_rate": ("recent_rate",), "logistic without arrivals": ("arrivals",), "logistic without sensors": (*SPEC.sensor_columns, *FLAGS[1:])}
+
+
+def fold_models(d):
+    """(rows of all forward-chaining folds with their features, models of all folds and left-out columns)."""
+    folds = materialize(SP.forward_chaining(entity_table(d), "week", FOLDS), "folds")
+    rows = materialize(FE.scaled_array(folds, FEATURES, "fold", F.col("role") == "train"), "fold-features")
+    left_out = {name: [FEATURES.index(c) for c in out] for name, out in LEFT_OUT.items()}
+    return rows, materialize(MM.fit_many(rows.where("role = 'train'"), "fold", left_out), "fold-models")
+
+
+_FOLD_ROWS = f"SELECT fold, role, label FROM etab JOIN (VALUES {_FOLDS}) f(fold, role, a, b) ON week BETWEEN a AND b"
+
+
+@query("ml3_fold_optimum", sql("etab", f"""SELECT fold, variant, count(*) AS n, count(*) FILTER (label = 1) AS positives, true AS at_optimum, CAST({len(FEATURES)} AS INTEGER) AS columns
+  FROM ({_FOLD_ROWS}), (VALUES {", ".join(f"('{v}')" for v in LEFT_OUT)}) x(variant) WHERE role = 'train' GROUP BY fold, variant"""))
+def ml3_optimum(d):
+    """Every model of every fold, fitted together: rows used, and whether the gradient of its loss vanishes, summed anew over the rows."""
+    rows, models = fold_models(d)
+    train = rows.where("role = 'train'")
+    w = train.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives"))
+    w = w.withColumn("_pos", F.when(F.col("positives") > 0, (F.col("n") - F.col("positives")) / F.col("positives")).otherwise(1.0))
+    w = dictionary(w, "fold-weights")
+    scored = MM.score_many(train, models, "fold").join(w, "fold").withColumn("_w", F.when(F.col("label") == 1, F.col("_pos")).otherwise(1.0))
+    error = F.col("_w") * (F.col("score") - F.col("label"))
+    sums = scored.groupBy("fold", "variant").agg(
+        F.array(F.sum(error), *[F.sum(error * F.col("x")[i]) for i in range(len(FEATURES))]).alias("g"), F.sum("_w").alias("t"), F.first("n").alias("n"), F.first("positives").alias("positives")
+    ).join(models.select("fold", "variant", "beta"), ["fold", "variant"])
+    slope = F.zip_with(F.transform("g", lambda v: v / F.col("t")), F.transform("beta", lambda b, i: F.when((i == 0) | (b == 0), 0.0).otherwise(1e-3 * b)), lambda a, b: a + b)
+    left = F.zip_with(slope, "beta", lambda s, b: F.when(b == 0, 0.0).otherwise(F.abs(s)))  # a left-out column has coefficient 0
+    return sums.select("fold", "variant", "n", "positives", (F.array_max(left) < 1e-6).alias("at_optimum"), (F.size("beta") - 1).alias("columns"))
+
+
+@query("ml3_fold_metrics")
+def ml3_metrics(d):
+    """Fold x model: training prevalence, recent rate, and all logistic models, each tested on the weeks after those it was fitted on."""
+    rows, models = fold_models(d)
+    val = rows.where("role = 'val'")
+    keep = ["fold", "model", "entity", "label", "score"]
+    fitted = MM.score_many(val, models, "fold").withColumnRenamed("variant", "model").select(keep)
+    rate = dictionary(models.where("variant = 'logistic'").select("fold", (F.col("positives") / F.col("n")).alias("score")), "prevalence")
+    base = val.join(rate, "fold").withColumn("model", F.lit("prevalence")).select(keep)
+    recent = MO.column_score(val, "recent_rate").withColumn("model", F.lit("recent_rate")).select(keep)
+    return M.metric_table(M.Scored(fitted.unionByName(base).unionByName(recent), ("fold", "model"), "entity"))
+
+
+def variant_roles(d):
+    """Rows of each variant: a held-out window is its test set, the earlier four fifths of the others are fitted on and the rest calibrate; ``general`` is cut by time."""
+    table = materialize(entity_table(d), "entities")
+    cuts = [("train", 0.6), ("cal", 0.8)]
+    by_time = materialize(SP.time_ranges(table, "decision_time", "entity", cuts, "test"), "by-time")
+    held = SP.leave_window_out(by_time.withColumnRenamed("role", "_range"), "decision_time", SCENARIO_TIMES, 5).withColumnRenamed("fold", "variant_name")
+    role = F.when((F.col("role") == "train") & (F.col("_range") == "test"), "cal").otherwise(F.col("role"))
+    general = by_time.withColumn("variant_name", F.lit("general"))
+    return held.withColumn("role", role).drop("_range").unionByName(general)
 
 
 @query("ml19_scenario_variants")
 def ml19(d):
-    table = entity_table(d).fillna(0.0, SPEC.sensor_columns)
-    registry, _ = MO.fit_variants(table, COLS, "decision_time", SCENARIO_TIMES, 5, "entity")
-    return registry.drop("path")
+    rows = FE.scaled_array(materialize(variant_roles(d), "variant-roles"), FEATURES, "variant_name", F.col("role") == "train")
+    out = MM.registry(rows.select("variant_name", "role", "entity", "x", "label"), "variant_name", "entity")
+    return out.withColumnRenamed("variant_name", "variant").drop("gradient", "beta").withColumn("slope", F.round("slope", 6)).withColumn("intercept", F.round("intercept", 6))
+
+
+@query("ml19_variant_roles", sql("etab scen", """, r AS (SELECT *, row_number() OVER (ORDER BY decision_time, entity) AS k, count(*) OVER () AS n FROM etab),
+  t AS (SELECT *, CASE WHEN k <= floor(n * 0.6) THEN 'train' WHEN k <= floor(n * 0.8) THEN 'cal' ELSE 'test' END AS role FROM r),
+  x AS (SELECT 'general' AS variant, role, label, decision_time FROM t UNION ALL SELECT name, CASE WHEN decision_time BETWEEN t_start AND t_end THEN 'test' WHEN role = 'test' THEN 'cal' ELSE 'train' END, label, decision_time
+    FROM t JOIN scen ON decision_time BETWEEN t_start AND t_end OR decision_time < t_start - 5 OR decision_time > t_end + 5)
+  SELECT variant, role, count(*) AS n, count(*) FILTER (label = 1) AS positives, min(decision_time) AS first_time, max(decision_time) AS last_time FROM x GROUP BY variant, role"""))
+def ml19_roles(d):
+    return variant_roles(d).groupBy(F.col("variant_name").alias("variant"), "role").agg(
+        F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives"), F.min("decision_time").alias("first_time"), F.max("decision_time").alias("last_time")
+    )
 
 
 @query("ml19_variant_lookup", sql("v scen", """SELECT entity, stage, coalesce((SELECT min(name) FROM scen WHERE entry BETWEEN t_start AND t_end), 'general') AS variant FROM v"""))
