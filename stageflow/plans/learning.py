@@ -392,11 +392,11 @@ def ml19(d):
     return out.withColumnRenamed("variant_name", "variant").drop("gradient", "beta").withColumn("slope", F.round("slope", 6)).withColumn("intercept", F.round("intercept", 6))
 
 
-@query("ml19_variant_roles", sql("etab scen", """, r AS (SELECT *, row_number() OVER (ORDER BY decision_time, entity) AS k, count(*) OVER () AS n FROM etab),
-  t AS (SELECT *, CASE WHEN k <= floor(n * 0.6) THEN 'train' WHEN k <= floor(n * 0.8) THEN 'cal' ELSE 'test' END AS role FROM r),
-  x AS (SELECT 'general' AS variant, role, label, decision_time FROM t UNION ALL SELECT name, CASE WHEN decision_time BETWEEN t_start AND t_end THEN 'test' WHEN role = 'test' THEN 'cal' ELSE 'train' END, label, decision_time
-    FROM t JOIN scen ON decision_time BETWEEN t_start AND t_end OR decision_time < t_start - 5 OR decision_time > t_end + 5)
-  SELECT variant, role, count(*) AS n, count(*) FILTER (label = 1) AS positives, min(decision_time) AS first_time, max(decision_time) AS last_time FROM x GROUP BY variant, role"""))
+@query("ml19_variant_roles", sql("etab scen", """, var_rank AS (SELECT *, row_number() OVER (ORDER BY decision_time, entity) AS k, count(*) OVER () AS n FROM etab),
+  var_time AS (SELECT *, CASE WHEN k <= floor(n * 0.6) THEN 'train' WHEN k <= floor(n * 0.8) THEN 'cal' ELSE 'test' END AS role FROM var_rank),
+  var_role AS (SELECT 'general' AS variant, role, label, decision_time FROM var_time UNION ALL SELECT name, CASE WHEN decision_time BETWEEN t_start AND t_end THEN 'test' WHEN role = 'test' THEN 'cal' ELSE 'train' END, label, decision_time
+    FROM var_time JOIN scen ON decision_time BETWEEN t_start AND t_end OR decision_time < t_start - 5 OR decision_time > t_end + 5)
+  SELECT variant, role, count(*) AS n, count(*) FILTER (label = 1) AS positives, min(decision_time) AS first_time, max(decision_time) AS last_time FROM var_role GROUP BY variant, role"""))
 def ml19_roles(d):
     return variant_roles(d).groupBy(F.col("variant_name").alias("variant"), "role").agg(
         F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives"), F.min("decision_time").alias("first_time"), F.max("decision_time").alias("last_time")
