@@ -13,6 +13,7 @@ from stageflow.plans.monitoring import us
 from stageflow.plans.registry import REGISTRY, cte, query, sql
 from stageflow.session import materialize, work_dir
 from stageflow.sources import io
+from stageflow.streaming import alerts as AL
 from stageflow.streaming import jobs as J
 from stageflow.streaming import ordered as O
 from stageflow.streaming import scorer as LIVE
@@ -241,6 +242,36 @@ def str_alerts(d):
     return live_messages(d, "factory/line3/alerts", "alert_type string, entity long, stage int, health_score double, t long, n_anomalous long")
 
 
+#: The rules of the batch queries alr1 to alr4, on the same event stream table.
+RULES = (
+    AL.Rule("high_risk_surge", 5, 1, ">", 1), AL.Rule("stage_idle", 5, 2, "<", 1, by_stage=True), AL.Rule("anomaly_flagged", 5, 1, ">", 0, "max"), AL.Rule("stream_stalled", 2, 2, "<", 1),
+)
+RULE_SQL = {
+    "high_risk_surge": ("coalesce(sum(n) FILTER (value >= 60), 0) > 1", ""), "stage_idle": ("count(n) < 1", "stage"),
+    "anomaly_flagged": ("coalesce(max(CAST(stage = 'error' AS INT)), 0) > 0", ""), "stream_stalled": ("count(n) < 1", ""),
+}
+
+
+def rule_sql(rule: AL.Rule) -> str:
+    """Evaluations on a dense grid, runs of true ones, and their changes. The grid ends where nothing can change any more."""
+    cond, by = RULE_SQL[rule.name]
+    key = by or "''"
+    return f"""SELECT '{rule.name}' AS rule, key, since, n, top, {rule.held} AS held FROM (SELECT key, min(g) AS since, count(*) AS n, any_value(top) AS top FROM (
+    SELECT key, g, top, g - row_number() OVER (PARTITION BY key ORDER BY g) AS run FROM (
+      SELECT g.key, g.g, g.top, {cond} AS ok FROM (SELECT key, top, unnest(generate_series(a, top)) AS g FROM (SELECT {key} AS key, min(slot) AS a, max(slot) + {rule.back + rule.held + 1} AS top FROM ev1 GROUP BY 1)) g
+      LEFT JOIN (SELECT {key} AS key, slot, stage, value, 1 AS n FROM ev1) e ON e.key = g.key AND e.slot >= g.g - {rule.back} AND e.slot < g.g GROUP BY ALL) WHERE ok) GROUP BY key, run)"""
+
+
+@query("str_alert_rules", sql("es", ", ev1 AS (SELECT slot, stage, value FROM es), runs AS (" + " UNION ALL ".join(rule_sql(r) for r in RULES) + """)
+  SELECT rule, key, 'pending' AS kind, since AS g, since FROM runs UNION ALL SELECT rule, key, 'firing', since + held, since FROM runs WHERE n > held
+  UNION ALL SELECT rule, key, CASE WHEN n > held THEN 'resolved' ELSE 'normal' END, since + n, since FROM runs WHERE since + n <= top"""))
+def str_alert_rules(d):
+    """All changes of the four rules; the silent ones come by timers. Rules over the line and by stage share one pass over the stream."""
+    stream, delay = arriving(d, shaped(d.table("events")).select("stage", "us", "value"), "rules")
+    values = ((F.col("value") >= 60).cast("int"), F.lit(1), (F.col("stage") == "error").cast("int"), F.lit(1))
+    return O.run(AL.transitions(stream, "stage", dict(zip(RULES, values, strict=True)), delay), "rules").select("rule", "key", "kind", "g", "since")
+
+
 cte("kb", "SELECT stage, avg(CAST(json_extract(props, '$.k') AS DOUBLE)) AS mean, stddev_samp(CAST(json_extract(props, '$.k') AS DOUBLE)) AS std FROM ev GROUP BY stage", ["ev"])
 
 

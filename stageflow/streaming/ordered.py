@@ -32,8 +32,8 @@ def _ms(us: int) -> int:
 class InOrder(StatefulProcessor):
     """Base of the operators. A row has ``us`` (event time in microseconds) and sorts by ``order``; rows without a key (markers) only move the
     watermark. ``step`` takes the carried value and
-    the rows that are due, in order, and returns the new value and the output. ``silence(value)``: microsecond at which ``quiet`` is due if nothing
-    comes before, or None."""
+    the rows that are due, in order, and returns the new value and the output. ``silence(key, value)``: microsecond at which ``quiet`` is due if nothing
+    comes before, or None; ``quiet`` is called until that lies ahead of the watermark."""
 
     row: str  # schema of the input rows
     value: str  # schema of the carried value
@@ -51,7 +51,7 @@ class InOrder(StatefulProcessor):
     def step(self, key: Any, value: tuple, rows: list[Row]) -> tuple[tuple, Iterable[Row]]:
         raise NotImplementedError
 
-    def silence(self, value: tuple) -> int | None:
+    def silence(self, key: Any, value: tuple) -> int | None:
         return None
 
     def quiet(self, key: Any, value: tuple) -> tuple[tuple, Iterable[Row]]:
@@ -76,11 +76,9 @@ class InOrder(StatefulProcessor):
         if due:
             value, made = self.step(key, value, due)
             out.extend(made)
-        end = self.silence(value)
-        if end is not None and _ms(end) <= watermark:
+        while (end := self.silence(key, value)) is not None and _ms(end) <= watermark:
             value, made = self.quiet(key, value)
             out.extend(made)
-            end = self.silence(value)
         if left and (fresh or due):
             self.waiting.put([tuple(r[n] for n in self.names) for r in left])
         elif held and not left:
@@ -280,7 +278,7 @@ class Silences(InOrder):
             last, reported = r["us"], False
         return (last, reported), out
 
-    def silence(self, value: tuple) -> int | None:
+    def silence(self, key: Any, value: tuple) -> int | None:
         last, reported = value
         return None if last is None or reported else last + self.limit
 

@@ -6,6 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from stageflow.operators import points as PT
+from stageflow.streaming import alerts as AL
 from stageflow.streaming import jobs as J
 from stageflow.streaming import ordered as O
 from stageflow.streaming import sources as SRC
@@ -225,3 +226,79 @@ def test_replayed_batch_is_written_once(spark, tmp_path):
     write = J.write_batch(out)
     J.run_batches(SRC.file_stream(spark, path, src.schema, per_trigger=1), "once", lambda b, i: (write(b, i), write(b, i))[0])
     assert J.read_batches(src.schema, spark, out).count() == 120
+
+
+M = AL.MINUTE
+QUIET = AL.Rule("quiet", 2, 1, "<", 1, by_stage=True)
+PEAK = AL.Rule("peak", 3, 0, ">", 5, "max")
+
+
+def plain_changes(rule, minutes):
+    """(kind, g, since) of one key, minute by minute; ``minutes``: minute -> values."""
+    out, run = [], None
+    for g in range(min(minutes), max(minutes) + rule.back + rule.held + 2):
+        seen = [x for m in range(g - rule.back, g) for x in minutes.get(m, ())]
+        true = rule.holds(seen)
+        if true and run is None:
+            run = g
+            out.append(("pending", g, g))
+        if true and g - run == rule.held:
+            out.append(("firing", g, run))
+        if not true and run is not None:
+            out.append(("resolved" if g - run > rule.held else "normal", g, run))
+            run = None
+    return out
+
+
+def _kinds(rows):
+    return [(r["kind"], r["g"], r["since"]) for r in rows]
+
+
+def test_silence_fires_by_timer_once_and_is_resolved_by_a_row():
+    k = _Key(AL.Alerts([QUIET]), "s")
+    k.key = ("quiet", "s")
+    row = lambda m: ("quiet", "s", (m + 1) * M - 1, 1.0)
+    assert _kinds(k.rows(6 * M // 1000, row(5))) == [("pending", 5, 5), ("normal", 6, 5)]
+    assert k.tick(8 * M // 1000 - 1) == []
+    assert _kinds(k.tick(8 * M // 1000)) == [("pending", 8, 8)]
+    assert _kinds(k.tick(30 * M // 1000)) == [("firing", 9, 8)] and not k.handle.timers and k.tick(99 * M // 1000) == []
+    assert _kinds(k.rows(41 * M // 1000, row(40))) == [("resolved", 41, 8)]
+    assert len(k.op.carried.get()[1]) == 1  # only the last minutes are kept
+
+
+def test_rules_of_maximum_and_no_hold():
+    k = _Key(AL.Alerts([PEAK]), "")
+    k.key = ("peak", "")
+    got = k.rows(200 * M // 1000, *[("peak", "", (m + 1) * M - 1, x) for m, x in ((1, 2.0), (2, 6.0), (2, 1.0), (9, 7.0), (11, 9.0))])
+    assert _kinds(got) == plain_changes(PEAK, {1: [2.0], 2: [6.0, 1.0], 9: [7.0], 11: [9.0]}) and not k.handle.timers
+
+
+def _changes(spark, folder, schema, delay):
+    stream = O.files(spark, folder, schema, 1).withColumn(O.TIME, O.timed(F.col("us")))
+    return AL.transitions(stream, "stage", {QUIET: F.lit(1), PEAK: F.col("x")}, delay)
+
+
+def test_alert_changes_go_on_after_a_restart(spark, tmp_path):
+    rng = random.Random(8)
+    rows, minute = [], 3
+    for _ in range(120):
+        minute += rng.choice((0, 0, 1, 1, 2, 6))
+        rows.append((rng.choice("ab"), minute * M + rng.randrange(M), rng.choice((1.0, 2.0, 6.0, None))))
+    src = spark.createDataFrame(rows, "stage string, us long, x double")
+    folder, checkpoint, out = (f"{tmp_path}/{x}" for x in ("in", "checkpoint", "out"))
+    half = sorted(r[1] for r in rows)[60]
+    src.where(F.col("us") < half).coalesce(1).write.parquet(folder)
+    first = O.run(_changes(spark, folder, src.schema, "1 minute"), "rules", checkpoint, out).count()
+    src.where(F.col("us") >= half).coalesce(1).write.mode("append").parquet(folder)
+    O.marker(src, folder, 100 * M)
+    got = O.run(_changes(spark, folder, src.schema, "1 minute"), "rules", checkpoint, out).collect()
+    want = []
+    for rule, keys in ((QUIET, "ab"), (PEAK, ("",))):
+        for key in keys:
+            minutes = {}
+            for stage, us, x in rows:
+                if key in ("", stage) and (rule is QUIET or x is not None):
+                    minutes.setdefault(us // M, []).append(1 if rule is QUIET else x)
+            want += [(rule.name, key, *c) for c in plain_changes(rule, minutes)]
+    assert 0 < first < len(want)
+    assert sorted((r["rule"], r["key"], r["kind"], r["g"], r["since"]) for r in got) == sorted(want)
