@@ -4,7 +4,7 @@ Only DataFrame functions run here. The words of a text are the runs without ASCI
 
 * Repeated words: three-word windows are hashed to 64 bits. Each hash is packed with its position into one long (upper bits of the hash, lower
   bits the position), the longs are sorted, and neighbours with equal upper bits whose full hashes are equal are repeats. So a text costs
-  n log n however often its windows repeat, and nothing is shuffled.
+  n log n however often its windows repeat, and nothing is shuffled. A text whose hashes are all distinct has no repeats and isn't sorted.
 * Likelihood ratio: words and pairs of words fall into ``buckets`` hash buckets. One pass counts the buckets over all documents and over the
   trusted ones; partial counts make the shuffle a matter of buckets, not of words. The score of a text is the mean of
   log(p_trusted / p_raw) over its words and pairs, and every text at or above ``threshold`` passes.
@@ -43,7 +43,8 @@ def with_repeats(df: DataFrame, w: str = "w") -> DataFrame:
     """Adds ``n_repeat_words``: words in three-word windows that occur twice or more in the text."""
     low = F.lit((1 << _PLACE) - 1).cast("long")
     df = df.withColumn("_g", pin(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))))
-    df = df.withColumn("_p", pin(F.sort_array(F.transform("_g", lambda h, i: F.shiftleft(F.shiftright(h, _PLACE), _PLACE).bitwiseOR(i.cast("long"))))))
+    packed = F.sort_array(F.transform("_g", lambda h, i: F.shiftleft(F.shiftright(h, _PLACE), _PLACE).bitwiseOR(i.cast("long"))))
+    df = df.withColumn("_p", pin(F.when(F.size(F.array_distinct("_g")) < F.size("_g"), packed).otherwise(F.array().cast("array<bigint>"))))
     head = lambda x: F.shiftright(x, _PLACE)
     df = df.withColumn("_q", pin(F.filter("_p", lambda x, i: F.coalesce(head(x) == head(F.get("_p", i + 1)), F.lit(False)) | F.coalesce(head(x) == head(F.get("_p", i - 1)), F.lit(False)))))
     full = lambda x: F.get("_g", x.bitwiseAND(low).cast("int"))
@@ -70,15 +71,19 @@ def _bucket(buckets: int, *parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
 
+def _next(w: str) -> Column:
+    """The words from the second on; zipped with all, each meets the one after it and the last meets null."""
+    return F.slice(w, 2, F.size(w))
+
+
 def bucket_counts(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_IDS) -> DataFrame:
     """(bucket, raw, target): how often each bucket occurs over all rows and over those whose id is in ``trusted`` (distinct)."""
     mark = trusted.select(F.col(trusted.columns[0]).alias("_id"), F.lit(1).alias("_hit"))
     few = mark.limit(most + 1).count() <= most
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(mark) if few else mark, "_id", "left").select("_hit", pin(words(F.col("_t"))).alias("w"))
-    grams = F.concat(F.transform("w", lambda x: _bucket(buckets, x)), F.transform("w", lambda x, i: _bucket(buckets, x, F.get("w", i + 1))))
+    pairs = rows.select(F.coalesce("_hit", F.lit(0)).alias("hit"), F.explode(F.arrays_zip(F.col("w").alias("x"), _next("w").alias("y"))).alias("p"))
     return (
-        rows.select(F.coalesce("_hit", F.lit(0)).alias("hit"), grams.alias("g"))
-        .select("hit", F.explode("g").alias("bucket"))
+        pairs.select("hit", F.explode(F.array(_bucket(buckets, F.col("p.x")), _bucket(buckets, F.col("p.x"), F.col("p.y")))).alias("bucket"))
         .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
     )
 
@@ -101,7 +106,7 @@ def score(w: str, ratios: list[float]) -> Column:
     ratio = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to one constant of ``buckets`` doubles
     n = len(ratios)
     total = F.aggregate(
-        F.transform(w, lambda x, i: F.get(ratio, _bucket(n, x)) + F.get(ratio, _bucket(n, x, F.get(w, i + 1)))), F.lit(0.0), lambda a, x: a + x
+        F.zip_with(w, _next(w), lambda x, y: F.get(ratio, _bucket(n, x)) + F.get(ratio, _bucket(n, x, y))), F.lit(0.0), lambda a, x: a + x
     )
     return F.when(F.size(w) == 0, F.lit(0.0)).otherwise(total / (2 * F.size(w)))
 
