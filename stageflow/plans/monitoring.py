@@ -109,11 +109,23 @@ def freshness(d) -> str:
     return " ".join(out)
 
 
-def message_tables(d, kinds):
+# What the messages of stage health, risk and overview read of the scored visits.
+SCORED = ("entity", "stage", "stage_rank", "t", "tie", "life", "visit_no", "is_first", "is_entry", "is_exit", "response", "n_features", "window_parts", "anomalous", "health_score",
+          "feature_drift_score", "transit_pacing_score", "defect_rate_score", "status", "observed_defect_rate")
+
+
+def scored_table(d, key):
+    """The scored visits, written once per session and state of the data for all kinds that need them."""
+    if key not in _TABLES:
+        _TABLES[key] = materialize(health(d).select(*SCORED), "health")
+    return _TABLES[key]
+
+
+def message_tables(d, kinds, scored_visits):
     """(kind, messages) pairs; the three kinds that need stage health share one health table."""
     scored = [k for k in ("health", "risk", "overview") if k in kinds]
     if scored:
-        h = materialize(health(d), "health")
+        h = scored_visits()
         build = {"health": lambda: health_messages(h), "risk": lambda: risk_messages(SCO.part_risk(h)), "overview": lambda: overview_messages(SCO.line_overview(h, 24.0))}
         yield from ((k, build[k]()) for k in scored)
     plain = {"telemetry": telemetry_messages, "decision": decision_messages, "window": window_messages, "anomaly": anomaly_messages}
@@ -125,9 +137,7 @@ def points(d, *kinds):
     state = freshness(d)
     key = lambda k: (d.spark.sparkContext.applicationId, d.sf_dir, state, k)
     missing = [k for k in kinds if key(k) not in _TABLES]
-    if {"risk", "overview", "health"} & set(missing):
-        missing = sorted({*missing, "health", "risk", "overview"} - {k for k in ("health", "risk", "overview") if key(k) in _TABLES})
-    for k, messages in message_tables(d, missing):
+    for k, messages in message_tables(d, missing, lambda: scored_table(d, key("scored"))):
         _TABLES[key(k)] = materialize(PT.to_points(messages), f"points-{k}")
     out = _TABLES[key(kinds[0])]
     for k in kinds[1:]:
