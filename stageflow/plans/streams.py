@@ -91,24 +91,24 @@ def snk7(d):
 cte("trk", """SELECT *, coalesce(CAST(sum(CAST(stage = 'purchase' AS INT)) OVER (PARTITION BY entity ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INTEGER), 0) AS life FROM ev""", ["ev"])
 
 
-SLICES, AHEAD_US = 4, 10 * 86_400 * 1000000
+SLICES, SLICE_ROWS, AHEAD_US = 4, 2_000_000, 10 * 86_400 * 1000000
 
 
 def arriving(d, df, name):
     """The rows as a stream: slices of time that come one after the other in files of any order, and a marker that closes the last. Returns the stream
-    and the delay that its order needs."""
+    and the delay that its order needs. There are as many slices as keep a micro-batch, and what waits in the state, at some millions of rows."""
     path = work_dir(d.spark, name)
     df = materialize(df, f"{name}-rows")
-    width = O.land(df, path, SLICES)
+    width = O.land(df, path, max(SLICES, -(-df.count() // SLICE_ROWS)))
     O.marker(df, path, width + AHEAD_US)
-    stream = O.files(d.spark, path, df.schema, per_trigger=max(1, len(df.inputFiles())))
+    stream = O.files(d.spark, path, df.schema, per_trigger=O.FILES)
     return stream.withColumn(O.TIME, O.timed(F.col("us"))), f"{width} microseconds"
 
 
 def tracked_events(d):
     rows = shaped(d.table("events")).select("entity", "event_id", "us", "stage", (F.col("value") >= 100).alias("is_anomaly"), (F.col("value") >= 50).cast("int").alias("outcome"))
     stream, delay = arriving(d, rows, "tracked")
-    return O.apply(stream, ["entity"], O.Entities(EXIT), O.Entities.output, delay)
+    return O.dealt(stream, "entity", O.Entities(EXIT), delay)
 
 
 @query("str1_entity_state", sql("trk", """SELECT entity, event_id, life, lag(stage) OVER w AS prev_stage, CAST(sum(CAST(value >= 100 AS INT)) OVER w AS BIGINT) AS anomalies, count(*) FILTER (first) OVER w AS visited FROM (
@@ -163,7 +163,7 @@ def str4(d):
 @query("str5_trailing_arrivals", sql("ev", "SELECT event_id, stage, count(*) OVER (PARTITION BY stage ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS arrivals FROM ev"))
 def str5_exact(d):
     stream, delay = arriving(d, shaped(d.table("events")).select("stage", "event_id", "us"), "arrivals")
-    return O.run(O.apply(stream, ["stage"], O.Arrivals(3600 * 1000000), O.Arrivals.output, delay), "arrivals").select("event_id", "stage", "arrivals")
+    return O.run(O.arrivals(stream, 3600 * 1000000, delay), "arrivals").select("event_id", "stage", "arrivals")
 
 
 @query("str5_sliding_arrivals", sql("ev", """, s AS (SELECT unnest(generate_series(us // 360000000 - 9, us // 360000000)) AS k, us FROM ev)
@@ -190,7 +190,7 @@ def str6(d):
 
 def silences(d):
     stream, delay = arriving(d, shaped(d.table("events")).select("stage", "us"), "idle")
-    return O.run(O.apply(stream, ["stage"], O.Silences(3600 * 1000000), O.Silences.output, delay), "idle")
+    return O.run(O.silences(stream, 3600 * 1000000, delay), "idle")
 
 
 @query("str7_inactivity", sql("ev", """SELECT stage, prev AS idle_from, us AS idle_to FROM (SELECT stage, us, lag(us) OVER (PARTITION BY stage ORDER BY us) AS prev FROM ev) WHERE us - prev > 3600000000"""))

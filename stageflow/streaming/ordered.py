@@ -6,23 +6,32 @@ drops those). What an operator carries from message to message is one value a ke
 end of a silence; the watermark, moved by any key, fires them.
 
 Operators can be chained in one query: ``time`` is the event time that the next one waits for.
+
+Every access to the state is a call from Python to Spark. Waiting rows are therefore kept in blocks, and many small keys share one state
+(``dealt``), so that the calls grow with the buckets of a batch, not with its keys.
 """
 
 from __future__ import annotations
 
+import bisect
+import pickle
 from collections.abc import Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from stageflow.session import work_dir
 
 #: Event time of the rows, for the watermark; event order is by the other columns.
 TIME = "time"
 
+#: Waiting rows in one block of the state.
+BLOCK = 10_000
+HELD = StructType([StructField("rows", BinaryType())])
+
 
 def _ms(us: int) -> int:
     """Watermark from which a row of this microsecond is due; Spark drops rows that come later."""
@@ -38,12 +47,14 @@ class InOrder(StatefulProcessor):
     row: str  # schema of the input rows
     value: str  # schema of the carried value
     order: tuple[str, ...] = ("us", "event_id")
+    forgets = False  # drop the state of a key that is back at its start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.carried = handle.getValueState("carried", StructType([*self.value_type, StructField("armed", LongType())]))
-        self.waiting = handle.getListState("waiting", self.row_type)
+        self.waiting = handle.getListState("waiting", HELD)
         self.names = self.row_type.names
+        self.make = Row(*self.names)
 
     def start(self) -> tuple:
         raise NotImplementedError
@@ -58,7 +69,7 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        return self._advance(key, [Row(**{n: r[n] for n in self.names}) for r in rows], timerValues.getCurrentWatermarkInMs())
+        return self._advance(key, [self.make(*map(r.__getitem__, self.names)) for r in rows], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         return self._advance(key, [], timerValues.getCurrentWatermarkInMs())
@@ -66,10 +77,12 @@ class InOrder(StatefulProcessor):
     def _advance(self, key: Any, fresh: list[Row], watermark: int) -> Iterator[Row]:
         if key[0] is None:
             return iter(())
-        held = [Row(**dict(zip(self.names, r, strict=True))) for r in self.waiting.get()]
-        rows = sorted(held + fresh, key=lambda r: tuple(r[c] for c in self.order))
-        due = [r for r in rows if _ms(r["us"]) <= watermark]
-        left = rows[len(due) :]
+        held = [self.make(*r) for block in self.waiting.get() for r in pickle.loads(block[0])]
+        at = [self.names.index(c) for c in self.order]
+        rows = sorted(held + fresh, key=lambda r: tuple(tuple.__getitem__(r, i) for i in at))
+        us = self.names.index("us")
+        n_due = bisect.bisect_right(rows, watermark, key=lambda r: _ms(tuple.__getitem__(r, us)))
+        due, left = rows[:n_due], rows[n_due:]
         kept = self.carried.get()
         value, armed = (self.start(), None) if kept is None else (tuple(kept[:-1]), kept[-1])
         out: list[Row] = []
@@ -80,7 +93,7 @@ class InOrder(StatefulProcessor):
             value, made = self.quiet(key, value)
             out.extend(made)
         if left and (fresh or due):
-            self.waiting.put([tuple(r[n] for n in self.names) for r in left])
+            self.waiting.put([(pickle.dumps([tuple(r) for r in left[i : i + BLOCK]], 5),) for i in range(0, len(left), BLOCK)])
         elif held and not left:
             self.waiting.clear()
         times = [_ms(x) for x in (left[0]["us"] if left else None, end) if x is not None]
@@ -90,7 +103,10 @@ class InOrder(StatefulProcessor):
                 self.handle.deleteTimer(armed)
             if wanted is not None:
                 self.handle.registerTimer(wanted)
-        self.carried.update((*value, wanted))
+        if wanted is None and self.forgets and tuple(value) == self.start():
+            self.carried.clear()  # as if the key had never come
+        else:
+            self.carried.update((*value, wanted))
         return iter(out)
 
     def close(self) -> None:
@@ -109,6 +125,40 @@ def apply(df: DataFrame, key: list[str], processor: InOrder, output: str, delay:
         statefulProcessor=processor, outputStructType=_schema(f"{output}, {TIME} timestamp"), outputMode="append", timeMode="EventTime", eventTimeColumnName=TIME)
 
 
+class Dealt(InOrder):
+    """Another operator for all keys of a bucket. It must not wait for silences. State: the carried values of the bucket's keys as one value."""
+
+    value = "held binary"
+
+    def __init__(self, operator: InOrder, key: str) -> None:
+        self.operator, self.by = operator, key
+        self.row, self.output, self.order = operator.row, operator.output, operator.order
+
+    def start(self) -> tuple:
+        return (None,)
+
+    def step(self, key: Any, value: tuple, rows: list[Row]) -> tuple[tuple, Iterable[Row]]:
+        held = pickle.loads(value[0]) if value[0] else {}
+        groups: dict[Any, list[Row]] = {}
+        for r in rows:
+            groups.setdefault(r[self.by], []).append(r)
+        out: list[Row] = []
+        for k, mine in groups.items():
+            held[k], made = self.operator.step((k,), held.get(k) or self.operator.start(), mine)
+            out.extend(made)
+        return (pickle.dumps(held, 5),), out
+
+
+#: Buckets of ``dealt``; part of a checkpoint's state, as the number of shuffle partitions is.
+BUCKETS = 512
+
+
+def dealt(df: DataFrame, key: str, operator: InOrder, delay: str | None = None) -> DataFrame:
+    """The operator on a key with many values, by buckets of them."""
+    bucket = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    return apply(df.withColumn("bucket", bucket), ["bucket"], Dealt(operator, key), operator.output, delay)
+
+
 def run(df: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
     """Run a stream over everything available into a table and read the table; given folders go on where an earlier run ended."""
     spark = df.sparkSession
@@ -226,47 +276,72 @@ class Sequences(InOrder):
 
 class Arrivals(InOrder):
     """STR5: at each message, how many the stage has had in the time ``width_us`` up to and including it. State: the times in that width,
-    with the number of messages of each."""
+    with the number of messages of each. By (stage, slot), as ``arrivals`` deals them, a key reports the messages of its own slot, reads those of the
+    slot before, and is forgotten at its end."""
 
     row = "stage string, event_id long, us long"
     value = "times array<long>, counts array<long>"
     output = "stage string, event_id long, us long, arrivals long"
 
+    forgets = True
+
     def __init__(self, width_us: int) -> None:
         self.width = width_us
 
     def start(self) -> tuple:
         return [], []
 
+    def silence(self, key: Any, value: tuple) -> int | None:
+        return (key[1] + 1) * self.width if len(key) > 1 and value[0] else None
+
+    def quiet(self, key: Any, value: tuple) -> tuple[tuple, Iterable[Row]]:
+        return self.start(), []
+
     def step(self, key: Any, value: tuple, rows: list[Row]) -> tuple[tuple, Iterable[Row]]:
         import numpy as np
 
         us = np.array([r["us"] for r in rows], np.int64)
         times = np.concatenate([np.repeat(np.array(value[0] or [], np.int64), np.array(value[1] or [], np.int64)), us])
         n = np.searchsorted(times, us, "right") - np.searchsorted(times, us - self.width, "left")
-        out = [Row(stage=r["stage"], event_id=r["event_id"], us=r["us"], arrivals=int(k), time=_time(r["us"])) for r, k in zip(rows, n, strict=True)]
+        out = [Row(stage=r["stage"], event_id=r["event_id"], us=r["us"], arrivals=int(k), time=_time(r["us"])) for r, k in zip(rows, n, strict=True) if len(key) < 2 or r["us"] // self.width == key[1]]
         kept, counts = np.unique(times[times >= us[-1] - self.width], return_counts=True)
         return (kept.tolist(), counts.tolist()), out
 
 
+def slot(us: Column, width_us: int) -> Column:
+    """Number of the slot of time."""
+    return ((us - F.pmod(us, F.lit(width_us))) / F.lit(width_us)).cast("long")
+
+
+def arrivals(stream: DataFrame, width_us: int, delay: str) -> DataFrame:
+    """STR5 on a stream of ``Arrivals.row`` and the event time, by stage and slot of time: a message goes to its own slot and to the next, which looks back
+    into it, so a stage spreads over as many keys as there are slots."""
+    own = slot(F.col("us"), width_us)
+    return apply(stream.withColumn("slot", F.explode(F.array(own, own + 1))), ["stage", "slot"], Arrivals(width_us), Arrivals.output, delay)
+
+
 class Silences(InOrder):
     """STR7: every silence of a key that lasts longer than the limit. ``idle`` comes by a timer as soon as the watermark has passed the limit, whether or
     not the key speaks again, and once a silence; ``back`` comes with the message that ends it. State: the last message of a key and whether its
-    silence has been reported."""
+    silence has been reported. ``every``: width of the windows that the rows were taken from, if they come at the end of their window; ``idle`` then
+    waits for the end of the window in which the limit lies."""
 
     row = "stage string, us long"
     value = "last long, reported boolean"
     output = "stage string, kind string, idle_from long, us long"
     order = ("us",)
 
-    def __init__(self, limit_us: int) -> None:
-        self.limit = limit_us
+    def __init__(self, limit_us: int, every: int | None = None) -> None:
+        self.limit, self.every = limit_us, every
 
     def start(self) -> tuple:
         return None, True
 
+    def _end(self, us: int) -> int:
+        return (us // self.every + 1) * self.every if self.every else us
+
     def _row(self, key: Any, kind: str, last: int, us: int) -> Row:
-        return Row(stage=key[0], kind=kind, idle_from=last, us=us, time=_time(us))
+        return Row(stage=key[0], kind=kind, idle_from=last, us=us, time=_time(self._end(us) - 1 if self.every else us))
 
     def step(self, key: Any, value: tuple, rows: list[Row]) -> tuple[tuple, Iterable[Row]]:
         last, reported = value
@@ -280,12 +355,21 @@ class Silences(InOrder):
 
     def silence(self, key: Any, value: tuple) -> int | None:
         last, reported = value
-        return None if last is None or reported else last + self.limit
+        return None if last is None or reported else self._end(last + self.limit)
 
     def quiet(self, key: Any, value: tuple) -> tuple[tuple, Iterable[Row]]:
         return (value[0], True), [self._row(key, "idle", value[0], value[0] + self.limit)]
 
 
+def silences(stream: DataFrame, limit_us: int, delay: str) -> DataFrame:
+    """STR7 on a stream of ``Silences.row`` and the event time. Spark's windows keep the first and last message of a stage in a tenth of the limit: no
+    silence lies between two messages of one window, so a stage takes two rows a window, not one a message."""
+    every = max(1, limit_us // 10)
+    ends = stream.withWatermark(TIME, delay).groupBy(F.window(TIME, f"{every} microseconds"), "stage").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    rows = ends.select("stage", F.explode(F.array_distinct(F.array("first", "last"))).alias("us"), F.window_time("window").alias(TIME))
+    return apply(rows, ["stage"], Silences(limit_us, every), Silences.output)
+
+
 def _time(us: int) -> Any:
     import datetime
 
@@ -297,6 +381,10 @@ def timed(us: Column) -> Column:
     return F.timestamp_micros(us).alias(TIME)
 
 
+#: Files of a slice of ``land``.
+FILES = 8
+
+
 def land(df: DataFrame, path: str, slices: int, us: str = "us") -> int:
     """A table as files that arrive one after the other, each slice with a later part of the time; returns the width of a slice. What is in a
     slice comes in any order, so a slice's width is the least delay that loses nothing."""
@@ -304,8 +392,11 @@ def land(df: DataFrame, path: str, slices: int, us: str = "us") -> int:
     if first is None:
         return 1
     width = (last - first) // slices + 1
-    for k in range(slices):
-        df.where((F.col(us) >= first + k * width) & (F.col(us) < first + (k + 1) * width)).write.mode("append").parquet(path)
+    parts = f"{path}-slices"
+    cut = df.where(F.col(us).isNotNull()).withColumn("slice", ((F.col(us) - first - F.pmod(F.col(us) - first, F.lit(width))) / F.lit(width)).cast("int"))
+    cut.write.partitionBy("slice").parquet(parts)
+    for (k,) in sorted(cut.select("slice").distinct().collect()):
+        df.sparkSession.read.schema(df.schema).parquet(f"{parts}/slice={k}").coalesce(FILES).write.mode("append").parquet(path)
     return width
 
 

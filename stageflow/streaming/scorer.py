@@ -19,6 +19,7 @@ from stageflow.functions.scalar import ScoreConfig
 from stageflow.operators import scoring as SCO
 from stageflow.session import dictionary
 from stageflow.streaming.ordered import TIME, InOrder, _time, apply
+from stageflow.streaming.ordered import dealt as dealt_by
 
 MESSAGE = (
     "entity long, stage int, stage_rank int, us long, t long, transit_minutes double, is_entry boolean, is_exit boolean, response int, "
@@ -123,7 +124,7 @@ class LineFacts(InOrder):
 
 def health(messages: DataFrame, baselines: DataFrame, benchmark: DataFrame, topology: DataFrame, delay: str, cfg: ScoreConfig = SCO.CFG) -> DataFrame:
     """SCO1 and SCO2 on a stream of messages with ``us`` and the event time: the columns of the stage's health and of the entity's risk."""
-    facts = apply(SCO.deviations(messages, baselines, cfg).select(*[c.split()[0] for c in MESSAGE.split(", ")[:-1]], "anomalous", TIME), ["entity"], EntityFacts(), EntityFacts.output, delay)
+    facts = dealt_by(SCO.deviations(messages, baselines, cfg).select(*[c.split()[0] for c in MESSAGE.split(", ")[:-1]], "anomalous", TIME), "entity", EntityFacts(), delay)
     targets = F.transform("stages_visited", lambda s: F.struct(s.alias("at"), F.lit(1).alias("kind")))
     own = F.array(F.struct(F.col("stage").alias("at"), F.lit(0).alias("kind")))
     dealt = facts.withColumn("m", F.explode(F.when(F.col("is_exit"), F.concat(own, targets)).otherwise(own))).select("m.at", "m.kind", *facts.columns)
