@@ -79,7 +79,7 @@ class InOrder(StatefulProcessor):
             return iter(())
         held = [self.make(*r) for block in self.waiting.get() for r in pickle.loads(block[0])]
         at = [self.names.index(c) for c in self.order]
-        rows = sorted(held + fresh, key=lambda r: tuple(tuple.__getitem__(r, i) for i in at))
+        rows = sorted(held + fresh, key=lambda r: tuple((tuple.__getitem__(r, i) is not None, tuple.__getitem__(r, i)) for i in at))  # nulls first
         us = self.names.index("us")
         n_due = bisect.bisect_right(rows, watermark, key=lambda r: _ms(tuple.__getitem__(r, us)))
         due, left = rows[:n_due], rows[n_due:]

@@ -22,6 +22,12 @@ def test_keys_of_a_bucket_share_one_state(spark, tmp_path):
     assert {r.event_id: (r.prev_stage, r.visited, r.anomalies, r.life) for r in out.collect()} == plain_states(src.collect(), "x")
 
 
+def test_a_null_of_one_key_leaves_the_others_of_its_bucket_in_order():
+    k = _Key(O.Dealt(O.Entities("x"), "entity"), 3)
+    got = k.rows(10, (1, None, 500, "a", True, 0), (2, 7, 500, "b", True, 0), (2, 6, 400, "a", False, 0))
+    assert sorted((r["entity"], r["event_id"] or 0, r["visited"]) for r in got) == [(1, 0, 1), (2, 6, 1), (2, 7, 2)]
+
+
 def test_waiting_rows_are_one_state_value_a_block():
     k = _Key(O.Arrivals(1000), "s")
     k.rows(0, *[("s", i, 10_000 + i) for i in range(500)])
