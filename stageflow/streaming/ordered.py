@@ -159,14 +159,25 @@ def dealt(df: DataFrame, key: str, operator: InOrder, delay: str | None = None)
     return apply(df.withColumn("bucket", bucket), ["bucket"], Dealt(operator, key), operator.output, delay)
 
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+
 def run(df: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
-    """Run a stream over everything available into a table and read the table; given folders go on where an earlier run ended."""
+    """Run a stream over everything available into a table and read the table; given folders go on where an earlier run ended.
+
+    Every partition of an operator's state costs a Python worker and a commit in every batch, whether or not it has rows, and a batch is bounded by its
+    files. So a new stream has one partition a core, if the session doesn't ask for fewer; one that goes on keeps the number in its checkpoint."""
     spark = df.sparkSession
     out = out or work_dir(spark, name)
-    query = (
-        df.drop(TIME).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint or work_dir(spark, f"{name}-checkpoint"))
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+    asked = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, min(int(asked), max(1, spark.sparkContext.defaultParallelism)))
+    try:  # start() takes a copy of the settings
+        query = (
+            df.drop(TIME).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint or work_dir(spark, f"{name}-checkpoint"))
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(PARTITIONS, asked)
     query.awaitTermination()
     return spark.read.schema(df.drop(TIME).schema).parquet(out)
 
