@@ -69,7 +69,12 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        return self._advance(key, [self.make(*map(r.__getitem__, self.names)) for r in rows], timerValues.getCurrentWatermarkInMs())
+        fresh, at = [], None
+        for r in rows:
+            at = at or [r.__fields__.index(n) for n in self.names]
+            plain = tuple(r)  # a row's own access by name is slow
+            fresh.append(self.make(*[plain[i] for i in at]))
+        return self._advance(key, fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         return self._advance(key, [], timerValues.getCurrentWatermarkInMs())

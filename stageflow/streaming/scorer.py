@@ -8,6 +8,7 @@ expressions of ``operators.scoring``; the result is that of its batch operators.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterable
 from typing import Any
 
@@ -55,33 +56,34 @@ class EntityFacts(InOrder):
 
 
 class StageFacts(InOrder):
-    """Mean of the stage's last deviations and of the outcomes it has learnt, at each visit. Rows with kind 1 are outcomes."""
+    """Mean of the stage's last deviations and of the outcomes it has learnt, at each visit. Rows with kind 1 are outcomes. ``facts``: the message as one
+    text, which an operator with few keys passes on faster than a row of many columns."""
 
-    row = "at int, kind int, " + EntityFacts.output
+    row = "at int, kind int, us long, stage_rank int, entity long, life int, response int, max_abs_z double, facts string"
     value = "recent array<string>, deviations array<double>, outcomes array<int>"
-    output = EntityFacts.output + ", avg_z double, window_parts int, observed_rate double"
+    output = "facts string, avg_z double, window_parts int, observed_rate double"
     order = ("us", "stage_rank", "entity", "kind")
 
     def __init__(self, cfg: ScoreConfig) -> None:
         self.window, self.default = cfg.window, cfg.base_rate
-        self.names = [c.split()[0] for c in EntityFacts.output.split(", ")]
 
     def start(self) -> tuple:
         return [], [], []
 
     def step(self, key: Any, value: tuple, rows: list[Row]) -> tuple[tuple, Iterable[Row]]:
-        recent, zs, ys = (list(v or []) for v in value)
-        names = [c.split()[0] for c in EntityFacts.output.split(", ")]
+        recent, zs, ys = (deque(v or [], self.window) for v in value)
         out = []
         for r in rows:
-            who = f"{r['entity']}/{r['life']}"
-            if r["kind"]:
+            _, kind, us, _, entity, life, response, z, facts = r
+            who = f"{entity}/{life}"
+            if kind:
                 if who in recent:
-                    ys = [*ys, r["response"] or 0][-self.window :]
+                    ys.append(response or 0)
                 continue
-            recent, zs = [*recent, who][-self.window :], [*zs, r["max_abs_z"]][-self.window :]
-            out.append(Row(**{c: r[c] for c in names}, avg_z=math.fsum(zs) / len(zs), window_parts=len(recent), observed_rate=sum(ys) / len(ys) if ys else self.default, time=_time(r["us"])))
-        return (recent, zs, ys), out
+            recent.append(who)
+            zs.append(z)
+            out.append(Row(facts=facts, avg_z=math.fsum(zs) / len(zs), window_parts=len(recent), observed_rate=sum(ys) / len(ys) if ys else self.default, time=_time(us)))
+        return (list(recent), list(zs), list(ys)), out
 
 
 class LineFacts(InOrder):
@@ -127,8 +129,11 @@ def health(messages: DataFrame, baselines: DataFrame, benchmark: DataFrame, topo
     facts = dealt_by(SCO.deviations(messages, baselines, cfg).select(*[c.split()[0] for c in MESSAGE.split(", ")[:-1]], "anomalous", TIME), "entity", EntityFacts(), delay)
     targets = F.transform("stages_visited", lambda s: F.struct(s.alias("at"), F.lit(1).alias("kind")))
     own = F.array(F.struct(F.col("stage").alias("at"), F.lit(0).alias("kind")))
-    dealt = facts.withColumn("m", F.explode(F.when(F.col("is_exit"), F.concat(own, targets)).otherwise(own))).select("m.at", "m.kind", *facts.columns)
-    seen = apply(dealt, ["at"], StageFacts(cfg), StageFacts.output)
+    dealt = facts.withColumn("m", F.explode(F.when(F.col("is_exit"), F.concat(own, targets)).otherwise(own)))
+    needed = [c.split()[0] for c in StageFacts.row.split(", ")[2:-1]]
+    whole = F.when(F.col("m.kind") == 0, F.to_json(F.struct(*[c for c in facts.columns if c != TIME]))).alias("facts")
+    stages = apply(dealt.select("m.at", "m.kind", *needed, whole, TIME), ["at"], StageFacts(cfg), StageFacts.output)
+    seen = stages.select(F.inline(F.array(F.from_json("facts", EntityFacts.output))), *[c for c in stages.columns if c != "facts"])
     paced = (
         seen.join(dictionary(topology, "topology"), "stage", "left").withColumn("incoming", F.coalesce("arrived_from", "static_prev"))
         .join(dictionary(benchmark.select(F.col("prev_stage").alias("incoming"), "stage", "p90", "p99"), "benchmark"), ["incoming", "stage"], "left")

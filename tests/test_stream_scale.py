@@ -97,3 +97,24 @@ def test_a_dashboard_writes_only_the_points_it_reads(data):
     before = set(M._TABLES)
     M.mon2(data).count()
     assert {k[3] for k in set(M._TABLES) - before} <= {"health", "scored"}
+
+
+def test_a_stream_has_at_most_one_state_partition_a_core(spark, events, tmp_path):
+    asked = spark.conf.get(O.PARTITIONS)
+    spark.conf.set(O.PARTITIONS, "64")
+    try:
+        O.run(O.arrivals(_stream(events, f"{tmp_path}/in"), 10_000, "1 second"), "slots", f"{tmp_path}/checkpoint")
+        assert spark.conf.get(O.PARTITIONS) == "64"
+    finally:
+        spark.conf.set(O.PARTITIONS, asked)
+    with open(f"{tmp_path}/checkpoint/offsets/0") as f:
+        assert f'"{O.PARTITIONS}":"{spark.sparkContext.defaultParallelism}"' in f.read()
+
+
+def test_the_stage_takes_a_message_as_one_text():
+    from stageflow.operators.scoring import CFG
+    from stageflow.streaming.scorer import StageFacts
+
+    k = _Key(StageFacts(CFG), 1)
+    got = k.rows(10, (1, 0, 1000, 1, 7, 0, None, 2.0, "a"), (1, 1, 2000, 1, 7, 0, 1, 0.0, None), (1, 0, 3000, 1, 8, 0, None, 4.0, "b"))
+    assert [(r["facts"], r["avg_z"], r["window_parts"], r["observed_rate"]) for r in got] == [("a", 2.0, 1, CFG.base_rate), ("b", 3.0, 2, 1.0)]
