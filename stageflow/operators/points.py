@@ -78,20 +78,26 @@ def _prefixed(values: Column, prefix: str) -> Column:
     return F.transform_keys(values, lambda k, _: F.concat(F.lit(prefix), k)) if prefix else values
 
 
-def to_points(messages: DataFrame, topic: str = "topic", payload: str = "payload", ts: str = "ts", seq: str = "seq") -> DataFrame:
+def to_points(
+    messages: DataFrame, topic: str = "topic", payload: str = "payload", ts: str = "ts", seq: str = "seq", names: Sequence[str] | None = None
+) -> DataFrame:
     """SNK5: one parse per message and no union; topics without a measurement are dropped.  Works on streams.
 
+    ``names``: the measurements wanted, where the caller knows them; only their keys are parsed, and messages of others are dropped as well.
     ``inline`` keeps the parsed struct and the two maps from being merged into (and repeated by) later expressions.
     """
     kind = F.lit(None).cast("string")
     for m in reversed(MEASUREMENTS):
         kind = F.when(F.col(topic).contains(m.topic), m.name).otherwise(kind)
-    parsed = messages.withColumn("measurement", kind).where(F.col("measurement").isNotNull()).select(
-        "measurement", F.col(ts).alias("_ts"), F.col(seq).alias("_seq"), F.inline(F.array(F.from_json(payload, payload_schema())))
+    wanted = [m for m in MEASUREMENTS if names is None or m.name in names]
+    keys = {k for m in wanted for k in (*m.tags, *m.fields, *m.maps)}
+    schema = T.StructType([f for f in payload_schema() if f.name in keys])
+    parsed = messages.withColumn("measurement", kind).where(F.col("measurement").isin([m.name for m in wanted])).select(
+        "measurement", F.col(ts).alias("_ts"), F.col(seq).alias("_seq"), F.inline(F.array(F.from_json(payload, schema)))
     )
     tags: Column = F.lit(None)
     fields: Column = F.lit(None)
-    for m in MEASUREMENTS:
+    for m in wanted:
         here = F.col("measurement") == m.name
         names = [F.lit(n) for n in (*m.constant_tags, *m.tags)]
         values = [F.lit(v) for v in m.constant_tags.values()] + [F.coalesce(_text(F.col(t)), F.lit(d)) for t, d in m.tags.items()]

@@ -132,13 +132,17 @@ def message_tables(d, kinds, scored_visits):
     yield from ((k, plain[k](d)) for k in kinds if k in plain)
 
 
+#: The measurement that the messages of a kind become.
+MEASURED = {"telemetry": "station_telemetry", "health": "station_health", "risk": "part_risk", "overview": "line_overview", "decision": "ai_part_risk", "window": "ai_window", "anomaly": "ai_anomaly"}
+
+
 def points(d, *kinds):
     """The point table a dashboard reads: one written table per message kind, made once per session and state of the data."""
     state = freshness(d)
     key = lambda k: (d.spark.sparkContext.applicationId, d.sf_dir, state, k)
     missing = [k for k in kinds if key(k) not in _TABLES]
     for k, messages in message_tables(d, missing, lambda: scored_table(d, key("scored"))):
-        _TABLES[key(k)] = materialize(PT.to_points(messages), f"points-{k}")
+        _TABLES[key(k)] = materialize(PT.to_points(messages, names=[MEASURED[k]]), f"points-{k}")
     out = _TABLES[key(kinds[0])]
     for k in kinds[1:]:
         out = out.unionByName(_TABLES[key(k)])

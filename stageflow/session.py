@@ -64,7 +64,7 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).parquet(path)
     written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

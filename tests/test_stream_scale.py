@@ -118,3 +118,21 @@ def test_the_stage_takes_a_message_as_one_text():
     k = _Key(StageFacts(CFG), 1)
     got = k.rows(10, (1, 0, 1000, 1, 7, 0, None, 2.0, "a"), (1, 1, 2000, 1, 7, 0, 1, 0.0, None), (1, 0, 3000, 1, 8, 0, None, 4.0, "b"))
     assert [(r["facts"], r["avg_z"], r["window_parts"], r["observed_rate"]) for r in got] == [("a", 2.0, 1, CFG.base_rate), ("b", 3.0, 2, 1.0)]
+
+
+def test_points_of_one_measurement_parse_only_its_keys(spark):
+    from stageflow.operators import points as PT
+    from stageflow.plans.monitoring import MEASURED
+
+    rows = [("factory/line3/S2/telemetry", 1, '{"part_id": 5, "station_id": "S2", "features": {"qty": 0.5}, "cumulative_risk": 0.5}'), ("factory/line3/parts/5/risk", 2, '{"cumulative_risk": 0.4}')]
+    df = spark.createDataFrame(rows, "topic string, seq long, payload string").withColumn("ts", F.timestamp_micros(F.col("seq")))
+    one = PT.to_points(df, names=[MEASURED["telemetry"]])
+    assert one.collect() == PT.to_points(df).where("measurement = 'station_telemetry'").collect()
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "cumulative_risk" not in plan and "features" in plan and set(MEASURED.values()) == {m.name for m in PT.MEASUREMENTS}
+
+
+def test_written_tables_are_compressed_with_zstd(spark):
+    from stageflow.session import materialize
+
+    assert all(f.endswith(".zstd.parquet") for f in materialize(spark.range(10), "small").inputFiles())
