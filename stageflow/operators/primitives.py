@@ -134,7 +134,7 @@ def running_rows(
     keys: Sequence[str] = (),
     width: int = WIDTH,
     levels: int = 0,
-    tie_width: int = 65536,
+    tie_width: int = 2**20,
 ) -> DataFrame:
     """Row-level running sums in the total order (``order``, ``tie``); adds ``cum_<name>`` to every row.
 

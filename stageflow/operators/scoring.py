@@ -6,6 +6,8 @@ scans over dominant keys, so they use the bucketed primitives instead of one win
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,15 +51,19 @@ def deviations(messages: DataFrame, baselines: DataFrame, cfg: ScoreConfig = CFG
 def lives(messages: DataFrame) -> DataFrame:
     """Arrival order inside an entity: state restarts after an exit message, as the live scorer forgets the entity.
 
-    An entity sends at most one message per stage and life, so these windows are small.
+    An entity sends at most one message per stage and life, so these windows are small. A life ends with its exit message, so it has one at most:
+    ``exit_t``, ``exit_tie`` and ``exit_label`` say on every message of the life when it comes and what outcome it reveals.
     """
     order = Window.partitionBy("entity").orderBy("t", "stage_rank", "stage")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     with_life = messages.withColumn("life", F.coalesce(F.sum(F.col("is_exit").cast("int")).over(before), F.lit(0)))
     state = Window.partitionBy("entity", "life").orderBy("t", "stage_rank", "stage")
-    return with_life.withColumn("arrived_from", F.lag("stage").over(state)).withColumn(
-        "is_first", F.row_number().over(state) == 1
-    )
+    whole = state.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    leaves = F.struct("t", message_tie().alias("tie"), F.coalesce("response", F.lit(0)).alias("label"))
+    out = with_life.withColumns({
+        "arrived_from": F.lag("stage").over(state), "is_first": F.row_number().over(state) == 1, "_exit": F.max(F.when(F.col("is_exit"), leaves)).over(whole)
+    })
+    return out.select("*", *[F.col(f"_exit.{c}").alias(f"exit_{c}") for c in ("t", "tie", "label")]).drop("_exit")
 
 
 def rolling_drift(scored: DataFrame, window: int = CFG.window) -> DataFrame:
@@ -76,56 +82,64 @@ def rolling_p90(visits: DataFrame, window: int = CFG.window) -> DataFrame:
     )
 
 
-def rolling_outcomes(visits: DataFrame, labels_at_exit: DataFrame, window: int = CFG.window, default: float = CFG.base_rate) -> DataFrame:
+def rolling_outcomes(
+    visits: DataFrame, window: int = CFG.window, default: float = CFG.base_rate, carry: Sequence[str] = ()
+) -> DataFrame:
     """WIN5: mean of the last ``window`` outcomes a stage had learnt before each visit, else the base rate.
 
     An outcome reaches a stage when the entity's exit message arrives, provided the entity visited the stage in
-    that life and is still among the stage's last ``window`` visits.  ``visits``: entity, stage, life, t, tie, visit_no;
-    ``labels_at_exit``: entity, life, t, tie, label.  Positions double the tie so that a visit precedes the outcome
-    carried by the same message.
+    that life and is still among the stage's last ``window`` visits.  ``visits``: entity, stage, life, t, tie, visit_no, with the
+    exit of the life as ``lives`` adds it; the columns ``carry`` are passed on.  Positions double the tie so that a visit
+    precedes the outcome carried by the same message.
+
+    The first scan, which finds the outcomes that count, takes none of the visits' other columns; the second takes those
+    outcomes and the visits.
     """
-    seen = visits.select(
-        "stage", "entity", "life", "t", (F.col("tie") * 2).alias("_pos"), F.lit(1).alias("_visit"), "visit_no", F.lit(0).alias("label")
+    pos = (F.col("tie") * 2).alias("_pos")
+    seen = visits.select("stage", "t", pos, F.lit(1).alias("_visit"), F.lit(None).cast("long").alias("visit_no"), F.lit(None).cast("int").alias("label"))
+    learnt = visits.where(F.col("exit_t").isNotNull() & (F.struct("t", "tie") <= F.struct("exit_t", "exit_tie"))).select(
+        "stage", F.col("exit_t").alias("t"), (F.col("exit_tie") * 2 + 1).alias("_pos"), F.lit(0).alias("_visit"), "visit_no", F.col("exit_label").alias("label")
     )
-    known = visits.select("stage", "entity", "life", "visit_no", F.col("t").alias("_vt"), F.col("tie").alias("_vtie"))
-    learnt = (
-        known.join(labels_at_exit, ["entity", "life"])
-        .where(F.struct("_vt", "_vtie") <= F.struct("t", "tie"))
-        .select("stage", "entity", "life", "t", (F.col("tie") * 2 + 1).alias("_pos"), F.lit(0).alias("_visit"), "visit_no", "label")
-    )
-    both = materialize(seen.unionByName(learnt), "outcomes")
-    counted = P.running_rows(both, "t", "_pos", {"seen": F.col("_visit")}, ("stage",))
+    counted = P.running_rows(seen.unionByName(learnt), "t", "_pos", {"seen": F.col("_visit")}, ("stage",))
     in_window = F.col("cum_seen") - F.col("visit_no") < window
-    kept = counted.where((F.col("_visit") == 1) | in_window).withColumn("_o", 1 - F.col("_visit"))
-    scan = materialize(
-        P.running_rows(kept, "t", "_pos", {"k": F.col("_o"), "c": F.col("_o") * F.col("label")}, ("stage",)), "outcome_scan"
+    kept = materialize(counted.where((F.col("_visit") == 0) & in_window).select("stage", "t", "_pos", "label"), "outcomes")
+    rows = visits.select("stage", "entity", "life", "t", pos, *carry, F.lit(0).alias("_o"), F.lit(0).alias("_c")).unionByName(
+        kept.select("stage", "t", "_pos", F.lit(1).alias("_o"), F.col("label").alias("_c")), allowMissingColumns=True
     )
+    scan = P.running_rows(rows, "t", "_pos", {"k": F.col("_o"), "c": F.col("_c")}, ("stage",)).drop("t", "_pos", "_c")
+    scan = materialize(scan, "outcome_scan")
     older = scan.where("_o = 1").select("stage", F.col("cum_k").alias("_k"), F.col("cum_c").alias("_c0"))
     rate = (F.col("cum_c") - F.coalesce("_c0", F.lit(0))) / F.least(F.col("cum_k"), F.lit(window))
     return (
         scan.where("_o = 0")
         .withColumn("_k", F.col("cum_k") - window)
         .join(older, ["stage", "_k"], "left")
-        .select("stage", "entity", "life", F.when(F.col("cum_k") > 0, rate).otherwise(F.lit(default)).alias("observed_rate"))
+        .select("stage", "entity", "life", *carry, F.when(F.col("cum_k") > 0, rate).otherwise(F.lit(default)).alias("observed_rate"))
     )
 
 
 def stage_health(
     messages: DataFrame, baselines: DataFrame, benchmark: DataFrame, topology: DataFrame, cfg: ScoreConfig = CFG
 ) -> DataFrame:
-    """SCO1: composite health of the stage at every visit, with its three sub-scores."""
-    scored = deviations(lives(messages), baselines, cfg).withColumn("tie", message_tie()).drop("features", "zs", "prev_stage")
-    scored = materialize(scored, "scored")
-    numbered = materialize(rolling_drift(scored, cfg.window), "numbered")
-    exits = numbered.where("is_exit").select("entity", "life", "t", "tie", F.coalesce("response", F.lit(0)).alias("label"))
-    outcomes = rolling_outcomes(numbered, exits, cfg.window, cfg.base_rate)
+    """SCO1: composite health of the stage at every visit, with its three sub-scores.
+
+    ``messages`` may carry their ``lives`` already.  The ordered scans only take the columns they need; the others meet
+    the scans' results in one join at the end.
+    """
+    lived = messages if "life" in messages.columns else materialize(lives(messages), "lives")
+    scored = deviations(lived, baselines, cfg).withColumn("tie", message_tie()).drop("features", "zs", "prev_stage")
+    exits = ["exit_t", "exit_tie", "exit_label"]
+    drift = rolling_drift(scored.select("stage", "entity", "life", "t", "tie", "max_abs_z", *exits), cfg.window)
+    numbered = materialize(drift.drop("max_abs_z", "window_parts"), "numbered")
+    outcomes = rolling_outcomes(numbered, cfg.window, cfg.base_rate, ("visit_no", "avg_z"))
     paced = (
-        numbered.join(dictionary(topology, "topology"), "stage", "left")
+        scored.drop(*exits).join(dictionary(topology, "topology"), "stage", "left")
         .withColumn("incoming", F.coalesce("arrived_from", "static_prev"))
         .join(dictionary(benchmark.select(F.col("prev_stage").alias("incoming"), "stage", "p90", "p99"), "benchmark"), ["incoming", "stage"], "left")
         .withColumn("p90", F.coalesce("p90", F.lit(cfg.default_p90)))
         .withColumn("p99", F.coalesce("p99", F.lit(cfg.default_p99)))
         .join(outcomes, ["stage", "entity", "life"])
+        .withColumn("window_parts", F.least(F.col("visit_no"), F.lit(cfg.window)))
     )
     drift = S.drift_score(F.col("avg_z"), F.col("n_features"))
     pacing = S.pacing_score(F.col("transit_minutes"), F.col("p90"), F.col("p99"), F.col("incoming").isNotNull())
@@ -199,10 +213,9 @@ def line_overview(health: DataFrame, hours: float, n_stages: int = 7, last: int
         "_exit": F.col("is_exit").cast("int"),
         "_bad": (F.col("is_exit") & (F.coalesce("response", F.lit(0)) == 1)).cast("int"),
     }
-    stepped = health_steps(health).withColumn("tie", message_tie())
+    stepped = health_steps(health).select("entity", "life", "t", message_tie().alias("tie"), "is_exit", *[e.alias(n) for n, e in flags.items()], "_step")
     totals = materialize(
-        P.running_rows(stepped.select("entity", "life", "t", "tie", "is_exit", *[e.alias(n) for n, e in flags.items()], "_step"),
-                       "t", "tie", {**{n: F.col(n) for n in flags}, "_step": F.col("_step")}).where("is_exit"),
+        P.running_rows(materialize(stepped, "steps"), "t", "tie", {**{n: F.col(n) for n in flags}, "_step": F.col("_step")}).where("is_exit"),
         "overview",
     )
     flow = rolling_throughput(totals.select("entity", "t"), hours, last)

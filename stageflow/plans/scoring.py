@@ -42,8 +42,8 @@ cte("health", f"""SELECT *, CASE WHEN health_score >= 80 THEN 'HEALTHY' WHEN hea
 
 
 def health(d):
-    d.stored("visits", "messages")
-    return SCO.stage_health(d.messages, PR.baselines(d.sensor_values, ("stage", "feature")), segment_benchmark(d), topology(d))
+    lived = d.lived_messages
+    return SCO.stage_health(lived, PR.baselines(d.sensor_values, ("stage", "feature")), segment_benchmark(d), topology(d))
 
 
 def scored(d):
@@ -60,8 +60,7 @@ def win4(d):
 def win5(d):
     m = materialize(SCO.lives(d.messages).withColumn("tie", SCO.message_tie()).drop("features", "prev_stage"), "lives")
     m = materialize(P.ranked(m, "t", "entity", ("stage",), "visit_no"), "numbered")
-    exits = m.where("is_exit").select("entity", "life", "t", "tie", F.coalesce("response", F.lit(0)).alias("label"))
-    return rounded(SCO.rolling_outcomes(m, exits).select("entity", "stage", "observed_rate"), "observed_rate")
+    return rounded(SCO.rolling_outcomes(m).select("entity", "stage", "observed_rate"), "observed_rate")
 
 
 @query("win6_rolling_p90", sql("ml", """SELECT entity, stage, visit_no, round(quantile_cont(transit_minutes, 0.9) OVER (PARTITION BY stage ORDER BY t, entity ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 4) AS p90_transit FROM ml"""))
@@ -99,8 +98,8 @@ cte("win9c", """SELECT pos, entity, stage, t, is_exit, 100.0 + CAST(sum(cents -
 
 @query("win9_average_latest_health", sql("win9c", "SELECT entity, stage, t, round(avg_health, 5) AS avg_health FROM win9c"))
 def win9(d):
-    stepped = SCO.health_steps(health(d)).withColumn("tie", SCO.message_tie())
-    out = P.running_rows(stepped, "t", "tie", {"c": F.col("_step")})
+    stepped = SCO.health_steps(health(d)).select("entity", "stage", "t", SCO.message_tie().alias("tie"), "_step")
+    out = P.running_rows(materialize(stepped, "steps"), "t", "tie", {"c": F.col("_step")})
     return out.select("entity", "stage", "t", F.round(F.lit(100.0) + F.col("cum_c") / F.lit(700.0), 5).alias("avg_health"))
 
 

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stageflow.operators import scoring as SCO
 from stageflow.operators import visits as V
 from stageflow.session import materialize
 
@@ -23,6 +24,21 @@ def stage_rank(stage: Column) -> Column:
     return F.when(stage == FORK[1], FORK[0]).when(stage > FORK[1], stage - 1).otherwise(stage)
 
 
+#: Columns of a message, from a visit with its rank, previous stage and transit, and the label of its entity.
+MESSAGE_NAMES = ("entity", "stage", "stage_rank", "t", "transit_minutes", "features", "is_entry", "is_exit", "response", "prev_stage")
+
+
+def message_columns() -> list[Column]:
+    derived = {
+        "t": F.col("entry"),
+        "features": V.sensor_map(SENSORS),
+        "is_entry": F.col("stage") == ENTRY_STAGE,
+        "is_exit": F.col("stage") == EXIT_STAGE,
+        "response": F.when(F.col("stage") == EXIT_STAGE, F.col("label")),
+    }
+    return [derived[n].alias(n) if n in derived else F.col(n) for n in MESSAGE_NAMES]
+
+
 @dataclass
 class Data:
     spark: SparkSession
@@ -64,9 +80,12 @@ class Data:
 
     @cached_property
     def visits(self) -> DataFrame:
-        """One row per (entity, stage) with entry, exit, duration and the largest sensor readings."""
+        """One row per (entity, stage) with entry, exit, duration and the largest sensor readings.
+
+        Rows meet by entity, so that the windows, joins and aggregates per entity after it need no other shuffle.
+        """
         return V.derive_visits(
-            self.rows, "entity", "stage", "t", carry=("line",), maxima=SENSORS
+            self.rows.repartition("entity"), "entity", "stage", "t", carry=("line",), maxima=SENSORS
         )
 
     @cached_property
@@ -81,20 +100,32 @@ class Data:
     @cached_property
     def messages(self) -> DataFrame:
         """Telemetry messages: one per visit, with transit, sensor map and the outcome revealed at the exit."""
+        return self.moved.join(self.labels, "entity", "left").select(*message_columns())
+
+    @property
+    def moved(self) -> DataFrame:
+        """Visits with their rank, the previous stage and the transit from it."""
         ranked = self.visits.withColumn("stage_rank", stage_rank(F.col("stage")).cast("int"))
-        moved = V.transit_from_previous(ranked, "entity", "stage_rank", "entry", DAY_MINUTES)
-        return moved.join(self.labels, "entity", "left").select(
-            "entity",
-            "stage",
-            "stage_rank",
-            F.col("entry").alias("t"),
-            "transit_minutes",
-            V.sensor_map(SENSORS).alias("features"),
-            (F.col("stage") == ENTRY_STAGE).alias("is_entry"),
-            (F.col("stage") == EXIT_STAGE).alias("is_exit"),
-            F.when(F.col("stage") == EXIT_STAGE, F.col("label")).alias("response"),
-            F.col("prev_stage"),
+        return V.transit_from_previous(ranked, "entity", "stage_rank", "entry", DAY_MINUTES)
+
+    @cached_property
+    def lived_messages(self) -> DataFrame:
+        """Messages with their lives. They are written once, with the columns of their visits, from which ``visits`` and ``messages`` are then read too.
+
+        The outcomes of an entity are joined as a list, so that ``copy`` tells the first message of a visit from those that another outcome adds.
+        """
+        outcomes = self.labels.groupBy("entity").agg(F.collect_list(F.struct("label")).alias("_outcomes"))
+        every = self.moved.join(outcomes, "entity", "left").select("*", F.posexplode_outer("_outcomes").alias("copy", "_outcome"))
+        carried = ("line", "entry", "exit", *SENSORS, "copy")
+        flow = every.withColumn("label", F.col("_outcome.label")).select(*message_columns(), *carried)
+        written = materialize(SCO.lives(flow).drop("features", "t"), "flow").withColumn("t", F.col("entry"))
+        self.visits = written.where(F.coalesce("copy", F.lit(0)) == 0).select(
+            "entity", "stage", "line", "entry", "exit", (F.col("exit") - F.col("entry")).alias("duration"), *SENSORS
         )
+        lived = written.withColumn("features", V.sensor_map(SENSORS)).drop(*carried)
+        self.messages = lived.select(*MESSAGE_NAMES)
+        self._written |= {"visits", "messages"}
+        return lived
 
     @cached_property
     def events(self) -> DataFrame:
