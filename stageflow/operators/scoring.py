@@ -92,8 +92,9 @@ def rolling_outcomes(
     exit of the life as ``lives`` adds it; the columns ``carry`` are passed on.  Positions double the tie so that a visit
     precedes the outcome carried by the same message.
 
-    The first scan, which finds the outcomes that count, takes none of the visits' other columns; the second takes those
-    outcomes and the visits.
+    The first scan, which finds the outcomes that count, takes none of the visits' other columns. Each of these outcomes then
+    changes the sum of the last ``window`` ones by its label less that of the one it displaces, so the second scan, over the
+    visits and these changes, reads the sum itself.
     """
     pos = (F.col("tie") * 2).alias("_pos")
     seen = visits.select("stage", "t", pos, F.lit(1).alias("_visit"), F.lit(None).cast("long").alias("visit_no"), F.lit(None).cast("int").alias("label"))
@@ -103,19 +104,15 @@ def rolling_outcomes(
     counted = P.running_rows(seen.unionByName(learnt), "t", "_pos", {"seen": F.col("_visit")}, ("stage",))
     in_window = F.col("cum_seen") - F.col("visit_no") < window
     kept = materialize(counted.where((F.col("_visit") == 0) & in_window).select("stage", "t", "_pos", "label"), "outcomes")
-    rows = visits.select("stage", "entity", "life", "t", pos, *carry, F.lit(0).alias("_o"), F.lit(0).alias("_c")).unionByName(
-        kept.select("stage", "t", "_pos", F.lit(1).alias("_o"), F.col("label").alias("_c")), allowMissingColumns=True
-    )
-    scan = P.running_rows(rows, "t", "_pos", {"k": F.col("_o"), "c": F.col("_c")}, ("stage",)).drop("t", "_pos", "_c")
-    scan = materialize(scan, "outcome_scan")
-    older = scan.where("_o = 1").select("stage", F.col("cum_k").alias("_k"), F.col("cum_c").alias("_c0"))
-    rate = (F.col("cum_c") - F.coalesce("_c0", F.lit(0))) / F.least(F.col("cum_k"), F.lit(window))
-    return (
-        scan.where("_o = 0")
-        .withColumn("_k", F.col("cum_k") - window)
-        .join(older, ["stage", "_k"], "left")
-        .select("stage", "entity", "life", *carry, F.when(F.col("cum_k") > 0, rate).otherwise(F.lit(default)).alias("observed_rate"))
+    numbered = P.trailing(
+        P.ranked(kept, "t", "_pos", ("stage",), "_k"), "_k", window + 1, {"_first": lambda w: F.first("label").over(w)}, ("stage",)
     )
+    left = F.when(F.col("_k") > window, F.col("_first")).otherwise(F.lit(0))
+    changes = materialize(numbered.select("stage", "t", "_pos", F.lit(1).alias("_o"), (F.col("label") - left).alias("_c")), "changes")
+    rows = visits.select("stage", "entity", "life", "t", pos, *carry, F.lit(0).alias("_o"), F.lit(0).alias("_c")).unionByName(changes, allowMissingColumns=True)
+    scan = P.running_rows(rows, "t", "_pos", {"k": F.col("_o"), "c": F.col("_c")}, ("stage",)).where("_o = 0")
+    rate = F.col("cum_c") / F.least(F.col("cum_k"), F.lit(window))
+    return scan.select("stage", "entity", "life", *carry, F.when(F.col("cum_k") > 0, rate).otherwise(F.lit(default)).alias("observed_rate"))
 
 
 def stage_health(

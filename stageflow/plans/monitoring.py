@@ -110,7 +110,7 @@ def freshness(d) -> str:
 
 
 # What the messages of stage health, risk and overview read of the scored visits.
-SCORED = ("entity", "stage", "stage_rank", "t", "tie", "life", "visit_no", "is_first", "is_entry", "is_exit", "response", "n_features", "window_parts", "anomalous", "health_score",
+SCORED = ("entity", "stage", "stage_rank", "t", "life", "visit_no", "is_first", "is_entry", "is_exit", "response", "n_features", "window_parts", "anomalous", "health_score",
           "feature_drift_score", "transit_pacing_score", "defect_rate_score", "status", "observed_defect_rate")
 
 

@@ -59,11 +59,22 @@ def test_health_writes_one_wide_table_and_line_scans_read_steps_once(spark, data
 
     SCO.line_overview(health(d), 24.0)
     names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in written(spark)[before:]]
-    assert sorted(names) == ["baselines", "benchmark", "flow", "numbered", "outcome_scan", "outcomes", "overview", "steps", "topology"]
+    assert sorted(names) == ["baselines", "benchmark", "changes", "flow", "numbered", "outcomes", "overview", "steps", "topology"]
     numbered = spark.read.parquet(next(p for p in written(spark)[before:] if "/numbered-" in p))
     assert {"features", "anomalous", "transit_minutes", "max_abs_z"}.isdisjoint(numbered.columns)
 
 
+def test_outcomes_that_many_visits_share_are_not_a_join_key(spark):
+    """1000 visits after the same outcome once met in one group of a join on the outcome's number."""
+    times = [(0, 1, 1), (0, 1, 0), (0, 1, 1)] + [(2, None, None)] * 1000 + [(3, 3, 1), (4, None, None)]
+    rows = [(e, 0, 1, t, e, x, None if x is None else e, y, e + 1) for e, (t, x, y) in enumerate(times)]
+    schema = "entity long, life long, stage int, t long, tie long, exit_t long, exit_tie long, exit_label int, visit_no long"
+    before = len(written(spark))
+    out = SCO.rolling_outcomes(spark.createDataFrame(rows, schema), 2, 0.25)
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in written(spark)[before:]] == ["outcomes", "changes"]
+    assert {r.entity: r.observed_rate for r in out.collect()} == {e: 0.25 if e < 3 else 0.5 if e < 1004 else 1.0 for e in range(1005)}
+
+
 def test_folds_count_entities_where_their_visits_are(spark, odd):
     assert _shuffles(REGISTRY["ml3_forward_chaining_folds"].run(spark, odd)) == 2
 
