@@ -135,10 +135,11 @@ def running_rows(
     width: int = WIDTH,
     levels: int = 0,
     tie_width: int = 2**20,
+    then: Sequence[str] = (),
 ) -> DataFrame:
     """Row-level running sums in the total order (``order``, ``tie``); adds ``cum_<name>`` to every row.
 
-    (keys, order, tie) must be unique and not null.  A hot order value is cut into grains of ``tie_width`` tie values, so
+    (keys, order, tie) must be unique and not null, or the columns ``then`` order the rows that share it.  A hot order value is cut into grains of ``tie_width`` tie values, so
     neither the join nor the last window ever holds more than ``tie_width`` rows in one group.
     """
     keys = list(keys)
@@ -158,7 +159,7 @@ def running_rows(
         "_grain",
         *[(F.col(f"_tick_{n}") + F.coalesce(F.sum(n).over(in_tick), F.lit(0))).alias(f"_off_{n}") for n in sums],
     )
-    in_grain = Window.partitionBy(*keys, order, "_grain").orderBy(tie).rowsBetween(Window.unboundedPreceding, 0)
+    in_grain = Window.partitionBy(*keys, order, "_grain").orderBy(tie, *then).rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(offsets, [*keys, order, "_grain"])
     for n in sums:
         joined = joined.withColumn(f"cum_{n}", F.col(f"_off_{n}") + F.sum(f"_v_{n}").over(in_grain))

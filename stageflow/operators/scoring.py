@@ -52,7 +52,7 @@ def lives(messages: DataFrame) -> DataFrame:
     """Arrival order inside an entity: state restarts after an exit message, as the live scorer forgets the entity.
 
     An entity sends at most one message per stage and life, so these windows are small. A life ends with its exit message, so it has one at most:
-    ``exit_t``, ``exit_tie`` and ``exit_label`` say on every message of the life when it comes and what outcome it reveals.
+    ``nth`` is the message's number in its life; ``exit_t``, ``exit_tie`` and ``exit_label`` say on every message of the life when it comes and what outcome it reveals.
     """
     order = Window.partitionBy("entity").orderBy("t", "stage_rank", "stage")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -61,14 +61,14 @@ def lives(messages: DataFrame) -> DataFrame:
     whole = state.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     leaves = F.struct("t", message_tie().alias("tie"), F.coalesce("response", F.lit(0)).alias("label"))
     out = with_life.withColumns({
-        "arrived_from": F.lag("stage").over(state), "is_first": F.row_number().over(state) == 1, "_exit": F.max(F.when(F.col("is_exit"), leaves)).over(whole)
+        "arrived_from": F.lag("stage").over(state), "nth": F.row_number().over(state), "_exit": F.max(F.when(F.col("is_exit"), leaves)).over(whole)
     })
-    return out.select("*", *[F.col(f"_exit.{c}").alias(f"exit_{c}") for c in ("t", "tie", "label")]).drop("_exit")
+    return out.select("*", (F.col("nth") == 1).alias("is_first"), *[F.col(f"_exit.{c}").alias(f"exit_{c}") for c in ("t", "tie", "label")]).drop("_exit")
 
 
 def rolling_drift(scored: DataFrame, window: int = CFG.window) -> DataFrame:
     """WIN4 (and the visit number WIN5 needs): mean of the last ``window`` largest deviations of the stage."""
-    ranked = P.ranked(scored, "t", "entity", ("stage",), "visit_no")
+    ranked = P.ranked(scored, "t", "entity", ("stage",), "visit_no", then=[c for c in ("life", "nth") if c in scored.columns])
     return P.trailing(ranked, "visit_no", window, {"avg_z": lambda w: F.avg("max_abs_z").over(w)}, ("stage",)).withColumn(
         "window_parts", F.least(F.col("visit_no"), F.lit(window))
     )
@@ -126,9 +126,12 @@ def stage_health(
     lived = messages if "life" in messages.columns else materialize(lives(messages), "lives")
     scored = deviations(lived, baselines, cfg).withColumn("tie", message_tie()).drop("features", "zs", "prev_stage")
     exits = ["exit_t", "exit_tie", "exit_label"]
-    drift = rolling_drift(scored.select("stage", "entity", "life", "t", "tie", "max_abs_z", *exits), cfg.window)
+    drift = rolling_drift(scored.select("stage", "entity", "life", "nth", "t", "tie", "max_abs_z", *exits), cfg.window)
     numbered = materialize(drift.drop("max_abs_z", "window_parts"), "numbered")
-    outcomes = rolling_outcomes(numbered, cfg.window, cfg.base_rate, ("visit_no", "avg_z"))
+    outcomes = rolling_outcomes(numbered, cfg.window, cfg.base_rate, ("nth", "visit_no", "avg_z"))
+    # a message that comes twice keeps its own drift and takes the rate of each: both sides of the join need this order anyway
+    peers = F.collect_list(F.struct("nth", "visit_no", "avg_z")).over(Window.partitionBy("stage", "entity", "life"))
+    outcomes = outcomes.withColumn("_peers", peers).drop("nth", "visit_no", "avg_z")
     paced = (
         scored.drop(*exits).join(dictionary(topology, "topology"), "stage", "left")
         .withColumn("incoming", F.coalesce("arrived_from", "static_prev"))
@@ -136,6 +139,9 @@ def stage_health(
         .withColumn("p90", F.coalesce("p90", F.lit(cfg.default_p90)))
         .withColumn("p99", F.coalesce("p99", F.lit(cfg.default_p99)))
         .join(outcomes, ["stage", "entity", "life"])
+        .withColumn("_own", F.filter("_peers", lambda p: p["nth"] == F.col("nth"))[0])
+        .withColumns({"visit_no": F.col("_own.visit_no"), "avg_z": F.col("_own.avg_z")})
+        .drop("_own", "_peers", "nth")
         .withColumn("window_parts", F.least(F.col("visit_no"), F.lit(cfg.window)))
     )
     drift = S.drift_score(F.col("avg_z"), F.col("n_features"))

@@ -75,6 +75,19 @@ def test_outcomes_that_many_visits_share_are_not_a_join_key(spark):
     assert {r.entity: r.observed_rate for r in out.collect()} == {e: 0.25 if e < 3 else 0.5 if e < 1004 else 1.0 for e in range(1005)}
 
 
+def test_a_repeated_message_keeps_its_own_drift(spark):
+    """Two outcomes of an entity double its messages: each is scored with its own visit number, once for the rate of each."""
+    rows = [(1, 1, 1, 0, 0.0, {"f": z}, True, False, None, None) for z in (0.1, 0.3)] + [(2, 1, 1, 1, 0.0, {"f": 0.2}, True, False, None, None)]
+    m = spark.createDataFrame(
+        rows, "entity long, stage int, stage_rank int, t long, transit_minutes double, features map<string,double>, is_entry boolean, is_exit boolean, response int, prev_stage int"
+    )
+    base = spark.createDataFrame([(1, "f", 0.0, 0.1)], "stage int, feature string, mean double, std double")
+    bench = spark.createDataFrame([(1, 2, 6.0, 36.0)], "prev_stage int, stage int, p90 double, p99 double")
+    got = SCO.stage_health(m, base, bench, spark.createDataFrame([(1, None)], "stage int, static_prev int")).collect()
+    first = [(r.visit_no, round(r.max_abs_z, 6)) for r in got if r.entity == 1]
+    assert len(first) == 4 and len(set(first)) == 2 and {v for v, _ in first} == {1, 2}
+
+
 def test_folds_count_entities_where_their_visits_are(spark, odd):
     assert _shuffles(REGISTRY["ml3_forward_chaining_folds"].run(spark, odd)) == 2
 
