@@ -140,7 +140,8 @@ def running_rows(
     """Row-level running sums in the total order (``order``, ``tie``); adds ``cum_<name>`` to every row.
 
     (keys, order, tie) must be unique and not null, or the columns ``then`` order the rows that share it.  A hot order value is cut into grains of ``tie_width`` tie values, so
-    neither the join nor the last window ever holds more than ``tie_width`` rows in one group.
+    neither the join nor the last window ever holds more than ``tie_width`` rows in one group. The offsets, one row a grain, are hashed in their
+    partitions, so the rows are sorted once only, for the last window.
     """
     keys = list(keys)
     codes = _codes(F.col(order), width, levels)
@@ -160,7 +161,7 @@ def running_rows(
         *[(F.col(f"_tick_{n}") + F.coalesce(F.sum(n).over(in_tick), F.lit(0))).alias(f"_off_{n}") for n in sums],
     )
     in_grain = Window.partitionBy(*keys, order, "_grain").orderBy(tie, *then).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(offsets, [*keys, order, "_grain"])
+    joined = rows.join(offsets.hint("shuffle_hash"), [*keys, order, "_grain"])
     for n in sums:
         joined = joined.withColumn(f"cum_{n}", F.col(f"_off_{n}") + F.sum(f"_v_{n}").over(in_grain))
     return joined.drop("_grain", *[f"_v_{n}" for n in sums], *[f"_off_{n}" for n in sums])

@@ -30,8 +30,14 @@ def baseline_maps(baselines: DataFrame, stage: str = "stage", feature: str = "fe
     return baselines.groupBy(stage).agg(F.map_from_entries(F.collect_list(entry)).alias("_base"))
 
 
-def deviations(messages: DataFrame, baselines: DataFrame, cfg: ScoreConfig = CFG, stage: str = "stage") -> DataFrame:
-    """STR8: z-scores of every reading of a message; unknown features count as 0.  Works on streams and tables."""
+def deviations(messages: DataFrame, baselines: DataFrame, cfg: ScoreConfig = CFG, stage: str = "stage", sensors: Sequence[str] = ()) -> DataFrame:
+    """STR8: z-scores of every reading of a message; unknown features count as 0.  Works on streams and tables.
+
+    ``sensors`` names the columns that hold the readings too, where ``features`` is the map of all that aren't null: they are scored as columns, which
+    compiles, while a function over the map's entries is interpreted for every row.
+    """
+    if sensors:
+        return _column_deviations(messages, baselines, cfg, stage, sensors)
     joined = messages.join(dictionary(baseline_maps(baselines, stage), "baselines"), stage, "left")
 
     def score(e: Column) -> Column:
@@ -48,6 +54,22 @@ def deviations(messages: DataFrame, baselines: DataFrame, cfg: ScoreConfig = CFG
     )
 
 
+def _column_deviations(messages: DataFrame, baselines: DataFrame, cfg: ScoreConfig, stage: str, sensors: Sequence[str]) -> DataFrame:
+    """``deviations`` of readings in columns; only rows with an anomalous reading are searched for it."""
+    base = baseline_maps(baselines, stage).select(stage, *[F.try_element_at("_base", F.lit(s)).alias(f"_base_{s}") for s in sensors])
+    z = {s: S.z_score(F.col(s), F.col(f"_base_{s}.mean"), F.col(f"_base_{s}.std")) for s in sensors}
+    scored = messages.join(dictionary(base, "baselines"), stage, "left").withColumns({f"_z_{s}": F.when(F.col(s).isNotNull(), e) for s, e in z.items()})
+    pairs = F.array(*[F.struct(F.lit(s).alias("feature"), F.col(f"_z_{s}").alias("z")) for s in sensors])
+    none = F.array().cast("array<struct<feature:string,z:double>>")
+    return scored.withColumns({
+        "zs": F.filter(pairs, lambda x: x["z"].isNotNull()),
+        "n_features": sum((F.col(s).isNotNull().cast("int") for s in sensors), F.lit(0)),
+        "max_abs_z": F.coalesce(F.array_max(F.array(*[F.abs(F.col(f"_z_{s}")) for s in sensors])), F.lit(0.0)),
+    }).withColumn(
+        "anomalous", F.when(F.col("max_abs_z") >= cfg.z_threshold, F.filter(pairs, lambda x: F.abs(x["z"]) >= cfg.z_threshold)).otherwise(none)
+    ).drop(*[f"_base_{s}" for s in sensors], *[f"_z_{s}" for s in sensors])
+
+
 def lives(messages: DataFrame) -> DataFrame:
     """Arrival order inside an entity: state restarts after an exit message, as the live scorer forgets the entity.
 
@@ -105,7 +127,7 @@ def rolling_outcomes(
     in_window = F.col("cum_seen") - F.col("visit_no") < window
     kept = materialize(counted.where((F.col("_visit") == 0) & in_window).select("stage", "t", "_pos", "label"), "outcomes")
     numbered = P.trailing(
-        P.ranked(kept, "t", "_pos", ("stage",), "_k"), "_k", window + 1, {"_first": lambda w: F.first("label").over(w)}, ("stage",)
+        P.ranked(kept, "t", "_pos", ("stage",), "_k"), "_k", window + 1, {"_first": lambda w: F.first("label").over(w.rowsBetween(-window, -window))}, ("stage",)
     )
     left = F.when(F.col("_k") > window, F.col("_first")).otherwise(F.lit(0))
     changes = materialize(numbered.select("stage", "t", "_pos", F.lit(1).alias("_o"), (F.col("label") - left).alias("_c")), "changes")
@@ -116,15 +138,15 @@ def rolling_outcomes(
 
 
 def stage_health(
-    messages: DataFrame, baselines: DataFrame, benchmark: DataFrame, topology: DataFrame, cfg: ScoreConfig = CFG
+    messages: DataFrame, baselines: DataFrame, benchmark: DataFrame, topology: DataFrame, cfg: ScoreConfig = CFG, sensors: Sequence[str] = ()
 ) -> DataFrame:
     """SCO1: composite health of the stage at every visit, with its three sub-scores.
 
-    ``messages`` may carry their ``lives`` already.  The ordered scans only take the columns they need; the others meet
+    ``messages`` may carry their ``lives`` already, and their readings as the columns ``sensors``.  The ordered scans only take the columns they need; the others meet
     the scans' results in one join at the end.
     """
     lived = messages if "life" in messages.columns else materialize(lives(messages), "lives")
-    scored = deviations(lived, baselines, cfg).withColumn("tie", message_tie()).drop("features", "zs", "prev_stage")
+    scored = deviations(lived, baselines, cfg, sensors=sensors).withColumn("tie", message_tie()).drop("features", "zs", "prev_stage", *sensors)
     exits = ["exit_t", "exit_tie", "exit_label"]
     drift = rolling_drift(scored.select("stage", "entity", "life", "nth", "t", "tie", "max_abs_z", *exits), cfg.window)
     numbered = materialize(drift.drop("max_abs_z", "window_parts"), "numbered")
@@ -139,7 +161,7 @@ def stage_health(
         .withColumn("p90", F.coalesce("p90", F.lit(cfg.default_p90)))
         .withColumn("p99", F.coalesce("p99", F.lit(cfg.default_p99)))
         .join(outcomes, ["stage", "entity", "life"])
-        .withColumn("_own", F.filter("_peers", lambda p: p["nth"] == F.col("nth"))[0])
+        .withColumn("_own", F.when(F.size("_peers") == 1, F.col("_peers")[0]).otherwise(F.filter("_peers", lambda p: p["nth"] == F.col("nth"))[0]))
         .withColumns({"visit_no": F.col("_own.visit_no"), "avg_z": F.col("_own.avg_z")})
         .drop("_own", "_peers", "nth")
         .withColumn("window_parts", F.least(F.col("visit_no"), F.lit(cfg.window)))
@@ -183,15 +205,19 @@ def part_risk(health: DataFrame, cfg: ScoreConfig = CFG) -> DataFrame:
 
 
 def rolling_throughput(exits: DataFrame, hours: float, last: int = 200) -> DataFrame:
-    """WIN7: completions per hour over the last ``last`` exits."""
+    """WIN7: completions per hour over the last ``last`` exits.
+
+    Exits are ranked by time, so the earliest of a frame is its first: one row is read for it, not the whole frame.
+    """
     ranked = P.ranked(exits, "t", "entity", (), "exit_no")
     framed = P.trailing(
         ranked, "exit_no", last,
-        {"_n": lambda w: F.count(F.lit(1)).over(w), "_t0": lambda w: F.min("t").over(w)},
+        {"_back": lambda w: F.first("t").over(w.rowsBetween(1 - last, 1 - last)), "_start": lambda w: F.first("t").over(w.rowsBetween(Window.unboundedPreceding, 0))},
     )
-    dt = (F.col("t") - F.col("_t0")) * F.lit(hours)
-    rate = F.when((F.col("_n") >= 2) & (dt > 0.01), F.round(F.col("_n") / dt, 1)).otherwise(F.lit(0.0))
-    return framed.withColumn("rolling_throughput_per_hr", rate).drop("_n", "_t0")
+    n = F.least(F.col("exit_no"), F.lit(last))
+    dt = (F.col("t") - F.coalesce("_back", "_start")) * F.lit(hours)
+    rate = F.when((n >= 2) & (dt > 0.01), F.round(n / dt, 1)).otherwise(F.lit(0.0))
+    return framed.withColumn("rolling_throughput_per_hr", rate).drop("_back", "_start")
 
 
 def health_steps(health: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from stageflow.plans.joins import segment_benchmark, topology
 from stageflow.plans.registry import cte, half_up, query, sql
 from stageflow.plans.scalars import DEFECT_SQL
 from stageflow.session import materialize
+from stageflow.sources.tables import SENSORS
 
 # Messages with state lives, deviations and positions, in plain windows.
 cte("ml", """SELECT x.*, row_number() OVER (PARTITION BY entity, life ORDER BY t, stage_rank, stage) = 1 AS is_first,
@@ -43,7 +44,7 @@ cte("health", f"""SELECT *, CASE WHEN health_score >= 80 THEN 'HEALTHY' WHEN hea
 
 def health(d):
     lived = d.lived_messages
-    return SCO.stage_health(lived, PR.baselines(d.sensor_values, ("stage", "feature")), segment_benchmark(d), topology(d))
+    return SCO.stage_health(lived, PR.baselines(d.sensor_values, ("stage", "feature")), segment_benchmark(d), topology(d), sensors=SENSORS)
 
 
 def scored(d):

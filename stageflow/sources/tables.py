@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stageflow.operators import scoring as SCO
@@ -112,17 +112,17 @@ class Data:
     def lived_messages(self) -> DataFrame:
         """Messages with their lives. They are written once, with the columns of their visits, from which ``visits`` and ``messages`` are then read too.
 
-        The outcomes of an entity are joined as a list, so that ``copy`` tells the first message of a visit from those that another outcome adds.
+        The outcomes of an entity are numbered before the join, so that ``copy`` tells the first message of a visit from those that another outcome adds.
+        The messages carry their readings as columns too.
         """
-        outcomes = self.labels.groupBy("entity").agg(F.collect_list(F.struct("label")).alias("_outcomes"))
-        every = self.moved.join(outcomes, "entity", "left").select("*", F.posexplode_outer("_outcomes").alias("copy", "_outcome"))
+        outcomes = self.labels.withColumn("copy", F.row_number().over(Window.partitionBy("entity").orderBy("label")) - 1)
         carried = ("line", "entry", "exit", *SENSORS, "copy")
-        flow = every.withColumn("label", F.col("_outcome.label")).select(*message_columns(), *carried)
+        flow = self.moved.join(outcomes, "entity", "left").select(*message_columns(), *carried)
         written = materialize(SCO.lives(flow).drop("features", "t"), "flow").withColumn("t", F.col("entry"))
         self.visits = written.where(F.coalesce("copy", F.lit(0)) == 0).select(
             "entity", "stage", "line", "entry", "exit", (F.col("exit") - F.col("entry")).alias("duration"), *SENSORS
         )
-        lived = written.withColumn("features", V.sensor_map(SENSORS)).drop(*carried)
+        lived = written.withColumn("features", V.sensor_map(SENSORS)).drop(*[c for c in carried if c not in SENSORS])
         self.messages = lived.select(*MESSAGE_NAMES)
         self._written |= {"visits", "messages"}
         return lived

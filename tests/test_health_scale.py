@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from stageflow.operators import primitives as P
 from stageflow.operators import scoring as SCO
 from stageflow.plans import REGISTRY
 from stageflow.session import configure, written
@@ -95,3 +96,48 @@ def test_folds_count_entities_where_their_visits_are(spark, odd):
 def test_shuffled_partitions_stay_small(spark):
     configure(spark)
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def _nulls_as_missing(df, columns):
+    return df.withColumn("features", F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*columns)), lambda _, v: v.isNotNull()))
+
+
+def test_readings_in_columns_score_as_those_in_the_map(spark):
+    rows = [(1, 1, 0.5, 9.0), (2, 1, None, -9.0), (3, 1, None, None), (4, 2, 5.0, float("nan")), (5, 3, 1.0, 1.0), (6, None, 1.0, 2.0)]
+    m = _nulls_as_missing(spark.createDataFrame(rows, "entity long, stage int, a double, b double"), ("a", "b"))
+    base = spark.createDataFrame([(1, "a", 0.0, 0.1), (1, "b", 0.0, 2.0), (2, "b", 1.0, 1.0), (3, "a", None, 1.0), (3, "b", 1.0, None)], "stage int, feature string, mean double, std double")
+    names = ("entity", "n_features", "max_abs_z", "anomalous", "zs")
+    got, want = (sorted(map(repr, SCO.deviations(m, base, sensors=s).select(*names).collect())) for s in (("a", "b"), ()))
+    assert got == want and "a" in SCO.deviations(m, base, sensors=("a", "b")).columns
+
+
+def test_rows_of_an_ordered_scan_are_sorted_once(spark):
+    """The offsets of the grains are hashed; joined by sort they cost a second sort of all rows wherever they are too many to broadcast."""
+    df = spark.range(1000).select((F.col("id") % 7).alias("t"), "id", F.lit(1).alias("one"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = P.running_rows(df, "t", "id", {"n": F.col("one")})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin [t#" in plan and sum("Sort [" in x and "id#" in x for x in plan.splitlines()) == 1
+    assert sorted(r.cum_n for r in out.collect()) == list(range(1, 1001))
+
+
+@pytest.mark.parametrize("last", [1, 2, 3, 50])
+def test_throughput_reads_the_first_exit_of_its_frame(spark, last):
+    times = [(e, t) for e, t in enumerate([0, 0, 1, 5, 5, 5, 9, 20, 21, 21])]
+    got = {r.entity: r.rolling_throughput_per_hr for r in SCO.rolling_throughput(spark.createDataFrame(times, "entity long, t long"), 0.7, last).collect()}
+    want = {}
+    for e, t in times:
+        frame = [x for _, x in times[max(0, e + 1 - last):e + 1]]
+        want[e] = round(len(frame) / ((t - frame[0]) * 0.7), 1) if len(frame) >= 2 and t > frame[0] else 0.0
+    assert got == want
+    frames = SCO.rolling_throughput(spark.createDataFrame(times, "entity long, t long"), 0.7, last)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(t" not in frames
+
+
+def test_outcomes_are_numbered_by_a_window(spark, odd):
+    """A list of an entity's outcomes fell back to a second sort; the messages keep the readings as columns."""
+    lived = Data(spark, odd).lived_messages
+    assert {"qty", "price", "disc", "tax", "features"} <= set(lived.columns) and lived.where("entity = 2").count() == 4
