@@ -74,8 +74,27 @@ def _text(c: Column) -> Column:
     return F.when(c == "true", "True").when(c == "false", "False").otherwise(c)
 
 
-def _prefixed(values: Column, prefix: str) -> Column:
-    return F.transform_keys(values, lambda k, _: F.concat(F.lit(prefix), k)) if prefix else values
+def _present(values: Column) -> Column:
+    """A map without its null values; empty for a null map."""
+    return F.coalesce(F.map_filter(values, lambda _, v: v.isNotNull()), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+
+
+def _prefixed(names: Column, prefix: str) -> Column:
+    return F.transform(names, lambda k: F.concat(F.lit(prefix), k)) if prefix else names
+
+
+def _field_map(m: Measurement) -> Column:
+    """The fields that have a value, as arrays of names and numbers that become one map: only optional fields and the message's own maps are tested for nulls."""
+    number = lambda n: F.col(n).cast("double")
+    fixed = {n: F.coalesce(number(n), F.lit(float(d))) for n, d in m.fields.items() if d is not None}
+    names, nums = [F.array(*[F.lit(n) for n in fixed]).cast("array<string>")], [F.array(*fixed.values()).cast("array<double>")]
+    for n in (n for n, d in m.fields.items() if d is None):
+        names.append(F.when(number(n).isNotNull(), F.array(F.lit(n))).otherwise(F.array().cast("array<string>")))
+        nums.append(F.when(number(n).isNotNull(), F.array(number(n))).otherwise(F.array().cast("array<double>")))
+    for source, prefix in m.maps.items():
+        names.append(_prefixed(F.map_keys(F.col(f"_{source}")), prefix))
+        nums.append(F.map_values(F.col(f"_{source}")))
+    return F.map_from_arrays(F.concat(*names), F.concat(*nums))
 
 
 def to_points(
@@ -84,7 +103,8 @@ def to_points(
     """SNK5: one parse per message and no union; topics without a measurement are dropped.  Works on streams.
 
     ``names``: the measurements wanted, where the caller knows them; only their keys are parsed, and messages of others are dropped as well.
-    ``inline`` keeps the parsed struct and the two maps from being merged into (and repeated by) later expressions.
+    ``inline`` keeps the parsed struct from being merged into (and repeated by) later expressions. The two maps are plain columns, which compile; one that
+    nobody reads is not made.
     """
     kind = F.lit(None).cast("string")
     for m in reversed(MEASUREMENTS):
@@ -95,6 +115,7 @@ def to_points(
     parsed = messages.withColumn("measurement", kind).where(F.col("measurement").isin([m.name for m in wanted])).select(
         "measurement", F.col(ts).alias("_ts"), F.col(seq).alias("_seq"), F.inline(F.array(F.from_json(payload, schema)))
     )
+    parsed = parsed.withColumns({f"_{s}": _present(F.col(s)) for m in wanted for s in m.maps})
     tags: Column = F.lit(None)
     fields: Column = F.lit(None)
     for m in wanted:
@@ -102,17 +123,9 @@ def to_points(
         names = [F.lit(n) for n in (*m.constant_tags, *m.tags)]
         values = [F.lit(v) for v in m.constant_tags.values()] + [F.coalesce(_text(F.col(t)), F.lit(d)) for t, d in m.tags.items()]
         tag_map = F.map_from_arrays(F.array(*names), F.array(*values)) if names else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-        number = lambda n: F.col(n).cast("double")
-        nums = [number(n) if d is None else F.coalesce(number(n), F.lit(float(d))) for n, d in m.fields.items()]
-        pairs = [F.map_from_arrays(F.array(*[F.lit(n) for n in m.fields]), F.array(*nums))]
-        for source, prefix in m.maps.items():
-            extra = F.coalesce(F.col(source), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
-            pairs.append(_prefixed(extra, prefix))
-        field_map = F.map_filter(F.map_concat(*pairs), lambda _, v: v.isNotNull())
         tags = F.when(here, tag_map).otherwise(tags)
-        fields = F.when(here, field_map).otherwise(fields)
-    maps = F.inline(F.array(F.struct(tags.alias("tags"), fields.alias("fields"))))
-    return parsed.select("measurement", F.col("_ts").alias("ts"), F.col("_seq").alias("seq"), maps)
+        fields = F.when(here, _field_map(m)).otherwise(fields)
+    return parsed.select("measurement", F.col("_ts").alias("ts"), F.col("_seq").alias("seq"), tags.alias("tags"), fields.alias("fields"))
 
 
 def message(df: DataFrame, topic: Column, ts: Column, seq: Column, **keys: Column) -> DataFrame:

@@ -136,16 +136,20 @@ def message_tables(d, kinds, scored_visits):
 MEASURED = {"telemetry": "station_telemetry", "health": "station_health", "risk": "part_risk", "overview": "line_overview", "decision": "ai_part_risk", "window": "ai_window", "anomaly": "ai_anomaly"}
 
 
-def points(d, *kinds):
-    """The point table a dashboard reads: one written table per message kind, made once per session and state of the data."""
+def points(d, *kinds, write=True):
+    """The point table a dashboard reads: one written table per message kind, made once per session and state of the data.
+
+    A reader that takes all points once needs no copy of them: without ``write``, kinds that aren't written yet go from message to point to the reader."""
     state = freshness(d)
     key = lambda k: (d.spark.sparkContext.applicationId, d.sf_dir, state, k)
-    missing = [k for k in kinds if key(k) not in _TABLES]
-    for k, messages in message_tables(d, missing, lambda: scored_table(d, key("scored"))):
-        _TABLES[key(k)] = materialize(PT.to_points(messages, names=[MEASURED[k]]), f"points-{k}")
-    out = _TABLES[key(kinds[0])]
+    tables = {k: _TABLES[key(k)] for k in kinds if key(k) in _TABLES}
+    for k, messages in message_tables(d, [k for k in kinds if k not in tables], lambda: scored_table(d, key("scored"))):
+        tables[k] = PT.to_points(messages, names=[MEASURED[k]])
+        if write:
+            tables[k] = _TABLES[key(k)] = materialize(tables[k], f"points-{k}")
+    out = tables[kinds[0]]
     for k in kinds[1:]:
-        out = out.unionByName(_TABLES[key(k)])
+        out = out.unionByName(tables[k])
     return out
 
 
@@ -195,7 +199,7 @@ MEASUREMENTS = ("telemetry", "health", "risk", "overview", "decision", "window",
 
 @query("snk5_points_all_measurements", ALL_POINTS_SQL)
 def snk5_all(d):
-    return MN.point_counts(points(d, *MEASUREMENTS))
+    return MN.point_counts(points(d, *MEASUREMENTS, write=False))
 
 
 cte("ovr", """WITH tot AS (SELECT entity, t, pos, is_exit, CAST(sum(CAST(is_exit AS INT)) OVER w AS BIGINT) AS completed, CAST(sum(CAST(is_exit AND coalesce(response, 0) = 1 AS INT)) OVER w AS BIGINT) AS defects FROM ml WINDOW w AS (ORDER BY pos)),
@@ -292,7 +296,7 @@ def mon15(d):
 
 @query("mon16_point_counts", ALL_POINTS_SQL)
 def mon16(d):
-    return MN.point_counts(points(d, *MEASUREMENTS))
+    return MN.point_counts(points(d, *MEASUREMENTS, write=False))
 
 
 # ---- alerts over the event stream table, seconds since 2024-01-01 -------------------------------------------

@@ -136,3 +136,35 @@ def test_written_tables_are_compressed_with_zstd(spark):
     from stageflow.session import materialize
 
     assert all(f.endswith(".zstd.parquet") for f in materialize(spark.range(10), "small").inputFiles())
+
+
+def test_points_that_are_counted_once_are_not_written(spark, tmp_path):
+    import shutil
+
+    from stageflow.plans import REGISTRY
+    from stageflow.session import written
+
+    for t in ("lineitem", "orders"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    before = len(written(spark))
+    once = REGISTRY["mon16_point_counts"].run(spark, str(tmp_path))
+    assert not [p for p in written(spark)[before:] if "/points-" in p]
+    first = sorted(map(tuple, once.collect()))
+    REGISTRY["mon3_latest_health"].run(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, REGISTRY["snk5_points_all_measurements"].run(spark, str(tmp_path)).collect())) == first and len(first) == 43
+
+
+def test_maps_of_points_compile_and_drop_nulls(spark):
+    """Only the parse is a generator; the maps were one too, and so interpreted for every row."""
+    from stageflow.operators import points as PT
+
+    rows = [("x/telemetry", '{"station_id": "S1", "features": {"a": 1.0, "b": null}, "response": null}', 1), ("x/telemetry", '{"response": 1}', 2),
+            ("twin/ai/anomaly", '{"anomaly_score": 2.0, "station_contributions": {"S1": 0.5, "S2": null}}', 3), ("twin/ai/part_risk", '{"raw_defect_prob": 0.5}', 4)]
+    df = spark.createDataFrame(rows, "topic string, payload string, seq long").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    p = PT.to_points(df)
+    assert p._jdf.queryExecution().executedPlan().toString().count("Generate inline") == 1
+    zeros = {"part_id": 0.0, "sim_time": 0.0, "sim_time_hours": 0.0, "transit_minutes": 0.0}
+    assert {r.seq: r.fields for r in p.collect()} == {
+        1: zeros | {"a": 1.0}, 2: zeros | {"response": 1.0}, 3: {"anomaly_score": 2.0, "threshold_p99": 0.0, "attr_S1": 0.5},
+        4: {"predicted_defect_prob": 0.0, "decision_time": 0.0, "raw_defect_prob": 0.5},
+    }
