@@ -13,6 +13,7 @@ from stageflow.plans.monitoring import us
 from stageflow.plans.registry import REGISTRY, cte, query, sql
 from stageflow.session import materialize, work_dir
 from stageflow.sources import io
+from stageflow.sources.tables import SENSORS
 from stageflow.streaming import alerts as AL
 from stageflow.streaming import jobs as J
 from stageflow.streaming import ordered as O
@@ -96,9 +97,9 @@ SLICES, SLICE_ROWS, AHEAD_US = 4, 2_000_000, 10 * 86_400 * 1000000
 
 def arriving(d, df, name):
     """The rows as a stream: slices of time that come one after the other in files of any order, and a marker that closes the last. Returns the stream
-    and the delay that its order needs. There are as many slices as keep a micro-batch, and what waits in the state, at some millions of rows."""
+    and the delay that its order needs. There are as many slices as keep a micro-batch, and what waits in the state, at some millions of rows. The rows are read a few
+    times, so they should be those of a table, or a few columns made from them."""
     path = work_dir(d.spark, name)
-    df = materialize(df, f"{name}-rows")
     width = O.land(df, path, max(SLICES, -(-df.count() // SLICE_ROWS)))
     O.marker(df, path, width + AHEAD_US)
     stream = O.files(d.spark, path, df.schema, per_trigger=O.FILES)
@@ -210,9 +211,10 @@ DAY_US = 86_400 * 1000000
 def live(d):
     """The scorer over the arriving messages."""
     d.stored("visits", "messages")
-    rows = d.messages.drop("prev_stage").withColumn("us", F.col("t") * DAY_US)
+    rows = d.messages.withColumns({"us": F.col("t") * DAY_US, **{s: F.col("features")[s] for s in SENSORS}}).drop("prev_stage", "features")
     stream, delay = arriving(d, rows, "messages")
-    return LIVE.health(stream, materialize(PR.baselines(d.sensor_values, ("stage", "feature")), "baselines"), materialize(segment_benchmark(d), "segments"), topology(d), delay)
+    baselines = materialize(PR.baselines(d.sensor_values, ("stage", "feature")), "baselines")
+    return LIVE.health(stream, baselines, materialize(segment_benchmark(d), "segments"), topology(d), delay, sensors=SENSORS)
 
 
 def live_messages(d, topic, schema):

@@ -9,6 +9,9 @@ Operators can be chained in one query: ``time`` is the event time that the next
 
 Every access to the state is a call from Python to Spark. Waiting rows are therefore kept in blocks, and many small keys share one state
 (``dealt``), so that the calls grow with the buckets of a batch, not with its keys.
+
+Operators that take every message (``InColumns``) work on columns of all rows that are due. Their rows come packed, some thousands in a block, since
+Spark hands rows to Python one by one.
 """
 
 from __future__ import annotations
@@ -18,12 +21,16 @@ import pickle
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from stageflow.session import work_dir
+from stageflow.streaming import columns as C
 
 #: Event time of the rows, for the watermark; event order is by the other columns.
 TIME = "time"
@@ -118,50 +125,120 @@ class InOrder(StatefulProcessor):
         pass
 
 
+class InColumns(InOrder):
+    """Base of the operators that take the rows that are due as columns. ``step`` gets them in order as one table, and returns the new value and a frame of
+    the output; the value may hold arrays. Such an operator doesn't wait for silences. Driven by hand, it takes and gives rows.
+
+    ``first``: the operator reads the source. Spark sees the time of a block, not those of its rows, so the operator drops the rows itself that come later than the
+    watermark of the batch before. A timer calls every key whenever the watermark moves; so that watermark is the one at which the key was last called."""
+
+    first = False
+    CHUNK = 100_000  # most rows in a block of the state or a frame of the output
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.carried = handle.getValueState("carried", HELD)
+        self.armed = handle.getValueState("armed", StructType([StructField("ms", LongType())]))
+        self.waiting = handle.getListState("waiting", HELD)
+
+    def step(self, key: Any, value: Any, rows: pa.Table) -> tuple[Any, Any]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key: Any, rows: Iterator[Any], timerValues: Any) -> Iterator[Any]:
+        got, schema = list(rows), C.schema(self.row)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if isinstance(got[0], Row):
+            made = self._advance(key, [pa.Table.from_pylist([r.asDict() for r in got], schema)], watermark)
+            return (Row(**r) for f in made for r in f.to_dict("records"))
+        return self._advance(key, [C.unpacked(b) for f in got for b in f["block"]], watermark)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Any]:
+        return self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, key: Any, fresh: list[pa.Table], watermark: int) -> Iterator[Any]:
+        armed = self.armed.get()
+        armed = None if armed is None else armed[0]
+        if key[0] is None or not fresh and (armed is None or armed > watermark):  # the rows of this batch have been taken
+            return
+        if self.first:
+            in_time = [C.values(t, "us") > ((armed or 1) - 1) * 1000 for t in fresh]
+            fresh = [t if x.all() else t.filter(pa.array(x)) for t, x in zip(fresh, in_time, strict=True)]
+        held = [C.unpacked(block[0]) for block in self.waiting.get()]
+        out, first_left = None, None
+        if any(t.num_rows for t in (*held, *fresh)):
+            rows = pa.concat_tables([*held, *fresh])
+            is_due = C.values(rows, "us") <= watermark * 1000  # as _ms(us) <= watermark
+            due, left = (rows, rows.slice(0, 0)) if is_due.all() else (rows.filter(pa.array(is_due)), rows.filter(pa.array(~is_due)))
+            if due.num_rows:
+                kept = self.carried.get()
+                value, out = self.step(key, self.start() if kept is None else pickle.loads(kept[0]), C.in_order(due, self.order))
+                self.carried.update((pickle.dumps(value, 5),))
+            if left.num_rows:
+                self.waiting.put([(C.packed(left.slice(i, self.CHUNK)),) for i in range(0, left.num_rows, self.CHUNK)])
+                first_left = pc.min(left["us"]).as_py()
+            elif held:
+                self.waiting.clear()
+        wanted = watermark + 1 if self.first else None if first_left is None else _ms(first_left)  # a timer fires once the watermark has come to it
+        if armed != wanted:
+            if armed is not None and armed > watermark:
+                self.handle.deleteTimer(armed)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+            self.armed.update((wanted,))
+        if out is not None:
+            for i in range(0, len(out), self.CHUNK):
+                yield out.iloc[i : i + self.CHUNK]
+
+
 def _schema(text: str) -> StructType:
     return StructType.fromDDL(text)
 
 
+def packed(df: DataFrame, key: Column, row: str, keys: int = 0) -> DataFrame:
+    """Rows of a stream as blocks: key, latest time and the columns of ``row``. Each of the keys below ``keys`` gets a block of every partition, if only an empty one."""
+    cut = df.select(key.alias("key"), TIME, *[F.col(f.name).cast(f.dataType).alias(f.name) for f in _schema(row)])
+    return cut.mapInArrow(lambda batches: C.pack_by_key(batches, keys), StructType([*[StructField(f.name, f.dataType, True, f.metadata) for f in cut.schema.fields[:2]], StructField("block", BinaryType())]))
+
+
 def apply(df: DataFrame, key: list[str], processor: InOrder, output: str, delay: str | None = None) -> DataFrame:
     """The operator on a stream with the event time ``TIME``. delay: how late rows may come; None behind another operator."""
+    if isinstance(processor, InColumns):
+        return dealt(df, *key, processor, delay) if delay else _on_blocks(packed(df, F.col(*key), processor.row), processor, output)
     rows = df if delay is None else df.withWatermark(TIME, delay)
     processor.row_type, processor.value_type = _schema(processor.row), _schema(processor.value)  # workers can't parse schemas
     return rows.groupBy(*key).transformWithState(
         statefulProcessor=processor, outputStructType=_schema(f"{output}, {TIME} timestamp"), outputMode="append", timeMode="EventTime", eventTimeColumnName=TIME)
 
 
-class Dealt(InOrder):
-    """Another operator for all keys of a bucket. It must not wait for silences. State: the carried values of the bucket's keys as one value."""
+def _on_blocks(blocks: DataFrame, processor: InColumns, output: str) -> DataFrame:
+    return blocks.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=_schema(f"{output}, {TIME} timestamp"), outputMode="append", timeMode="EventTime", eventTimeColumnName=TIME)
+
 
-    value = "held binary"
+class Dealt(InColumns):
+    """Another operator, which takes the rows of many keys at once, for all keys of a bucket."""
 
-    def __init__(self, operator: InOrder, key: str) -> None:
+    def __init__(self, operator: InColumns, key: str) -> None:
         self.operator, self.by = operator, key
         self.row, self.output, self.order = operator.row, operator.output, operator.order
 
-    def start(self) -> tuple:
-        return (None,)
+    def start(self) -> Any:
+        return self.operator.start()
 
-    def step(self, key: Any, value: tuple, rows: list[Row]) -> tuple[tuple, Iterable[Row]]:
-        held = pickle.loads(value[0]) if value[0] else {}
-        groups: dict[Any, list[Row]] = {}
-        for r in rows:
-            groups.setdefault(r[self.by], []).append(r)
-        out: list[Row] = []
-        for k, mine in groups.items():
-            held[k], made = self.operator.step((k,), held.get(k) or self.operator.start(), mine)
-            out.extend(made)
-        return (pickle.dumps(held, 5),), out
+    def step(self, key: Any, value: Any, rows: pa.Table) -> tuple[Any, Any]:
+        return self.operator.step(key, value, rows)
 
 
 #: Buckets of ``dealt``; part of a checkpoint's state, as the number of shuffle partitions is.
-BUCKETS = 512
+BUCKETS = 128
 
 
-def dealt(df: DataFrame, key: str, operator: InOrder, delay: str | None = None) -> DataFrame:
-    """The operator on a key with many values, by buckets of them."""
+def dealt(df: DataFrame, key: str, operator: InColumns, delay: str) -> DataFrame:
+    """The first operator of a stream, by buckets of its keys."""
+    operator = operator if isinstance(operator, Dealt) else Dealt(operator, key)
+    operator.first = True
     bucket = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
-    return apply(df.withColumn("bucket", bucket), ["bucket"], Dealt(operator, key), operator.output, delay)
+    return _on_blocks(packed(df.withWatermark(TIME, delay), bucket, operator.row, BUCKETS), operator, operator.output)
 
 
 PARTITIONS = "spark.sql.shuffle.partitions"
@@ -187,71 +264,65 @@ def run(df: DataFrame, name: str, checkpoint: str | None = None, out: str | None
     return spark.read.schema(df.drop(TIME).schema).parquet(out)
 
 
-class Entities(InOrder):
+class Entities(InColumns):
     """STR1: per message of an entity the previous stage, stages and anomalies so far, and the number of its life. An exit ends a life, and so
-    does a silence longer than ``idle_us``. State: one value an entity, and its messages ahead of the watermark."""
+    does a silence longer than ``idle_us``. State: the lives of the entities, and their messages ahead of the watermark."""
 
     row = "entity long, event_id long, us long, stage string, is_anomaly boolean, outcome int"
-    value = "life int, visited array<string>, anomalies long, last string, last_us long"
     output = "entity long, event_id long, us long, stage string, prev_stage string, visited long, anomalies long, is_exit boolean, life int, outcome int, stages array<string>"
+    order = ("entity", "us", "event_id")
 
     def __init__(self, exit_stage: str, idle_us: int = 30 * 86_400_000_000) -> None:
         self.exit_stage, self.idle_us = exit_stage, idle_us
 
-    def start(self) -> tuple:
-        return 0, [], 0, None, None
-
-    def step(self, key: Any, value: tuple, rows: list[Row]) -> tuple[tuple, Iterable[Row]]:
-        life, visited, anomalies, last, last_us = value
-        visited, out = list(visited or []), []
-        for r in rows:
-            if last is not None and r["us"] - last_us > self.idle_us:
-                life, visited, anomalies, last = life + 1, [], 0, None
-            if r["stage"] not in visited:
-                visited.append(r["stage"])
-            anomalies += bool(r["is_anomaly"])
-            leaves = r["stage"] == self.exit_stage
-            out.append(Row(entity=r["entity"], event_id=r["event_id"], us=r["us"], stage=r["stage"], prev_stage=last, visited=len(visited), anomalies=anomalies,
-                           is_exit=leaves, life=life, outcome=r["outcome"], stages=list(visited) if leaves else None, time=_time(r["us"])))
-            last, last_us = r["stage"], r["us"]
-            if leaves:
-                life, visited, anomalies, last = life + 1, [], 0, None
-        return (life, visited, anomalies, last, last_us), out
-
-
-class StageWindows(InOrder):
+    def start(self) -> Any:
+        return [], C.Lives.start()
+
+    def step(self, key: Any, value: Any, rows: pa.Table) -> tuple[Any, Any]:
+        import pandas as pd
+
+        names, lives = value
+        found = rows["stage"].combine_chunks().dictionary_encode()
+        number = {x: i for i, x in enumerate(names)}
+        names = [*names, *[x for x in found.dictionary.to_pylist() if x not in number]]
+        number = {x: i for i, x in enumerate(names)}
+        stage = np.array([*[number[x] for x in found.dictionary.to_pylist()], -1], np.int32)[found.indices.fill_null(-1).to_numpy()]
+        entity, us, leaves = C.values(rows, "entity"), C.values(rows, "us"), stage == number.get(self.exit_stage, -2)
+        lives, got = C.Lives.step(lives, entity, us, stage, leaves, C.values(rows, "is_anomaly"), self.idle_us, distinct=True)
+        text = np.array([*names, None], object)
+        seen = np.full(len(us), None, object)
+        for i, x in zip(np.flatnonzero(leaves), got["seen"], strict=True):
+            seen[i] = text[x].tolist()
+        out = pd.DataFrame({
+            "entity": entity, "event_id": C.series(rows["event_id"]), "us": us, "stage": text[stage], "prev_stage": text[got["last"]], "visited": got["n_seen"],
+            "anomalies": got["anomalies"], "is_exit": leaves, "life": got["life"], "outcome": C.series(rows["outcome"]), "stages": seen, TIME: _times(us),
+        })
+        return (names, lives), out
+
+
+class StageWindows(InColumns):
     """STR2: for each visit, the visits in the stage's window and the mean of the last ``window`` outcomes that the stage had learnt. An outcome
     counts if the entity's life is among the stage's last visits when it comes. State: the last visits and outcomes of a stage."""
 
     row = "stage string, us long, pos long, event_id long, entity long, life int, outcome int"
-    value = "visits long, recent array<string>, outcomes array<int>"
     output = "stage string, event_id long, us long, visits long, observed_rate double"
     order = ("us", "pos", "entity")
 
     def __init__(self, window: int, default: float) -> None:
         self.window, self.default = window, default
 
-    def start(self) -> tuple:
-        return 0, [], []
+    def start(self) -> Any:
+        return C.Learnt.start()
 
-    def step(self, key: Any, value: tuple, rows: list[Row]) -> tuple[tuple, Iterable[Row]]:
-        visits, recent, outcomes = value
-        recent, outcomes, out = list(recent or []), list(outcomes or []), []
-        for r in rows:
-            who = f"{r['entity']}/{r['life']}"
-            if r["pos"] % 2:  # an outcome
-                if who in recent[-self.window :]:
-                    outcomes.append(r["outcome"])
-                continue
-            visits += 1
-            recent.append(who)
-            known = outcomes[-self.window :]
-            out.append(Row(stage=r["stage"], event_id=r["event_id"], us=r["us"], visits=min(visits, self.window), observed_rate=sum(known) / len(known) if known else self.default, time=_time(r["us"])))
-            if len(recent) > 4 * self.window:
-                recent = recent[-self.window :]
-            if len(outcomes) > 4 * self.window:
-                outcomes = outcomes[-self.window :]
-        return (visits, recent[-self.window :], outcomes[-self.window :]), out
+    def step(self, key: Any, value: Any, rows: pa.Table) -> tuple[Any, Any]:
+        import pandas as pd
+
+        outcome = C.values(rows, "pos") % 2 == 1
+        value, visits, rate = C.Learnt.step(
+            value, outcome, C.values(rows, "entity"), C.values(rows, "life"), C.values(rows, "outcome"), self.window, self.default)
+        mine = rows.filter(pa.array(~outcome))
+        us = C.values(mine, "us")
+        return value, pd.DataFrame({"stage": mine["stage"].to_numpy(), "event_id": C.series(mine["event_id"]), "us": us, "visits": visits, "observed_rate": rate, TIME: _times(us)})
 
 
 def stage_messages(entities: DataFrame) -> DataFrame:
@@ -314,8 +385,6 @@ class Arrivals(InOrder):
         return self.start(), []
 
     def step(self, key: Any, value: tuple, rows: list[Row]) -> tuple[tuple, Iterable[Row]]:
-        import numpy as np
-
         us = np.array([r["us"] for r in rows], np.int64)
         times = np.concatenate([np.repeat(np.array(value[0] or [], np.int64), np.array(value[1] or [], np.int64)), us])
         n = np.searchsorted(times, us, "right") - np.searchsorted(times, us - self.width, "left")
@@ -392,6 +461,13 @@ def _time(us: int) -> Any:
     return datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(microseconds=us)
 
 
+def _times(us: np.ndarray) -> Any:
+    """``_time`` of a column."""
+    import pandas as pd
+
+    return pd.Series(us.astype("datetime64[us]")).dt.tz_localize("UTC")
+
+
 def timed(us: Column) -> Column:
     """Event time of microseconds, as the operators write it."""
     return F.timestamp_micros(us).alias(TIME)
