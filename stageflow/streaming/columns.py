@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
 #: Rows of a partition that are packed at a time.
-PACK = 250_000
+PACK = 100_000
 
 
 def names(text: str) -> list[str]:

@@ -169,15 +169,18 @@ class InColumns(InOrder):
             rows = pa.concat_tables([*held, *fresh])
             is_due = C.values(rows, "us") <= watermark * 1000  # as _ms(us) <= watermark
             due, left = (rows, rows.slice(0, 0)) if is_due.all() else (rows.filter(pa.array(is_due)), rows.filter(pa.array(~is_due)))
-            if due.num_rows:
-                kept = self.carried.get()
-                value, out = self.step(key, self.start() if kept is None else pickle.loads(kept[0]), C.in_order(due, self.order))
-                self.carried.update((pickle.dumps(value, 5),))
             if left.num_rows:
                 self.waiting.put([(C.packed(left.slice(i, self.CHUNK)),) for i in range(0, left.num_rows, self.CHUNK)])
                 first_left = pc.min(left["us"]).as_py()
             elif held:
                 self.waiting.clear()
+            del rows, left, held, fresh, is_due  # a stage may have a third of a batch's rows: one copy of them is enough
+            if due.num_rows:
+                due = C.in_order(due, self.order)
+                kept = self.carried.get()
+                value, out = self.step(key, self.start() if kept is None else pickle.loads(kept[0]), due)
+                self.carried.update((pickle.dumps(value, 5),))
+            del due
         wanted = watermark + 1 if self.first else None if first_left is None else _ms(first_left)  # a timer fires once the watermark has come to it
         if armed != wanted:
             if armed is not None and armed > watermark:
@@ -473,8 +476,8 @@ def timed(us: Column) -> Column:
     return F.timestamp_micros(us).alias(TIME)
 
 
-#: Files of a slice of ``land``.
-FILES = 8
+#: Files of a slice of ``land``, and most rows of one: a table that is read in a few large parts makes few files a slice, and a batch may take several slices.
+FILES, FILE_ROWS = 8, 300_000
 
 
 def land(df: DataFrame, path: str, slices: int, us: str = "us") -> int:
@@ -488,7 +491,7 @@ def land(df: DataFrame, path: str, slices: int, us: str = "us") -> int:
     cut = df.where(F.col(us).isNotNull()).withColumn("slice", ((F.col(us) - first - F.pmod(F.col(us) - first, F.lit(width))) / F.lit(width)).cast("int"))
     cut.write.partitionBy("slice").parquet(parts)
     for (k,) in sorted(cut.select("slice").distinct().collect()):
-        df.sparkSession.read.schema(df.schema).parquet(f"{parts}/slice={k}").coalesce(FILES).write.mode("append").parquet(path)
+        df.sparkSession.read.schema(df.schema).parquet(f"{parts}/slice={k}").coalesce(FILES).write.option("maxRecordsPerFile", FILE_ROWS).mode("append").parquet(path)
     return width
 
 

@@ -133,3 +133,10 @@ def test_a_stream_hands_blocks_to_the_operators(spark, tmp_path):
     entities = O.dealt(_stream(src, f"{tmp_path}/in"), "entity", O.Entities("x"), "1 second")
     plan = O.apply(O.stage_messages(entities), ["stage"], O.StageWindows(7, -1.0), O.StageWindows.output)._jdf.queryExecution().analyzed().toString()
     assert plan.count("MapInArrow") == 2 and plan.count("TransformWithStateInPySpark") == 2
+
+
+def test_a_file_of_a_slice_has_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(O, "FILE_ROWS", 100)
+    O.land(spark.range(1000, numPartitions=1).select(F.col("id").alias("us")), f"{tmp_path}/in", 2)
+    sizes = [r[0] for r in spark.read.parquet(f"{tmp_path}/in").groupBy(F.input_file_name()).count().select("count").collect()]
+    assert sorted(sizes) == [100] * 10
